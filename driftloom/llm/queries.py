@@ -3,20 +3,49 @@
 from __future__ import annotations
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import linededup
+from driftloom.llm import bpe, linededup, minhash, tokencount
 from driftloom.sources.tables import table
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of ``documents`` by 4-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE of ``documents`` there and back; digests of ids and decoded bytes."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded_col="decoded")
+    return out.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of ``documents`` over the pieces and scores of a public model file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup of ``documents``; digests of what stays."""
     out = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {"op9_line_dedup": op9_line_dedup}
+QUERIES = {
+    "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_token_count": op10_token_count,
+}
 
 ORACLE_SQL = {
     "op9_line_dedup": r"""
