@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, linededup, minhash, tokencount
+from driftloom.llm import bpe, linededup, minhash, tokencount, toxicity
 from driftloom.sources.tables import table
 
 
@@ -34,6 +34,14 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of ``documents``, learnt from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(~toxicity.held_out())
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup of ``documents``; digests of what stays."""
     out = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -43,6 +51,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_byte_bpe": op3_byte_bpe,
+    "op6_toxicity": op6_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_count": op10_token_count,
 }

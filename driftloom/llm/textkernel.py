@@ -25,6 +25,10 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+#: Separators for words without ASCII punctuation.
+PUNCTUATED = _SPACE.copy()
+PUNCTUATED[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
 _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
 
@@ -64,9 +68,15 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each text and the end) for one slice."""
+    words, _, first = word_and_stem_hashes(raw, offsets, _SPACE, ())
+    return words, first
+
+
+def word_and_stem_hashes(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray, stems: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """As ``word_hashes`` for any separators, and for each length in ``stems`` the hashes of the words' first bytes."""
     n = len(raw)
     low = _LOWER[raw]
-    inside = ~_SPACE[raw]
+    inside = ~separators[raw]
     begins = inside.copy()
     ends = inside.copy()
     cuts = offsets[(offsets > 0) & (offsets < n)]
@@ -80,8 +90,11 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     _grow(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers[:n], out=total[1:])
-    words = (total[stop] - total[start]) * _inverse[start]
-    return mix64(words + (stop - start).astype(np.uint64) * _M2), np.searchsorted(start, offsets)
+
+    def hashed(end: np.ndarray) -> np.ndarray:
+        return mix64((total[end] - total[start]) * _inverse[start] + (end - start).astype(np.uint64) * _M2)
+
+    return hashed(stop), [hashed(np.minimum(start + k, stop)) for k in stems], np.searchsorted(start, offsets)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
