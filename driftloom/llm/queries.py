@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, linededup, minhash, tokencount, toxicity
+from driftloom.llm import bpe, linededup, minhash, packing, tokencount, toxicity
 from driftloom.sources.tables import table
 
 
@@ -42,6 +42,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` tokenized and packed into sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line dedup of ``documents``; digests of what stays."""
     out = linededup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -52,6 +57,7 @@ QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_toxicity": op6_toxicity,
+    "op7_packing": op7_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_count": op10_token_count,
 }
