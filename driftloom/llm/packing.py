@@ -163,7 +163,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     for round_ in range(ROUNDS):
         shards = max(1, -(-count // SHARD))
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(shards)).cast("long"))
-        start = dealt.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).cast("long").alias("island"), F.lit(0).cast("long").alias("origin"), "uid", "length", F.lit(0).cast("long").alias("gene"))
+        start = dealt.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ISLANDS - 1).cast("long"))).alias("island"), F.lit(0).cast("long").alias("origin"), "uid", "length", F.lit(0).cast("long").alias("gene"))
         elites = cut(start.groupBy("shard", "island").applyInArrow(_epoch(capacity, 0), _PLACED))
         own = elites.select("shard", "island", F.lit(0).cast("long").alias("origin"), "uid", "length", "gene")
         migrants = own.withColumns({"island": (F.col("island") + 1) % ISLANDS, "origin": F.lit(1).cast("long")})
