@@ -36,9 +36,9 @@ class Params:
     max_rows: int = 16_000
     min_docs: int = 3
     epochs: int = 3
-    alpha: float = 0.3
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 4.0
     l2: float = 0.5
 
 
@@ -154,8 +154,8 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], text_c
                 found, owner = found[hit], owner[hit]
                 at = np.searchsorted(names, found)
                 exact = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == found) if len(names) else np.zeros(len(found), bool)
-                pairs = np.unique(np.stack([owner[exact], at[exact]]), axis=1)
-                sums.append(np.bincount(pairs[0], weights=w[pairs[1]], minlength=n))
+                once = np.unique(owner[exact] * len(names) + at[exact])
+                sums.append(np.bincount(once // max(len(names), 1), weights=w[once % max(len(names), 1)], minlength=n))
             total = np.concatenate(sums) if sums else np.zeros(0)
             value = 1 / (1 + np.exp(-np.clip(total + b, -700, 700)))
             yield pa.RecordBatch.from_arrays([batch.column(name) for name in schema.names[:-1]] + [pa.array(value)], names=schema.names)
