@@ -7,10 +7,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, chat, linededup, minhash, packing, tokencount, toxicity, urlfilter
+from driftloom.llm import bpe, chat, linededup, minhash, packing, tokencount, topk, toxicity, urlfilter
 from driftloom.sources.tables import table
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of all ``embeddings`` by integer inner product, for every row with an id divisible by 50."""
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), 256)
+    return topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of ``documents`` by 4-word shingles."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -86,6 +92,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_url_filter": op4_url_filter,
@@ -97,6 +104,29 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+""",
+    "op8_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, len(regexp_extract_all(text, '\\\\|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<ROLE>>|<</ROLE>>')) AS n,
+             len(regexp_extract_all(role, '\\\\|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<ROLE>>|<</ROLE>>')) AS m FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(text) + n + CASE role WHEN 'user' THEN 19 WHEN 'assistant' THEN 5 ELSE 22 + length(role) + m END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+""".replace("\\\\", "\\"),
     "op9_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
