@@ -1,3 +1,74 @@
-"""A training-data pipeline."""
-STAGES = []
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
+return the columns of ``documents``.  A stage works on all that the one before kept.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftloom.llm import linededup, minhash, packing, toxicity
+from driftloom.plans.lineage import cut
+from driftloom.sources.tables import table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score under 0.5, learnt from labels outside the held-out fold.
+
+    Null and empty texts are scored like any other; without labels nothing is learnt, and
+    then the score says nothing and every document stays.
+    """
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(~toxicity.held_out())
+    weights = toxicity.train(docs, labels)
+    if not len(weights[0]):
+        return docs
+    return toxicity.score(docs, weights, score_col="_score").where("_score < 0.5").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that at least three of them share, but for the document with the largest id.
+
+    ``n_chars`` follows the text where lines went.  No document goes, even if no line of it stays.
+    """
+    clean = linededup.drop_repeated_lines(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id.
+
+    Rows with a null id stay; of rows with one id and equal texts one stays.
+    """
+    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    some = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return some.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its place in a sequence of at most 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("minhash_dedup", drop_near_copies),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+#: SQL can't express the toxicity model, the near-duplicate search or the packing.
 ORACLE_SQL = None

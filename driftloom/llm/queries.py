@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, chat, linededup, minhash, packing, tokencount, topk, toxicity, urlfilter
+from driftloom.llm import bpe, chat, linededup, minhash, packing, pqdedup, tokencount, topk, toxicity, urlfilter
 from driftloom.sources.tables import table
 
 
@@ -55,6 +55,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of ``embeddings`` at cosine 0.9."""
+    return pqdedup.near_duplicates(table(spark, sf_dir, "embeddings"), 0.9)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of ``documents``, learnt from labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -96,11 +101,13 @@ QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_url_filter": op4_url_filter,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_count": op10_token_count,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
