@@ -50,8 +50,8 @@ _KEY = 1 + 2 * MAX_DEPTH
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The min-hash values of a non-empty set, 16 bits each."""
     low = np.full(HASHES, ~np.uint64(0))
-    for at in range(0, len(shingles), 16384):
-        np.minimum(low, (shingles[at : at + 16384, None] * _MULTIPLIERS).min(axis=0), out=low)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(low, (shingles[at : at + 1024, None] * _MULTIPLIERS).min(axis=0), out=low)
     return (textkernel.mix64(low) >> np.uint64(48)).astype(np.uint16)
 
 
