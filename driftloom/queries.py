@@ -1,7 +1,639 @@
-"""The registered queries for the tracking operators, and their SQL."""
+"""The registered queries of the tracking operators, each with DuckDB SQL where SQL can express it.
+
+A query puts the fixture tables through operators of the library; the SQL computes the same from the same tables.
+Floats are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from driftloom.config import V0, V2
+from driftloom.operators import division, imaging, lineage, linking, metrics, profile, spatial
+from driftloom.plans.lineage import cut
+from driftloom.sources import fixtures, sinks
+from driftloom.sources.fixtures import FIXTURE_SQL
+from driftloom.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "tracks"
+
+VOXEL = V2.voxel
+#: Of the small volumes that the imaging queries work on: z, y, x.
+SHAPE = (8, 32, 32)
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def rounded(*columns: str) -> dict:
+    return {c: F.round(F.col(c), 6) for c in columns}
+
+
+def _dist(a: str = "a", b: str = "b") -> str:
+    return "sqrt(" + " + ".join(f"pow(({a}.{c} - {b}.{c}) * {s}e0, 2)" for c, s in zip("zyx", VOXEL, strict=True)) + ")"
+
+
+def _gt(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    nodes = fixtures.gt_nodes(spark, sf)
+    return nodes, fixtures.gt_edges(nodes)
+
+
+def _found(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Detected true nodes and the ground-truth edges between them."""
+    nodes, edges = _gt(spark, sf)
+    seen = fixtures.detections(spark, sf).where("det_id < 1000000000").select("dataset", F.col("det_id").alias("node_id"), "t", "z", "y", "x")
+    ids = seen.select("dataset", "node_id")
+    inner = edges.join(ids.withColumnRenamed("node_id", "source_id"), ["dataset", "source_id"], "left_semi").join(ids.withColumnRenamed("node_id", "target_id"), ["dataset", "target_id"], "left_semi")
+    return seen, inner, nodes
+
+
+FOUND_SQL = f"""{FIXTURE_SQL},
+found AS (SELECT dataset, det_id AS node_id, t, z, y, x FROM fx_detections WHERE det_id < 1000000000),
+found_edges AS (SELECT e.* FROM fx_gt_edges e JOIN found a ON a.node_id = e.source_id JOIN found b ON b.node_id = e.target_id)"""
+
+CANDIDATES_SQL = f"""{FIXTURE_SQL},
+cand AS (SELECT * FROM (SELECT a.dataset, a.t, a.det_id AS source_id, b.det_id AS target_id, {_dist()} AS dist
+  FROM fx_detections a JOIN fx_detections b ON b.dataset = a.dataset AND b.t = a.t + 1) WHERE dist <= 8),
+knn AS (SELECT *, row_number() OVER (PARTITION BY dataset, source_id ORDER BY dist, target_id) AS rank,
+        row_number() OVER (PARTITION BY dataset, target_id ORDER BY dist, source_id) AS back FROM cand),
+mutual AS (SELECT * FROM knn WHERE rank = 1 AND back = 1)"""
+
+ROOTS_SQL = f"""{FIXTURE_SQL},
+walk AS (
+  SELECT n.dataset, n.node_id, n.node_id AS component FROM fx_gt_nodes n WHERE n.node_id NOT IN (SELECT target_id FROM fx_gt_edges)
+  UNION ALL SELECT w.dataset, e.target_id, w.component FROM walk w JOIN fx_gt_edges e ON e.source_id = w.node_id)"""
+
+STEPS_SQL = f"""{FIXTURE_SQL},
+steps AS (SELECT * FROM fx_gt_edges WHERE target_id = source_id + 1),
+walk AS (
+  SELECT n.dataset, n.node_id, n.node_id AS track, 1 AS k FROM fx_gt_nodes n WHERE n.node_id NOT IN (SELECT target_id FROM steps)
+  UNION ALL SELECT w.dataset, e.target_id, w.track, w.k + 1 FROM walk w JOIN steps e ON e.source_id = w.node_id),
+chains AS (SELECT dataset, node_id, least(12, k) AS back, least(12, count(*) OVER (PARTITION BY dataset, track) - k + 1) AS ahead FROM walk)"""
+
+
+# --- profiling --------------------------------------------------------------------------------------------------------
+
+
+@query("frame_density", f"""WITH {FIXTURE_SQL}
+SELECT dataset, count(*) AS frames, min(n) AS low, max(n) AS high, round(avg(n), 6) AS mean
+FROM (SELECT dataset, t, count(*) AS n FROM fx_detections GROUP BY dataset, t) GROUP BY dataset""")
+def frame_density(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.frame_density(fixtures.detections(spark, sf)).withColumns(rounded("mean"))
+
+
+@query("degree_distribution", f"""WITH {FIXTURE_SQL},
+d AS (SELECT n.node_id, (SELECT count(*) FROM fx_gt_edges e WHERE e.source_id = n.node_id) AS o, (SELECT count(*) FROM fx_gt_edges e WHERE e.target_id = n.node_id) AS i FROM fx_gt_nodes n)
+SELECT 'out' AS kind, o AS degree, count(*) AS n FROM d GROUP BY o UNION ALL SELECT 'in', i, count(*) FROM d GROUP BY i""")
+def degree_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.degree_distribution(*_gt(spark, sf))
+
+
+@query("division_nodes", f"WITH {FIXTURE_SQL} SELECT dataset, source_id AS node_id, count(*) AS degree FROM fx_gt_edges GROUP BY ALL HAVING count(*) >= 2")
+def division_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.division_nodes(_gt(spark, sf)[1])
+
+
+@query("division_rollup", f"""WITH {FIXTURE_SQL},
+e AS (SELECT dataset, source_id, count(*) AS n FROM fx_gt_edges GROUP BY ALL),
+s AS (SELECT dataset % 2 AS specimen, dataset, sum(n) AS edges, count(*) FILTER (WHERE n >= 2) AS divisions FROM e GROUP BY ALL)
+SELECT specimen, dataset, CAST(sum(divisions) AS BIGINT) AS divisions, CAST(sum(edges) AS BIGINT) AS edges,
+       round(sum(divisions) / greatest(sum(edges), 1) * 100e0, 6) AS share, count(*) FILTER (WHERE divisions > 0) AS with_any
+FROM s GROUP BY ROLLUP (specimen, dataset)""")
+def division_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    per_node = _gt(spark, sf)[1].groupBy("dataset", "source_id").agg(F.count("*").alias("n"))
+    per = per_node.groupBy((F.col("dataset") % 2).alias("specimen"), "dataset").agg(F.sum("n").alias("e"), F.count_if(F.col("n") >= 2).alias("d"))
+    share = F.sum("d") / F.greatest(F.sum("e"), F.lit(1)) * 100
+    return per.rollup("specimen", "dataset").agg(F.sum("d").alias("divisions"), F.sum("e").alias("edges"), F.round(share, 6).alias("share"), F.count_if(F.col("d") > 0).alias("with_any"))
+
+
+@query("top_division_rich", f"""WITH {FIXTURE_SQL}
+SELECT dataset, count(*) AS divisions FROM (SELECT dataset, source_id FROM fx_gt_edges GROUP BY ALL HAVING count(*) >= 2) GROUP BY dataset ORDER BY divisions DESC, dataset LIMIT 12""")
+def top_division_rich(spark: SparkSession, sf: str) -> DataFrame:
+    return metrics.division_nodes(_gt(spark, sf)[1]).groupBy("dataset").agg(F.count("*").alias("divisions")).orderBy(F.desc("divisions"), "dataset").limit(12)
+
+
+@query("link_displacement_stats", f"""WITH {FIXTURE_SQL},
+d AS (SELECT {_dist()} AS v FROM fx_gt_edges e JOIN fx_gt_nodes a ON a.node_id = e.source_id JOIN fx_gt_nodes b ON b.node_id = e.target_id)
+SELECT count(*) AS n, round(quantile_cont(v, 0.1), 6) AS p10, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(max(v), 6) AS top FROM d""")
+def link_displacement_stats(spark: SparkSession, sf: str) -> DataFrame:
+    d = profile.edge_geometry(*_gt(spark, sf), VOXEL)
+    p = F.percentile("dist", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    return d.agg(F.count("*").alias("n"), p.alias("p"), F.max("dist").alias("top")).select("n", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(("p10", "p50", "p90"))], F.round("top", 6).alias("top"))
+
+
+@query("division_geometry_stats", f"""WITH {FIXTURE_SQL},
+k AS (SELECT e.*, row_number() OVER (PARTITION BY e.dataset, source_id ORDER BY target_id) AS r FROM fx_gt_edges e),
+g AS (SELECT {_dist("m", "a")} AS n1, {_dist("m", "b")} AS n2, {_dist("a", "b")} AS inter,
+        (a.z - m.z) * (b.z - m.z) * {VOXEL[0]}e0 * {VOXEL[0]}e0 + (a.y - m.y) * (b.y - m.y) * {VOXEL[1]}e0 * {VOXEL[1]}e0 + (a.x - m.x) * (b.x - m.x) * {VOXEL[2]}e0 * {VOXEL[2]}e0 AS dot
+      FROM k k1 JOIN k k2 ON k2.source_id = k1.source_id AND k1.r = 1 AND k2.r = 2 JOIN fx_gt_nodes m ON m.node_id = k1.source_id
+      JOIN fx_gt_nodes a ON a.node_id = k1.target_id JOIN fx_gt_nodes b ON b.node_id = k2.target_id),
+h AS (SELECT *, CASE WHEN n1 > 1e-6 AND n2 > 1e-6 THEN degrees(acos(greatest(least(dot / (n1 * n2 + 1e-9), 1e0), -1e0))) END AS angle FROM g)
+SELECT count(*) AS n, round(quantile_cont(n2, 0.5), 6) AS second_p50, round(quantile_cont(inter, 0.9), 6) AS inter_p90, round(quantile_cont(angle, 0.5), 5) AS angle_p50, round(quantile_cont(angle, 0.1), 5) AS angle_p10 FROM h""")
+def division_geometry_stats(spark: SparkSession, sf: str) -> DataFrame:
+    g = profile.division_geometry(*_gt(spark, sf), VOXEL)
+    return g.agg(
+        F.count("*").alias("n"),
+        F.round(F.percentile("n2", 0.5), 6).alias("second_p50"),
+        F.round(F.percentile("inter", 0.9), 6).alias("inter_p90"),
+        F.round(F.percentile("angle", 0.5), 5).alias("angle_p50"),
+        F.round(F.percentile("angle", 0.1), 5).alias("angle_p10"),
+    )
+
+
+@query("percentile_normalize", """WITH p AS (SELECT event_type, quantile_cont(value, 0.5) AS lo, quantile_cont(value, 0.998) AS hi FROM events GROUP BY event_type)
+SELECT event_id, round(least(greatest((value - lo) / (hi - lo + 1e-6), 0e0), 1e0), 6) AS normalized FROM events JOIN p USING (event_type)""")
+def percentile_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.percentile_normalize(table(spark, sf, "events"), ["event_type"], "value").select("event_id", F.round("normalized", 6).alias("normalized"))
+
+
+# --- candidates and links ---------------------------------------------------------------------------------------------
+
+
+@query("gated_candidates", f"WITH {CANDIDATES_SQL} SELECT dataset, t, source_id, target_id, round(dist, 6) AS dist FROM cand")
+def gated_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.frame_candidates(fixtures.detections(spark, sf), V2.loose_gate, VOXEL).withColumns(rounded("dist"))
+
+
+@query("knn5_candidates", f"WITH {CANDIDATES_SQL} SELECT dataset, source_id, target_id, CAST(rank AS INTEGER) AS rank, round(dist - 8, 6) AS w FROM knn WHERE rank <= 5")
+def knn5_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    near = spatial.knn_candidates(fixtures.detections(spark, sf), V2.ilp_k, V2.loose_gate, VOXEL)
+    return near.select("dataset", "source_id", "target_id", "rank", F.round(F.col("dist") - V2.ilp_bias, 6).alias("w"))
+
+
+def _mutual(spark: SparkSession, sf: str) -> DataFrame:
+    near = spatial.frame_candidates(fixtures.detections(spark, sf), V2.loose_gate, VOXEL)
+    first = F.row_number().over(Window.partitionBy("dataset", "source_id").orderBy("dist", "target_id"))
+    back = F.row_number().over(Window.partitionBy("dataset", "target_id").orderBy("dist", "source_id"))
+    return near.withColumns({"rank": first, "back": back}).where("rank = 1 AND back = 1").select("dataset", "source_id", "target_id", "dist")
+
+
+@query("mutual_nearest_links", f"WITH {CANDIDATES_SQL} SELECT dataset, source_id, target_id, round(dist, 6) AS dist FROM mutual")
+def mutual_nearest_links(spark: SparkSession, sf: str) -> DataFrame:
+    return _mutual(spark, sf).withColumns(rounded("dist"))
+
+
+@query("nms_pairs", f"""WITH {FIXTURE_SQL}
+SELECT * FROM (SELECT a.dataset, a.t, a.det_id AS winner, b.det_id AS loser, round({_dist()}, 6) AS dist
+  FROM fx_detections a JOIN fx_detections b ON b.dataset = a.dataset AND b.t = a.t AND (-a.score, a.z, a.y, a.x, a.det_id) < (-b.score, b.z, b.y, b.x, b.det_id)) WHERE dist <= 12""")
+def nms_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.nms_pairs(fixtures.detections(spark, sf), 12.0, VOXEL).withColumns(rounded("dist"))
+
+
+@query("greedy_nms")
+def greedy_nms(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.greedy_nms(fixtures.detections(spark, sf), 12.0, VOXEL).select("dataset", "t", "det_id")
+
+
+@query("nn_link")
+def nn_link(spark: SparkSession, sf: str) -> DataFrame:
+    return linking.nn_link(fixtures.detections(spark, sf), V0.loose_gate, VOXEL).withColumns(rounded("dist"))
+
+
+@query("twopass_link")
+def twopass_link(spark: SparkSession, sf: str) -> DataFrame:
+    return linking.twopass_link(fixtures.detections(spark, sf), V2)
+
+
+@query("min_cost_flow_link")
+def min_cost_flow_link(spark: SparkSession, sf: str) -> DataFrame:
+    return linking.min_cost_flow_link(fixtures.detections(spark, sf), V2).withColumns(rounded("w"))
+
+
+@query("track_ends_starts", f"""WITH {FOUND_SQL}
+SELECT 'end' AS kind, dataset, node_id FROM found WHERE node_id NOT IN (SELECT source_id FROM found_edges)
+UNION ALL SELECT 'start', dataset, node_id FROM found WHERE node_id NOT IN (SELECT target_id FROM found_edges)""")
+def track_ends_starts(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges, _ = _found(spark, sf)
+    ends, starts = linking.ends_and_starts(nodes, edges)
+    pick = lambda df, kind: df.select(F.lit(kind).alias("kind"), "dataset", "node_id")
+    return pick(ends, "end").unionByName(pick(starts, "start"))
+
+
+GAPS_SQL = f"""{FOUND_SQL},
+gaps AS (SELECT * FROM (SELECT a.dataset, a.t, a.node_id AS end_id, b.node_id AS start_id, {_dist()} AS dist, a.z AS az, a.y AS ay, a.x AS ax, b.z AS bz, b.y AS by_, b.x AS bx
+  FROM found a JOIN found b ON b.dataset = a.dataset AND b.t = a.t + 2
+  WHERE a.node_id NOT IN (SELECT source_id FROM found_edges) AND b.node_id NOT IN (SELECT target_id FROM found_edges)) WHERE dist <= 12)"""
+
+
+@query("gap_candidates", f"WITH {GAPS_SQL} SELECT dataset, t, end_id, start_id, round(dist, 6) AS dist FROM gaps")
+def gap_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges, _ = _found(spark, sf)
+    return linking.gap_candidates(nodes, edges, 1, V2).select("dataset", "t", "end_id", "start_id", F.round("dist", 6).alias("dist"))
+
+
+@query("gap_interpolation", f"""WITH {GAPS_SQL}
+SELECT dataset, end_id, start_id, t + 1 AS t, round(az + (bz - az) * 0.5e0, 6) AS z, round(ay + (by_ - ay) * 0.5e0, 6) AS y, round(ax + (bx - ax) * 0.5e0, 6) AS x FROM gaps""")
+def gap_interpolation(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges, _ = _found(spark, sf)
+    new = linking.interpolated(linking.gap_candidates(nodes, edges, 1, V2), 1)
+    return new.select("dataset", "end_id", "start_id", (F.col("t") + F.col("k")).alias("t"), *[F.round(c, 6).alias(c) for c in "zyx"])
+
+
+@query("close_gaps")
+def close_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges, _ = _found(spark, sf)
+    return linking.close_gaps(nodes, edges, V2)[1]
+
+
+# --- graphs and lineages ----------------------------------------------------------------------------------------------
+
+
+@query("connected_components", f"WITH RECURSIVE {ROOTS_SQL} SELECT dataset, node_id, component FROM walk")
+def connected_components(spark: SparkSession, sf: str) -> DataFrame:
+    return linking.node_components(*_gt(spark, sf)).select("dataset", "node_id", "component")
+
+
+@query("filter_short_tracks", f"""WITH RECURSIVE {ROOTS_SQL}
+SELECT dataset, node_id FROM walk WHERE component IN (SELECT component FROM walk GROUP BY component HAVING count(*) >= 4)""")
+def filter_short_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    return linking.filter_short_tracks(*_gt(spark, sf), V2.min_track_nodes)[0].select("dataset", "node_id")
+
+
+@query("prune_isolated", f"""WITH {FOUND_SQL}
+SELECT dataset, node_id FROM found WHERE node_id IN (SELECT source_id FROM found_edges UNION SELECT target_id FROM found_edges)""")
+def prune_isolated(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges, _ = _found(spark, sf)
+    return linking.prune_isolated(nodes, edges).select("dataset", "node_id")
+
+
+LINEAGE_SQL = f"""{FIXTURE_SQL},
+deg AS (SELECT e.*, count(*) OVER (PARTITION BY source_id) AS outs, count(*) OVER (PARTITION BY target_id) AS ins FROM fx_gt_edges e),
+kept AS (SELECT * FROM deg WHERE outs = 1 AND ins = 1),
+walk AS (
+  SELECT n.dataset, n.node_id, n.t, n.node_id AS tracklet FROM fx_gt_nodes n WHERE n.node_id NOT IN (SELECT target_id FROM kept)
+  UNION ALL SELECT w.dataset, e.target_id, w.t + 1, w.tracklet FROM walk w JOIN kept e ON e.source_id = w.node_id),
+spans AS (SELECT dataset, tracklet, min(t) AS begin_t, max(t) AS end_t FROM walk GROUP BY ALL),
+parents AS (SELECT s.*, w.tracklet AS parent FROM spans s LEFT JOIN (SELECT * FROM deg WHERE ins = 1) d ON d.target_id = s.tracklet LEFT JOIN walk w ON w.node_id = d.source_id),
+named AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY begin_t, tracklet) AS label FROM parents)"""
+
+
+@query("lineage_tracks", f"""WITH RECURSIVE {LINEAGE_SQL}
+SELECT a.dataset, CAST(a.label AS INTEGER) AS label, a.begin_t, a.end_t, CAST(coalesce(b.label, 0) AS INTEGER) AS parent_label FROM named a LEFT JOIN named b ON b.dataset = a.dataset AND b.tracklet = a.parent""")
+def lineage_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.lineage_tracks(*_gt(spark, sf))
+
+
+@query("track_spans", f"WITH RECURSIVE {LINEAGE_SQL} SELECT dataset, tracklet, parent, end_t - begin_t + 1 AS frames FROM parents")
+def track_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return lineage.tracklets(*_gt(spark, sf)).groupBy("dataset", "tracklet", "parent").agg((F.max("t") - F.min("t") + 1).alias("frames"))
+
+
+@query("longest_run", """WITH p AS (SELECT DISTINCT user_id, CAST(day(ts) - 1 AS INTEGER) AS t FROM events),
+g AS (SELECT user_id, t, t - row_number() OVER (PARTITION BY user_id ORDER BY t) AS g FROM p),
+r AS (SELECT user_id, min(t) AS start, max(t) AS "end", count(*) AS length FROM g GROUP BY user_id, g)
+SELECT user_id, start, "end", length FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY length DESC, start) AS k FROM r) WHERE k = 1 AND length >= 2""")
+def longest_run(spark: SparkSession, sf: str) -> DataFrame:
+    present = table(spark, sf, "events").select("user_id", (F.day("ts") - 1).alias("t"))
+    return lineage.longest_run(present, ["user_id"], 2)
+
+
+@query("chain_length", f"WITH RECURSIVE {STEPS_SQL} SELECT dataset, node_id, CAST(back AS BIGINT) AS back, CAST(ahead AS BIGINT) AS ahead FROM chains")
+def chain_length(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _gt(spark, sf)
+    return lineage.chain_lengths(nodes, edges.where("target_id = source_id + 1"), V2.chain_cap).select("dataset", "node_id", F.col("back").cast("long").alias("back"), F.col("ahead").cast("long").alias("ahead"))
+
+
+@query("induced_window", f"""WITH {FIXTURE_SQL}, k AS (SELECT * FROM fx_gt_nodes WHERE t BETWEEN 5 AND 16)
+SELECT e.dataset, e.source_id, e.target_id, a.t - 5 AS rt FROM fx_gt_edges e JOIN k a ON a.node_id = e.source_id JOIN k b ON b.node_id = e.target_id""")
+def induced_window(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = lineage.induced_window(*_gt(spark, sf), 5, 16)
+    return edges.join(nodes.select("dataset", F.col("node_id").alias("source_id"), "rt"), ["dataset", "source_id"]).select("dataset", "source_id", "target_id", "rt")
+
+
+DIVISION_SQL = f"""{STEPS_SQL},
+ones AS (SELECT dataset, source_id AS mother, min(target_id) AS daughter FROM steps GROUP BY ALL HAVING count(*) = 1),
+pairs AS (SELECT m.dataset, d.t AS t1, m.node_id AS mother, d.node_id AS daughter, o.node_id AS orphan, {_dist("m", "o")} AS dist, {_dist("m", "d")} AS first,
+   (d.z - m.z) * (o.z - m.z) * {VOXEL[0]}e0 * {VOXEL[0]}e0 + (d.y - m.y) * (o.y - m.y) * {VOXEL[1]}e0 * {VOXEL[1]}e0 + (d.x - m.x) * (o.x - m.x) * {VOXEL[2]}e0 * {VOXEL[2]}e0 AS dot
+ FROM ones JOIN fx_gt_nodes m ON m.node_id = ones.mother JOIN fx_gt_nodes d ON d.node_id = ones.daughter JOIN fx_gt_nodes o ON o.dataset = m.dataset AND o.t = d.t
+ JOIN chains cm ON cm.node_id = m.node_id AND cm.back >= 3 JOIN chains co ON co.node_id = o.node_id AND co.ahead >= 3
+ WHERE o.node_id NOT IN (SELECT target_id FROM steps)),
+dc AS (SELECT dataset, t1, mother, daughter, orphan, dist, dot / (first * dist) AS cos FROM pairs WHERE dist <= 10 AND dist >= 1e-6 AND first >= 1e-6 AND dot / (first * dist) <= cos(radians(75)))"""
+
+
+@query("division_candidates", f"WITH RECURSIVE {DIVISION_SQL} SELECT dataset, t1, mother, daughter, orphan, round(dist, 6) AS dist, round(cos, 6) AS cos FROM dc")
+def division_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _gt(spark, sf)
+    return division.division_candidates(nodes, edges.where("target_id = source_id + 1"), V2).withColumns(rounded("dist", "cos"))
+
+
+@query("nearest_daughter", f"""WITH RECURSIVE {DIVISION_SQL}
+SELECT dataset, mother, orphan FROM (SELECT *, row_number() OVER (PARTITION BY dataset, mother ORDER BY dist, orphan) AS r FROM dc) WHERE r = 1""")
+def nearest_daughter(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _gt(spark, sf)
+    return division.nearest_daughter(division.division_candidates(nodes, edges.where("target_id = source_id + 1"), V2)).select("dataset", "mother", "orphan")
+
+
+@query("detect_divisions")
+def detect_divisions(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _gt(spark, sf)
+    return division.detect_divisions(nodes, edges.where("target_id = source_id + 1"), V2)
+
+
+# --- scoring ----------------------------------------------------------------------------------------------------------
+
+
+@query("edge_jaccard_identity", f"""WITH {CANDIDATES_SQL},
+m AS (SELECT det_id FROM fx_detections WHERE det_id < 1000000000),
+p AS (SELECT source_id, target_id FROM mutual WHERE source_id IN (SELECT det_id FROM m) AND target_id IN (SELECT det_id FROM m)),
+c AS (SELECT (SELECT count(*) FROM p WHERE (source_id, target_id) IN (SELECT (source_id, target_id) FROM fx_gt_edges)) AS tp,
+             (SELECT count(*) FROM p WHERE (source_id, target_id) NOT IN (SELECT (source_id, target_id) FROM fx_gt_edges)) AS fp,
+             (SELECT count(*) FROM fx_gt_edges WHERE (source_id, target_id) NOT IN (SELECT (source_id, target_id) FROM p)) AS fn)
+SELECT tp, fp, fn, round(tp / (tp + fp + fn), 6) AS jaccard FROM c""")
+def edge_jaccard_identity(spark: SparkSession, sf: str) -> DataFrame:
+    seen, _, nodes = _found(spark, sf)
+    same = seen.select("dataset", "t", F.col("node_id").alias("gt_id"), F.col("node_id").alias("pred_id"))
+    return metrics.jaccard(metrics.edge_counts(fixtures.gt_edges(nodes), _mutual(spark, sf), same)).withColumns(rounded("jaccard"))
+
+
+@query("division_jaccard_nodes", f"""WITH {CANDIDATES_SQL},
+g AS (SELECT source_id FROM fx_gt_edges GROUP BY ALL HAVING count(*) >= 2),
+p AS (SELECT source_id FROM knn WHERE rank <= 2 GROUP BY ALL HAVING count(*) >= 2),
+h AS (SELECT count(*) AS tp FROM g WHERE source_id IN (SELECT source_id FROM p) AND source_id IN (SELECT det_id FROM fx_detections))
+SELECT tp, (SELECT count(*) FROM p) - tp AS fp, (SELECT count(*) FROM g) - tp AS fn FROM h""")
+def division_jaccard_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    seen, _, nodes = _found(spark, sf)
+    same = seen.select("dataset", F.col("node_id").alias("gt_id"), F.col("node_id").alias("pred_id"))
+    pred = spatial.knn_candidates(fixtures.detections(spark, sf), 2, V2.loose_gate, VOXEL)
+    return metrics.division_counts_by_match(fixtures.gt_edges(nodes), pred, same)
+
+
+@query("division_jaccard_events")
+def division_jaccard_events(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges = _gt(spark, sf)
+    seen = fixtures.detections(spark, sf).withColumnRenamed("det_id", "node_id")
+    pred = spatial.knn_candidates(fixtures.detections(spark, sf), 2, V2.loose_gate, VOXEL)
+    return metrics.division_counts_by_event(metrics.division_events(nodes, edges), metrics.division_events(seen, pred), V2)
+
+
+@query("match_nodes")
+def match_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    pred = fixtures.detections(spark, sf).withColumnRenamed("det_id", "node_id")
+    return metrics.match_nodes(fixtures.gt_nodes(spark, sf), pred, V2.match_gate, VOXEL).withColumns(rounded("dist"))
+
+
+@query("tracks")
+def tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Track all movies and score the edges against the ground truth, a row a movie."""
+    nodes, edges = linking.track(fixtures.detections(spark, sf), V2)
+    gt, gt_edges = _gt(spark, sf)
+    whole = nodes.withColumns({c: F.bround(c, 0) for c in "zyx"})
+    matches = cut(metrics.match_nodes(gt, whole, V2.match_gate, VOXEL))
+    counts = metrics.edge_counts(gt_edges, edges, matches)
+    return counts.withColumn("jaccard", F.round(metrics.safe_ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")), 6))
+
+
+@query("param_sweep", f"""WITH {CANDIDATES_SQL},
+s AS (SELECT thr, gate FROM (VALUES (0.1e0), (0.3e0), (0.5e0)) a(thr), (VALUES (4e0), (6e0), (8e0)) b(gate)),
+l AS (SELECT s.thr, s.gate, k.source_id, k.target_id, (k.source_id, k.target_id) IN (SELECT (source_id, target_id) FROM fx_gt_edges) AS hit
+      FROM s JOIN mutual k ON k.dist <= s.gate JOIN fx_detections a ON a.det_id = k.source_id AND a.score >= s.thr JOIN fx_detections b ON b.det_id = k.target_id AND b.score >= s.thr)
+SELECT thr, gate, count(*) AS links, count(*) FILTER (WHERE hit) AS tp FROM l GROUP BY thr, gate""")
+def param_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Mutual nearest links by score threshold and gate; linked once, then filtered for each setting."""
+    found = fixtures.detections(spark, sf).select("det_id", "score")
+    truth = _gt(spark, sf)[1].select("source_id", "target_id", F.lit(True).alias("hit"))
+    links = _mutual(spark, sf).join(found.select(F.col("det_id").alias("source_id"), F.col("score").alias("sa")), "source_id").join(found.select(F.col("det_id").alias("target_id"), F.col("score").alias("sb")), "target_id")
+    links = links.join(truth, ["source_id", "target_id"], "left")
+    settings = F.array(*[F.struct(F.lit(a).alias("thr"), F.lit(g).alias("gate")) for a in (0.1, 0.3, 0.5) for g in (4.0, 6.0, 8.0)])
+    swept = links.withColumn("s", F.explode(settings)).where("dist <= s.gate AND sa >= s.thr AND sb >= s.thr")
+    return swept.groupBy("s.thr", "s.gate").agg(F.count("*").alias("links"), F.count_if("hit").alias("tp"))
+
+
+@query("ab_compare", f"""WITH {CANDIDATES_SQL},
+l AS (SELECT 'mutual' AS linker, source_id, target_id FROM mutual UNION ALL SELECT 'nearest', source_id, target_id FROM knn WHERE rank = 1)
+SELECT linker, count(*) AS links, count(*) FILTER (WHERE (source_id, target_id) IN (SELECT (source_id, target_id) FROM fx_gt_edges)) AS tp FROM l GROUP BY linker""")
+def ab_compare(spark: SparkSession, sf: str) -> DataFrame:
+    """Two linkers on the same detections."""
+    truth = _gt(spark, sf)[1].select("source_id", "target_id", F.lit(True).alias("hit"))
+    nearest = spatial.knn_candidates(fixtures.detections(spark, sf), 1, V2.loose_gate, VOXEL)
+    both = _mutual(spark, sf).select(F.lit("mutual").alias("linker"), "source_id", "target_id").unionByName(nearest.select(F.lit("nearest").alias("linker"), "source_id", "target_id"))
+    return both.join(truth, ["source_id", "target_id"], "left").groupBy("linker").agg(F.count("*").alias("links"), F.count_if("hit").alias("tp"))
+
+
+@query("submission_table", f"""WITH {FOUND_SQL},
+r AS (SELECT dataset, 0 AS k, node_id AS a, CAST(0 AS BIGINT) AS b, node_id, t, CAST(round_even(z, 0) AS INTEGER) AS z, CAST(round_even(y, 0) AS INTEGER) AS y, CAST(round_even(x, 0) AS INTEGER) AS x, CAST(-1 AS BIGINT) AS source_id, CAST(-1 AS BIGINT) AS target_id FROM found
+  UNION ALL SELECT dataset, 1, source_id, target_id, -1, -1, -1, -1, -1, source_id, target_id FROM found_edges)
+SELECT row_number() OVER (ORDER BY dataset, k, a, b) - 1 AS id, CAST(dataset AS VARCHAR) AS dataset, CASE k WHEN 0 THEN 'node' ELSE 'edge' END AS row_type, node_id, t, z, y, x, source_id, target_id FROM r""")
+def submission_table(spark: SparkSession, sf: str) -> DataFrame:
+    nodes, edges, _ = _found(spark, sf)
+    return sinks.submission_table(nodes, edges)
+
+
+# --- choosing samples, training records -------------------------------------------------------------------------------
+
+
+@query("stratified_interleave", """WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS round, min(c_custkey) OVER (PARTITION BY c_mktsegment) AS first FROM customer)
+SELECT c_custkey, row_number() OVER (ORDER BY round, first) - 1 AS place FROM r""")
+def stratified_interleave(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.stratified_interleave(table(spark, sf, "customer"), F.col("c_mktsegment"), "c_custkey").select("c_custkey", "place")
+
+
+@query("tail_split", """SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY o_orderkey DESC) <= 20 THEN 'val' ELSE 'train' END AS split FROM orders""")
+def tail_split(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.tail_split(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 20)
+
+
+@query("pick_n", """SELECT c_custkey, CASE WHEN k <= 60 THEN 'train' ELSE 'val' END AS split FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer WHERE c_acctbal > 0) WHERE k <= 80""")
+def pick_n(spark: SparkSession, sf: str) -> DataFrame:
+    return profile.pick(table(spark, sf, "customer"), "c_custkey", F.col("c_acctbal") > 0, 60, 20).select("c_custkey", "split")
+
+
+@query("holdout_exclusion", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def holdout_exclusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that no label holds out."""
+    used = table(spark, sf, "labels").select("doc_id")
+    return table(spark, sf, "documents").select("doc_id").join(used, "doc_id", "left_anti")
+
+
+HISTORY_SQL = """h AS (SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS epoch, round(avg(value), 6) AS val, CAST(count(*) AS DOUBLE) AS sec FROM events GROUP BY ALL)"""
+
+
+@query("early_stop_trace", f"""WITH {HISTORY_SQL},
+b AS (SELECT *, min(val) OVER w AS best, sum(sec) OVER w + avg(sec) OVER w AS ahead FROM h WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, epoch - max(CASE WHEN val = best THEN epoch END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS since FROM b)
+SELECT run, epoch, val, best, since, since >= 5 AS stop, ahead > 1000 AS over_budget FROM s""")
+def early_stop_trace(spark: SparkSession, sf: str) -> DataFrame:
+    h = table(spark, sf, "events").groupBy(F.col("event_type").alias("run"), F.day("ts").alias("epoch")).agg(F.round(F.avg("value"), 6).alias("val"), F.count("*").cast("double").alias("sec"))
+    return profile.training_trace(h, 5, 1000.0).select("run", "epoch", "val", "best", "since", "stop", "over_budget")
+
+
+@query("cosine_lr", "SELECT DISTINCT CAST(day(ts) AS INTEGER) AS epoch, round(1e-5 + 0.5e0 * (1e-3 - 1e-5) * (1 + cos(pi() * day(ts) / 60e0)), 12) AS lr FROM events")
+def cosine_lr(spark: SparkSession, sf: str) -> DataFrame:
+    epochs = table(spark, sf, "events").select(F.day("ts").alias("epoch")).distinct()
+    return epochs.select("epoch", F.round(profile.cosine_rate(F.col("epoch"), 60, 1e-3, 1e-5), 12).alias("lr"))
+
+
+@query("label_weighted_loss", """WITH r AS (SELECT source, ln(1e0 + n_chars) - 7e0 AS logit, coalesce(quality, 0) AS target, CASE WHEN toxic = 1 THEN 10e0 WHEN toxic IS NULL THEN 0e0 ELSE 1e0 END AS weight FROM documents LEFT JOIN labels USING (doc_id))
+SELECT source, round(sum(pow(1 / (1 + exp(-logit)) - target, 2) * weight) / (sum(weight) + 1e-6), 6) AS loss FROM r GROUP BY source""")
+def label_weighted_loss(spark: SparkSession, sf: str) -> DataFrame:
+    r = table(spark, sf, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf, "labels"), "doc_id", "left")
+    w = F.when(F.col("toxic") == 1, 10.0).when(F.col("toxic").isNull(), 0.0).otherwise(1.0)
+    rows = r.select("source", (F.log(1.0 + F.col("n_chars")) - 7.0).alias("logit"), F.coalesce("quality", F.lit(0)).alias("target"), w.alias("weight"))
+    return imaging.masked_mse(rows, ["source"]).withColumns(rounded("loss"))
+
+
+# --- catalogs ---------------------------------------------------------------------------------------------------------
+
+
+@query("sample_pairs", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ord FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def sample_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a sibling in labels, in order."""
+    return sinks.sample_list(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"), "doc_id")
+
+
+@query("train_test_class", """SELECT source, CASE WHEN source IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM documents GROUP BY source""")
+def train_test_class(spark: SparkSession, sf: str) -> DataFrame:
+    """A source with any toxic document is train, others are test."""
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    toxic = docs.join(table(spark, sf, "labels").where("toxic = 1"), "doc_id", "left_semi").select("source").distinct()
+    mark = lambda how, split: docs.join(toxic, "source", how).groupBy("source").agg(F.count("*").alias("n")).withColumn("split", F.lit(split))
+    return mark("left_semi", "train").unionByName(mark("left_anti", "test")).select("source", "split", "n")
+
+
+@query("largest_array", "SELECT lang, max(n) AS size, arg_max(doc_id, (n, -doc_id)) AS doc_id FROM (SELECT lang, doc_id, length(text) AS n FROM documents) GROUP BY lang")
+def largest_array(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "documents").select("lang", "doc_id", F.char_length("text").cast("long").alias("n"))
+    return n.groupBy("lang").agg(F.max("n").alias("size"), F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id"))
+
+
+@query("first_pattern_hit", """SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 40 THEN 0 WHEN p_size > 20 THEN 1 ELSE 2 END, p_partkey) AS r FROM part) WHERE r = 1""")
+def first_pattern_hit(spark: SparkSession, sf: str) -> DataFrame:
+    """The first of an ordered list of patterns that fits, then the smallest key."""
+    rank = F.when(F.col("p_size") > 40, 0).when(F.col("p_size") > 20, 1).otherwise(2)
+    w = Window.partitionBy("p_brand").orderBy(rank, "p_partkey")
+    return table(spark, sf, "part").withColumn("r", F.row_number().over(w)).where("r = 1").select("p_brand", "p_partkey")
+
+
+@query("metadata_json", "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY event_type")
+def metadata_json(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.from_json("props", "k long").getField("k")
+    return table(spark, sf, "events").groupBy("event_type").agg(F.sum(k).alias("k"), F.count("*").alias("n"))
+
+
+@query("name_parts", "SELECT DISTINCT substr(p_name, 1, 4) AS prefix, lower(replace(p_brand, 'Brand', '')) AS brand, ends_with(p_type, 'L') AS hit FROM part")
+def name_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.substring("p_name", 1, 4).alias("prefix"), F.lower(F.replace("p_brand", F.lit("Brand"), F.lit(""))).alias("brand"), F.col("p_type").endswith("L").alias("hit")).distinct()
+
+
+# --- imaging ----------------------------------------------------------------------------------------------------------
+
+VOXEL_SQL = """vox AS (SELECT CAST(user_id % 4 AS INTEGER) AS dataset, CAST(day(ts) - 1 AS INTEGER) AS t, CAST(event_id % 8 AS INTEGER) AS z, CAST(event_id * 7 % 32 AS INTEGER) AS y, CAST(event_id * 13 % 32 AS INTEGER) AS x,
+  CAST(sum(10 + event_id % 90) AS DOUBLE) AS value FROM events GROUP BY ALL),
+pts AS (SELECT dataset, t, node_id AS det_id, z % 8 AS z, y % 32 AS y, x % 32 AS x FROM fx_gt_nodes),
+stamp AS (SELECT dataset, t, vz AS z, vy AS y, vx AS x, max(exp(-(pow(vz - z, 2) / 2e0 + pow(vy - y, 2) / 18e0 + pow(vx - x, 2) / 18e0))) AS heat
+  FROM pts, range(-3, 4) a(dz), range(-9, 10) b(dy), range(-9, 10) c(dx), LATERAL (SELECT z + dz AS vz, y + dy AS vy, x + dx AS vx)
+  WHERE vz BETWEEN 0 AND 7 AND vy BETWEEN 0 AND 31 AND vx BETWEEN 0 AND 31 GROUP BY ALL)"""
+
+
+def _voxels(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id")
+    at = [(F.col("user_id") % 4).cast("int").alias("dataset"), (F.day("ts") - 1).cast("int").alias("t"), (e % 8).cast("int").alias("z"), (e * 7 % 32).cast("int").alias("y"), (e * 13 % 32).cast("int").alias("x")]
+    return table(spark, sf, "events").groupBy(*at).agg(F.sum(10 + e % 90).cast("double").alias("value"))
+
+
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.gt_nodes(spark, sf).select("dataset", "t", F.col("node_id").alias("det_id"), *[(F.col(c) % n).alias(c) for c, n in zip("zyx", SHAPE, strict=True)])
+
+
+@query("volume_stats", f"WITH {FIXTURE_SQL}, {VOXEL_SQL} SELECT dataset, t, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM vox GROUP BY dataset, t")
+def volume_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _voxels(spark, sf).groupBy("dataset", "t").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("xy_maxpool", f"WITH {FIXTURE_SQL}, {VOXEL_SQL} SELECT dataset, t, z, CAST(y // 5 AS INTEGER) AS y, CAST(x // 5 AS INTEGER) AS x, max(value) AS value FROM vox WHERE y < 30 AND x < 30 GROUP BY ALL")
+def xy_maxpool(spark: SparkSession, sf: str) -> DataFrame:
+    return imaging.xy_pool(_voxels(spark, sf), 5, SHAPE)
+
+
+@query("xy_meanpool", f"WITH {FIXTURE_SQL}, {VOXEL_SQL} SELECT dataset, t, z, CAST(y // 4 AS INTEGER) * 4 AS y, CAST(x // 4 AS INTEGER) * 4 AS x, round(avg(value), 6) AS value FROM vox GROUP BY ALL")
+def xy_meanpool(spark: SparkSession, sf: str) -> DataFrame:
+    return imaging.unpool_coordinates(imaging.xy_pool(_voxels(spark, sf), 4, SHAPE, "avg"), 4).withColumns(rounded("value"))
+
+
+@query("centroid_refine", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL},
+c AS (SELECT p.dataset, p.t, p.det_id, sum(v.value * v.z) / sum(v.value) AS z, sum(v.value * v.y) / sum(v.value) AS y, sum(v.value * v.x) / sum(v.value) AS x
+  FROM pts p JOIN vox v ON v.dataset = p.dataset AND v.t = p.t AND abs(v.z - p.z) <= 1 AND abs(v.y - p.y) <= 3 AND abs(v.x - p.x) <= 3 GROUP BY ALL HAVING sum(v.value) > 0)
+SELECT p.dataset, p.t, p.det_id, round(coalesce(c.z, p.z), 6) AS z, round(coalesce(c.y, p.y), 6) AS y, round(coalesce(c.x, p.x), 6) AS x FROM pts p LEFT JOIN c USING (dataset, t, det_id)""")
+def centroid_refine(spark: SparkSession, sf: str) -> DataFrame:
+    return imaging.refine_centroids(_points(spark, sf), _voxels(spark, sf), V2.refine_window, SHAPE).withColumns(rounded("z", "y", "x"))
+
+
+@query("gaussian_stamp", f"WITH {FIXTURE_SQL}, {VOXEL_SQL} SELECT dataset, t, z, y, x, round(heat, 6) AS heat FROM stamp")
+def gaussian_stamp(spark: SparkSession, sf: str) -> DataFrame:
+    return imaging.gaussian_stamp(_points(spark, sf), V2.target_sigma, SHAPE).withColumns(rounded("heat"))
+
+
+TARGET_SQL = f"""{FIXTURE_SQL}, {VOXEL_SQL},
+q AS (SELECT dataset, t, quantile_cont(value, 0.5) AS lo, quantile_cont(value, 0.998) AS hi FROM vox GROUP BY ALL),
+nv AS (SELECT dataset, t, z, y, x, least(greatest((value - lo) / (hi - lo + 1e-6), 0e0), 1e0) AS value FROM vox JOIN q USING (dataset, t)),
+near AS (SELECT dataset, t, z, y, x FROM stamp WHERE heat > 0.05),
+wide AS (SELECT DISTINCT dataset, t, z + dz AS z, y + dy AS y, x + dx AS x FROM near, range(-2, 3) a(dz), range(-2, 3) b(dy), range(-2, 3) c(dx) WHERE abs(dz) + abs(dy) + abs(dx) <= 2),
+target AS (SELECT nv.*, coalesce(s.heat, 0) AS target, CASE WHEN n.z IS NOT NULL THEN 10e0 WHEN nv.value > 0.15 AND w.z IS NULL THEN 0e0 ELSE 1e0 END AS weight
+  FROM nv LEFT JOIN stamp s USING (dataset, t, z, y, x) LEFT JOIN near n USING (dataset, t, z, y, x) LEFT JOIN wide w USING (dataset, t, z, y, x))"""
+
+
+def _targets(spark: SparkSession, sf: str) -> DataFrame:
+    norm = profile.percentile_normalize(_voxels(spark, sf), ["dataset", "t"], "value").select(*imaging.KEY, F.col("normalized").alias("value"))
+    points = _points(spark, sf)
+    return imaging.training_targets(points, norm, V2.target_sigma, SHAPE, V2.foreground, V2.positive_weight, V2.near_eps, V2.dilate)
+
+
+@query("training_targets", f"WITH {TARGET_SQL} SELECT dataset, t, z, y, x, round(target, 6) AS target, weight FROM target")
+def training_targets(spark: SparkSession, sf: str) -> DataFrame:
+    return _targets(spark, sf).withColumns(rounded("target"))
+
+
+@query("masked_mse", f"WITH {TARGET_SQL} SELECT dataset, round(sum(pow(1 / (1 + exp(-(z + y - x) / 8e0)) - target, 2) * weight) / (sum(weight) + 1e-6), 6) AS loss FROM target GROUP BY dataset")
+def masked_mse(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _targets(spark, sf).withColumn("logit", (F.col("z") + F.col("y") - F.col("x")) / 8.0)
+    return imaging.masked_mse(rows, ["dataset"]).withColumns(rounded("loss"))
+
+
+@query("local_maxima", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL}, b AS (SELECT * FROM vox WHERE value > 40)
+SELECT dataset, t, z, y, x, value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY dataset, t ORDER BY value DESC, z, y, x) AS rank FROM b
+  WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.dataset = b.dataset AND o.t = b.t AND abs(o.z - b.z) <= 3 AND abs(o.y - b.y) <= 3 AND abs(o.x - b.x) <= 3
+    AND (o.value > b.value OR (o.value = b.value AND (o.z, o.y, o.x) < (b.z, b.y, b.x))))) WHERE rank <= 40""")
+def local_maxima(spark: SparkSession, sf: str) -> DataFrame:
+    return imaging.local_maxima(_voxels(spark, sf), 40.0, V2.min_distance, 40)
+
+
+@query("paint_if_empty", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL},
+box AS (SELECT dataset, t, z + dz AS z, y + dy AS y, x + dx AS x, det_id FROM pts, range(-1, 2) a(dz), range(-2, 3) b(dy), range(-2, 3) c(dx)),
+f AS (SELECT dataset, t, z, y, x, min(det_id) AS painted FROM box WHERE z BETWEEN 0 AND 7 AND y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 31 GROUP BY ALL),
+m AS (SELECT dataset, t, z, y, x, max(det_id) AS centre FROM pts GROUP BY ALL)
+SELECT dataset, t, z, y, x, coalesce(centre, painted) AS label FROM f LEFT JOIN m USING (dataset, t, z, y, x)""")
+def paint_if_empty(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = _points(spark, sf).withColumns({"label": F.col("det_id"), "ord": F.col("det_id")})
+    return imaging.paint(nodes, (1, 2, 2), SHAPE)
+
+
+@query("augment_voxels", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL}
+SELECT dataset, t, 7 - z AS z, 31 - x AS y, y AS x, round(least(greatest(pow(value / 1000e0, 0.8e0) * 1.1e0 - 0.02e0, 0e0), 1e0), 6) AS value FROM vox""")
+def augment_voxels(spark: SparkSession, sf: str) -> DataFrame:
+    turned = imaging.flip_rotate(_voxels(spark, sf), SHAPE, "zx", swap=True)
+    return turned.withColumn("value", F.round(imaging.intensity_jitter(F.col("value") / 1000.0, 0.8, 1.1, -0.02, F.lit(0.0)), 6))
+
+
+@query("random_crop", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL},
+o AS (SELECT dataset, t, greatest(0, least(t % 8 - 2, 4)) AS oz, greatest(0, least(t - 8, 16)) AS oy, greatest(0, least(31 - t - 8, 16)) AS ox FROM vox GROUP BY ALL)
+SELECT dataset, t, z - oz AS z, y - oy AS y, x - ox AS x, value FROM vox JOIN o USING (dataset, t) WHERE z BETWEEN oz AND oz + 3 AND y BETWEEN oy AND oy + 15 AND x BETWEEN ox AND ox + 15""")
+def random_crop(spark: SparkSession, sf: str) -> DataFrame:
+    v = _voxels(spark, sf)
+    centre = v.select("dataset", "t", (F.col("t") % 8).alias("cz"), F.col("t").alias("cy"), (31 - F.col("t")).alias("cx")).distinct()
+    return imaging.crop(v, centre, (4, 16, 16), SHAPE)
+
+
+@query("gaussian_blur")
+def gaussian_blur(spark: SparkSession, sf: str) -> DataFrame:
+    return imaging.gaussian_blur(_voxels(spark, sf), (0.7, 2.0, 2.0), SHAPE).withColumns(rounded("value"))
