@@ -16,8 +16,10 @@ shard holds it all or ``ROUNDS`` are over.  So no task sees more than a shard.
 from __future__ import annotations
 
 import bisect
+import os
 import random
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,8 +35,10 @@ SHARD, ISLANDS, ROUNDS = 1500, 2, 4
 POPULATION, GENERATIONS = 4, 6
 #: A bin at least this full is final.
 FULL = 0.995
-#: Distinct words remembered by a worker; beyond that it starts afresh.
+#: Distinct words remembered in a task; beyond that it starts afresh.
 CACHE_ENTRIES = 1_000_000
+#: Words of at most so many bytes are kept for a worker's later tasks, up to so many.
+SHORT, SHORT_ENTRIES = 8, 300_000
 
 Bins = list[tuple[int, list[int]]]
 
@@ -183,16 +187,29 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
 @cache
 def _tokenizer(path: str):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+@cache
+def _short_words(path: str) -> dict[bytes, bytes]:
+    """What a worker keeps from task to task."""
+    return {}
+
+
+@cache
+def _closing(path: str) -> np.ndarray:
+    """Which ids end a word."""
+    tokenizer = _tokenizer(path)
+    closing = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+    closing[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+    return closing
+
+
 class WordEncoder:
-    """Ids of whole texts, word by word.
+    """Ids of whole texts, word by word, for one task.
 
     The tokenizer drops white space and neither its normalizer nor its model looks across
     it, so the ids of a text are those of its runs without ASCII white
@@ -200,29 +217,52 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
+        self.path, self.tokenizer = path, _tokenizer(path)
+        self.known = dict(_short_words(path))
+
+    def close(self) -> None:
+        """Hands short words on to the worker's next task."""
+        short = _short_words(self.path)
+        for word, ids in self.known.items():
+            if len(short) >= SHORT_ENTRIES:
+                break
+            if len(word) <= SHORT:
+                short[word] = ids
+        self.known = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes new words.  Words of letters alone are encoded many at a time, as each ends with one closing id."""
+        letters, others = [], []
+        for word in words:
+            text = word.decode()
+            (letters if text.isalpha() and text.lower().isalpha() else others).append(text)
+        for at in range(0, len(letters), 512):
+            part = letters[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(_closing(self.path)[ids]) + 1
+            if len(ends) != len(part):
+                others += part
+                continue
+            packed, start = ids.tobytes(), 0
+            for text, end in zip(part, (4 * ends).tolist(), strict=True):
+                self.known[text.encode()] = packed[start:end]
+                start = end
+        for at in range(0, len(others), 1024):
+            part = others[at : at + 1024]
+            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((w.encode(), array("I", c.ids).tobytes()) for w, c in zip(part, coded, strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, without special tokens."""
         # lower case is the tokenizer's own, but for its special tokens, which begin with <|
         split = [(text.encode() if "<|" in text else text.encode().lower()).split() for text in texts]
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 1024):
-            part = new[at : at + 1024]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, dtype="<u4").tobytes()) for w, c in zip(part, coded, strict=True))
+            self.known = dict(_short_words(self.path))
+        self._learn(list(set().union(*split).difference(self.known)))
         get = self.known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
-@cache
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): the tokenized documents, each closed by ``end_id``, cut at ``capacity``.
 
@@ -234,7 +274,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = WordEncoder(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -247,6 +287,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
                             column.append(value)
                 out = [part.column(0).take(pa.array(rows[0], pa.int64()))] + [pa.array(c, pa.int64()) for c in rows[1:5]]
                 yield pa.RecordBatch.from_arrays(out + ([pa.array(rows[5], pa.binary())] if with_ids else []), names=schema.names)
+        encoder.close()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 

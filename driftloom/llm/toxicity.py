@@ -70,20 +70,31 @@ def fit(texts: pa.Array, labels: np.ndarray, params: Params) -> tuple[np.ndarray
             for i in range(n):
                 yield np.unique(found[bounds[i] : bounds[i + 1]])
 
+    # three passes over the texts rather than all their features in memory
     for row in each():
         at = np.unique(row & _MASK)
         seen[at] += seen[at] < 255
-    rows = [row[seen[row & _MASK] >= params.min_docs] for row in each()]
-    names, counts = np.unique(np.concatenate(rows), return_counts=True) if rows else (np.zeros(0, np.uint64), np.zeros(0, int))
+    names, counts, some = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def count() -> tuple[np.ndarray, np.ndarray]:
+        found, inverse = np.unique(np.concatenate([names, *some]), return_inverse=True)
+        return found, np.bincount(inverse, weights=np.concatenate([counts, np.ones(len(inverse) - len(counts))]), minlength=len(found)).astype(np.int64)
+
+    held = 0
+    for row in each():
+        some.append(row[seen[row & _MASK] >= params.min_docs])
+        held += len(some[-1])
+        if held > 1_000_000:
+            (names, counts), some, held = count(), [], 0
+    names, counts = count()
     names = names[counts >= params.min_docs]
-    del seen
+    del seen, counts
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)  # the last is the bias, which has no penalty
     indexed = []
-    for row in rows:
+    for row in each():
         at = np.searchsorted(names, row)
         at = at[(at < len(names)) & (names[np.minimum(at, max(len(names) - 1, 0))] == row)] if len(names) else at[:0]
-        indexed.append(np.append(at, len(names)))
-    del rows
+        indexed.append(np.append(at, len(names)).astype(np.int32))
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return -np.sign(zi) * np.maximum(np.abs(zi) - params.l1, 0) / ((params.beta + np.sqrt(ni)) / params.alpha + params.l2)
