@@ -52,7 +52,7 @@ URL_RULES = [
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the URLs of ``pages``."""
-    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).withColumn("score", F.round("score", 6))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,69 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
+def _url_sql() -> str:
+    """The rules and both models of op4 in SQL, order by order."""
+    rules = sorted(URL_RULES, key=lambda r: (-len(str(r)), str(r)))
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    case = lambda f: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{f(r)}'" for r in rules) + " END"
+    k_max = urlfilter.ORDER
+    mix = lambda c: f"CASE WHEN all_{c} > 0 THEN (n_{c} + kinds_{c} * p_{c}) / (all_{c} + kinds_{c}) ELSE p_{c} END AS p_{c}"
+    steps = ["f0 AS (SELECT \"window\", 1e0 / 256 AS p_allow, 1e0 / 256 AS p_block FROM cnt)"]
+    for k in range(k_max + 1):
+        steps.append(
+            f"f{k + 1} AS (SELECT f.\"window\", {mix('allow')}, {mix('block')} FROM f{k} AS f JOIN part USING (\"window\") JOIN gram USING (k, context, next) JOIN ctx USING (k, context) WHERE k = {k})"
+        )
+    stat = lambda c: f"(SELECT sum(n * score) / sum(n) AS m, sqrt(greatest(sum(n * score * score) / sum(n) - pow(sum(n * score) / sum(n), 2), 1e-12)) AS d FROM texts JOIN scored USING (text) WHERE label = '{c}')"
+    return rf"""
+WITH parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+ruled AS (SELECT *, host || path AS text, {case(str)} AS rule, {case(lambda r: r.verdict)} AS label FROM parts),
+texts AS (SELECT text, label, count(*) AS n FROM ruled GROUP BY ALL),
+win AS (SELECT text, label, n, substr(repeat(chr(2), {k_max}) || text || chr(3), unnest(generate_series(1, length(text) + 1)), {k_max + 1}) AS "window" FROM texts),
+cnt AS (SELECT "window", coalesce(sum(n) FILTER (WHERE label = 'allow'), 0) AS allow, coalesce(sum(n) FILTER (WHERE label = 'block'), 0) AS block FROM win GROUP BY ALL),
+part AS (SELECT "window", allow, block, k, substr("window", {k_max + 1} - k, k) AS context, substr("window", {k_max + 1}, 1) AS next FROM cnt, range({k_max + 1}) AS r(k)),
+gram AS (SELECT k, context, next, sum(allow) AS n_allow, sum(block) AS n_block FROM part GROUP BY ALL),
+ctx AS (SELECT k, context, sum(n_allow) AS all_allow, sum(n_block) AS all_block, count(*) FILTER (WHERE n_allow > 0) AS kinds_allow, count(*) FILTER (WHERE n_block > 0) AS kinds_block FROM gram GROUP BY ALL),
+{", ".join(steps)},
+one AS (SELECT DISTINCT text FROM texts),
+scored AS (
+  SELECT text, avg(ln(p_allow) - ln(p_block)) AS score
+  FROM (SELECT text, substr(repeat(chr(2), {k_max}) || text || chr(3), unnest(generate_series(1, length(text) + 1)), {k_max + 1}) AS "window" FROM one) JOIN f{k_max + 1} USING ("window") GROUP BY text),
+bar AS (SELECT coalesce((a.m * b.d + b.m * a.d) / (a.d + b.d), 0) AS t FROM {stat("allow")} AS a, {stat("block")} AS b)
+SELECT page_id, host, path, rule, coalesce(label, CASE WHEN score >= (SELECT t FROM bar) THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score FROM ruled JOIN scored USING (text)
+"""
+
+
+#: Links as pairs (a, b), a < b, to the smallest id that each id reaches.
+_REACH_SQL = """
+reach AS (SELECT id, id AS to_id FROM ids UNION SELECT r.id, CASE WHEN l.a = r.to_id THEN l.b ELSE l.a END FROM reach r JOIN links l ON r.to_id IN (l.a, l.b)),
+components AS (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id)"""
+
 ORACLE_SQL = {
+    "op2_minhash_dedup": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM sets),
+x AS (SELECT doc_id, unnest(s) AS s FROM sets),
+links AS (
+  SELECT p.a, p.b FROM (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS i FROM x AS l JOIN x AS r ON l.s = r.s AND l.doc_id < r.doc_id GROUP BY ALL) AS p
+  JOIN n AS na ON na.doc_id = p.a JOIN n AS nb ON nb.doc_id = p.b WHERE 100 * i >= 80 * (na.n + nb.n - i)),
+ids AS (SELECT doc_id AS id FROM documents), {_REACH_SQL}
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN components ON id = doc_id
+""",
+    "op4_url_filter": _url_sql(),
+    "op5_embedding_dedup": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT l.vec_id AS a, r.vec_id AS b FROM v AS l JOIN v AS r ON l.vec_id < r.vec_id WHERE list_cosine_similarity(l.v, r.v) >= 0.9),
+ids AS (SELECT vec_id AS id FROM embeddings), {_REACH_SQL}
+SELECT vec_id, (SELECT count(*) FROM links WHERE vec_id IN (a, b)) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN components ON id = vec_id
+""",
     "op1_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

@@ -36,7 +36,7 @@ class Params:
     max_rows: int = 16_000
     min_docs: int = 3
     epochs: int = 3
-    alpha: float = 0.5
+    alpha: float = 1.0
     beta: float = 1.0
     l1: float = 4.0
     l2: float = 0.5
