@@ -28,19 +28,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     loops = pairs.where("u = v").select("u").distinct()
     e = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
+    # done when every edge ends in a node without smaller neighbours
+    while not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
         # large star: larger neighbours move to the smallest neighbour
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_star(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        large = both.join(_star(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours move to the smallest of them
         low = _star(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before = tuple(now)
     found = e.groupBy("u").agg(F.min("v").alias("v"))
     nodes = found.unionByName(found.select(F.col("v").alias("u"), F.col("v")).distinct())
     alone = loops.join(nodes, "u", "left_anti").select("u", F.col("u").alias("v"))
