@@ -60,24 +60,26 @@ class LineRuns:
     def runs(self) -> list[DataFrame]:
         return [run for level in sorted(self.levels) for run in self.levels[level]]
 
-    def unseen(self, batch: DataFrame) -> DataFrame:
-        """The rows of ``batch`` whose key no run holds: a merge anti-join with each run."""
-        return reduce(lambda left, run: left.hint("merge").join(run, ["h1", "h2"], "left_anti"), self.runs(), batch)
-
     def add(self, batch: DataFrame) -> None:
-        """Adds a batch: unseen keys are a new sorted run of level 0, the others count for the key they repeat."""
+        """Adds a batch, one row a key: unseen keys are a new sorted run of level 0, the others count for the key they repeat.
+
+        One merge join with all runs tells them apart, so a batch is an anti-join and its complement in one.
+        """
         if runs := self.runs():
-            batch = cut(batch)
-            known = reduce(DataFrame.unionByName, [run.select("h1", "h2") for run in runs])
-            self.repeats.append(cut(batch.hint("merge").join(known, ["h1", "h2"], "left_semi")))
-        self._put(0, self.unseen(batch))
+            known = reduce(DataFrame.unionByName, [run.select("h1", "h2") for run in runs]).withColumn("seen", F.lit(True))
+            marked = cut(batch.hint("merge").join(known, ["h1", "h2"], "left"))
+            self.repeats.append(marked.where("seen").drop("seen"))
+            self._put(0, marked.where("seen IS NULL").drop("seen"))
+        else:
+            self._put(0, cut(batch.sortWithinPartitions("h1", "h2")))
 
     def _put(self, level: int, run: DataFrame) -> None:
         here = self.levels.setdefault(level, [])
-        here.append(cut(run.sortWithinPartitions("h1", "h2")))
+        here.append(run)
         if len(here) >= FANOUT:
             self.levels[level] = []
-            self._put(level + 1, merged(here))
+            # disjoint, so merging them is dealing and sorting
+            self._put(level + 1, cut(reduce(DataFrame.unionByName, here).repartition("h1", "h2").sortWithinPartitions("h1", "h2")))
 
     def common(self, min_docs: int) -> DataFrame:
         """The keys that at least ``min_docs`` documents hold, over all batches so far."""

@@ -187,31 +187,29 @@ class _Forest:
         return i != j
 
 
-def confirmed_links(reps: list[int], sets: list[np.ndarray], labels: list[int], rest: list[bool], percent: int) -> list[tuple[int, int]]:
-    """Links between items of a block that connect what ``labels`` don't: |A & B| * 100 >= percent * |A | B|.
+def confirmed_links(reps: list[int], sets: list[np.ndarray], labels: list[int], rest: list[bool], percent: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(links, labels) of a block: links that connect what ``labels`` don't, and the smallest rep that each item is connected with.
 
-    Each pair with at least one item of ``rest`` whose items aren't connected yet is decided on the full sets; pairs
-    with the most similar signatures come first, so that most others are connected by then.
+    A link has |A & B| * 100 >= percent * |A | B|.  Each pair with at least one item of ``rest`` whose items aren't
+    connected yet is decided on the full sets; pairs with the most similar signatures come first, so that most others
+    are connected by then.
     """
     n = len(reps)
     forest = _Forest(labels)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     sigs = np.array([signature(s) if len(s) else np.zeros(HASHES, np.uint16) for s in sets])
     least = (percent / 100 - LEAST_AGREEMENT_MARGIN) * HASHES
+    mine, every = np.array(rest), np.arange(n)
     pairs: list[np.ndarray] = []
-    for i in range(n):
-        if not rest[i]:
-            continue
-        others = np.array([j for j in range(n) if j != i and (j > i or not rest[j])], dtype=np.int64)
-        if not len(others):
-            continue
+    for i in np.flatnonzero(mine):
+        others = every[(every > i) | (~mine & (every != i))]
         agree = (sigs[others] == sigs[i]).sum(axis=1)
         fit = (agree >= least) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])) & (size[others] > 0)
         pairs.append(np.stack([agree[fit], np.full(fit.sum(), i), others[fit]], axis=1))
     links = []
     if pairs:
-        every = np.concatenate(pairs)
-        for _, i, j in every[np.argsort(-every[:, 0], kind="stable")].tolist():
+        found = np.concatenate(pairs)
+        for _, i, j in found[np.argsort(-found[:, 0], kind="stable")].tolist():
             if forest.root(i) == forest.root(j):
                 continue
             small, large = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
@@ -220,31 +218,64 @@ def confirmed_links(reps: list[int], sets: list[np.ndarray], labels: list[int],
             if 100 * both >= percent * (len(small) + len(large) - both):
                 forest.join(i, j)
                 links.append((reps[i], reps[j]))
-    return links
+    least_of: dict[int, int] = {}
+    for i in range(n):
+        r = forest.root(i)
+        least_of[r] = min(least_of.get(r, reps[i]), reps[i])
+    return links, [least_of[forest.root(i)] for i in range(n)]
 
 
-def _confirm(blocks: DataFrame, width: int, percent: int) -> DataFrame:
-    """(src, dst) for rows (cluster, part, rep, label, rest, text), one task a (cluster, part)."""
+def _confirm(blocks: DataFrame, width: int, percent: int, by_member: bool) -> DataFrame:
+    """For rows (cluster, part, parts, rep, label, rest, text), one task a (cluster, part): with ``by_member`` a row
+    (parts, src = rep, dst = label) for each member, else a row for each link (parts, src, dst)."""
+    names = ["parts", "src", "dst"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, reps, sets, labels, rest = None, [], [], [], []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if links := confirmed_links(reps, sets, labels, rest, percent) if len(reps) > 1 else []:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["src", "dst"])
+            if reps:
+                links, found = confirmed_links(reps, sets, labels, rest, percent)
+                if pairs := list(zip(reps, found, strict=True)) if by_member else links:
+                    n = len(pairs)
+                    columns = [[key[2]] * n, [a for a, _ in pairs], [b for _, b in pairs]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
             reps.clear(), sets.clear(), labels.clear(), rest.clear()
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for cluster, part, rep, label, own, shingles in zip(*columns, shingle_sets(batch.column(5), width), strict=True):
-                if (cluster, part) != key:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for cluster, part, parts, rep, label, own, shingles in zip(*columns, shingle_sets(batch.column(6), width), strict=True):
+                if (cluster, part, parts) != key:
                     yield from flush()
-                    key = (cluster, part)
+                    key = (cluster, part, parts)
                 reps.append(rep), sets.append(shingles), labels.append(label), rest.append(own)
         yield from flush()
 
-    rows = blocks.select("cluster", "part", "rep", "label", "rest", "text").repartition("cluster", "part").sortWithinPartitions("cluster", "part", "rep")
-    return cut(rows.mapInArrow(run, "src long, dst long"))
+    rows = blocks.select("cluster", "part", "parts", "rep", "label", "rest", "text").repartition("cluster", "part").sortWithinPartitions("cluster", "part", "rep")
+    return cut(rows.mapInArrow(run, "parts long, src long, dst long"))
+
+
+def _components_over_blocks(several: DataFrame, confirmed: DataFrame, width: int, percent: int) -> DataFrame:
+    """(src, component_id) for the members of clusters of several blocks.
+
+    ``confirmed`` links each member to the smallest rep it is connected with in a block, and pivots to one in each
+    block.  So most members of a cluster are in its largest component by now; the rest of it meets every block.
+    """
+    linked = connected_components(confirmed)
+    own = several.select("cluster", "rep", "part", "parts", "text")
+    labelled = own.join(linked.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep")
+    counts = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    top = counts.groupBy("cluster").agg(F.max(F.struct("n", F.col("label").alias("main"))).alias("t"), F.sum("n").alias("n"))
+    top = top.select("cluster", "t.main", F.ceil((F.col("n") - F.col("t.n")) / REST).cast("int").alias("shares")).where("shares > 0")
+    labelled = cut(labelled.join(top, "cluster").withColumn("rest", F.col("label") != F.col("main")))
+    # a share of the rest meets each block: both sides are dealt to (block, share)
+    left = labelled.where("rest").withColumn("share", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("shares")).cast("int"))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = labelled.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("rest", F.lit(False))
+    both = left.unionByName(right).withColumn("part", F.col("part").cast("long") * 1_000_000 + F.col("share"))
+    more = _confirm(both, width, percent, False)
+    known = linked.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    return connected_components(known.unionByName(more.select("src", "dst"))).select(F.col("node").alias("src"), F.col("component").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -266,35 +297,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(linkable.groupBy("h1", "h2", "n_shingles", "sig").agg(F.min("doc_id").alias("rep")))
     clusters = connected_components(candidate_links(classes))
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    members = cut(
-        clusters.join(sizes, "component").select(
-            F.col("component").alias("cluster"), F.col("node").alias("rep"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"), "size"
-        ).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    )
+    members = clusters.join(sizes, "component").select(
+        F.col("component").alias("cluster"), F.col("node").alias("rep"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"), "size"
+    ).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
     stored = cut(texts.join(members, "rep").where("text IS NOT NULL"))
     pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("rep", F.lit(1)), F.col("size")) < PIVOTS)
     parts = F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
     blocks = stored.withColumn("part", F.explode(parts)).withColumns({"label": F.col("rep"), "rest": F.lit(True)})
-    links = _confirm(blocks, width, percent)
-
-    several = stored.where("parts > 1")
+    confirmed = _confirm(blocks, width, percent, True)
+    # a cluster in one block is done: its members' labels are its components
+    components = confirmed.where("parts = 1").select("src", F.col("dst").alias("component_id"))
+    several = confirmed.where("parts > 1")
     if not several.isEmpty():
-        found = cut(connected_components(links))
-        labelled = several.join(found.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        counts = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-        top = counts.groupBy("cluster").agg(F.max(F.struct("n", F.col("label").alias("main"))).alias("t"), F.sum("n").alias("n"))
-        top = top.select("cluster", "t.main", F.ceil((F.col("n") - F.col("t.n")) / REST).cast("int").alias("shares")).where("shares > 0")
-        labelled = cut(labelled.join(top, "cluster").withColumn("rest", F.col("label") != F.col("main")))
-        # a share of the rest meets each block: both sides are dealt to (block, share)
-        left = labelled.where("rest").withColumns({"share": F.pmod(F.xxhash64("rep", F.lit(2)), F.col("shares")).cast("int"), "own": F.col("part")})
-        left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        right = labelled.withColumns({"own": F.lit(-1), "share": F.explode(F.sequence(F.lit(0), F.col("shares") - 1))}).withColumn("rest", F.lit(False))
-        both = left.unionByName(right, allowMissingColumns=True).withColumn("part", F.col("part").cast("long") * 1_000_000 + F.col("share"))
-        links = links.unionByName(_confirm(both, width, percent))
-
-    components = connected_components(links)
-    joined = classes.join(components.select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "rep", "left")
+        components = components.unionByName(_components_over_blocks(stored.where("parts > 1"), several, width, percent))
+    joined = classes.join(components.withColumnRenamed("src", "rep").groupBy("rep").agg(F.min("component_id").alias("component_id")), "rep", "left")
     joined = joined.select("h1", "h2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     # several classes of one repeated id are one node, so the smallest is the same for each
     linked = linkable.select("doc_id", "n_shingles", "h1", "h2").join(joined, ["h1", "h2", "n_shingles"])
