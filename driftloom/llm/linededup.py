@@ -143,7 +143,8 @@ def drop_repeated_lines(
     docs = docs.drop("n_lines", "n_dropped", "_row", "_doc", "_gone")
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     places = cut(places_of(own, "doc_id", "text", min_chars))
-    common = build_runs(places, batches).common(min_docs).select("h1", "h2", "keeper")
+    # cut, so that the join below deals both sides anew and Spark may split the partition of a hot line
+    common = cut(build_runs(places, batches).common(min_docs).select("h1", "h2", "keeper"))
     gone = (
         places.join(common.hint("merge"), ["h1", "h2"])
         .where(F.col("doc") < F.col("keeper"))
