@@ -3,17 +3,43 @@
 Both star steps are an aggregation with map-side combine and an equi-join, so a
 hub with very many neighbours is pre-aggregated before the shuffle and its join
 partition is one that adaptive execution may split.  The number of rounds grows
-with the logarithm of the longest path.
+with the logarithm of the longest path.  Before the first round each task turns the
+edges of a batch into stars, which shortens paths without any shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.plans.lineage import cut
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars (u, v), v the smallest node, that connect what the edges of each batch connect."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        nodes, at = np.unique(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_inverse=True)
+        a, b = at.reshape(2, -1)
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            for end in (a, b, label[a], label[b]):
+                np.minimum.at(new, end, low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        moved = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["u", "v"])
+
+
 def _star(arcs: DataFrame) -> DataFrame:
     """(u, m) with m the smallest of u and its neighbours in ``arcs(u, v)``."""
     return arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -27,7 +53,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     loops = pairs.where("u = v").select("u").distinct()
-    e = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = cut(pairs.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contracted, "u long, v long").distinct())
     # done when every edge ends in a node without smaller neighbours
     while not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
         # large star: larger neighbours move to the smallest neighbour
