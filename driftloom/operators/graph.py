@@ -3,8 +3,9 @@
 Both star steps are an aggregation with map-side combine and an equi-join, so a
 hub with very many neighbours is pre-aggregated before the shuffle and its join
 partition is one that adaptive execution may split.  The number of rounds grows
-with the logarithm of the longest path.  Before the first round each task turns the
-edges of a batch into stars, which shortens paths without any shuffle.
+with the logarithm of the longest path.  Before the first round the edges are dealt to tasks of
+even size, and each task turns its edges into stars, up to ``CONTRACT`` at a time.  So few edges need no round at
+all, and many start from short paths.
 """
 
 from __future__ import annotations
@@ -19,25 +20,43 @@ from pyspark.sql import functions as F
 from driftloom.plans.lineage import cut
 
 
+#: Edges that a task contracts at a time.
+CONTRACT = 1_000_000
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and, for each, the smallest node that the edges connect it with, where that is another."""
+    nodes, at = np.unique(np.stack([u, v]), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars (u, v), v the smallest node, that connect what the edges of each batch connect."""
+    """Stars (u, v), v the smallest node, that connect what each ``CONTRACT`` edges connect."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            u, v = _stars(*(np.concatenate([batch.column(k).to_numpy() for batch in held]) for k in (0, 1)))
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        nodes, at = np.unique(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), return_inverse=True)
-        a, b = at.reshape(2, -1)
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[a], label[b])
-            new = label.copy()
-            for end in (a, b, label[a], label[b]):
-                np.minimum.at(new, end, low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        moved = np.flatnonzero(label != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[label[moved]])], names=["u", "v"])
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= CONTRACT:
+            yield from flush()
+    yield from flush()
 
 
 def _star(arcs: DataFrame) -> DataFrame:
@@ -53,7 +72,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     loops = pairs.where("u = v").select("u").distinct()
-    e = cut(pairs.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contracted, "u long, v long").distinct())
+    e = cut(pairs.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).hint("rebalance").mapInArrow(_contracted, "u long, v long").distinct())
     # done when every edge ends in a node without smaller neighbours
     while not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
         # large star: larger neighbours move to the smallest neighbour
