@@ -58,12 +58,12 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield end - at, np.concatenate(found), np.concatenate(owners)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(texts: list[pa.Array], labels: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray, float]:
     """(features in order, weights, bias) of a sample; nothing but the bias if it has no labels of one kind."""
     seen = np.zeros(1 << _BITS, dtype=np.uint8)
 
     def each() -> Iterator[np.ndarray]:
-        for n, found, owner in features(texts):
+        for n, found, owner in (x for part in texts for x in features(part)):
             order = np.argsort(owner, kind="stable")
             bounds = np.searchsorted(owner[order], np.arange(n + 1))
             found = found[order]
@@ -84,7 +84,7 @@ def fit(texts: pa.Array, labels: np.ndarray, params: Params) -> tuple[np.ndarray
     for row in each():
         some.append(row[seen[row & _MASK] >= params.min_docs])
         held += len(some[-1])
-        if held > 1_000_000:
+        if held > 300_000:
             (names, counts), some, held = count(), [], 0
     names, counts = count()
     names = names[counts >= params.min_docs]
@@ -125,17 +125,17 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
     # at most max_rows rows of two numbers, so that it can be broadcast
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(own), "doc_id").select(F.xxhash64("doc_id").alias("at"), "label", "text")
+    sample = texts.join(F.broadcast(own), "doc_id").select("text", "label", F.xxhash64("doc_id").alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [batch for batch in batches if batch.num_rows]
+        rows = [(batch.column(0), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
         if not rows:
             return
-        got = pa.Table.from_batches(rows).sort_by([("at", "ascending"), ("text", "ascending")])
-        names, w, b = fit(got.column("text").combine_chunks(), got.column("label").to_numpy(), params)
+        names, w, b = fit([texts for texts, _ in rows], np.concatenate([y for _, y in rows]), params)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(names.astype(np.int64), 0)), pa.array(np.append(w, b)), pa.array([False] * len(w) + [True])], names=["feature", "weight", "bias"])
 
-    found = sample.repartition(1).mapInArrow(run, "feature long, weight double, bias boolean").toArrow()
+    # one task for the bounded sample, in an order that doesn't depend on how the table is dealt
+    found = sample.repartition(1).sortWithinPartitions("at", "text").mapInArrow(run, "feature long, weight double, bias boolean").toArrow()
     if not found.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0), 0.0
     is_bias = found.column("bias").to_numpy()
