@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _shared(spark: SparkSession) -> str | None:
+    """The session's checkpoint folder; a temporary one is set where there is none, as in local tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="driftloom-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read from there.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-    unset, as in local tests, a temporary folder takes its place.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftloom-"))
+    """``df`` written to the folder that all executors share, ``spark.checkpoint.dir``, and read from there."""
+    _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    return f"{_shared(spark)}/{uuid.uuid4()}"

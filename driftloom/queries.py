@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from driftloom.config import V0, V2
 from driftloom.operators import division, imaging, lineage, linking, metrics, profile, spatial
-from driftloom.plans.lineage import cut
+from driftloom.plans.lineage import cut, shared_folder
 from driftloom.sources import fixtures, sinks
 from driftloom.sources.fixtures import FIXTURE_SQL
 from driftloom.sources.tables import table
+from driftloom.streaming.linker import stream_link_to_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -526,6 +527,42 @@ def name_parts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.substring("p_name", 1, 4).alias("prefix"), F.lower(F.replace("p_brand", F.lit("Brand"), F.lit(""))).alias("brand"), F.col("p_type").endswith("L").alias("hit")).distinct()
 
 
+@query("state_keys", "SELECT 'w_key' AS name, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events")
+def state_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of a state map renamed by replacements in order."""
+    renamed = F.transform_keys(F.from_json("props", "map<string, long>"), lambda k, _: F.replace(F.replace(k, F.lit("k"), F.lit("key")), F.lit("key"), F.lit("w_key")))
+    return table(spark, sf, "events").select(F.explode(renamed).alias("name", "v")).groupBy("name").agg(F.sum("v").alias("total"))
+
+
+@query("folder_sizes", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS folder, CAST(sum(strlen(html)) AS BIGINT) AS bytes, count(*) AS files FROM pages GROUP BY ALL")
+def folder_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("folder")).agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("files"))
+
+
+@query("label_lookup", f"WITH RECURSIVE {LINEAGE_SQL} SELECT dataset, source_id, target_id FROM kept")
+def label_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Links between equal labels of consecutive frames, back as links between nodes."""
+    labels = lineage.tracklets(*_gt(spark, sf)).select("dataset", "t", "tracklet", "node_id")
+    a = labels.withColumn("t", F.col("t") + 1).withColumnRenamed("node_id", "source_id")
+    return a.join(labels.withColumnRenamed("node_id", "target_id"), ["dataset", "t", "tracklet"]).select("dataset", "source_id", "target_id")
+
+
+@query("mean_batch_loss", """SELECT event_type AS run, round(avg(value), 6) AS loss FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 60 GROUP BY event_type""")
+def mean_batch_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean over the first 60 batches of each run, as validation does."""
+    r = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))
+    return table(spark, sf, "events").withColumn("r", r).where("r <= 60").groupBy(F.col("event_type").alias("run")).agg(F.round(F.avg("value"), 6).alias("loss"))
+
+
+@query("stream_link")
+def stream_link(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-pass linking of detections that arrive as files, as far as frames become final."""
+    landing = f"{shared_folder(spark)}/landing"
+    points = fixtures.detections(spark, sf).select("dataset", "t", "det_id", "z", "y", "x")
+    points.write.parquet(landing)
+    return stream_link_to_table(spark.readStream.schema(points.schema).parquet(landing), V2)
+
+
 # --- imaging ----------------------------------------------------------------------------------------------------------
 
 VOXEL_SQL = """vox AS (SELECT CAST(user_id % 4 AS INTEGER) AS dataset, CAST(day(ts) - 1 AS INTEGER) AS t, CAST(event_id % 8 AS INTEGER) AS z, CAST(event_id * 7 % 32 AS INTEGER) AS y, CAST(event_id * 13 % 32 AS INTEGER) AS x,
@@ -618,6 +655,17 @@ def paint_if_empty(spark: SparkSession, sf: str) -> DataFrame:
     return imaging.paint(nodes, (1, 2, 2), SHAPE)
 
 
+@query("masks_present", f"""WITH {FIXTURE_SQL} SELECT dataset, count(*) AS frames, count(*) FILTER (WHERE n > 0) AS present
+FROM (SELECT f.dataset, f.t, count(n.node_id) AS n FROM (SELECT DISTINCT CAST(user_id % 4 AS INTEGER) AS dataset, CAST(day(ts) - 1 AS INTEGER) AS t FROM events) f
+  LEFT JOIN (SELECT * FROM fx_gt_nodes WHERE z < 8) n ON n.dataset = f.dataset AND n.t = f.t GROUP BY ALL) GROUP BY dataset""")
+def masks_present(spark: SparkSession, sf: str) -> DataFrame:
+    """How many frames have any painted voxel."""
+    frames = table(spark, sf, "events").select((F.col("user_id") % 4).cast("int").alias("dataset"), (F.day("ts") - 1).cast("int").alias("t")).distinct()
+    nodes = fixtures.gt_nodes(spark, sf).where("z < 8").select("dataset", "t", (F.col("node_id") + 1).alias("label"), "z", (F.col("y") % 32).alias("y"), (F.col("x") % 32).alias("x"), F.col("node_id").alias("ord"))
+    top = imaging.paint(nodes, (0, 1, 1), SHAPE).groupBy("dataset", "t").agg(F.max("label").alias("top"))
+    return frames.join(top, ["dataset", "t"], "left").groupBy("dataset").agg(F.count("*").alias("frames"), F.count_if(F.col("top") > 0).alias("present"))
+
+
 @query("augment_voxels", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL}
 SELECT dataset, t, 7 - z AS z, 31 - x AS y, y AS x, round(least(greatest(pow(value / 1000e0, 0.8e0) * 1.1e0 - 0.02e0, 0e0), 1e0), 6) AS value FROM vox""")
 def augment_voxels(spark: SparkSession, sf: str) -> DataFrame:
