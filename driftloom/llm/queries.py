@@ -187,15 +187,15 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, len(regexp_extract_all(text, '\\\\|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<ROLE>>|<</ROLE>>')) AS n,
-             len(regexp_extract_all(role, '\\\\|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<ROLE>>|<</ROLE>>')) AS m FROM t)
+e AS (SELECT *, len(regexp_extract_all(text, '\\|<s>|</s>|\[INST\]|\[/INST\]|<<ROLE>>|<</ROLE>>')) AS n,
+             len(regexp_extract_all(role, '\\|<s>|</s>|\[INST\]|\[/INST\]|<<ROLE>>|<</ROLE>>')) AS m FROM t)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length(text) + n + CASE role WHEN 'user' THEN 19 WHEN 'assistant' THEN 5 ELSE 22 + length(role) + m END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
-""".replace("\\\\", "\\"),
+""",
     "op9_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
