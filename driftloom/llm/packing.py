@@ -269,7 +269,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
     Null or empty text is the end id alone.  Only documents of more than
     ``capacity`` ids are cut; the last piece may be shorter.
     """
-    fields = [("doc_id", docs.schema[id_col].dataType)] + [(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32")] + ([("ids", T.BinaryType())] if with_ids else [])
+    fields = [("doc_id", docs.schema[id_col].dataType)] + [("piece", T.IntegerType())] + [(c, T.LongType()) for c in ("start", "length", "ids_crc32")] + ([("ids", T.BinaryType())] if with_ids else [])
     schema = T.StructType([T.StructField(n, t) for n, t in fields])
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -285,7 +285,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
                         own = ids[start : start + 4 * capacity]
                         for column, value in zip(rows, (row, k, start // 4, len(own) // 4, zlib.crc32(own), own), strict=True):
                             column.append(value)
-                out = [part.column(0).take(pa.array(rows[0], pa.int64()))] + [pa.array(c, pa.int64()) for c in rows[1:5]]
+                out = [part.column(0).take(pa.array(rows[0], pa.int64()))] + [pa.array(rows[1], pa.int32())] + [pa.array(c, pa.int64()) for c in rows[2:5]]
                 yield pa.RecordBatch.from_arrays(out + ([pa.array(rows[5], pa.binary())] if with_ids else []), names=schema.names)
         encoder.close()
 
