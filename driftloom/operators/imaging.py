@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.functions.scalar import half_even, sigmoid
+
 KEY = ["dataset", "t", "z", "y", "x"]
 
 
@@ -33,7 +35,7 @@ def unpool_coordinates(points: DataFrame, size: int) -> DataFrame:
 def refine_centroids(points: DataFrame, voxels: DataFrame, window: tuple[int, int, int], shape: tuple[int, int, int]) -> DataFrame:
     """``points(dataset, t, det_id, z, y, x)`` moved to the intensity-weighted centre of the window around their
     half-even rounded place; a window without intensity leaves a point as it is."""
-    rounded = points.select("dataset", "t", "det_id", *[F.bround(F.col(c).cast("double"), 0).cast("int").alias(c) for c in "zyx"])
+    rounded = points.select("dataset", "t", "det_id", *[half_even(F.col(c)).alias(c) for c in "zyx"])
     box = _box(rounded, window, shape).select("dataset", "t", "det_id", *[F.col("v" + c).alias(c) for c in "zyx"])
     patch = box.join(voxels, KEY)
     total = F.sum("value")
@@ -72,10 +74,6 @@ def training_targets(points: DataFrame, voxels: DataFrame, sigma: tuple[float, f
     return marked.select(*KEY, F.coalesce("heat", F.lit(0.0)).alias("target"), w.alias("weight"))
 
 
-def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
-
-
 def masked_mse(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by..., loss) of rows (logit, target, weight): the weighted mean squared error of the sigmoid."""
     e = sigmoid(F.col("logit")) - F.col("target")
@@ -125,11 +123,6 @@ def flip_rotate(voxels: DataFrame, shape: tuple[int, int, int], flips: str = "",
     return voxels.withColumns({"z": done["z"], "y": done["x"] if swap else done["y"], "x": done["y"] if swap else done["x"]})
 
 
-def intensity_jitter(value: Column, gamma: float, contrast: float, brightness: float, noise: Column) -> Column:
-    """Gamma, contrast and brightness, noise, clipped to 0..1."""
-    return F.least(F.greatest(F.pow(value, F.lit(gamma)) * contrast + brightness + noise, F.lit(0.0)), F.lit(1.0))
-
-
 def crop(voxels: DataFrame, centre: DataFrame, size: tuple[int, int, int], shape: tuple[int, int, int]) -> DataFrame:
     """The box of ``size`` around each frame's ``centre(dataset, t, cz, cy, cx)``, moved inside the volume; coordinates from 0."""
     for c, s, n in zip("zyx", size, shape, strict=True):

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.functions.scalar import clipped_angle, distance, scaled_between
+from driftloom.operators.spatial import prefixed
+
 
 def frame_density(points: DataFrame) -> DataFrame:
     """(dataset, frames, low, high, mean): points per frame."""
@@ -14,8 +17,6 @@ def frame_density(points: DataFrame) -> DataFrame:
 
 def edge_geometry(nodes: DataFrame, edges: DataFrame, voxel: tuple[float, float, float]) -> DataFrame:
     """Edges with both ends known, and the displacement ``dist`` in micrometres."""
-    from driftloom.operators.spatial import distance, prefixed
-
     a = prefixed(nodes.select("dataset", F.col("node_id").alias("source_id"), "t", "z", "y", "x"), "a_")
     b = prefixed(nodes.select("dataset", F.col("node_id").alias("target_id"), "z", "y", "x"), "b_")
     return edges.join(a, ["dataset", "source_id"]).join(b, ["dataset", "target_id"]).withColumn("dist", distance("a_", "b_", voxel))
@@ -32,19 +33,17 @@ def division_geometry(nodes: DataFrame, edges: DataFrame, voxel: tuple[float, fl
     ).where("n2 IS NOT NULL")
     dot = F.col("v1.z") * F.col("v2.z") + F.col("v1.y") * F.col("v2.y") + F.col("v1.x") * F.col("v2.x")
     gap = [F.col(f"v1.{c}") - F.col(f"v2.{c}") for c in "zyx"]
-    cos = F.greatest(F.least(dot / (F.col("n1") * F.col("n2") + 1e-9), F.lit(1.0)), F.lit(-1.0))
     return pair.select(
         "dataset", "mother", "n1", "n2",
         F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]).alias("inter"),
-        F.when((F.col("n1") > 1e-6) & (F.col("n2") > 1e-6), F.degrees(F.acos(cos))).alias("angle"),
+        F.when((F.col("n1") > 1e-6) & (F.col("n2") > 1e-6), clipped_angle(dot, F.col("n1") * F.col("n2"))).alias("angle"),
     )
 
 
 def percentile_normalize(values: DataFrame, by: list[str], column: str, low: float = 0.5, high: float = 0.998) -> DataFrame:
     """``values`` with ``normalized``: clipped to 0..1 between two exact percentiles of its group."""
     bounds = values.groupBy(*by).agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("p"))
-    scaled = (F.col(column) - F.col("p")[0]) / (F.col("p")[1] - F.col("p")[0] + 1e-6)
-    return values.join(bounds, by).withColumn("normalized", F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))).drop("p")
+    return values.join(bounds, by).withColumn("normalized", scaled_between(F.col(column), F.col("p")[0], F.col("p")[1])).drop("p")
 
 
 def stratified_interleave(items: DataFrame, stratum: Column, order: str) -> DataFrame:
@@ -84,8 +83,3 @@ def training_trace(history: DataFrame, patience: int, budget: float) -> DataFram
     return traced.withColumn("since", F.col("epoch") - last).withColumns(
         {"stop": F.col("since") >= patience, "over_budget": F.sum("sec").over(w) + F.avg("sec").over(w) > budget}
     )
-
-
-def cosine_rate(epoch: Column, epochs: int, base: float, least: float) -> Column:
-    """The learning rate of a cosine schedule."""
-    return F.lit(least) + F.lit(0.5 * (base - least)) * (1 + F.cos(F.pi() * epoch / F.lit(float(epochs))))

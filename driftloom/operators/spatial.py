@@ -10,17 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.functions.scalar import AXES, distance
 from driftloom.plans.lineage import cut
 
-AXES = ("z", "y", "x")
-
-
-def distance(a: str, b: str, voxel: tuple[float, float, float]) -> Column:
-    """Euclidean distance in micrometres of the points with column prefixes ``a`` and ``b``."""
-    parts = [(F.col(a + c) - F.col(b + c)) * F.lit(s) for c, s in zip(AXES, voxel, strict=True)]
-    return F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
-
-
 def _cell(prefix: str, voxel: tuple[float, float, float], width: float) -> list[Column]:
     return [F.floor(F.col(prefix + c) * F.lit(s) / F.lit(width)) for c, s in zip(AXES, voxel, strict=True)]
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.config import V0, V2
+from driftloom.functions import scalar
 from driftloom.operators import division, imaging, lineage, linking, metrics, profile, spatial
 from driftloom.plans.lineage import cut, shared_folder
 from driftloom.sources import fixtures, sinks
@@ -389,10 +390,10 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Track all movies and score the edges against the ground truth, a row a movie."""
     nodes, edges = linking.track(fixtures.detections(spark, sf), V2)
     gt, gt_edges = _gt(spark, sf)
-    whole = nodes.withColumns({c: F.bround(c, 0) for c in "zyx"})
+    whole = nodes.withColumns({c: scalar.half_even(F.col(c)) for c in "zyx"})
     matches = cut(metrics.match_nodes(gt, whole, V2.match_gate, VOXEL))
     counts = metrics.edge_counts(gt_edges, edges, matches)
-    return counts.withColumn("jaccard", F.round(metrics.safe_ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")), 6))
+    return counts.withColumn("jaccard", F.round(scalar.safe_ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")), 6))
 
 
 @query("param_sweep", f"""WITH {CANDIDATES_SQL},
@@ -472,7 +473,7 @@ def early_stop_trace(spark: SparkSession, sf: str) -> DataFrame:
 @query("cosine_lr", "SELECT DISTINCT CAST(day(ts) AS INTEGER) AS epoch, round(1e-5 + 0.5e0 * (1e-3 - 1e-5) * (1 + cos(pi() * day(ts) / 60e0)), 12) AS lr FROM events")
 def cosine_lr(spark: SparkSession, sf: str) -> DataFrame:
     epochs = table(spark, sf, "events").select(F.day("ts").alias("epoch")).distinct()
-    return epochs.select("epoch", F.round(profile.cosine_rate(F.col("epoch"), 60, 1e-3, 1e-5), 12).alias("lr"))
+    return epochs.select("epoch", F.round(scalar.cosine_rate(F.col("epoch"), 60, 1e-3, 1e-5), 12).alias("lr"))
 
 
 @query("label_weighted_loss", """WITH r AS (SELECT source, ln(1e0 + n_chars) - 7e0 AS logit, coalesce(quality, 0) AS target, CASE WHEN toxic = 1 THEN 10e0 WHEN toxic IS NULL THEN 0e0 ELSE 1e0 END AS weight FROM documents LEFT JOIN labels USING (doc_id))
@@ -670,7 +671,7 @@ def masks_present(spark: SparkSession, sf: str) -> DataFrame:
 SELECT dataset, t, 7 - z AS z, 31 - x AS y, y AS x, round(least(greatest(pow(value / 1000e0, 0.8e0) * 1.1e0 - 0.02e0, 0e0), 1e0), 6) AS value FROM vox""")
 def augment_voxels(spark: SparkSession, sf: str) -> DataFrame:
     turned = imaging.flip_rotate(_voxels(spark, sf), SHAPE, "zx", swap=True)
-    return turned.withColumn("value", F.round(imaging.intensity_jitter(F.col("value") / 1000.0, 0.8, 1.1, -0.02, F.lit(0.0)), 6))
+    return turned.withColumn("value", F.round(scalar.intensity_jitter(F.col("value") / 1000.0, 0.8, 1.1, -0.02, F.lit(0.0)), 6))
 
 
 @query("random_crop", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL},

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftloom.functions.scalar import stem_of
+
 #: (dataset, t, shape, data): ``data`` holds the voxels as little-endian unsigned 16-bit integers in z, y, x order.
 FRAMES = T.StructType([T.StructField("dataset", T.StringType()), T.StructField("t", T.IntegerType()), T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("data", T.BinaryType())])
 
@@ -40,7 +42,7 @@ def listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, parent, name, stem, length) of the files under ``path`` whose names fit ``pattern``; no content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("parent"), name.alias("name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), "length")
+    return files.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("parent"), name.alias("name"), stem_of(F.col("path")).alias("stem"), "length")
 
 
 def voxels(frames: DataFrame, zeros: bool = False) -> DataFrame:

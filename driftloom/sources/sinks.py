@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftloom.functions.scalar import half_even
 from driftloom.operators.lineage import lineage_tracks
+from driftloom.plans.lineage import cut
 
 
 def submission_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -17,7 +19,7 @@ def submission_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     none = lambda c, kind="long": F.lit(-1).cast(kind).alias(c)
     rows = nodes.select(
         "dataset", F.lit(0).alias("k"), F.col("node_id").alias("a"), F.lit(0).cast("long").alias("b"), "node_id", F.col("t").cast("int").alias("t"),
-        *[F.bround(F.col(c).cast("double"), 0).cast("int").alias(c) for c in "zyx"], none("source_id"), none("target_id"),
+        *[half_even(F.col(c)).alias(c) for c in "zyx"], none("source_id"), none("target_id"),
     ).unionByName(edges.select("dataset", F.lit(1).alias("k"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), none("node_id"), none("t", "int"), none("z", "int"), none("y", "int"), none("x", "int"), "source_id", "target_id"))
     sizes = rows.groupBy("dataset", "k").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("dataset", "k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
@@ -55,8 +57,6 @@ def sample_list(images: DataFrame, graphs: DataFrame, stem: str) -> DataFrame:
 
 
 def _numbered(ranged: DataFrame, order: str) -> DataFrame:
-    from driftloom.plans.lineage import cut
-
     own = cut(ranged)
     sizes = own.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
