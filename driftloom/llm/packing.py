@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftloom.llm.memory import release
 from driftloom.plans.lineage import cut
 
 SHARD, ISLANDS, ROUNDS = 1500, 2, 4
@@ -288,6 +289,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str =
                 out = [part.column(0).take(pa.array(rows[0], pa.int64()))] + [pa.array(rows[1], pa.int32())] + [pa.array(c, pa.int64()) for c in rows[2:5]]
                 yield pa.RecordBatch.from_arrays(out + ([pa.array(rows[5], pa.binary())] if with_ids else []), names=schema.names)
         encoder.close()
+        release()
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftloom.llm import textkernel
+from driftloom.llm.memory import release
 
 STEMS = (4, 5, 6)
 _KINDS = textkernel.mix64(np.arange(101, 101 + 3 + len(STEMS), dtype=np.uint64)) | np.uint64(1)
@@ -90,11 +91,13 @@ def fit(texts: list[pa.Array], labels: np.ndarray, params: Params) -> tuple[np.n
     names = names[counts >= params.min_docs]
     del seen, counts
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)  # the last is the bias, which has no penalty
-    indexed = []
+    packed, bounds = bytearray(), [0]  # the rows' known features, one after the other
     for row in each():
         at = np.searchsorted(names, row)
         at = at[(at < len(names)) & (names[np.minimum(at, max(len(names) - 1, 0))] == row)] if len(names) else at[:0]
-        indexed.append(np.append(at, len(names)).astype(np.int32))
+        packed += np.append(at, len(names)).astype(np.int32).tobytes()
+        bounds.append(len(packed) // 4)
+    flat = np.frombuffer(packed, dtype=np.int32)
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return -np.sign(zi) * np.maximum(np.abs(zi) - params.l1, 0) / ((params.beta + np.sqrt(ni)) / params.alpha + params.l2)
@@ -103,7 +106,8 @@ def fit(texts: list[pa.Array], labels: np.ndarray, params: Params) -> tuple[np.n
         return -z[-1] / ((params.beta + np.sqrt(n[-1])) / params.alpha)
 
     for _ in range(params.epochs):
-        for at, y in zip(indexed, labels, strict=True):
+        for start, end, y in zip(bounds[:-1], bounds[1:], labels, strict=True):
+            at = flat[start:end]
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
             w[-1] = bias()
@@ -132,6 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
         if not rows:
             return
         names, w, b = fit([texts for texts, _ in rows], np.concatenate([y for _, y in rows]), params)
+        del rows
+        release()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(names.astype(np.int64), 0)), pa.array(np.append(w, b)), pa.array([False] * len(w) + [True])], names=["feature", "weight", "bias"])
 
     # one task for the bounded sample, in an order that doesn't depend on how the table is dealt
