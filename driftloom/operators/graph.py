@@ -64,15 +64,17 @@ def _star(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rows: int | None = None) -> DataFrame:
     """(node, component): every endpoint of ``edges`` with the smallest node it can reach.
 
     Direction and repeats don't matter; rows with a null endpoint are left out;
-    a self-loop makes its node a component by itself.
+    a self-loop makes its node a component by itself.  ``rows`` may tell how many edges there are at most.
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     loops = pairs.where("u = v").select("u").distinct()
-    e = cut(pairs.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).hint("rebalance").mapInArrow(_contracted, "u long, v long").distinct())
+    e = cut(pairs.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).hint("rebalance").mapInArrow(_contracted, "u long, v long").distinct(), rows)
+    # a round keeps or lowers the number of edges
+    count = e.count()
     # done when every edge ends in a node without smaller neighbours
     while not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
         # large star: larger neighbours move to the smallest neighbour
@@ -81,7 +83,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         # small star: a node and its smaller neighbours move to the smallest of them
         low = _star(large)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), count)
     found = e.groupBy("u").agg(F.min("v").alias("v"))
     nodes = found.unionByName(found.select(F.col("v").alias("u"), F.col("v")).distinct())
     alone = loops.join(nodes, "u", "left_anti").select("u", F.col("u").alias("v"))

@@ -17,10 +17,18 @@ def _shared(spark: SparkSession) -> str | None:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that all executors share, ``spark.checkpoint.dir``, and read from there."""
+#: Rows of ids and hashes that make one checkpoint file at most.
+ROWS_PER_FILE = 250_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` written to the folder that all executors share, ``spark.checkpoint.dir``, and read from there.
+
+    Where it is known that there are at most ``rows`` narrow rows, they are written in as few files as
+    ``ROWS_PER_FILE`` allows, so that small tables don't litter the shared store with a file a partition.
+    """
     _shared(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).checkpoint()
 
 
 def shared_folder(spark: SparkSession) -> str:
