@@ -54,6 +54,7 @@ class LineRuns:
     Every table has (h1, h2, n_docs, keeper), one row a key.
     """
 
+    rows: int | None = None  # that any table has at most, if known
     levels: dict[int, list[DataFrame]] = field(default_factory=dict)
     repeats: list[DataFrame] = field(default_factory=list)
 
@@ -67,11 +68,11 @@ class LineRuns:
         """
         if runs := self.runs():
             known = reduce(DataFrame.unionByName, [run.select("h1", "h2") for run in runs]).withColumn("seen", F.lit(True))
-            marked = cut(batch.hint("merge").join(known, ["h1", "h2"], "left"))
+            marked = cut(batch.hint("merge").join(known, ["h1", "h2"], "left"), self.rows)
             self.repeats.append(marked.where("seen").drop("seen"))
             self._put(0, marked.where("seen IS NULL").drop("seen"))
         else:
-            self._put(0, cut(batch.sortWithinPartitions("h1", "h2")))
+            self._put(0, cut(batch.sortWithinPartitions("h1", "h2"), self.rows))
 
     def _put(self, level: int, run: DataFrame) -> None:
         here = self.levels.setdefault(level, [])
@@ -79,7 +80,7 @@ class LineRuns:
         if len(here) >= FANOUT:
             self.levels[level] = []
             # disjoint, so merging them is dealing and sorting
-            self._put(level + 1, cut(reduce(DataFrame.unionByName, here).repartition("h1", "h2").sortWithinPartitions("h1", "h2")))
+            self._put(level + 1, cut(reduce(DataFrame.unionByName, here).repartition("h1", "h2").sortWithinPartitions("h1", "h2"), self.rows))
 
     def common(self, min_docs: int) -> DataFrame:
         """The keys that at least ``min_docs`` documents hold, over all batches so far."""
@@ -110,7 +111,7 @@ def batch_keys(places: DataFrame) -> DataFrame:
 
 def build_runs(places: DataFrame, batches: int = 4) -> LineRuns:
     """The runs of all ``places`` after ``batches`` batches; rows of one document are in one batch."""
-    runs = LineRuns()
+    runs = LineRuns(places.count())
     for b in range(batches):
         runs.add(batch_keys(places.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)))
     return runs
@@ -144,7 +145,8 @@ def drop_repeated_lines(
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     places = cut(places_of(own, "doc_id", "text", min_chars))
     # cut, so that the join below deals both sides anew and Spark may split the partition of a hot line
-    common = cut(build_runs(places, batches).common(min_docs).select("h1", "h2", "keeper"))
+    runs = build_runs(places, batches)
+    common = cut(runs.common(min_docs).select("h1", "h2", "keeper"), runs.rows)
     gone = (
         places.join(common.hint("merge"), ["h1", "h2"])
         .where(F.col("doc") < F.col("keeper"))

@@ -155,10 +155,10 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield border(len(reps) - 1)
 
 
-def candidate_links(classes: DataFrame) -> DataFrame:
-    """(src, dst): hub links between classes that are neighbours in some tree."""
+def candidate_links(classes: DataFrame, rows: int | None = None) -> DataFrame:
+    """(src, dst): hub links between classes that are neighbours in some tree; ``rows`` is the most classes there may be."""
     ordered = _tree_keys(classes).repartitionByRange("key").sortWithinPartitions("key", "rep")
-    found = cut(ordered.mapInArrow(_neighbours, "src long, dst long, edge binary"))
+    found = cut(ordered.mapInArrow(_neighbours, "src long, dst long, edge binary"), None if rows is None else (TREES + 1) * rows)
     links = found.where("edge IS NULL").select("src", "dst")
     # a region that a partition border cuts: at most two rows a partition
     edges = found.where("edge IS NOT NULL").groupBy("edge").agg(F.collect_set("src").alias("s")).where("size(s) > 1")
@@ -294,8 +294,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sketches = cut(sketch(docs, id_col, text_col, width))
     linkable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(linkable.groupBy("h1", "h2", "n_shingles", "sig").agg(F.min("doc_id").alias("rep")))
-    clusters = connected_components(candidate_links(classes))
+    rows = sketches.count()
+    classes = cut(linkable.groupBy("h1", "h2", "n_shingles", "sig").agg(F.min("doc_id").alias("rep")), 5 * rows)  # wide rows
+    clusters = connected_components(candidate_links(classes, rows), rows=TREES * rows)
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     members = clusters.join(sizes, "component").select(
         F.col("component").alias("cluster"), F.col("node").alias("rep"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"), "size"

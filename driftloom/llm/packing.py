@@ -163,16 +163,17 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     An empty table gives an empty table.
     """
     whole = pieces.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = cut(pieces.where(F.col("length") < capacity).select("uid", "length"))
-    count = rest.count()
+    count = pieces.where(F.col("length") < capacity).count()
+    rest = cut(pieces.where(F.col("length") < capacity).select("uid", "length"), count)
     for round_ in range(ROUNDS):
         shards = max(1, -(-count // SHARD))
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(shards)).cast("long"))
         start = dealt.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ISLANDS - 1).cast("long"))).alias("island"), F.lit(0).cast("long").alias("origin"), "uid", "length", F.lit(0).cast("long").alias("gene"))
-        elites = cut(start.groupBy("shard", "island").applyInArrow(_epoch(capacity, 0), _PLACED))
+        tasks = shards * ISLANDS  # no more files than islands
+        elites = cut(start.groupBy("shard", "island").applyInArrow(_epoch(capacity, 0), _PLACED).coalesce(tasks))
         own = elites.select("shard", "island", F.lit(0).cast("long").alias("origin"), "uid", "length", "gene")
         migrants = own.withColumns({"island": (F.col("island") + 1) % ISLANDS, "origin": F.lit(1).cast("long")})
-        placed = cut(own.unionByName(migrants).groupBy("shard", "island").applyInArrow(_epoch(capacity, 1), _PLACED))
+        placed = cut(own.unionByName(migrants).groupBy("shard", "island").applyInArrow(_epoch(capacity, 1), _PLACED).coalesce(tasks))
         best = placed.groupBy("shard").agg(F.min(F.struct("bins", "island")).alias("b")).select("shard", F.col("b.island").alias("island"))
         placed = placed.join(best, ["shard", "island"])
         sequence = ((F.lit(round_) * (1 << 31) + F.col("shard")) * (1 << 20) + F.col("gene")).alias("sequence_id")
@@ -181,7 +182,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
         whole = whole.unionByName(final.select("uid", sequence, "offset"))
         if last:
             break
-        rest = cut(placed.where(F.col("fill") < FULL * capacity).select("uid", "length"))
+        rest = cut(placed.where(F.col("fill") < FULL * capacity).select("uid", "length"), count)
         count = rest.count()
     return whole
 
