@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm import linededup, minhash, packing, toxicity
-from driftloom.plans.lineage import cut
+from driftloom.plans.lineage import shared_folder
 from driftloom.sources.tables import table
 
 
@@ -63,10 +63,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    """All stages over ``documents``; what a stage keeps is written to the shared folder as Parquet and read by the next."""
+    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
