@@ -193,7 +193,15 @@ def nms_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.nms_pairs(fixtures.detections(spark, sf), 12.0, VOXEL).withColumns(rounded("dist"))
 
 
-@query("greedy_nms")
+@query("greedy_nms", f"""WITH RECURSIVE {FIXTURE_SQL},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY dataset, t ORDER BY -score, z, y, x, det_id) AS r FROM fx_detections),
+beaten AS (SELECT a.det_id, list(b.det_id) AS losers FROM ranked a JOIN ranked b ON b.dataset = a.dataset AND b.t = a.t AND a.r < b.r WHERE {_dist()} <= 12 GROUP BY a.det_id),
+near AS (SELECT dataset, t, r, det_id, coalesce(losers, CAST([] AS BIGINT[])) AS losers FROM ranked LEFT JOIN beaten USING (det_id)),
+walk AS (
+  SELECT DISTINCT dataset, t, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS det_id, false AS kept, CAST([] AS BIGINT[]) AS dead FROM ranked
+  UNION ALL SELECT w.dataset, w.t, n.r, n.det_id, NOT list_contains(w.dead, n.det_id), CASE WHEN list_contains(w.dead, n.det_id) THEN w.dead ELSE list_concat(w.dead, n.losers) END
+  FROM walk w JOIN near n ON n.dataset = w.dataset AND n.t = w.t AND n.r = w.r + 1)
+SELECT dataset, t, det_id FROM walk WHERE kept""")
 def greedy_nms(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.greedy_nms(fixtures.detections(spark, sf), 12.0, VOXEL).select("dataset", "t", "det_id")
 
@@ -337,7 +345,14 @@ def nearest_daughter(spark: SparkSession, sf: str) -> DataFrame:
     return division.nearest_daughter(division.division_candidates(nodes, edges.where("target_id = source_id + 1"), V2)).select("dataset", "mother", "orphan")
 
 
-@query("detect_divisions")
+@query("detect_divisions", f"""WITH RECURSIVE {DIVISION_SQL},
+offers AS (SELECT dataset, t1, mother, list(orphan ORDER BY dist, orphan) AS orphans, row_number() OVER (PARTITION BY dataset, t1 ORDER BY mother) AS r FROM dc GROUP BY dataset, t1, mother),
+claims AS (
+  SELECT DISTINCT dataset, t1, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS mother, CAST(NULL AS BIGINT) AS orphan, CAST([] AS BIGINT[]) AS taken FROM dc
+  UNION ALL SELECT dataset, t1, r, mother, free[1], CASE WHEN len(free) > 0 THEN list_append(taken, free[1]) ELSE taken END
+  FROM (SELECT o.dataset, o.t1, o.r, o.mother, c.taken, list_filter(o.orphans, lambda x: NOT list_contains(c.taken, x)) AS free
+        FROM claims c JOIN offers o ON o.dataset = c.dataset AND o.t1 = c.t1 AND o.r = c.r + 1))
+SELECT dataset, source_id, target_id FROM steps UNION ALL SELECT dataset, mother, orphan FROM claims WHERE orphan IS NOT NULL""")
 def detect_divisions(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = _gt(spark, sf)
     return division.detect_divisions(nodes, edges.where("target_id = source_id + 1"), V2)
@@ -494,6 +509,13 @@ def sample_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.sample_list(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id"), "doc_id")
 
 
+@query("stem_lookup", "SELECT doc_id, coalesce(l.doc_id, (SELECT min(doc_id) FROM labels)) AS found FROM documents LEFT JOIN labels l USING (doc_id)")
+def stem_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """For each document the label of its own id, else the first label there is."""
+    listing = table(spark, sf, "labels").select("doc_id", F.col("doc_id").alias("path"))
+    return sinks.lookup_with_fallback(table(spark, sf, "documents").select("doc_id"), listing, "doc_id").select("doc_id", F.col("path").alias("found"))
+
+
 @query("train_test_class", """SELECT source, CASE WHEN source IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1) THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM documents GROUP BY source""")
 def train_test_class(spark: SparkSession, sf: str) -> DataFrame:
     """A source with any toxic document is train, others are test."""
@@ -683,6 +705,19 @@ def random_crop(spark: SparkSession, sf: str) -> DataFrame:
     return imaging.crop(v, centre, (4, 16, 16), SHAPE)
 
 
-@query("gaussian_blur")
+def _blur_sql(sigma: tuple[float, float, float]) -> str:
+    """Each voxel gathers its reflected neighbours along z, then y, then x."""
+    steps, last = [], "vox"
+    for c, s, n in zip("zyx", sigma, SHAPE, strict=True):
+        reach = int(4 * s + 0.5)
+        steps.append(f"k{c} AS (SELECT k, exp(-0.5e0 * pow(k / {s}e0, 2)) / sum(exp(-0.5e0 * pow(k / {s}e0, 2))) OVER () AS w FROM range({-reach}, {reach + 1}) r(k))")
+        steps.append(f"g{c} AS (SELECT q, w, CASE WHEN q + k < 0 THEN -1 - q - k WHEN q + k >= {n} THEN {2 * n - 1} - q - k ELSE q + k END AS p FROM range({n}) r(q), k{c})")
+        others = ", ".join(f"v.{o}" for o in "zyx" if o != c)
+        steps.append(f"blur_{c} AS (SELECT v.dataset, v.t, {others}, CAST(q AS INTEGER) AS {c}, sum(v.value * w) AS value FROM {last} v JOIN g{c} ON p = v.{c} GROUP BY ALL)")
+        last = f"blur_{c}"
+    return ", ".join(steps)
+
+
+@query("gaussian_blur", f"WITH {FIXTURE_SQL}, {VOXEL_SQL}, {_blur_sql((0.7, 2.0, 2.0))} SELECT dataset, t, z, y, x, round(value, 6) AS value FROM blur_x")
 def gaussian_blur(spark: SparkSession, sf: str) -> DataFrame:
     return imaging.gaussian_blur(_voxels(spark, sf), (0.7, 2.0, 2.0), SHAPE).withColumns(rounded("value"))

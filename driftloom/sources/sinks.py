@@ -56,6 +56,12 @@ def sample_list(images: DataFrame, graphs: DataFrame, stem: str) -> DataFrame:
     return _numbered(ranged, stem)
 
 
+def lookup_with_fallback(wanted: DataFrame, listing: DataFrame, stem: str) -> DataFrame:
+    """``wanted`` with the first ``path`` that ``listing`` has for its stem, else the first of all; null if nothing is listed."""
+    own = listing.groupBy(stem).agg(F.min("path").alias("_own"))
+    return wanted.join(own, stem, "left").withColumn("path", F.coalesce("_own", listing.agg(F.min("path")).scalar())).drop("_own")
+
+
 def _numbered(ranged: DataFrame, order: str) -> DataFrame:
     own = cut(ranged)
     sizes = own.groupBy("part").agg(F.count("*").alias("n"))

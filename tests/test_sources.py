@@ -21,6 +21,14 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "h"), header=True).first()["val"] == "0.5"
 
 
+def test_lookup_with_fallback(spark):
+    wanted = spark.createDataFrame([("a",), ("c",)], "stem string")
+    listing = spark.createDataFrame([("a", "x/a.2"), ("a", "x/a.1"), ("b", "w/b")], "stem string, path string")
+    got = {r["stem"]: r["path"] for r in sinks.lookup_with_fallback(wanted, listing, "stem").collect()}
+    assert got == {"a": "x/a.1", "c": "w/b"}
+    assert {r["path"] for r in sinks.lookup_with_fallback(wanted, listing.limit(0), "stem").collect()} == {None}
+
+
 def test_graphs_and_frames(spark, tmp_path):
     nodes = spark.createDataFrame([(0, 1, 0, 1.0, 2.0, 3.0)], NODES)
     nodes.write.parquet(str(tmp_path / "n"))
