@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftloom.llm import linededup, minhash, packing, toxicity
+from driftloom.llm.names import unused
 from driftloom.plans.lineage import shared_folder
 from driftloom.sources.tables import table
 
@@ -25,7 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights = toxicity.train(docs, labels)
     if not len(weights[0]):
         return docs
-    return toxicity.score(docs, weights, score_col="_score").where("_score < 0.5").select(*docs.columns)
+    score = unused(docs, "score")
+    return toxicity.score(docs, weights, score_col=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +35,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text where lines went.  No document goes, even if no line of it stays.
     """
-    clean = linededup.drop_repeated_lines(docs)
+    lines, dropped = unused(docs, "n_lines"), unused(docs, "n_dropped")
+    clean = linededup.drop_repeated_lines(docs, lines_col=lines, dropped_col=dropped)
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+        clean = clean.withColumn("n_chars", F.when(F.col(dropped) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return clean.drop(lines, dropped)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     some = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return some.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    return some.unionByName(docs.where("doc_id IS NULL"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from driftloom.llm.names import map_in_arrow, with_outputs
+
 #: Distinct matches remembered by a worker; beyond that it starts afresh.
 CACHE_ENTRIES = 300_000
 #: Matches longer than this many characters aren't remembered.
@@ -122,11 +124,6 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def _schema(df: DataFrame, *more: T.StructField) -> T.StructType:
-    names = {f.name for f in more}
-    return T.StructType([f for f in df.schema.fields if f.name not in names] + list(more))
-
-
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``df`` with the ids of its whole texts as binary, four little-endian bytes an id.
 
@@ -137,7 +134,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
     ``path`` is the rank file, which every worker has at that place.
     """
     fields = [T.StructField(ids_col, T.BinaryType())] + ([T.StructField(decoded_col, T.BinaryType())] if decoded_col else [])
-    schema = _schema(df, *fields)
+    schema = with_outputs(df, *fields)
     keep = [f.name for f in schema.fields[: -len(fields)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +148,12 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
                     out.append(pa.array([own.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
     """``df`` with the bytes that the ids of ``ids_col`` stand for; null ids give empty bytes."""
-    schema = _schema(df, T.StructField(decoded_col, T.BinaryType()))
+    schema = with_outputs(df, T.StructField(decoded_col, T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
@@ -164,4 +161,4 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", decoded
             decoded = [own.decode(ids.as_py() or b"") for ids in batch.column(ids_col)]
             yield pa.RecordBatch.from_arrays([batch.column(name) for name in schema.names[:-1]] + [pa.array(decoded, pa.binary())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)

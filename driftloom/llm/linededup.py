@@ -21,6 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftloom.llm.names import unused
 from driftloom.plans.lineage import cut
 
 FANOUT = 4
@@ -124,8 +125,10 @@ def drop_repeated_lines(
     min_chars: int = 20,
     min_docs: int = 3,
     batches: int = 4,
+    lines_col: str = "n_lines",
+    dropped_col: str = "n_dropped",
 ) -> DataFrame:
-    """``docs`` with the lines of over-common keys gone, plus ``n_lines`` (before) and ``n_dropped``.
+    """``docs`` with the lines of over-common keys gone, plus ``lines_col``, their number before, and ``dropped_col``.
 
     A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with
     A-Z lower-cased.  Keys of at least ``min_chars`` code points that at least
@@ -137,11 +140,11 @@ def drop_repeated_lines(
     - Rows that share an id are one document for the counts; each row is cleaned by itself.
     - A text that loses all its lines becomes empty.
     - Very long texts are handled whole; the time is linear in their lines.
-    - Other columns are kept as they are; ``n_lines`` and ``n_dropped`` replace columns of that name,
-      and columns named ``_row``, ``_doc`` or ``_gone`` are dropped.
+    - Other columns are kept as they are; ``lines_col`` and ``dropped_col`` replace columns of that name.
     - An empty table gives an empty table.
     """
-    docs = docs.drop("n_lines", "n_dropped", "_row", "_doc", "_gone")
+    docs = docs.drop(lines_col, dropped_col)
+    d, r, g, s = (unused(docs, name) for name in ("_doc", "_row", "_gone", "_lines"))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     places = cut(places_of(own, "doc_id", "text", min_chars))
     # cut, so that the join below deals both sides anew and Spark may split the partition of a hot line
@@ -150,16 +153,16 @@ def drop_repeated_lines(
     gone = (
         places.join(common.hint("merge"), ["h1", "h2"])
         .where(F.col("doc") < F.col("keeper"))
-        .groupBy(F.col("doc").alias("_doc"), F.col("row").alias("_row"))
-        .agg(F.collect_set("pos").alias("_gone"))
+        .groupBy(F.col("doc").alias(d), F.col("row").alias(r))
+        .agg(F.collect_set("pos").alias(g))
     )
     text = F.coalesce(F.col(text_col), F.lit(""))
-    with_gone = docs.join(gone, (docs[id_col] == gone["_doc"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone["_row"]), "left")
+    with_gone = docs.join(gone, (docs[id_col] == gone[d]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone[r]), "left")
     lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(s) - 1), F.col(g))
+    kept = F.when(F.col(g).isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(s), i)), "\n"))
     return (
-        with_gone.withColumn("_lines", lines)
-        .withColumns({text_col: kept, "n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-        .drop("_lines", "_doc", "_row", "_gone")
+        with_gone.withColumn(s, lines)
+        .withColumns({text_col: kept, lines_col: F.size(s).cast("long"), dropped_col: F.coalesce(F.size(g), F.lit(0)).cast("long")})
+        .drop(s, d, r, g)
     )

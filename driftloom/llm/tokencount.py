@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from driftloom.llm.names import map_in_arrow, with_outputs
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct segments remembered by a worker; beyond that it starts afresh.
@@ -111,7 +113,7 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", count_col: st
     output is replaced, other columns stay; an empty table gives an empty table.
     ``path`` is the model file, which every worker has at that place.
     """
-    schema = T.StructType([f for f in df.schema.fields if f.name != count_col] + [T.StructField(count_col, T.LongType())])
+    schema = with_outputs(df, T.StructField(count_col, T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
@@ -119,4 +121,4 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", count_col: st
             counts = [own.count(text.as_py() or "") for text in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([batch.column(name) for name in schema.names[:-1]] + [pa.array(counts, pa.int64())], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return map_in_arrow(df, run, schema)

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from driftloom.llm import textkernel
 from driftloom.llm.memory import release
+from driftloom.llm.names import map_in_arrow, with_outputs
 
 STEMS = (4, 5, 6)
 _KINDS = textkernel.mix64(np.arange(101, 101 + 3 + len(STEMS), dtype=np.uint64)) | np.uint64(1)
@@ -158,7 +159,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], text_c
     replaced, other columns stay; an empty table gives an empty table.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = T.StructType([f for f in docs.schema.fields if f.name != score_col] + [T.StructField(score_col, T.DoubleType())])
+    schema = with_outputs(docs, T.StructField(score_col, T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, w, b = shared.value
@@ -177,7 +178,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], text_c
             value = 1 / (1 + np.exp(-np.clip(total + b, -700, 700)))
             yield pa.RecordBatch.from_arrays([batch.column(name) for name in schema.names[:-1]] + [pa.array(value)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_in_arrow(docs, run, schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:

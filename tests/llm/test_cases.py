@@ -300,3 +300,29 @@ def test_runs_are_levelled_and_disjoint(spark):
     held = [x["h1"] for run in runs.runs() for x in run.collect()]
     assert sorted(held) == sorted(want)
     assert {x["h1"]: (x["n_docs"], x["keeper"]) for x in runs.common(3).collect()} == {k: v for k, v in want.items() if v[0] >= 3}
+
+
+# --- clashing names ---------------------------------------------------------------------------------------------------
+
+
+def test_stages_keep_columns_of_any_name(spark, sf, odd):
+    import corpus_pipeline
+
+    own = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    names = ["score", "N_lines", "n_dropped", "_row", "_doc", "_gone", "_lines", "rep", "cluster", "a.b", "uid", "h1"]
+    docs = odd.unionByName(own).withColumn("n_chars", F.char_length("text").cast("long")).withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, sf)
+        assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        assert rows and all(r[n] == f"{n}{'' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names), name
+    assert corpus_pipeline.pack(spark, docs, sf).count() >= docs.count()
+
+
+def test_outputs_replace_columns_in_any_case(spark, odd):
+    docs = odd.withColumns({"N_TOKENS": F.lit("x"), "IDS": F.lit("x"), "Score": F.lit("x"), "N_Dropped": F.lit("x")})
+    assert dict(tokencount.count_tokens(docs, PIECES).dtypes).keys() == {"doc_id", "text", "lang", "IDS", "Score", "N_Dropped", "n_tokens"}
+    assert bpe.encode(docs, BYTES, P.PATTERN).select("ids").dtypes == [("ids", "binary")]
+    weights = (np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    assert [r["score"] for r in toxicity.score(docs, weights).select("score").collect()] == [0.5] * 10
+    assert linededup.drop_repeated_lines(docs).select("n_dropped").dtypes == [("n_dropped", "bigint")]
