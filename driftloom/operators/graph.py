@@ -42,8 +42,8 @@ def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars (u, v), v the smallest node, that connect what each ``CONTRACT`` edges connect."""
+def _contracted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Stars (u, v), v the smallest node, that connect what each ``most`` edges connect."""
     held: list[pa.RecordBatch] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         held.append(batch)
-        if sum(x.num_rows for x in held) >= CONTRACT:
+        if sum(x.num_rows for x in held) >= most:
             yield from flush()
     yield from flush()
 
@@ -64,6 +64,15 @@ def _star(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
 
 
+def _unfinished(e: DataFrame) -> DataFrame:
+    """Nodes that keep the distinct edges ``e(u, v)``, v < u, from being stars around smallest nodes.
+
+    Such a node has a smaller neighbour and another edge besides: a larger neighbour, or a second smaller one.
+    """
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("low")), F.struct(F.col("v").alias("n"), F.lit(None).cast("long").alias("low")))).alias("e")).select("e.n", "e.low")
+    return ends.groupBy("n").agg(F.count("low").alias("lower"), F.count("*").alias("edges")).where("lower > 0 AND edges > 1")
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", rows: int | None = None) -> DataFrame:
     """(node, component): every endpoint of ``edges`` with the smallest node it can reach.
 
@@ -72,11 +81,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     """
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     loops = pairs.where("u = v").select("u").distinct()
-    e = cut(pairs.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).hint("rebalance").mapInArrow(_contracted, "u long, v long").distinct(), rows)
+    most = CONTRACT
+    e = cut(pairs.where("u <> v").select(F.col("u").cast("long"), F.col("v").cast("long")).hint("rebalance").mapInArrow(lambda batches: _contracted(batches, most), "u long, v long").distinct(), rows)
     # a round keeps or lowers the number of edges
     count = e.count()
-    # done when every edge ends in a node without smaller neighbours
-    while not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+    while not _unfinished(e).isEmpty():
         # large star: larger neighbours move to the smallest neighbour
         both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         large = both.join(_star(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -119,6 +119,26 @@ def test_components_of_long_paths_and_hubs(spark):
     assert found == {**{n: min(path) for n in path}, **{n: min(hub) for n in hub}, names[299]: names[299]}
 
 
+@pytest.mark.parametrize("most", [1, 2])
+def test_components_of_edges_split_over_tasks(spark, monkeypatch, most):
+    r = random.Random(most)
+    scattered = [(100 + r.randrange(120), 100 + r.randrange(120)) for _ in range(90)]
+    monkeypatch.setattr(graph, "CONTRACT", most)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        for edges in ([(3, 1), (3, 2)], [(1, 3), (3, 4), (4, 5), (5, 2)], scattered):
+            root = {n: n for e in edges for n in e}
+            for a, b in edges:
+                low, high = sorted((root[a], root[b]))
+                root = {n: low if x == high else x for n, x in root.items()}
+            rows = graph.connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(8)).collect()
+            assert sorted(map(tuple, rows)) == sorted(root.items())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_claims_go_by_mother(spark):
     c = spark.createDataFrame([(0, 5, 2, 20, 30, 1.0, -1.0), (0, 5, 1, 10, 30, 2.0, -1.0), (0, 5, 2, 20, 31, 4.0, -1.0)], "dataset int, t1 int, mother long, daughter long, orphan long, dist double, cos double")
     assert sorted(map(tuple, division.claim_daughters(c).collect())) == [(0, 1, 30), (0, 2, 31)]
