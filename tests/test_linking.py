@@ -6,7 +6,7 @@ import pytest
 
 from driftloom.config import TrackingConfig
 from driftloom.operators import division, graph, linking, metrics, spatial
-from driftloom.operators.assign import solve
+from driftloom.operators.assign import assign_candidates, solve
 
 CONFIG = TrackingConfig(voxel=(1.0, 1.0, 1.0))
 
@@ -144,6 +144,21 @@ def test_claims_go_by_mother(spark):
     assert sorted(map(tuple, division.claim_daughters(c).collect())) == [(0, 1, 30), (0, 2, 31)]
 
 
+def test_division_events_are_dealt_by_component(spark, monkeypatch):
+    sizes = []
+
+    def watched(candidates, by, *names):
+        sizes.extend(r["count"] for r in candidates.groupBy(*by).count().collect())
+        return assign_candidates(candidates, by, *names)
+
+    monkeypatch.setattr(metrics, "assign_candidates", watched)
+    schema = "dataset int, node_id long, t int, z double, y double, x double"
+    gt = spark.createDataFrame([(0, i, 5, 0.0, 0.0, 100.0 * i) for i in range(4)], schema)
+    pred = spark.createDataFrame([(0, i, 5, 0.0, 0.0, 100.0 * i + 1) for i in range(3)] + [(0, 9, 5, 0.0, 0.0, 2.0)], schema)
+    assert tuple(metrics.division_counts_by_event(gt, pred, CONFIG).first()) == (3, 1, 1)
+    assert sorted(sizes) == [1, 1, 2]
+
+
 def test_edge_counts(spark):
     e = "dataset int, source_id long, target_id long"
     gt = spark.createDataFrame([(0, 1, 2), (0, 2, 3)], e)
