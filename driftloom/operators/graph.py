@@ -1,8 +1,9 @@
 """Connected components by alternating stars.
 
 Both star steps are an aggregation with map-side combine and an equi-join, so a
-hub with very many neighbours is pre-aggregated before the shuffle and its join
-partition is one that adaptive execution may split.  The number of rounds grows
+hub with very many neighbours is pre-aggregated before the shuffle.  The smallest neighbours are
+dealt anew before the join, so that both of its sides are plain shuffles and adaptive execution may
+split the hub's partition.  The number of rounds grows
 with the logarithm of the longest path.  Before the first round the edges are dealt to tasks of
 even size, and each task turns its edges into stars, up to ``CONTRACT`` at a time.  So few edges need no round at
 all, and many start from short paths.
@@ -61,7 +62,7 @@ def _contracted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Rec
 
 def _star(arcs: DataFrame) -> DataFrame:
     """(u, m) with m the smallest of u and its neighbours in ``arcs(u, v)``."""
-    return arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    return arcs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).hint("rebalance")
 
 
 def _unfinished(e: DataFrame) -> DataFrame:
