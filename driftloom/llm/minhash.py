@@ -5,24 +5,22 @@
 2. Equal sets collapse to a class with the smallest id.  This is one
    aggregation with map-side combine, so a huge group of copies is one row per
    map task.
-3. Forest: ``HASHES / MIN_DEPTH`` trees each sort the classes by their own order
-   of the signature values (range partitioning, so a hot prefix is cut
-   wherever the order allows).  Neighbours in a tree whose longest common prefix
-   has at least ``MIN_DEPTH`` values are candidates.  A region of more than
-   ``REGION`` classes goes deeper, value by value, up to ``MAX_DEPTH``.
-   Candidate links are hub links, linear in the number of classes.
-4. Connected candidates form clusters.  Clusters are dealt out in blocks of
-   about ``BLOCK`` texts; every pair of a block that isn't connected yet is
-   confirmed on full shingle sets.  Blocks of one cluster share some pivots.
-5. What isn't connected with the largest component of its cluster after that is
-   compared with every block of its cluster.  So all pairs of a cluster are
-   decided, yet nothing in one task grows with the cluster.
-
-A pair at similarity 0.8 shares no prefix in any tree with probability
-(1 - 0.8**4)**24, about 3 in a million; connected groups have many such chances.
-Where all of its regions are over ``REGION`` and go down to ``MAX_DEPTH``, it is missed as a
-candidate with probability 3.4 % (no two adjacent blocks of 4 agree in the ring of 24);
-only a common cluster makes up for that.
+3. Forest: ``TREES`` trees each sort the classes by their own order of the
+   signature values (range partitioning, so a hot prefix is cut wherever the order
+   allows).  The first ``MIN_DEPTH`` values of the trees are disjoint, the deeper
+   ones a permutation of a tree's own.  Classes that share ``MIN_DEPTH`` values of a
+   tree are a region.  Each class is a candidate with its neighbour of the longest common
+   prefix in the order and with the hub of its region; a region of more than
+   ``REGION`` classes goes deeper, value by value, and has a hub for each part.
+4. Candidates are confirmed on full shingle sets, and the links make components.
+5. The pairs of a region that are neither candidates nor in one component by now are left.  They
+   are decided exactly: classes of such regions meet in the shingles that are
+   rarest among them (prefixes by size and position), but only across components, and what
+   meets is confirmed on full sets too.
+
+So a pair at similarity J shares no region, and may be missed, with probability
+(1 - J**4)**24: 3 in a million at 0.8, whatever a region's size.  A class is in
+at most two candidates a tree, so copies of a set are bounded by ``TREES``.
 """
 
 from __future__ import annotations
@@ -39,17 +37,31 @@ from driftloom.operators.graph import connected_components
 from driftloom.plans.lineage import cut
 
 HASHES = 96
-MIN_DEPTH, MAX_DEPTH = 4, 8
+MIN_DEPTH, MAX_DEPTH = 4, 12
 TREES = HASHES // MIN_DEPTH
-REGION = 1024
-BLOCK, PIVOTS, REST = 200, 24, 200
-#: A signature agreement below this lies over four standard deviations under a similarity of 0.8.
-LEAST_AGREEMENT_MARGIN = 0.2
+REGION = 64
+#: Pairs with one hub that meet in a task, if that hub had all pairs.
+SHARE = 4096
+#: Buckets of the counts that order shingles from rare to common: what is broadcast, whatever the size of the table.
+BUCKETS = 1 << 18
 
 _MULTIPLIERS = textkernel.mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _KEY = 1 + 2 * MAX_DEPTH
 
 
+def _orders() -> np.ndarray:
+    """For each tree the positions of its values, first its own ``MIN_DEPTH``, then others at random."""
+    out = np.empty((TREES, MAX_DEPTH), dtype=np.int64)
+    for t in range(TREES):
+        own = np.arange(MIN_DEPTH * t, MIN_DEPTH * (t + 1))
+        others = np.random.default_rng(t).permutation(np.setdiff1d(np.arange(HASHES), own))
+        out[t] = np.concatenate([own, others[: MAX_DEPTH - MIN_DEPTH]])
+    return out
+
+
+_ORDERS = _orders()
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The min-hash values of a non-empty set, 16 bits each."""
     low = np.full(HASHES, ~np.uint64(0))
@@ -88,7 +100,6 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
 
 def _tree_keys(classes: DataFrame) -> DataFrame:
     """(key, rep): for each tree its number and the first MAX_DEPTH values in its order."""
-    order = np.array([[(MIN_DEPTH * t + j) % HASHES for j in range(MAX_DEPTH)] for t in range(TREES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,22 +108,23 @@ def _tree_keys(classes: DataFrame) -> DataFrame:
             sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
             keys = np.empty((len(sigs), TREES, _KEY), dtype=np.uint8)
             keys[:, :, 0] = np.arange(TREES, dtype=np.uint8)
-            keys[:, :, 1:] = np.ascontiguousarray(sigs[:, order]).view(np.uint8)
+            keys[:, :, 1:] = np.ascontiguousarray(sigs[:, _ORDERS]).view(np.uint8)
             flat = pa.Array.from_buffers(pa.binary(_KEY), len(sigs) * TREES, [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([flat, pa.array(np.repeat(batch.column(0).to_numpy(), TREES))], names=["key", "rep"])
 
     return classes.select("rep", "sig").mapInArrow(run, "key binary, rep long")
 
 
-def _region_links(keys: np.ndarray, reps: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """(members, hub) for the runs of equal prefix of one region, deeper where there are too many."""
+def _region_links(keys: np.ndarray, reps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(members, others): the neighbours of one region in the order, and hubs of parts of at most ``REGION`` or of all values equal."""
+    yield reps[1:], reps[:-1]
     todo = [(0, len(reps), MIN_DEPTH)]
     while todo:
         at, end, depth = todo.pop()
-        if end - at < 2:
+        if end - at < 3:  # two are neighbours
             continue
         if end - at <= REGION or depth == MAX_DEPTH:
-            yield reps[at + 1 : end], reps[at]
+            yield reps[at + 2 : end], np.full(end - at - 2, reps[at])
             continue
         part = keys[at:end, 1 + 2 * depth : 3 + 2 * depth]
         starts = np.flatnonzero((part[1:] != part[:-1]).any(axis=1)) + 1
@@ -121,19 +133,33 @@ def _region_links(keys: np.ndarray, reps: np.ndarray) -> Iterator[tuple[np.ndarr
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one sorted partition, and the prefixes at its borders with their outermost member."""
-    names = ["src", "dst", "edge"]
+    """Of one sorted partition: links (src, dst), and the members (src, region) of regions of several; ``border`` marks
+    the outermost members at both ends, whose regions may go on in the partitions beside."""
+    names = ["src", "dst", "region", "border"]
     prefix = 1 + 2 * MIN_DEPTH
     keys, reps = np.zeros((0, _KEY), np.uint8), np.zeros(0, np.int64)
     first = True
 
-    def out(links: list[tuple[np.ndarray, int]]) -> pa.RecordBatch:
-        src = np.concatenate([m for m, _ in links])
-        dst = np.concatenate([np.full(len(m), h, np.int64) for m, h in links])
-        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.nulls(len(src), pa.binary())], names=names)
+    def named(rows: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(rows), np.uint64)
+        for column in rows[:, :prefix].T:
+            total = textkernel.mix64(total * np.uint64(257) + column)
+        return total.view(np.int64)
+
+    def out(keys: np.ndarray, reps: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        several = np.flatnonzero(np.diff(bounds) > 1)
+        if not len(several):
+            return
+        links = [x for i in several for x in _region_links(keys[bounds[i] : bounds[i + 1]], reps[bounds[i] : bounds[i + 1]])]
+        src, dst = (np.concatenate([x[k] for x in links]) for k in (0, 1))
+        n = len(src)
+        yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, bool))], names=names)
+        inside = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in several])
+        n = len(inside)
+        yield pa.RecordBatch.from_arrays([pa.array(reps[inside]), pa.nulls(n, pa.int64()), pa.array(named(keys[inside])), pa.array(np.zeros(n, bool))], names=names)
 
     def border(i: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([int(reps[i])]), pa.nulls(1, pa.int64()), pa.array([keys[i, :prefix].tobytes()], pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([int(reps[i])]), pa.nulls(1, pa.int64()), pa.array(named(keys[i : i + 1] if i >= 0 else keys[i:])), pa.array([True])], names=names)
 
     for batch in batches:
         if not batch.num_rows:
@@ -146,139 +172,158 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.flatnonzero((keys[1:, :prefix] != keys[:-1, :prefix]).any(axis=1)) + 1
         if not len(starts):
             continue
-        bounds = np.concatenate([[0], starts])
-        several = np.flatnonzero(np.diff(bounds) > 1)
-        links = [x for i in several for x in _region_links(keys[bounds[i] : bounds[i + 1]], reps[bounds[i] : bounds[i + 1]])]
-        if links:
-            yield out(links)
+        yield from out(keys, reps, np.concatenate([[0], starts]))
         keys, reps = keys[starts[-1] :], reps[starts[-1] :]
     if len(reps):
-        if links := list(_region_links(keys, reps)):
-            yield out(links)
-        yield border(len(reps) - 1)
+        yield from out(keys, reps, np.array([0, len(reps)]))
+        yield border(-1)
 
 
-def candidate_links(classes: DataFrame, rows: int | None = None) -> DataFrame:
-    """(src, dst): hub links between classes that are neighbours in some tree; ``rows`` is the most classes there may be."""
+def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst), the candidates, and (region, rep), the members of regions of several classes, of ``classes(rep, sig)``."""
     ordered = _tree_keys(classes).repartitionByRange("key").sortWithinPartitions("key", "rep")
-    found = cut(ordered.mapInArrow(_neighbours, "src long, dst long, edge binary"), None if rows is None else (TREES + 1) * rows)
-    links = found.where("edge IS NULL").select("src", "dst")
+    found = cut(ordered.mapInArrow(_neighbours, "src long, dst long, region long, border boolean"))
+    links = found.where("dst IS NOT NULL").select("src", "dst")
     # a region that a partition border cuts: at most two rows a partition
-    edges = found.where("edge IS NOT NULL").groupBy("edge").agg(F.collect_set("src").alias("s")).where("size(s) > 1")
-    over = edges.select(F.explode("s").alias("src"), F.array_min("s").alias("dst"))
-    return links.unionByName(over).where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    over = found.where("border").groupBy("region").agg(F.collect_set("src").alias("s")).where("size(s) > 1")
+    over = over.select(F.explode("s").alias("src"), F.array_min("s").alias("dst"))
+    pairs = links.unionByName(over).where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+    return pairs, found.where("region IS NOT NULL").select("region", F.col("src").alias("rep"))
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have |A & B| * 100 >= percent * |A | B|."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(small) + len(large) - both)
 
 
-class _Forest:
-    """Union-find over the items of one block."""
+def _sets_of(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(rep, s): the shingle set of each text whose id is one of ``reps(rep)``, as sorted 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, at = batch.column(0), 0
+            for s in _bounded(shingle_sets(batch.column(1), width)):
+                yield pa.RecordBatch.from_arrays([rep.slice(at, len(s)), pa.array(s, pa.binary())], names=["rep", "s"])
+                at += len(s)
 
-    def __init__(self, labels: list[int]):
-        self.up = list(range(len(labels)))
-        first: dict[int, int] = {}
-        for i, label in enumerate(labels):
-            self.join(i, first.setdefault(label, i))
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    return texts.join(reps, "rep", "left_semi").dropDuplicates(["rep", "text"]).mapInArrow(run, "rep long, s binary")
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+def _bounded(sets: Iterator[np.ndarray], most: int = 1 << 22) -> Iterator[list[bytes]]:
+    """Runs of sets of about ``most`` bytes."""
+    held, size = [], 0
+    for s in sets:
+        held.append(s.tobytes())
+        size += len(held[-1])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
-def confirmed_links(reps: list[int], sets: list[np.ndarray], labels: list[int], rest: list[bool], percent: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """(links, labels) of a block: links that connect what ``labels`` don't, and the smallest rep that each item is connected with.
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(src, dst): those of the distinct ``pairs`` that link on their full sets.
 
-    A link has |A & B| * 100 >= percent * |A | B|.  Each pair with at least one item of ``rest`` whose items aren't
-    connected yet is decided on the full sets; pairs with the most similar signatures come first, so that most others
-    are connected by then.
+    The pairs of a hub (``dst``) are dealt to shares.  A share reads the hub's set first and then a member's after the other, so a task
+    holds two sets and not a group.  An id with several texts links if any of them does.
     """
-    n = len(reps)
-    forest = _Forest(labels)
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    sigs = np.array([signature(s) if len(s) else np.zeros(HASHES, np.uint16) for s in sets])
-    least = (percent / 100 - LEAST_AGREEMENT_MARGIN) * HASHES
-    mine, every = np.array(rest), np.arange(n)
-    pairs: list[np.ndarray] = []
-    for i in np.flatnonzero(mine):
-        others = every[(every > i) | (~mine & (every != i))]
-        agree = (sigs[others] == sigs[i]).sum(axis=1)
-        fit = (agree >= least) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i])) & (size[others] > 0)
-        pairs.append(np.stack([agree[fit], np.full(fit.sum(), i), others[fit]], axis=1))
-    links = []
-    if pairs:
-        found = np.concatenate(pairs)
-        for _, i, j in found[np.argsort(-found[:, 0], kind="stable")].tolist():
-            if forest.root(i) == forest.root(j):
-                continue
-            small, large = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
-            if 100 * both >= percent * (len(small) + len(large) - both):
-                forest.join(i, j)
-                links.append((reps[i], reps[j]))
-    least_of: dict[int, int] = {}
-    for i in range(n):
-        r = forest.root(i)
-        least_of[r] = min(least_of.get(r, reps[i]), reps[i])
-    return links, [least_of[forest.root(i)] for i in range(n)]
-
-
-def _confirm(blocks: DataFrame, width: int, percent: int, by_member: bool) -> DataFrame:
-    """For rows (cluster, part, parts, rep, label, rest, text), one task a (cluster, part): with ``by_member`` a row
-    (parts, src = rep, dst = label) for each member, else a row for each link (parts, src, dst)."""
-    names = ["parts", "src", "dst"]
+    shares = max(1, -(-pairs.count() // SHARE))
+    dealt = pairs.select(F.col("dst").alias("hub"), F.pmod(F.xxhash64("src"), F.lit(shares)).alias("share"), F.col("src").alias("rep"))
+    hubs = dealt.select("hub", "share", F.col("hub").alias("rep")).distinct()
+    rows = dealt.unionByName(hubs).join(sets, "rep").select("hub", "share", "rep", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, reps, sets, labels, rest = None, [], [], [], []
+        key, own = None, []
+        for batch in batches:
+            src, dst = [], []
+            for hub, share, rep, s in zip(*(batch.column(k) for k in range(4)), strict=True):
+                hub, share, rep = hub.as_py(), share.as_py(), rep.as_py()
+                if (hub, share) != key:
+                    key, own = (hub, share), []
+                s = np.frombuffer(s.as_buffer(), dtype=np.uint64)
+                if rep == hub:
+                    own.append(s.copy())
+                elif any(similar(s, other, percent) for other in own):
+                    src.append(rep), dst.append(hub)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    ordered = rows.repartition("hub", "share").sortWithinPartitions("hub", "share", F.col("rep") != F.col("hub"), "rep")
+    return cut(ordered.mapInArrow(run, "src long, dst long"))
+
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if reps:
-                links, found = confirmed_links(reps, sets, labels, rest, percent)
-                if pairs := list(zip(reps, found, strict=True)) if by_member else links:
-                    n = len(pairs)
-                    columns = [[key[2]] * n, [a for a, _ in pairs], [b for _, b in pairs]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-            reps.clear(), sets.clear(), labels.clear(), rest.clear()
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How many of the sets' shingles fall in each of ``BUCKETS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for s in batch.column(1):
+                total += np.bincount((np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
+    found = sets.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, dtype=np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
+    """(token, at, size, rep, label, short): the rarest shingles of ``sets(rep, s, label)``, as many as two sets that link must share one of.
+
+    The larger of two sets that link has it among its first ``size - ceil(0.8 * size) + 1`` shingles, and the smaller
+    among fewer (``short``), as it shares a larger part of its own.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(rarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for cluster, part, parts, rep, label, own, shingles in zip(*columns, shingle_sets(batch.column(6), width), strict=True):
-                if (cluster, part, parts) != key:
-                    yield from flush()
-                    key = (cluster, part, parts)
-                reps.append(rep), sets.append(shingles), labels.append(label), rest.append(own)
-        yield from flush()
+            for rep, s, label in zip(*(batch.column(k) for k in range(3)), strict=True):
+                s = np.frombuffer(s.as_buffer(), dtype=np.uint64)
+                n = len(s)
+                long = n + 1 - -(-percent * n // 100)
+                short = n + 1 - -(-2 * percent * n // (100 + percent))
+                token = s[np.lexsort((s, counts[(s % np.uint64(BUCKETS)).astype(np.int64)]))[:long]]
+                k = len(token)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(token.view(np.int64)), pa.array(np.arange(k)), *(pa.array(np.full(k, v, np.int64)) for v in (n, rep.as_py(), label.as_py())), pa.array(np.arange(k) < short)],
+                    names=["token", "at", "size", "rep", "label", "short"],
+                )
 
-    rows = blocks.select("cluster", "part", "parts", "rep", "label", "rest", "text").repartition("cluster", "part").sortWithinPartitions("cluster", "part", "rep")
-    return cut(rows.mapInArrow(run, "parts long, src long, dst long"))
+    return sets.select("rep", "s", "label").mapInArrow(run, "token long, at long, size long, rep long, label long, short boolean")
 
 
-def _components_over_blocks(several: DataFrame, confirmed: DataFrame, width: int, percent: int) -> DataFrame:
-    """(src, component_id) for the members of clusters of several blocks.
+def left_pairs(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(src, dst): pairs of ``members(region, rep)`` that ``linked(node, component)`` doesn't connect and that may link; None if there are none.
 
-    ``confirmed`` links each member to the smallest rep it is connected with in a block, and pivots to one in each
-    block.  So most members of a cluster are in its largest component by now; the rest of it meets every block.
+    Any two sets of a region that link and aren't connected are among them.
     """
-    linked = connected_components(confirmed)
-    own = several.select("cluster", "rep", "part", "parts", "text")
-    labelled = own.join(linked.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep")
-    counts = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    top = counts.groupBy("cluster").agg(F.max(F.struct("n", F.col("label").alias("main"))).alias("t"), F.sum("n").alias("n"))
-    top = top.select("cluster", "t.main", F.ceil((F.col("n") - F.col("t.n")) / REST).cast("int").alias("shares")).where("shares > 0")
-    labelled = cut(labelled.join(top, "cluster").withColumn("rest", F.col("label") != F.col("main")))
-    # a share of the rest meets each block: both sides are dealt to (block, share)
-    left = labelled.where("rest").withColumn("share", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("shares")).cast("int"))
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = labelled.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("rest", F.lit(False))
-    both = left.unionByName(right).withColumn("part", F.col("part").cast("long") * 1_000_000 + F.col("share"))
-    more = _confirm(both, width, percent, False)
-    known = linked.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-    return connected_components(known.unionByName(more.select("src", "dst"))).select(F.col("node").alias("src"), F.col("component").alias("component_id"))
+    label = F.coalesce("component", "rep").alias("label")
+    labelled = cut(members.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("region", "rep", label))
+    mixed = labelled.groupBy("region").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    left = labelled.join(mixed, "region", "left_semi").select("rep", "label").distinct()
+    own = cut(sets.join(left, "rep"))
+    if own.isEmpty():
+        return None
+    rows = cut(_prefixes(own, _rarity(own), percent))
+    mixed = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+    rows = cut(rows.join(mixed, "token", "left_semi"))
+    x, y = rows.alias("x"), rows.where("short").alias("y")
+    near = x.join(y, F.col("x.token") == F.col("y.token")).where(
+        (F.col("x.label") != F.col("y.label"))
+        & (F.struct("x.size", "x.rep") > F.struct("y.size", "y.rep"))
+        & (100 * F.col("y.size") >= percent * F.col("x.size"))
+        & ((100 + percent) * F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= percent * (F.col("x.size") + F.col("y.size")))
+    )
+    return near.select(F.greatest("x.rep", "y.rep").alias("src"), F.least("x.rep", "y.rep").alias("dst")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -297,25 +342,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sketches = cut(sketch(docs, id_col, text_col, width))
     linkable = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    rows = sketches.count()
-    classes = cut(linkable.groupBy("h1", "h2", "n_shingles", "sig").agg(F.min("doc_id").alias("rep")), 5 * rows)  # wide rows
-    clusters = connected_components(candidate_links(classes, rows), rows=TREES * rows)
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    members = clusters.join(sizes, "component").select(
-        F.col("component").alias("cluster"), F.col("node").alias("rep"), F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"), "size"
-    ).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    stored = cut(texts.join(members, "rep").where("text IS NOT NULL"))
-    pivot = (F.col("parts") > 1) & (F.pmod(F.xxhash64("rep", F.lit(1)), F.col("size")) < PIVOTS)
-    parts = F.when(pivot, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    blocks = stored.withColumn("part", F.explode(parts)).withColumns({"label": F.col("rep"), "rest": F.lit(True)})
-    confirmed = _confirm(blocks, width, percent, True)
-    # a cluster in one block is done: its members' labels are its components
-    components = confirmed.where("parts = 1").select("src", F.col("dst").alias("component_id"))
-    several = confirmed.where("parts > 1")
-    if not several.isEmpty():
-        components = components.unionByName(_components_over_blocks(stored.where("parts > 1"), several, width, percent))
-    joined = classes.join(components.withColumnRenamed("src", "rep").groupBy("rep").agg(F.min("component_id").alias("component_id")), "rep", "left")
+    classes = cut(linkable.groupBy("h1", "h2", "n_shingles", "sig").agg(F.min("doc_id").alias("rep")))
+    found, members = forest(classes)
+    pairs = cut(found)
+    sets = cut(_sets_of(docs, members.select("rep").distinct(), id_col, text_col, width))
+    links = confirmed(pairs, sets, percent)
+    components = connected_components(links)
+    if (more := left_pairs(members, components, sets, percent)) is not None:
+        # components so far are stars
+        stars = components.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+        components = connected_components(stars.unionByName(confirmed(cut(more), sets, percent)))
+    joined = classes.join(components.select(F.col("node").alias("rep"), F.col("component").alias("component_id")), "rep", "left")
     joined = joined.select("h1", "h2", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     # several classes of one repeated id are one node, so the smallest is the same for each
     linked = linkable.select("doc_id", "n_shingles", "h1", "h2").join(joined, ["h1", "h2", "n_shingles"])

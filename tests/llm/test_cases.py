@@ -84,14 +84,50 @@ def test_minhash_against_brute_force(spark, monkeypatch):
         for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
             words[r.randrange(len(words))] = f"n{r.randrange(9)}"
         docs.append((i, " ".join(words)))
-    # small blocks, so that clusters are cut and the rest meets all blocks
-    for name, value in (("BLOCK", 12), ("PIVOTS", 3), ("REST", 10), ("REGION", 16)):
+    # small parts and shares, so that regions go deep and hubs are dealt to several shares
+    for name, value in (("REGION", 3), ("SHARE", 16), ("BUCKETS", 64)):
         monkeypatch.setattr(minhash, name, value)
     df = spark.createDataFrame([(i, t, "e") for i, t in docs], DOCS)
     got = rows_of(minhash.near_duplicates(df, width=4), "doc_id", "n_shingles", "component_id", "kept")
     assert got == sorted(brute(docs, 4, 80), key=str)
 
 
+def test_common_words_alone_link_nothing_and_copy_little(spark, monkeypatch):
+    r = random.Random(9)
+    monkeypatch.setattr(minhash, "REGION", 8)
+    common = " ".join(f"c{k}" for k in range(120))
+    docs = [(i, common + " " + " ".join(f"u{i}x{k}" for k in range(r.randrange(70, 110))), "e") for i in range(500)]
+    # near copies of some, of which each must find its own among all the others
+    docs += [(1000 + i, docs[i][1] + f" more{i}", "e") for i in range(0, 500, 25)]
+    df = spark.createDataFrame(docs, DOCS)
+    classes = minhash.sketch(df, "doc_id", "text", 4).select(F.col("doc_id").alias("rep"), "sig")
+    pairs, members = (x.collect() for x in minhash.forest(classes))
+    assert len({m["rep"] for m in members}) > 350  # most share a region with others
+    for end in ("src", "dst"):
+        assert max(sum(1 for p in pairs if p[end] == i) for i in range(500)) <= 8 * minhash.TREES
+    assert len(pairs) <= 2 * minhash.TREES * len(docs)
+    got = rows_of(minhash.near_duplicates(df, width=4), "doc_id", "component_id")
+    assert got == sorted([(i, i - 1000 if i >= 1000 else i) for i, _, _ in docs], key=str)
+
+
+def test_what_the_forest_leaves_is_decided_exactly(spark):
+    r = random.Random(10)
+    rows = []
+    for i in range(160):
+        words = [f"w{k}" for k in range(60)]
+        for k in r.sample(range(60), r.choice([0, 1, 2, 3])):
+            words[k] = f"n{r.randrange(40)}"
+        rows.append((i, " ".join(words), "e"))
+    df = spark.createDataFrame(rows, DOCS)
+    sets = minhash._sets_of(df, df.select(F.col("doc_id").alias("rep")), "doc_id", "text", 4).cache()
+    one_region = df.select(F.lit(1).cast("long").alias("region"), F.col("doc_id").alias("rep"))
+    nothing = spark.createDataFrame([], "node long, component long")
+    pairs = minhash.left_pairs(one_region, nothing, sets, 80)
+    links = {(x["dst"], x["src"]) for x in minhash.confirmed(pairs, sets, 80).collect()}
+    held = {x["rep"]: np.frombuffer(x["s"], np.uint64) for x in sets.collect()}
+    assert links == {(a, b) for a in held for b in held if a < b and minhash.similar(held[a], held[b], 80)} and len(links) > 100
+
+
 def test_minhash_cases(spark, odd):
     got = rows_of(minhash.near_duplicates(odd.withColumns({"sig": F.lit(1), "rep": F.lit(2), "kept": F.lit(3)})), "doc_id", "n_shingles", "component_id", "kept")
     assert got == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 29_996, 4, True), (5, 29_996, 4, False), (None, 1, None, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 9, True)], key=str)
