@@ -1,16 +1,18 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
-An individual is a set of bins.  Crossover injects whole well-filled bins of one
-parent into the other, removes the bins there that share a document with them,
-and best-fits the displaced documents, the longest first.  Mutation empties some
-of the worst bins and best-fits what they held.
-
-Spark deals the pieces to shards of about ``SHARD``; each shard evolves on
-``ISLANDS`` islands that start from different random seeds, every island in a task of its own.
-Between two epochs each island's elite migrates to the next island of its shard.
-After an epoch pair the well-filled bins of the best island are final; what lies
-in other bins migrates to new shards for the next round, until one
-shard holds it all or ``ROUNDS`` are over.  So no task sees more than a shard.
+An individual is a set of bins.  Populations start from best fit in random orders.  Crossover injects
+whole well-filled bins of one parent into the other, removes the bins there that share a
+document with them, lets displaced documents take the place of one or two shorter ones
+where they fill a bin better, and best-fits the rest, the longest first.  Mutation empties
+some of the worst bins and does the same with what they held.  Fewer bins are fitter, then
+uneven ones, so that free room gathers in few bins.
+
+Spark deals the pieces to shards of about ``SHARD`` pieces, but of ``LEAST_BINS`` bins at least.  Each shard evolves on
+``ISLANDS`` islands, every island in a task of its own, for ``EPOCHS`` epochs of
+``GENERATIONS`` generations.  Between two epochs each island's elite migrates to the next
+island of its shard.  Then the fullest bins of the best island, the part ``KEEP``, are final; what lies
+in the other bins is dealt to new shards for the next round, until one shard holds it all.
+The rounds are a logarithm of the shards, and no task sees more than a shard.
 """
 
 from __future__ import annotations
@@ -20,8 +22,9 @@ import os
 import random
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,12 @@ from pyspark.sql import types as T
 from driftloom.llm.memory import release
 from driftloom.plans.lineage import cut
 
-SHARD, ISLANDS, ROUNDS = 1500, 2, 4
-POPULATION, GENERATIONS = 4, 6
-#: A bin at least this full is final.
-FULL = 0.995
+SHARD, LEAST_BINS, ISLANDS = 1500, 64, 2
+POPULATION, EPOCHS, GENERATIONS = 4, 3, 6
+#: The part of a shard's bins that is final after a round.
+KEEP = 0.75
+#: Bins that displaced documents are tried in before a best fit, and the longest documents of each that they may replace.
+TRIED, LONGEST = 32, 8
 #: Distinct words remembered in a task; beyond that it starts afresh.
 CACHE_ENTRIES = 1_000_000
 #: Words of at most so many bytes are kept for a worker's later tasks, up to so many.
@@ -45,10 +50,10 @@ Bins = list[tuple[int, list[int]]]
 
 
 def best_fit(bins: Bins, items: list[int], lengths: list[int], capacity: int) -> Bins:
-    """``bins`` with ``items`` put, the longest first, where the least room stays; new bins are opened as needed."""
+    """``bins`` with ``items`` put, in their order, where the least room stays; new bins are opened as needed."""
     bins = [(fill, list(held)) for fill, held in bins]
     room = sorted((capacity - fill, b) for b, (fill, _) in enumerate(bins))
-    for i in sorted(items, key=lambda i: (-lengths[i], i)):
+    for i in items:
         at = bisect.bisect_left(room, (lengths[i], -1))
         if at < len(room):
             left, b = room.pop(at)
@@ -62,6 +67,46 @@ def best_fit(bins: Bins, items: list[int], lengths: list[int], capacity: int) ->
     return bins
 
 
+def longest_first(items: Iterable[int], lengths: list[int]) -> list[int]:
+    return sorted(items, key=lambda i: (-lengths[i], i))
+
+
+def random_start(lengths: list[int], capacity: int, rng: random.Random) -> Bins:
+    """Best fit in a random order that prefers the longer to a random degree."""
+    least = rng.uniform(0.2, 0.9)
+    weight = [n * rng.uniform(least, 1) for n in lengths]
+    return best_fit([], sorted(range(len(lengths)), key=lambda i: -weight[i]), lengths, capacity)
+
+
+def exchange(bins: Bins, loose: list[int], lengths: list[int], capacity: int, rng: random.Random) -> tuple[Bins, list[int]]:
+    """``bins`` and the loose items after some of these took the place of one or two shorter ones, which are loose then."""
+    free = sorted((lengths[i], i) for i in loose)
+    bins = list(bins)
+    for b in rng.sample(range(len(bins)), min(TRIED, len(bins))):
+        fill, held = bins[b]
+        room = capacity - fill
+        if not room or not free:
+            continue
+        some = longest_first(held, lengths)[:LONGEST]
+        gain, best = 0, None
+        for out in [(i,) for i in some] + list(combinations(some, 2)):
+            size = sum(lengths[i] for i in out)
+            at = bisect.bisect_right(free, (size + room, len(lengths))) - 1
+            if at >= 0 and free[at][0] - size > gain:
+                gain, best = free[at][0] - size, (at, out)
+        if best:
+            _, new = free.pop(best[0])
+            for i in best[1]:
+                bisect.insort(free, (lengths[i], i))
+            bins[b] = (fill + gain, [i for i in held if i not in best[1]] + [new])
+    return bins, [i for _, i in free]
+
+
+def refit(bins: Bins, loose: list[int], lengths: list[int], capacity: int, rng: random.Random) -> Bins:
+    bins, loose = exchange(bins, loose, lengths, capacity, rng)
+    return best_fit(bins, longest_first(loose, lengths), lengths, capacity)
+
+
 def fitness(bins: Bins, capacity: int) -> float:
     """Larger is better: few bins first, then uneven fills, which leave room that can be used."""
     return -len(bins) + sum((fill / capacity) ** 2 for fill, _ in bins) / (len(bins) + 1)
@@ -77,7 +122,7 @@ def crossover(into: Bins, of: Bins, lengths: list[int], capacity: int, rng: rand
             stay.append((fill, held))
         else:
             displaced += [i for i in held if i not in taken]
-    return best_fit(injected + stay, displaced, lengths, capacity)
+    return refit(injected + stay, displaced, lengths, capacity, rng)
 
 
 def mutate(bins: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
@@ -86,28 +131,23 @@ def mutate(bins: Bins, lengths: list[int], capacity: int, rng: random.Random) ->
     out = ranked[-worst:] + rng.sample(ranked[:-worst], min(worst, len(ranked) - worst))
     gone = {id(b) for b in out}
     items = [i for _, held in out for i in held]
-    rng.shuffle(items)
-    stay = [b for b in ranked if id(b) not in gone]
-    # some at random first, so that best fit doesn't rebuild the same bins
-    early = items[: len(items) // 4]
-    return best_fit(best_fit(stay, early, lengths, capacity), items[len(early) :], lengths, capacity)
+    return refit([b for b in ranked if id(b) not in gone], items, lengths, capacity, rng)
 
 
-def evolve(lengths: list[int], seeds: list[Bins], capacity: int, rng: random.Random, generations: int = GENERATIONS) -> Bins:
-    """The best individual after some generations; at once if it has as few bins as any packing can have."""
-    least = -(-sum(lengths) // capacity)
-    population = seeds or [best_fit([], list(range(len(lengths))), lengths, capacity)]
+def evolve(lengths: list[int], seeds: list[Bins], capacity: int, rng: random.Random, generations: int = GENERATIONS) -> tuple[Bins, int]:
+    """The best individual after ``generations`` generations, and the number of crossovers; without seeds from random orders."""
+    population = list(seeds)
     while len(population) < POPULATION:
-        population.append(mutate(population[0], lengths, capacity, rng))
+        population.append(mutate(population[0], lengths, capacity, rng) if seeds else random_start(lengths, capacity, rng))
     rank = lambda b: -fitness(b, capacity)
     population.sort(key=rank)
+    crossovers = 0
     for _ in range(generations):
-        if len(population[0]) <= least:
-            break
         a, b = rng.sample(population[: max(2, POPULATION // 2 + 1)], 2)
         children = [crossover(a, b, lengths, capacity, rng), mutate(crossover(b, a, lengths, capacity, rng), lengths, capacity, rng)]
+        crossovers += 2
         population = sorted(population + children, key=rank)[:POPULATION]
-    return population[0]
+    return population[0], crossovers
 
 
 def _bins_of(genes: list[int], lengths: list[int]) -> Bins:
@@ -126,34 +166,42 @@ def _epoch(capacity: int, epoch: int):
         table = table.sort_by([("origin", "ascending"), ("uid", "ascending")])
         shard, island = table.column("shard")[0].as_py(), table.column("island")[0].as_py()
         origin = table.column("origin").to_numpy()
-        uids, lengths, genes = (table.column(c).to_numpy()[origin == 0] for c in ("uid", "length", "gene"))
+        uids, lengths = (table.column(c).to_numpy()[origin == 0] for c in ("uid", "length"))
         sizes = lengths.tolist()
         seeds = []
         if epoch:
             parents = table.column("gene").to_numpy()
             seeds = [_bins_of(parents[origin == o].tolist(), sizes) for o in np.unique(origin)]
-        rng = random.Random(f"{shard} {island} {epoch}")
-        if not epoch and island:  # the other islands start elsewhere
-            start = best_fit([], list(range(len(sizes))), sizes, capacity)
-            for _ in range(island):
-                start = mutate(start, sizes, capacity, rng)
-            seeds = [start]
-        best = evolve(sizes, seeds, capacity, rng)
-        gene, place, fill = (np.zeros(len(sizes), np.int64) for _ in range(3))
-        for b, (full, held) in enumerate(best):
+        best, crossovers = evolve(sizes, seeds, capacity, random.Random(f"{shard} {island} {epoch}"))
+        best.sort(key=lambda b: -b[0])  # the fullest is number 0
+        gene, place = (np.zeros(len(sizes), np.int64) for _ in range(2))
+        for b, (_, held) in enumerate(best):
             at = 0
             for i in held:
-                gene[i], place[i], fill[i] = b, at, full
+                gene[i], place[i] = b, at
                 at += sizes[i]
         n = len(sizes)
-        names = ["shard", "island", "uid", "length", "gene", "offset", "fill", "bins"]
-        columns = [np.full(n, shard), np.full(n, island), uids, lengths, gene, place, fill, np.full(n, len(best))]
+        names = ["shard", "island", "uid", "length", "gene", "offset", "bins", "crossovers"]
+        columns = [np.full(n, shard), np.full(n, island), uids, lengths, gene, place, np.full(n, len(best)), np.full(n, crossovers)]
         return pa.table([pa.array(np.asarray(c, np.int64)) for c in columns], names=names)
 
     return run
 
 
-_PLACED = "shard long, island long, uid long, length long, gene long, offset long, fill long, bins long"
+_PLACED = "shard long, island long, uid long, length long, gene long, offset long, bins long, crossovers long"
+
+
+def evolved(dealt: DataFrame, shards: int, capacity: int) -> DataFrame:
+    """(shard, island, uid, length, gene, offset, bins, crossovers): each island's elite after all epochs, for the rows (shard, uid, length)."""
+    none = F.lit(0).cast("long")
+    own = dealt.select("shard", F.explode(F.sequence(none, F.lit(ISLANDS - 1).cast("long"))).alias("island"), none.alias("origin"), "uid", "length", none.alias("gene"))
+    for epoch in range(EPOCHS):
+        if epoch:
+            own = elites.select("shard", "island", none.alias("origin"), "uid", "length", "gene")
+            own = own.unionByName(own.withColumns({"island": (F.col("island") + 1) % ISLANDS, "origin": none + 1}))
+        # no more files than islands
+        elites = cut(own.groupBy("shard", "island").applyInArrow(_epoch(capacity, epoch), _PLACED).coalesce(shards * ISLANDS))
+    return elites
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -163,28 +211,19 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     An empty table gives an empty table.
     """
     whole = pieces.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    count = pieces.where(F.col("length") < capacity).count()
-    rest = cut(pieces.where(F.col("length") < capacity).select("uid", "length"), count)
-    for round_ in range(ROUNDS):
-        shards = max(1, -(-count // SHARD))
-        dealt = rest.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(shards)).cast("long"))
-        start = dealt.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ISLANDS - 1).cast("long"))).alias("island"), F.lit(0).cast("long").alias("origin"), "uid", "length", F.lit(0).cast("long").alias("gene"))
-        tasks = shards * ISLANDS  # no more files than islands
-        elites = cut(start.groupBy("shard", "island").applyInArrow(_epoch(capacity, 0), _PLACED).coalesce(tasks))
-        own = elites.select("shard", "island", F.lit(0).cast("long").alias("origin"), "uid", "length", "gene")
-        migrants = own.withColumns({"island": (F.col("island") + 1) % ISLANDS, "origin": F.lit(1).cast("long")})
-        placed = cut(own.unionByName(migrants).groupBy("shard", "island").applyInArrow(_epoch(capacity, 1), _PLACED).coalesce(tasks))
+    rest, round_ = cut(pieces.where(F.col("length") < capacity).select("uid", "length")), 0
+    while True:
+        count, tokens = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        shards = max(1, min(-(-count // SHARD), tokens // (LEAST_BINS * capacity)))
+        placed = evolved(rest.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(shards)).cast("long")), shards, capacity)
         best = placed.groupBy("shard").agg(F.min(F.struct("bins", "island")).alias("b")).select("shard", F.col("b.island").alias("island"))
         placed = placed.join(best, ["shard", "island"])
         sequence = ((F.lit(round_) * (1 << 31) + F.col("shard")) * (1 << 20) + F.col("gene")).alias("sequence_id")
-        last = shards == 1 or round_ == ROUNDS - 1
-        final = placed if last else placed.where(F.col("fill") >= FULL * capacity)
-        whole = whole.unionByName(final.select("uid", sequence, "offset"))
-        if last:
-            break
-        rest = cut(placed.where(F.col("fill") < FULL * capacity).select("uid", "length"), count)
-        count = rest.count()
-    return whole
+        final = F.lit(shards == 1) | (F.col("gene") < F.floor(F.col("bins") * KEEP))
+        whole = whole.unionByName(placed.where(final).select("uid", sequence, "offset"))
+        if shards == 1:
+            return whole
+        rest, round_ = cut(placed.where(~final).select("uid", "length"), count), round_ + 1
 
 
 @cache

@@ -267,14 +267,67 @@ def test_words_are_encoded_as_in_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
-def test_genetic_packing_keeps_all_items_and_beats_or_equals_best_fit():
+def test_genetic_packing_beats_best_fit():
     r = random.Random(1)
-    for seed in range(6):
-        lengths = [r.choice([r.randrange(30, 70), r.randrange(1, 40)]) for _ in range(120)]
-        start = packing.best_fit([], list(range(120)), lengths, 100)
-        best = packing.evolve(lengths, [], 100, random.Random(seed), 12)
-        assert sorted(i for _, held in best for i in held) == list(range(120))
-        assert all(fill == sum(lengths[i] for i in held) <= 100 for fill, held in best) and len(best) <= len(start)
+    triplets = []
+    for _ in range(60):
+        a = r.randrange(380, 490)
+        b = r.randrange(250, (1000 - a) // 2 + 1)
+        triplets += [a, b, 1000 - a - b]
+    for lengths, capacity in ((triplets, 1000), ([r.randrange(1200, 1900) for _ in range(600)], 4096)):
+        plain = packing.best_fit([], packing.longest_first(range(len(lengths)), lengths), lengths, capacity)
+        assert len(plain) > -(-sum(lengths) // capacity)
+        best, crossovers = packing.evolve(lengths, [], capacity, random.Random(2), 20)
+        assert crossovers == 40 and len(best) < len(plain)
+        assert sorted(i for _, held in best for i in held) == list(range(len(lengths)))
+        assert all(fill == sum(lengths[i] for i in held) <= capacity for fill, held in best)
+
+
+def test_genetic_packing_against_brute_force():
+    def least(lengths, capacity):
+        best = len(lengths)
+
+        def put(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(lengths):
+                best = len(bins)
+                return
+            for b in range(len(bins)):
+                if bins[b] + lengths[i] <= capacity:
+                    put(i + 1, bins[:b] + [bins[b] + lengths[i]] + bins[b + 1 :])
+            put(i + 1, [*bins, lengths[i]])
+
+        put(0, [])
+        return best
+
+    r = random.Random(6)
+    for seed in range(60):
+        lengths = [r.choice([r.randrange(20, 60), r.randrange(1, 100)]) for _ in range(r.randrange(1, 11))]
+        best, _ = packing.evolve(lengths, [], 100, random.Random(seed), 30)
+        assert len(best) == least(lengths, 100), lengths
+
+
+def test_every_shard_evolves_and_rounds_go_on_to_one(spark, monkeypatch):
+    for name, value in (("SHARD", 60), ("LEAST_BINS", 4)):
+        monkeypatch.setattr(packing, name, value)
+    r = random.Random(3)
+    lengths = [r.choice([100, r.randrange(1, 100), r.randrange(30, 50)]) for _ in range(700)]
+    pieces = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    shards = 5
+    elites = packing.evolved(pieces.where("length < 100").withColumn("shard", F.col("uid") % shards), shards, 100)
+    seen = {(x["shard"], x["island"]) for x in elites.where(F.col("crossovers") == 2 * packing.GENERATIONS).collect()}
+    assert seen == {(s, i) for s in range(shards) for i in range(packing.ISLANDS)} and elites.where("crossovers = 0").isEmpty()
+    bins = {}
+    for x in packing.pack(pieces, 100).collect():
+        bins.setdefault(x["sequence_id"], []).append((x["offset"], lengths[x["uid"]]))
+    assert sum(len(b) for b in bins.values()) == 700
+    for held in bins.values():
+        held.sort()
+        assert held[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(held, held[1:])) and sum(n for _, n in held) <= 100
+    plain = packing.best_fit([], packing.longest_first(range(700), lengths), lengths, 100)
+    assert len(bins) <= len(plain) * 1.01 + 1
 
 
 # --- chat -------------------------------------------------------------------------------------------------------------
