@@ -1,30 +1,37 @@
 """Line dedup on levelled sorted runs of line hashes.
 
-A *run* is a table of line keys, sorted by key hash, with the number of
-documents that hold the key and the largest of their ids.  Documents come in
-batches.  A batch is reduced to one row per key, merge-anti-joined with every
-run (keys that no run knows), and added as a new run of level 0; keys that are
-known add their counts through the compaction.  ``FANOUT`` runs of a level are
-compacted into one run of the next level, so a table of B batches is rewritten
-about log(B) times and a probe meets few runs.
-
-Hot keys cost nothing extra: a key is one row per map task before any shuffle.
-The key is 128 bits of hash (two chained 64-bit hashes), so distinct lines are
-never taken for each other at any realistic corpus size.
+A *run* is a table of line keys, dealt to buckets by key hash and sorted within them, with the
+number of documents and lines that hold the key and the largest document id.  Documents come in
+batches.  A batch is reduced to one row per key, dealt and sorted likewise, and merge-joined with every
+run in turn.  Keys that no run knows are a new run of level 0; what it adds to known
+keys is kept beside.  ``FANOUT`` runs of a level, and what lies beside, are compacted into one run of the next level, so
+a table of B batches is rewritten about log(B) times and a probe meets few runs.  All runs are bucketed tables of the same buckets,
+so a probe shuffles the batch alone and no run again; a compaction deals its rows once.
+
+Hot keys cost nothing extra: a key is one row per map task before any shuffle, and the few keys with many lines
+reach these by a broadcast (``skew.join_counted``).  The key is 128 bits of hash (two chained 64-bit
+hashes), so distinct lines are never taken for each other at any realistic corpus size.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm.names import unused
-from driftloom.plans.lineage import cut
-
-FANOUT = 4
+from driftloom.llm.skew import join_counted
+from driftloom.plans.lineage import cut, shared_folder
+
+FANOUT = 3
+#: Lines of the first batch; each doubling of a table's lines adds a batch, up to ``SLOTS``.
+BATCH_LINES, SLOTS = 16_384, 16
+#: Lines for each bucket of the runs.
+BUCKET_LINES = 250_000
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACES = "\t\n\x0b\x0c\r "
 
@@ -48,49 +55,76 @@ def line_hashes(text: Column, min_chars: int) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.when(F.char_length(_key(x)) >= min_chars, _hash(_key(x))))
 
 
+_KEYS = ["h1", "h2"]
+
+
+class Run(NamedTuple):
+    """One stored table, read by its buckets for probes, and as plain files for compactions."""
+
+    bucketed: DataFrame
+    plain: DataFrame
+
+    def where(self, condition: str) -> Run:
+        return Run(*(df.where(condition).drop("seen") for df in self))
+
+
 @dataclass
 class LineRuns:
-    """Sorted runs of keys by level, disjoint from each other, and what later batches add to known keys.
+    """Sorted runs of keys by level, and what batches since the last compaction add to keys of the runs.
 
-    Every table has (h1, h2, n_docs, keeper), one row a key.
+    Every table has (h1, h2, n_docs, n_lines, keeper), one row a key, in ``buckets`` sorted buckets.
     """
 
-    rows: int | None = None  # that any table has at most, if known
-    levels: dict[int, list[DataFrame]] = field(default_factory=dict)
-    repeats: list[DataFrame] = field(default_factory=list)
+    buckets: int
+    levels: dict[int, list[Run]] = field(default_factory=dict)
+    beside: list[Run] = field(default_factory=list)
+    compactions: int = 0
 
-    def runs(self) -> list[DataFrame]:
+    def runs(self) -> list[Run]:
         return [run for level in sorted(self.levels) for run in self.levels[level]]
 
+    def _stored(self, rows: DataFrame) -> Run:
+        """``rows`` as a bucketed, sorted table in the shared folder; only its name leaves the catalog again."""
+        spark, name = rows.sparkSession, f"line_run_{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/{name}"
+        dealt = rows.repartition(self.buckets, *_KEYS).sortWithinPartitions(*_KEYS)
+        dealt.write.bucketBy(self.buckets, *_KEYS).sortBy(*_KEYS).option("path", path).saveAsTable(name)
+        table = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")
+        return Run(table, spark.read.schema(table.schema).parquet(path))
+
     def add(self, batch: DataFrame) -> None:
-        """Adds a batch, one row a key: unseen keys are a new sorted run of level 0, the others count for the key they repeat.
-
-        One merge join with all runs tells them apart, so a batch is an anti-join and its complement in one.
-        """
-        if runs := self.runs():
-            known = reduce(DataFrame.unionByName, [run.select("h1", "h2") for run in runs]).withColumn("seen", F.lit(True))
-            marked = cut(batch.hint("merge").join(known, ["h1", "h2"], "left"), self.rows)
-            self.repeats.append(marked.where("seen").drop("seen"))
-            self._put(0, marked.where("seen IS NULL").drop("seen"))
-        else:
-            self._put(0, cut(batch.sortWithinPartitions("h1", "h2"), self.rows))
-
-    def _put(self, level: int, run: DataFrame) -> None:
+        """Adds a batch, one row a key: the keys that a merge join finds in no run are a new run, the others lie beside."""
+        probe = batch.repartition(self.buckets, *_KEYS)
+        runs = self.runs()
+        for i, run in enumerate(runs):
+            probe = probe.hint("merge").join(run.bucketed.select(*_KEYS, F.lit(True).alias(f"in{i}")), _KEYS, "left")
+        seen = F.coalesce(*[F.col(f"in{i}") for i in range(len(runs))], F.lit(False))
+        marked = self._stored(probe.withColumn("seen", seen).drop(*[f"in{i}" for i in range(len(runs))]))
+        if runs:
+            self.beside.append(marked.where("seen"))
+        self._put(0, marked.where("NOT seen"))
+
+    def _put(self, level: int, run: Run) -> None:
         here = self.levels.setdefault(level, [])
         here.append(run)
         if len(here) >= FANOUT:
-            self.levels[level] = []
-            # disjoint, so merging them is dealing and sorting
-            self._put(level + 1, cut(reduce(DataFrame.unionByName, here).repartition("h1", "h2").sortWithinPartitions("h1", "h2"), self.rows))
+            self.levels[level], beside, self.beside = [], self.beside, []
+            self.compactions += 1
+            self._put(level + 1, self._stored(merged(here + beside)))
 
     def common(self, min_docs: int) -> DataFrame:
         """The keys that at least ``min_docs`` documents hold, over all batches so far."""
-        return merged(self.runs() + self.repeats).where(F.col("n_docs") >= min_docs)
+        return merged(self.runs() + self.beside).where(F.col("n_docs") >= min_docs)
+
 
+def merged(runs: list[Run]) -> DataFrame:
+    """Several tables of keys as one: counts of different batches add up, the largest document keeps the line.
 
-def merged(runs: list[DataFrame]) -> DataFrame:
-    """Several tables of keys as one: counts of different batches add up, the largest document keeps the line."""
-    return reduce(DataFrame.unionByName, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+    Plain reads, as Spark 4.1 takes a union of bucketed tables for bucketed even where it then reads them otherwise.
+    """
+    rows = reduce(DataFrame.unionByName, [run.plain for run in runs])
+    return rows.groupBy(*_KEYS).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_lines")], F.max("keeper").alias("keeper"))
 
 
 def places_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
@@ -101,20 +135,26 @@ def places_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 def batch_keys(places: DataFrame) -> DataFrame:
-    """(h1, h2, n_docs, keeper) of one batch; a document counts once however many lines or rows of it have the key.
+    """(h1, h2, n_docs, n_lines, keeper) of one batch; a document counts once however many lines or rows of it have the key.
 
     The first aggregation is keyed by key and document and the second combines
     before its shuffle, so a line that every document holds stays spread.
     """
-    once = places.select("h1", "h2", "doc").distinct()
-    return once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
+    once = places.groupBy(*_KEYS, "doc").agg(F.count("*").alias("n"))
+    return once.groupBy(*_KEYS).agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_lines"), F.max("doc").alias("keeper"))
+
+
+def batch_count(lines: int) -> int:
+    """How many batches a table of so many lines comes in."""
+    return min(SLOTS, 1 + int(max(1, lines // BATCH_LINES)).bit_length() - 1)
 
 
-def build_runs(places: DataFrame, batches: int = 4) -> LineRuns:
-    """The runs of all ``places`` after ``batches`` batches; rows of one document are in one batch."""
-    runs = LineRuns(places.count())
+def build_runs(places: DataFrame, lines: int, batches: int | None = None) -> LineRuns:
+    """The runs of all ``places``, which have a ``slot`` by document, after so many batches."""
+    batches = batches or batch_count(lines)
+    runs = LineRuns(max(1, -(-lines // BUCKET_LINES)))
     for b in range(batches):
-        runs.add(batch_keys(places.where(F.pmod(F.xxhash64("doc"), F.lit(batches)) == b)))
+        runs.add(batch_keys(places.where(F.col("slot").isin([s for s in range(SLOTS) if s % batches == b]))))
     return runs
 
 
@@ -124,7 +164,7 @@ def drop_repeated_lines(
     text_col: str = "text",
     min_chars: int = 20,
     min_docs: int = 3,
-    batches: int = 4,
+    batches: int | None = None,
     lines_col: str = "n_lines",
     dropped_col: str = "n_dropped",
 ) -> DataFrame:
@@ -133,7 +173,7 @@ def drop_repeated_lines(
     A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` at both ends with
     A-Z lower-cased.  Keys of at least ``min_chars`` code points that at least
     ``min_docs`` documents hold lose all their lines, except in the document with
-    the largest id that holds the key; there all of them stay.
+    the largest id that holds the key; there all of them stay.  ``batches``, ``SLOTS`` at most, only says how the work is cut.
 
     - Null or empty text is one empty line, which stays; the text is then empty.
     - A row with a null id loses no line and counts for no key.
@@ -146,12 +186,15 @@ def drop_repeated_lines(
     docs = docs.drop(lines_col, dropped_col)
     d, r, g, s = (unused(docs, name) for name in ("_doc", "_row", "_gone", "_lines"))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    places = cut(places_of(own, "doc_id", "text", min_chars))
-    # cut, so that the join below deals both sides anew and Spark may split the partition of a hot line
-    runs = build_runs(places, batches)
-    common = cut(runs.common(min_docs).select("h1", "h2", "keeper"), runs.rows)
+    # written once, a folder a slot, so that each batch reads its own lines only
+    spark, folder = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/places"
+    slotted = places_of(own, "doc_id", "text", min_chars).withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).cast("int"))
+    slotted.hint("rebalance", "slot").write.partitionBy("slot").parquet(folder)
+    places = spark.read.schema(slotted.schema).parquet(folder)
+    total = places.count()
+    common = cut(build_runs(places, total, batches).common(min_docs).select(*_KEYS, "n_lines", "keeper"))
     gone = (
-        places.join(common.hint("merge"), ["h1", "h2"])
+        join_counted(places, common, _KEYS, "n_lines", total)
         .where(F.col("doc") < F.col("keeper"))
         .groupBy(F.col("doc").alias(d), F.col("row").alias(r))
         .agg(F.collect_set("pos").alias(g))

@@ -375,20 +375,37 @@ def test_line_dedup(spark):
     assert linededup.drop_repeated_lines(df.limit(0)).count() == 0
 
 
-def test_runs_are_levelled_and_disjoint(spark):
-    runs = linededup.LineRuns()
+def test_runs_are_levelled(spark):
+    runs = linededup.LineRuns(3)
     r = random.Random(0)
     want = {}
-    for b in range(9):
+    for b in range(10):
         keys = {r.randrange(60) for _ in range(20)}
         for k in keys:
             n, top = want.get(k, (0, 0))
             want[k] = (n + 1, max(top, b))
-        runs.add(spark.createDataFrame([(k, k, 1, b) for k in keys], "h1 long, h2 long, n_docs long, keeper long"))
-    assert {level: len(x) for level, x in runs.levels.items()} == {0: 1, 1: 2}
-    held = [x["h1"] for run in runs.runs() for x in run.collect()]
-    assert sorted(held) == sorted(want)
-    assert {x["h1"]: (x["n_docs"], x["keeper"]) for x in runs.common(3).collect()} == {k: v for k, v in want.items() if v[0] >= 3}
+        runs.add(spark.createDataFrame([(k, k, 1, 2, b) for k in keys], "h1 long, h2 long, n_docs long, n_lines long, keeper long"))
+    # nine batches are three compactions of level 0 and one of level 1; the tenth lies at level 0 again
+    assert runs.compactions == 4 and {level: len(x) for level, x in runs.levels.items()} == {0: 1, 1: 0, 2: 1}
+    assert {x["h1"] for run in runs.runs() for x in run.bucketed.collect()} == set(want)
+    assert {x["h1"]: (x["n_docs"], x["n_lines"] // 2, x["keeper"]) for x in runs.common(3).collect()} == {k: (v[0], *v) for k, v in want.items() if v[0] >= 3}
+    a, b = (run.bucketed for run in runs.runs())
+    plan = a.hint("merge").join(b.select("h1", "h2"), ["h1", "h2"], "left")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_line_dedup_with_several_compactions(spark):
+    r = random.Random(5)
+    lines = [f"this is the line with number {k} of them" for k in range(30)] + ["hot line that every document holds"] * 6
+    rows = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(1, 12)))) for i in range(120)]
+    holders = {}
+    for i, text in rows:
+        for line in text.split("\n"):
+            holders.setdefault(line, set()).add(i)
+    want = {i: "\n".join(x for x in text.split("\n") if len(holders[x]) < 3 or max(holders[x]) == i) for i, text in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for batches in (10, 1):
+        assert {x["doc_id"]: x["text"] for x in linededup.drop_repeated_lines(df, batches=batches).collect()} == want
 
 
 # --- clashing names ---------------------------------------------------------------------------------------------------
