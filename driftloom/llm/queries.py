@@ -122,14 +122,15 @@ def _url_sql() -> str:
         steps.append(
             f"f{k + 1} AS (SELECT f.\"window\", {mix('allow')}, {mix('block')} FROM f{k} AS f JOIN part USING (\"window\") JOIN gram USING (k, context, next) JOIN ctx USING (k, context) WHERE k = {k})"
         )
-    stat = lambda c: f"(SELECT sum(n * score) / sum(n) AS m, sqrt(greatest(sum(n * score * score) / sum(n) - pow(sum(n * score) / sum(n), 2), 1e-12)) AS d FROM texts JOIN scored USING (text) WHERE label = '{c}')"
+    stat = lambda c, held: f"(SELECT sum(n * score) / sum(n) AS m, sqrt(greatest(sum(n * score * score) / sum(n) - pow(sum(n * score) / sum(n), 2), 1e-12)) AS d FROM texts JOIN scored USING (text) WHERE label = '{c}' AND {held})"
+    bar = lambda held: f"(SELECT (a.m * b.d + b.m * a.d) / (a.d + b.d) AS t FROM {stat('allow', held)} AS a, {stat('block', held)} AS b)"
     return rf"""
 WITH parts AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 ruled AS (SELECT *, host || path AS text, {case(str)} AS rule, {case(lambda r: r.verdict)} AS label FROM parts),
-texts AS (SELECT text, label, count(*) AS n FROM ruled GROUP BY ALL),
-win AS (SELECT text, label, n, substr(repeat(chr(2), {k_max}) || text || chr(3), unnest(generate_series(1, length(text) + 1)), {k_max + 1}) AS "window" FROM texts),
+texts AS (SELECT text, max(label) AS label, count(*) AS n, CAST('0x' || substr(md5(text), 1, 8) AS BIGINT) % {urlfilter.FOLDS} = 0 AS held FROM ruled GROUP BY text),
+win AS (SELECT text, CASE WHEN NOT held THEN label END AS label, n, substr(repeat(chr(2), {k_max}) || text || chr(3), unnest(generate_series(1, length(text) + 1)), {k_max + 1}) AS "window" FROM texts),
 cnt AS (SELECT "window", coalesce(sum(n) FILTER (WHERE label = 'allow'), 0) AS allow, coalesce(sum(n) FILTER (WHERE label = 'block'), 0) AS block FROM win GROUP BY ALL),
 part AS (SELECT "window", allow, block, k, substr("window", {k_max + 1} - k, k) AS context, substr("window", {k_max + 1}, 1) AS next FROM cnt, range({k_max + 1}) AS r(k)),
 gram AS (SELECT k, context, next, sum(allow) AS n_allow, sum(block) AS n_block FROM part GROUP BY ALL),
@@ -139,7 +140,7 @@ one AS (SELECT DISTINCT text FROM texts),
 scored AS (
   SELECT text, avg(ln(p_allow) - ln(p_block)) AS score
   FROM (SELECT text, substr(repeat(chr(2), {k_max}) || text || chr(3), unnest(generate_series(1, length(text) + 1)), {k_max + 1}) AS "window" FROM one) JOIN f{k_max + 1} USING ("window") GROUP BY text),
-bar AS (SELECT coalesce((a.m * b.d + b.m * a.d) / (a.d + b.d), 0) AS t FROM {stat("allow")} AS a, {stat("block")} AS b)
+bar AS (SELECT coalesce((SELECT t FROM {bar("held")}), (SELECT t FROM {bar("true")}), 0) AS t)
 SELECT page_id, host, path, rule, coalesce(label, CASE WHEN score >= (SELECT t FROM bar) THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score FROM ruled JOIN scored USING (text)
 """
 

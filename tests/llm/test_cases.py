@@ -171,7 +171,36 @@ def test_token_count_cases(spark, odd):
 
 def test_ties_go_to_the_earlier_candidate():
     c = tokencount.Counter([("<unk>", 0.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁", -1.0)])
-    assert c.count("ab") == 2 and c.count("abz") == 3  # "ab" is put first and "a", "b" isn't strictly better
+    # "ab" is put first and "a", "b" isn't strictly better
+    assert c.count("ab") == 2 and c.count("abz") == 3 and c.count("abzz") == 3
+    with pytest.raises(ValueError):
+        tokencount.Counter([])
+
+
+@pytest.mark.parametrize("kind", ["fractions", "ties", "inner marks", "no mark", "bytes"])
+def test_unigram_vocabularies_against_the_library(kind):
+    from tokenizers import Tokenizer, models, normalizers
+
+    r = random.Random(kind)
+    letters = "abcdé日"
+    names = {"".join(r.choice(letters) for _ in range(r.randrange(1, 5))) for _ in range(60)} - {"日"}
+    names |= {"▁" + n for n in list(names)[:25]}
+    if kind == "inner marks":
+        names |= {n + "▁" + m for n, m in zip(list(names)[:12], list(names)[12:24])}
+    if kind != "no mark":
+        names.add("▁")
+    if kind == "bytes":
+        names |= {f"<0x{b:02X}>" for b in range(256)}
+    # many sums that are equal but for rounding
+    score = (lambda: r.choice([-0.1, -0.2, -0.3, -0.7])) if kind in ("ties", "inner marks") else lambda: -r.uniform(1, 12)
+    pieces = [("<unk>", 0.0)] + [(n, score()) for n in sorted(names)]
+    tok = Tokenizer(models.Unigram(pieces, 0, kind == "bytes"))
+    tok.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    own = tokencount.Counter(pieces)
+    assert own.by_bytes == (kind == "bytes") and not own.exact
+    for _ in range(400):
+        text = "".join(r.choice(letters + "  zy") for _ in range(r.choice([3, 30, 300])))
+        assert own.count(text) == len(tok.encode(text, add_special_tokens=False).ids), text
 
 
 # --- URLs -------------------------------------------------------------------------------------------------------------
@@ -193,6 +222,26 @@ def test_urls(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_hot_urls_and_windows_and_the_held_out_error(spark, monkeypatch):
+    from driftloom.llm import skew
+
+    monkeypatch.setattr(skew, "PARTS", 8)
+    r = random.Random(2)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(8))
+    rows = [(i, f"http://good.org/{word('abcde')}/{word('abcde')}") for i in range(300)] + [(1000 + i, f"http://bad.com/de/{word('vwxyz')}/{word('vwxyz')}") for i in range(300)]
+    rows += [(2000 + i, f"http://other.net/{word('abcde')}/{word('abcde')}") for i in range(30)] + [(3000 + i, f"http://other.net/{word('vwxyz')}/{word('vwxyz')}") for i in range(30)]
+    rows += [(5000 + i, None) for i in range(400)]
+    rules = [urlfilter.Rule("allow", "org", "/"), urlfilter.Rule("block", "com", "/de/")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    got = {x["page_id"]: x["verdict"] for x in urlfilter.judge(df, rules).collect()}
+    assert len(got) == len(rows)
+    assert sum(got[2000 + i] == "allow" for i in range(30)) >= 28 and sum(got[3000 + i] == "block" for i in range(30)) >= 28
+    ruled = df.select(urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path"))
+    ruled = ruled.withColumn("label", urlfilter.matched_rule(rules, F.col("host"), F.col("path"))["verdict"])
+    _, errors = urlfilter.calibrate(urlfilter.scored_texts(ruled).where("label IS NOT NULL"))
+    assert set(errors) == {"allow", "block"} and max(errors.values()) < 0.05
+
+
 # --- embeddings -------------------------------------------------------------------------------------------------------
 
 
