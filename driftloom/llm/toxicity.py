@@ -6,7 +6,8 @@ words are lower-cased and free of ASCII punctuation.  A feature counts once a te
 
 The learner keeps per-coordinate rates and L1 sparsity, so that what it learns is
 a short list of weights.  It reads a bounded sample of labelled rows
-(``max_rows``), in the order of a hash of the id.  The weights, no more than the
+(``max_rows``), in the order of a hash of the id.  Features of the sample are found and counted by parallel tasks; only
+the updates, one row after the other, run in one.  The weights, no more than the
 sample has features, are broadcast; scoring is one pass over all whole texts.
 """
 
@@ -24,10 +25,13 @@ from pyspark.sql import types as T
 from driftloom.llm import textkernel
 from driftloom.llm.memory import release
 from driftloom.llm.names import map_in_arrow, with_outputs
+from driftloom.plans.lineage import cut
 
 STEMS = (4, 5, 6)
 _KINDS = textkernel.mix64(np.arange(101, 101 + 3 + len(STEMS), dtype=np.uint64)) | np.uint64(1)
 _BITS = 26
+#: Rows of the sample for each task that finds features.
+SAMPLE_TASK = 1000
 _MASK = np.uint64((1 << _BITS) - 1)
 
 
@@ -60,45 +64,19 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield end - at, np.concatenate(found), np.concatenate(owners)
 
 
-def fit(texts: list[pa.Array], labels: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features in order, weights, bias) of a sample; nothing but the bias if it has no labels of one kind."""
-    seen = np.zeros(1 << _BITS, dtype=np.uint8)
-
-    def each() -> Iterator[np.ndarray]:
-        for n, found, owner in (x for part in texts for x in features(part)):
-            order = np.argsort(owner, kind="stable")
-            bounds = np.searchsorted(owner[order], np.arange(n + 1))
-            found = found[order]
-            for i in range(n):
-                yield np.unique(found[bounds[i] : bounds[i + 1]])
-
-    # three passes over the texts rather than all their features in memory
-    for row in each():
-        at = np.unique(row & _MASK)
-        seen[at] += seen[at] < 255
-    names, counts, some = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-
-    def count() -> tuple[np.ndarray, np.ndarray]:
-        found, inverse = np.unique(np.concatenate([names, *some]), return_inverse=True)
-        return found, np.bincount(inverse, weights=np.concatenate([counts, np.ones(len(inverse) - len(counts))]), minlength=len(found)).astype(np.int64)
-
-    held = 0
-    for row in each():
-        some.append(row[seen[row & _MASK] >= params.min_docs])
-        held += len(some[-1])
-        if held > 300_000:
-            (names, counts), some, held = count(), [], 0
-    names, counts = count()
-    names = names[counts >= params.min_docs]
-    del seen, counts
-    z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)  # the last is the bias, which has no penalty
-    packed, bounds = bytearray(), [0]  # the rows' known features, one after the other
-    for row in each():
-        at = np.searchsorted(names, row)
-        at = at[(at < len(names)) & (names[np.minimum(at, max(len(names) - 1, 0))] == row)] if len(names) else at[:0]
-        packed += np.append(at, len(names)).astype(np.int32).tobytes()
-        bounds.append(len(packed) // 4)
-    flat = np.frombuffer(packed, dtype=np.int32)
+def row_features(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted distinct features of each text."""
+    for n, found, owner in features(texts):
+        order = np.argsort(owner, kind="stable")
+        bounds = np.searchsorted(owner[order], np.arange(n + 1))
+        found = found[order]
+        for i in range(n):
+            yield np.unique(found[bounds[i] : bounds[i + 1]])
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, params: Params) -> tuple[np.ndarray, float]:
+    """(weight of each of ``size`` features, bias) after all updates, for rows of feature numbers in order."""
+    z, n = np.zeros(size + 1), np.zeros(size + 1)  # the last is the bias, which has no penalty
 
     def weights(zi: np.ndarray, ni: np.ndarray) -> np.ndarray:
         return -np.sign(zi) * np.maximum(np.abs(zi) - params.l1, 0) / ((params.beta + np.sqrt(ni)) / params.alpha + params.l2)
@@ -107,8 +85,8 @@ def fit(texts: list[pa.Array], labels: np.ndarray, params: Params) -> tuple[np.n
         return -z[-1] / ((params.beta + np.sqrt(n[-1])) / params.alpha)
 
     for _ in range(params.epochs):
-        for start, end, y in zip(bounds[:-1], bounds[1:], labels, strict=True):
-            at = flat[start:end]
+        for row, y in zip(rows, labels, strict=True):
+            at = np.append(row, size)
             zi, ni = z[at], n[at]
             w = weights(zi, ni)
             w[-1] = bias()
@@ -116,39 +94,89 @@ def fit(texts: list[pa.Array], labels: np.ndarray, params: Params) -> tuple[np.n
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / params.alpha
             z[at] += g - sigma * w
             n[at] += g * g
-    w = weights(z[:-1], n[:-1])
-    return names[w != 0], w[w != 0], float(bias())
-
+    return weights(z[:-1], n[:-1]), float(bias())
 
-def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights from the labelled rows of ``docs``, ``params.max_rows`` at most.
 
-    ``labels`` has ids and labels 0 or 1; null ids and labels are left out, of
-    several labels of an id the larger holds.  Without usable rows there are no weights.
-    """
+def _sample(docs: DataFrame, labels: DataFrame, params: Params, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(at, text, label): the first ``max_rows`` labelled rows by a hash of the id."""
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col)).cast("double").alias("label"))
     # at most max_rows rows of two numbers, so that it can be broadcast
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(own), "doc_id").select("text", "label", F.xxhash64("doc_id").alias("at"))
+    rows = cut(texts.join(F.broadcast(own), "doc_id").select(F.xxhash64("doc_id").alias("at"), F.xxhash64("text").alias("of"), "text", "label"))
+    if (count := rows.count()) > params.max_rows:
+        # rows that repeat an id: the bound of the rows, from numbers alone, then what lies under it
+        order = ["at", "of"]
+        last = rows.select(*order).orderBy(*order).limit(params.max_rows).agg(F.max(F.struct(*order))).first()[0]
+        rows = rows.where(F.struct(*order) <= F.struct(*[F.lit(last[c]) for c in order]))
+        rows, count = rows.orderBy(*order).limit(params.max_rows), params.max_rows
+    return rows.select("at", "text", "label").repartition(max(1, -(-count // SAMPLE_TASK)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(batch.column(0), batch.column(1).to_numpy()) for batch in batches if batch.num_rows]
-        if not rows:
+
+def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "label") -> tuple[np.ndarray, np.ndarray, float]:
+    """(features in order, weights, bias) from the labelled rows of ``docs``, ``params.max_rows`` at most.
+
+    ``labels`` has ids and labels 0 or 1; null ids and labels are left out, of
+    several labels of an id the larger holds.
+
+    - Null, empty and blank texts have no features; such a row moves the bias alone.
+    - Rows that repeat an id are each a row of the sample and count against ``max_rows``; equal rows are rows of their own.
+    - Without usable rows, or from empty tables, there are no weights and the bias is 0.
+    - Very long texts are used whole.  Other columns aren't read.
+    """
+    spark = docs.sparkSession
+    sample = _sample(docs, labels, params, id_col, text_col, label_col)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x.astype(np.int64).tobytes() for x in row_features(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["at", "found", "label"])
+        release()
+
+    rows = cut(sample.mapInArrow(find, "at long, found binary, label double"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(found.as_buffer(), np.int64))], names=["feature"])
+
+    counts = rows.select("found").mapInArrow(each, "feature long").groupBy("feature").agg(F.count("*").alias("n"))
+    names = np.sort(counts.where(F.col("n") >= params.min_docs).select("feature").toArrow().column(0).to_numpy())
+    shared = spark.sparkContext.broadcast(names)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            out = []
+            for found in batch.column(1):
+                row = np.frombuffer(found.as_buffer(), np.int64)
+                at = np.searchsorted(known, row)
+                fits = known[np.minimum(at, len(known) - 1)] == row if len(known) else np.zeros(len(row), bool)
+                out.append(at[fits].astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["at", "row", "label"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, labels = [], []
+        for batch in batches:
+            held += [np.frombuffer(row.as_buffer(), np.int32).copy() for row in batch.column(1)]
+            labels.append(batch.column(2).to_numpy())
+        if not held:
             return
-        names, w, b = fit([texts for texts, _ in rows], np.concatenate([y for _, y in rows]), params)
-        del rows
+        w, b = fit(held, np.concatenate(labels), len(shared.value), params)
+        at = np.flatnonzero(w)
+        del held
         release()
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(names.astype(np.int64), 0)), pa.array(np.append(w, b)), pa.array([False] * len(w) + [True])], names=["feature", "weight", "bias"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at], b))], names=["at", "weight"])
 
-    # one task for the bounded sample, in an order that doesn't depend on how the table is dealt
-    found = sample.repartition(1).sortWithinPartitions("at", "text").mapInArrow(run, "feature long, weight double, bias boolean").toArrow()
+    # one task for the bounded sample's numbers, in an order that doesn't depend on how the table is dealt
+    numbered = rows.mapInArrow(number, "at long, row binary, label double")
+    found = numbered.repartition(1).sortWithinPartitions("at", "row", "label").mapInArrow(learn, "at long, weight double").toArrow()
     if not found.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0), 0.0
-    is_bias = found.column("bias").to_numpy()
-    names, w = found.column("feature").to_numpy().astype(np.uint64), found.column("weight").to_numpy()
-    order = np.argsort(names[~is_bias])
-    return names[~is_bias][order], w[~is_bias][order], float(w[is_bias][0])
+    at, w = found.column("at").to_numpy(), found.column("weight").to_numpy()
+    chosen = names[at[:-1]].view(np.uint64)
+    order = np.argsort(chosen)
+    return chosen[order], w[:-1][order], float(w[-1])
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:

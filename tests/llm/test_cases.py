@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,7 +255,7 @@ def test_embedding_dedup(spark):
         rows.append((i, [float(np.float32(c)) for c in v + r.normal(size=32) * r.choice([0.0, 0.05, 0.2, 0.4])]))
     odd = [(900, None), (901, [0.0] * 32), (902, [None] * 32), (903, [math.nan] * 32), (904, [1.0, 2.0]), (905, [2.0, 4.0]), (906, []), (None, [1.0] * 32), (907, [1e-300] * 32), (908, [1e300] * 32)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, embedding array<double>, n long")
-    got = {x["vec_id"]: x for x in pqdedup.near_duplicates(df, 0.9, params=pqdedup.Params(block=64, per_list=40)).collect()}
+    got = {x["vec_id"]: x for x in pqdedup.near_duplicates(df, 0.9, params=pqdedup.Params(block=64, lists=17, lengths=1)).collect()}
     x = np.array([v for _, v in rows])
     x /= np.linalg.norm(x, axis=1)[:, None]
     near = x @ x.T >= 0.9
@@ -288,6 +289,54 @@ def test_toxicity_cases(spark, odd):
     assert len(none[0]) == 0 and {x["score"] for x in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_training_against_plain_ftrl(spark):
+    """One update after the other, a feature at a time."""
+    r = random.Random(7)
+    rows = [(i, " ".join(r.choice("red green blue bad worse ugly good fine".split()) for _ in range(r.randrange(0, 9)))) for i in range(150)]
+    rows += [(5, "bad again"), (5, "bad again"), (9, None)]
+    own = [(i, int("bad" in (t or "") or "ugly" in (t or ""))) for i, t in rows[:150]]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(own, "doc_id long, label int")
+    p = toxicity.Params(l1=0.5, min_docs=2)
+    names, w, bias = toxicity.train(docs, labels, p)
+    order = {x["doc_id"]: x["h"] for x in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    by_id = dict(own)
+    found = [(order[i], next(toxicity.row_features(pa.array([t])), np.zeros(0, np.uint64)), by_id[i]) for i, t in rows]
+    counts = {}
+    for _, row, _ in found:
+        for f in row.tolist():
+            counts[f] = counts.get(f, 0) + 1
+    known = sorted((f for f in counts if counts[f] >= p.min_docs), key=lambda f: f - (1 << 64) if f >> 63 else f)
+    at = {f: k for k, f in enumerate(known)}
+    lists = sorted((h, np.array([at[f] for f in sorted(row.tolist(), key=lambda f: f) if f in at], np.int32)[np.argsort([at[f] for f in sorted(row.tolist()) if f in at])].tobytes(), y) for h, row, y in found)
+    z, n = {}, {}
+
+    def weight(f):
+        zf, nf = z.get(f, 0.0), n.get(f, 0.0)
+        if f == "bias":
+            return -zf / ((p.beta + nf**0.5) / p.alpha)
+        return 0.0 if abs(zf) <= p.l1 else -math.copysign(abs(zf) - p.l1, zf) / ((p.beta + nf**0.5) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for _, packed, y in lists:
+            fs = [*np.frombuffer(packed, np.int32).tolist(), "bias"]
+            ws = [weight(f) for f in fs]
+            g = 1 / (1 + math.exp(-sum(ws))) - y
+            for f, wf in zip(fs, ws):
+                nf = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - ((nf + g * g) ** 0.5 - nf**0.5) / p.alpha * wf
+                n[f] = nf + g * g
+    want = {f: weight(at[f]) for f in known if weight(at[f])}
+    got = dict(zip(names.tolist(), w.tolist()))
+    assert got.keys() == want.keys() and len(want) > 10 and all(abs(got[f] - want[f]) < 1e-9 for f in want) and abs(bias - weight("bias")) < 1e-9
+
+
+def test_the_sample_is_bounded_though_ids_repeat(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, label int")
+    assert toxicity._sample(docs, labels, toxicity.Params(max_rows=50), "doc_id", "text", "label").count() == 50
+    assert toxicity._sample(docs, labels, toxicity.Params(max_rows=400), "doc_id", "text", "label").count() == 400
+
+
 # --- packing ----------------------------------------------------------------------------------------------------------
 
 
