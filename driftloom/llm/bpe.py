@@ -109,10 +109,16 @@ class Coder:
         get, packed = self.known.get, self._packed
         return b"".join([get(w) or packed(w) for w in self.split(text)])
 
-    def decode(self, ids: bytes) -> bytes:
-        found = self.tokens.take(pa.array(np.frombuffer(ids, dtype="<u4")))
-        if not len(found):
+    def decode(self, ids: bytes) -> bytes | None:
+        """The bytes of ids, or None where these aren't ids of the vocabulary, four bytes each."""
+        if len(ids) % 4:
+            return None
+        numbers = np.frombuffer(ids, dtype="<u4")
+        if not len(numbers):
             return b""
+        if numbers.max() >= len(self.lengths) or not self.lengths[numbers].all():
+            return None
+        found = self.tokens.take(pa.array(numbers))
         _, offsets, data = found.buffers()
         at = np.frombuffer(offsets, dtype=np.int64)[found.offset : found.offset + len(found) + 1]
         return data[int(at[0]) : int(at[-1])].to_pybytes()
@@ -152,7 +158,12 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids_c
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """``df`` with the bytes that the ids of ``ids_col`` stand for; null ids give empty bytes."""
+    """``df`` with the bytes that the ids of ``ids_col`` stand for.
+
+    Null or empty ids give empty bytes; what isn't ids of the vocabulary, four bytes each, gives null.  Repeated rows are decoded
+    alike, ids of any length whole.  A column named like the output is replaced, other columns stay; an empty
+    table gives an empty table.
+    """
     schema = with_outputs(df, T.StructField(decoded_col, T.BinaryType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -422,9 +422,12 @@ def _parse_turn(formatted: str, at: int) -> tuple[tuple[str, str], int]:
     return ("assistant", text), at
 
 
-def format_conversations(turns: DataFrame, template: str = TEMPLATE, key_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def format_conversations(turns: DataFrame, template: str = TEMPLATE, key_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", reversible: bool = False) -> DataFrame:
     """(conv_id, formatted, loss_spans): each conversation rendered, its turns by ``turn``.
 
+    Control strings inside texts are escaped as the default template needs it, so only what that one renders can be read
+    back by ``read_back``.  Another template is the caller's to reverse; with ``reversible`` it is an error.
+
     ``loss_spans`` are [start, end) code points of ``formatted`` that the loss mask covers.
 
     - A null text is empty; a null role is the empty role.
@@ -434,6 +437,8 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, key_col: st
 
     Turns meet in one sorted array a conversation: a conversation is one formatted text anyway.
     """
+    if reversible and template != TEMPLATE:
+        raise TemplateError("only the default template can be read back")
     ordered = turns.select(
         F.col(key_col).cast("long").alias("conv_id"),
         F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"),
@@ -450,15 +455,26 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, key_col: st
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_text, formatted) from what ``format_conversations`` returned, texts unescaped."""
+    """(conv_id, turns, loss_text, formatted) from what ``format_conversations`` returned with the default template, texts unescaped.
+
+    - A null ``formatted`` gives null turns and a null loss text; a text that the template can't have rendered gives null turns.
+    - Null spans cover nothing; spans beyond the text end with it.
+    - A null key stays null, repeated rows are read alike, texts of any length whole.  An empty table gives an empty table.
+    """
+
+    def turns_of(text: str) -> list[dict] | None:
+        try:
+            return [{"role": role, "text": said} for role, said in parse(text)]
+        except ValueError:
+            return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
         for batch in batches:
             turns, losses = [], []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                turns.append([{"role": role, "text": said} for role, said in parse(text)])
-                losses.append("".join(unescape(text[s["start"] : s["end"]]) for s in spans))
+                turns.append(None if text is None else turns_of(text))
+                losses.append(None if text is None else "".join(unescape(text[s["start"] : s["end"]]) for s in spans or ()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(turns, kind), pa.array(losses, pa.string()), batch.column(1)], names=["conv_id", "turns", "loss_text", "formatted"])
 
     return formatted.mapInArrow(run, "conv_id long, turns array<struct<role: string, text: string>>, loss_text string, formatted string")

@@ -8,12 +8,15 @@ product: a candidate is dropped where the bound at some resolution, coarse first
 lies under the k-th best exact score so far.  The survivors get exact scores.
 
 Queries are a stated subset; they meet all candidates in blocks.  Query blocks and
-candidate blocks are dealt by a hash of the id, one pair of blocks a task, and each
-pair returns at most k rows a query.
+candidate blocks are dealt by a hash of id and vector, one pair of blocks a task, and each
+pair returns at most k ids a query.  Statistics are computed once a vector and ride along.  Within a block the threshold
+rises as candidates are scored, the most promising first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,14 +26,21 @@ from pyspark.sql import functions as F
 from driftloom.plans.lineage import cut
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
+#: Bound on a scaled vector's length, so that inner products stay under 2**62.
+LARGEST = float(1 << 31)
 #: Segments at each resolution, coarse to fine.
 RESOLUTIONS = (4, 16)
 
 
 def integer_vectors(vectors: DataFrame, scale: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v) with v the components as floor(scale * x); vectors that are null, empty or not finite throughout are left out."""
+    """(vec_id, v) with v the components as floor(scale * x).
+
+    Left out are rows with a null id and vectors that are null, empty, not finite throughout, or so long (``LARGEST`` after scaling)
+    that an inner product of two might not fit in a long.
+    """
     x = F.col(vector_col).cast("array<double>")
     fine = (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    fine &= F.aggregate(x, F.lit(0.0), lambda total, c: total + c * scale * c * scale) < LARGEST**2
     return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(
         F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v")
     )
@@ -52,42 +62,42 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b @ a
 
 
-def search_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, candidates: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) with the k best of each query in this block, ties to the smaller id.
+def statistics(v: np.ndarray) -> np.ndarray:
+    """The statistics of all resolutions, side by side."""
+    return np.concatenate([segment_statistics(v.astype(np.float64), s) for s in RESOLUTIONS], axis=1)
+
+
+def search_block(query_ids: np.ndarray, queries: np.ndarray, query_stats: np.ndarray, ids: np.ndarray, candidates: np.ndarray, stats: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) with the k best ids of each query row in this block, ties to the smaller id.
 
     A candidate with the query's own id doesn't count; of several vectors with one id the best counts.
     """
-    q, c = queries.astype(np.float64), candidates.astype(np.float64)
-    stats = [(segment_statistics(q, s), segment_statistics(c, s)) for s in RESOLUTIONS]
-    coarse = stats[0][0] @ stats[0][1].T
+    first = 2 * min(RESOLUTIONS[0], queries.shape[1])
+    coarse = query_stats[:, :first] @ stats[:, :first].T
     # room for the rounding of the bounds themselves
-    slack = 1e-9 * (np.abs(stats[0][0]).sum(axis=1)[:, None] * np.abs(stats[0][1]).max() + 1)
-    repeated = len(np.unique(ids)) < len(ids)
+    slack = 1e-9 * (np.abs(query_stats).sum(axis=1) * np.abs(stats).max() + 1)
     found: tuple[list, list, list] = ([], [], [])
     for i in range(len(queries)):
-        own = ids != query_ids[i]
-        bound = np.where(own, coarse[i] + slack[i], -np.inf)
-        if repeated or own.sum() <= 4 * k:
-            left = np.flatnonzero(own)
-        else:
-            first = np.argpartition(-bound, 2 * k)[: 2 * k]
-            first = first[own[first]]
-            best = np.sort(exact_products(queries[i], candidates[first]))
-            least = best[-k] if len(best) >= k else -np.inf
-            left = np.flatnonzero(bound >= least)
-            for a, b in stats[1:]:
-                left = left[b[left] @ a[i] + slack[i] >= least]
-        if not len(left):
-            continue
-        scores, names = exact_products(queries[i], candidates[left]), ids[left]
-        order = np.lexsort((names, -scores))
-        if repeated:
-            _, at = np.unique(names[order], return_index=True)
-            order = order[np.sort(at)]
-        order = order[:k]
-        found[0].append(np.full(len(order), query_ids[i]))
-        found[1].append(names[order])
-        found[2].append(scores[order])
+        bound = coarse[i] + slack[i]
+        order = np.argsort(-bound)
+        order = order[ids[order] != query_ids[i]]
+        scores, names = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, step, least = 0, 4 * k, None
+        while at < len(order) and (least is None or bound[order[at]] >= least):
+            part = order[at : at + step]
+            at, step = at + step, 4 * step
+            if least is not None:
+                part = part[bound[part] >= least]
+                part = part[stats[part, first:] @ query_stats[i, first:] + slack[i] >= least]
+            scores, names = np.concatenate([scores, exact_products(queries[i], candidates[part])]), np.concatenate([names, ids[part]])
+            best = np.lexsort((names, -scores))
+            _, once = np.unique(names[best], return_index=True)  # the best of each id
+            best = best[np.sort(once)][:k]
+            scores, names = scores[best], names[best]
+            least = scores[-1] if len(scores) == k else None
+        found[0].append(np.full(len(scores), query_ids[i]))
+        found[1].append(names)
+        found[2].append(scores)
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
 
 
@@ -101,25 +111,39 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     - Rows that share an id are one candidate with the best of their scores, and one query likewise.
     - Other columns aren't read.  An empty table gives an empty table.
     """
-    rows = cut(vectors.select("vec_id", "v", F.size("v").alias("dims"), F.coalesce(is_query, F.lit(False)).alias("q")))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(2).to_numpy()
+            for d in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == d))
+                stats = statistics(np.asarray(pc.list_flatten(part.column(1))).reshape(part.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([s.tobytes() for s in stats], pa.binary())], names=["vec_id", "v", "dims", "q", "s"])
+
+    plain = vectors.select("vec_id", "v", F.size("v").alias("dims"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = cut(plain.mapInArrow(described, "vec_id long, v array<long>, dims int, q boolean, s binary"))
     n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
     query_blocks, blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
 
     def dealt(i: int, count: int) -> Column:
-        return F.pmod(F.xxhash64("vec_id", F.lit(i)), F.lit(count)).cast("int")
+        return F.pmod(F.xxhash64("vec_id", "v", F.lit(i)), F.lit(count)).cast("int")
 
     def spread(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    asked = rows.where("q").select("dims", "vec_id", "v", F.lit(True).alias("q"), dealt(1, query_blocks).alias("a"), spread(blocks).alias("b"))
-    offered = rows.select("dims", "vec_id", "v", F.lit(False).alias("q"), spread(query_blocks).alias("a"), dealt(2, blocks).alias("b"))
+    asked = rows.where("q").select("dims", "vec_id", "v", "s", F.lit(True).alias("q"), dealt(1, query_blocks).alias("a"), spread(blocks).alias("b"))
+    offered = rows.select("dims", "vec_id", "v", "s", F.lit(False).alias("q"), spread(query_blocks).alias("a"), dealt(2, blocks).alias("b"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         q = table.column("q").to_numpy()
         ids = table.column("vec_id").to_numpy()
         v = np.asarray(pc.list_flatten(table.column("v"))).reshape(len(ids), -1)
-        got = search_block(ids[q], v[q], ids[~q], v[~q], k)
+        s = np.frombuffer(b"".join(table.column("s").to_pylist())).reshape(len(ids), -1)
+        if not q.any() or q.all():
+            got = [np.zeros(0, np.int64)] * 3
+        else:
+            got = search_block(ids[q], v[q], s[q], ids[~q], v[~q], s[~q], k)
         return pa.table([pa.array(np.asarray(x, np.int64)) for x in got], names=["query_id", "vec_id", "score"])
 
     part = asked.unionByName(offered).groupBy("dims", "a", "b").applyInArrow(run, "query_id long, vec_id long, score long")

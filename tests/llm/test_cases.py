@@ -46,6 +46,29 @@ def test_topk(spark):
     assert topk.top_k(topk.integer_vectors(df.limit(0), 256), F.lit(True), 5).count() == 0
 
 
+def test_topk_with_many_rows_of_one_id_and_huge_components(spark):
+    r = random.Random(4)
+    vectors = [(i if i < 40 else 7, [r.gauss(0, 1) for _ in range(8)]) for i in range(500)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = [(i, np.array([math.floor(256 * c) for c in v])) for i, v in vectors]
+    got = {}
+    for x in topk.top_k(topk.integer_vectors(df, 256), F.col("vec_id") % 20 == 7, 5).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    assert set(got) == {7, 27}
+    for q in got:
+        best = {}
+        for a, u in whole:
+            for b, v in whole:
+                if a == q != b:
+                    best[b] = max(best.get(b, -(10**9)), int(u @ v))
+        want = sorted((-s, b) for b, s in best.items())[:5]
+        assert sorted(got[q]) == [(k + 1, b, -s) for k, (s, b) in enumerate(want)]
+    huge = spark.createDataFrame([(1, [1e17, 1.0]), (2, [1.0, 1.0]), (3, [5e6, -3e6])], "vec_id long, embedding array<double>")
+    kept = topk.integer_vectors(huge, 256)
+    assert sorted(x["vec_id"] for x in kept.collect()) == [2, 3]
+    assert [tuple(x) for x in topk.top_k(kept, F.col("vec_id") == 3, 5).collect()] == [(3, 1, 2, 256 * (1_280_000_000 - 768_000_000))]
+
+
 def test_bounds_are_bounds():
     r = np.random.default_rng(0)
     a, b = r.normal(size=(20, 17)), r.normal(size=(30, 17))
@@ -148,6 +171,16 @@ def test_bpe_round_trip(spark, odd):
     assert back.count() == df.count() and bpe.encode(df.limit(0), BYTES, P.PATTERN).count() == 0
 
 
+def test_decoding_has_a_result_for_any_ids(spark):
+    rows = [(1, None), (2, b""), (3, b"\x01\x00"), (4, np.array([97, 4_000_000_000, 98], "<u4").tobytes()), (5, np.array([0, 1], "<u4").tobytes() + b"\x07")]
+    coder = bpe.coder(BYTES, P.PATTERN)
+    names = {v: k for k, v in coder.ranks.items()}
+    got = {r["k"]: None if r["decoded"] is None else bytes(r["decoded"]) for r in bpe.decode(spark.createDataFrame(rows, "k int, ids binary"), BYTES, P.PATTERN).collect()}
+    assert got == {1: b"", 2: b"", 3: None, 4: None, 5: None}
+    assert coder.decode(np.array([97, 98], "<u4").tobytes()) == names[97] + names[98]
+    assert bpe.decode(spark.createDataFrame([], "k int, ids binary"), BYTES, P.PATTERN).count() == 0
+
+
 def test_merges_take_the_leftmost_smallest():
     ranks = {bytes([c]): c for c in b"ab"} | {b"aa": 200, b"ab": 150, b"aaa": 300}
     def slow(p):
@@ -269,6 +302,18 @@ def test_embedding_dedup(spark):
     assert pqdedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("lists,coarse", [(1100, 40), (30, 1024)])
+def test_embedding_recall_over_many_lists(spark, lists, coarse):
+    r = np.random.default_rng(1)
+    base = r.normal(size=(700, 48))
+    x = (base[r.integers(700, size=6000)] + r.normal(size=(6000, 48)) * r.choice([0.1, 0.2, 0.3, 0.35], size=6000)[:, None]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {t["vec_id"]: t["n_links"] for t in pqdedup.near_duplicates(df, 0.9, params=pqdedup.Params(lists=lists, coarse=coarse)).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    true = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert 0.95 * true.sum() <= sum(got.values()) <= true.sum() and all(got[i] <= true[i] for i in got)
+
+
 # --- toxicity ---------------------------------------------------------------------------------------------------------
 
 
@@ -461,6 +506,15 @@ def test_chat_cases(spark):
     assert got[4]["loss_text"] == "y" * 50_000 and chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_reading_back_what_nothing_wrote(spark):
+    schema = "conv_id long, formatted string, loss_spans array<struct<start: long, end: long>>"
+    rows = [(1, None, None), (2, "no control string", []), (3, "", []), (4, "a</s>\n", None), (5, "a</s>\n", [(0, 99)])]
+    got = {r["conv_id"]: (r["turns"] and [tuple(t) for t in r["turns"]], r["loss_text"]) for r in chat.read_back(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (None, None), 2: (None, ""), 3: ([], ""), 4: ([("assistant", "a")], ""), 5: ([("assistant", "a")], "a</s>\n")}
+    with pytest.raises(chat.TemplateError):
+        chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), "{% for t in turns %}{{ t.text }}{% endfor %}", reversible=True)
+
+
 # --- line dedup -------------------------------------------------------------------------------------------------------
 
 

@@ -108,11 +108,11 @@ def test_pipeline_against_its_stages_by_hand(spark, sf, duck):
             holders.setdefault(key(line), set()).add(i)
     gone = lambda i, k: len(k) >= 20 and len(holders[k]) >= 3 and max(holders[k]) != i
     texts = {i: "\n".join(x for x in t.split("\n") if not gone(i, key(x))) for i, t in texts.items()}
-    # near copies by five words
+    # near copies by four words
     sets = {}
     for i, t in texts.items():
         w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t).encode().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        sets[i] = {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()
     up = {i: i for i in texts}
 
     def root(i):
