@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftloom.llm import linededup, minhash, packing, toxicity
 from driftloom.llm.names import unused
-from driftloom.plans.lineage import shared_folder
+from driftloom.plans.lineage import discard, shared_folder
 from driftloom.sources.tables import table
 
 
@@ -43,11 +43,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id.
+    """One document of each group of near copies by shingles of four words, the one with the smallest id.
 
     Rows with a null id stay; of rows with one id and equal texts one stays.
     """
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = minhash.near_duplicates(docs, width=4, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     some = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return some.unionByName(docs.where("doc_id IS NULL"))
 
@@ -66,11 +66,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage keeps is written to the shared folder as Parquet and read by the next."""
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    """All stages over ``documents``; what a stage keeps is written to the shared folder as Parquet and read by the next.
+
+    What the next stage has read is deleted once that one is written too.  The last stage reads its input when it runs, so that stays.
+    """
+    docs, folder, before = table(spark, sf_dir, "documents"), shared_folder(spark), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            discard(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
