@@ -1,6 +1,6 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text are the 64-bit hashes of its words, of the words' stems (their
+Features of a text are the 32-bit hashes of its words, of the words' stems (their
 first 4, 5 and 6 bytes), of its bigrams, and of its pairs with one word skipped;
 words are lower-cased and free of ASCII punctuation.  A feature counts once a text.
 
@@ -61,7 +61,7 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for k, stem in enumerate(stems):
             found.append(textkernel.mix64(stem * _KINDS[3 + k]))
             owners.append(owner)
-        yield end - at, np.concatenate(found), np.concatenate(owners)
+        yield end - at, np.concatenate(found) >> np.uint64(32), np.concatenate(owners)
 
 
 def row_features(texts: pa.Array) -> Iterator[np.ndarray]:
@@ -127,33 +127,28 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
     spark = docs.sparkSession
     sample = _sample(docs, labels, params, id_col, text_col, label_col)
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [x.astype(np.int64).tobytes() for x in row_features(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(2)], names=["at", "found", "label"])
-        release()
-
-    rows = cut(sample.mapInArrow(find, "at long, found binary, label double"))
+    rows = cut(sample)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for found in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(found.as_buffer(), np.int64))], names=["feature"])
+            for found in row_features(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.uint32).view(np.int32))], names=["feature"])
+        release()
 
-    counts = rows.select("found").mapInArrow(each, "feature long").groupBy("feature").agg(F.count("*").alias("n"))
-    names = np.sort(counts.where(F.col("n") >= params.min_docs).select("feature").toArrow().column(0).to_numpy())
+    counts = rows.select("text").mapInArrow(each, "feature int").groupBy("feature").agg(F.count("*").alias("n"))
+    names = np.sort(counts.where(F.col("n") >= params.min_docs).select("feature").toArrow().column(0).to_numpy().view(np.uint32).astype(np.uint64))
     shared = spark.sparkContext.broadcast(names)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             out = []
-            for found in batch.column(1):
-                row = np.frombuffer(found.as_buffer(), np.int64)
+            for row in row_features(batch.column(1)):
                 at = np.searchsorted(known, row)
                 fits = known[np.minimum(at, len(known) - 1)] == row if len(known) else np.zeros(len(row), bool)
                 out.append(at[fits].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["at", "row", "label"])
+        release()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, labels = [], []
@@ -174,9 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col:
     if not found.num_rows:
         return np.zeros(0, np.uint64), np.zeros(0), 0.0
     at, w = found.column("at").to_numpy(), found.column("weight").to_numpy()
-    chosen = names[at[:-1]].view(np.uint64)
-    order = np.argsort(chosen)
-    return chosen[order], w[:-1][order], float(w[-1])
+    return names[at[:-1]], w[:-1], float(w[-1])
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray, float], text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -350,9 +350,9 @@ def test_training_against_plain_ftrl(spark):
     for _, row, _ in found:
         for f in row.tolist():
             counts[f] = counts.get(f, 0) + 1
-    known = sorted((f for f in counts if counts[f] >= p.min_docs), key=lambda f: f - (1 << 64) if f >> 63 else f)
+    known = sorted((f for f in counts if counts[f] >= p.min_docs))
     at = {f: k for k, f in enumerate(known)}
-    lists = sorted((h, np.array([at[f] for f in sorted(row.tolist(), key=lambda f: f) if f in at], np.int32)[np.argsort([at[f] for f in sorted(row.tolist()) if f in at])].tobytes(), y) for h, row, y in found)
+    lists = sorted((h, np.array([at[f] for f in row.tolist() if f in at], np.int32).tobytes(), y) for h, row, y in found)
     z, n = {}, {}
 
     def weight(f):
