@@ -106,7 +106,8 @@ def assign_frames(left: DataFrame, right: DataFrame, by: list[str], voxel: tuple
     """(by..., source_id, target_id, dist): per group a cheapest assignment over *all* pairs, of which those within ``gate`` stay.
 
     ``left`` and ``right`` have (by..., id, z, y, x).  The gate comes after the assignment, so that
-    a far pair may take the place of two near ones.
+    a far pair may take the place of two near ones, and no pair can be left out beforehand.  A task holds one pair of frames and two
+    matrices of all its pairs: about 1 GB for 8,000 points in each frame, which is the size to plan workers' memory for.
     """
     rows = left.select(*by, F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "zyx"], F.lit(True).alias("first"))
     rows = rows.unionByName(right.select(*by, F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "zyx"], F.lit(False).alias("first")))
@@ -120,7 +121,12 @@ def assign_frames(left: DataFrame, right: DataFrame, by: list[str], voxel: tuple
         a, b = points[first], points[~first]
         keys = {c: table.column(c).slice(0, 1).combine_chunks() for c in by}
         if len(a) and len(b):
-            d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+            d = np.zeros((len(a), len(b)))
+            for k in range(3):  # an axis at a time, so that two matrices are held at most
+                step = a[:, k, None] - b[None, :, k]
+                step *= step
+                d += step
+            np.sqrt(d, out=d)
             r, c = solve(d)
             near = d[r, c] <= gate
             r, c = r[near], c[near]

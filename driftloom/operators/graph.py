@@ -98,3 +98,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     nodes = found.unionByName(found.select(F.col("v").alias("u"), F.col("v")).distinct())
     alone = loops.join(nodes, "u", "left_anti").select("u", F.col("u").alias("v"))
     return nodes.unionByName(alone).select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def components_by_dataset(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(dataset, node_id, component): the smallest of ``nodes`` that a node's edges reach in either direction.
+
+    Ids needn't be unique over datasets, as each numbers the nodes it adds by itself.
+    """
+    key = lambda c: F.xxhash64("dataset", c)
+    found = connected_components(edges.select(key("source_id").alias("a"), key("target_id").alias("b")), "a", "b").withColumnRenamed("component", "part")
+    member = nodes.select("dataset", "node_id", key("node_id").alias("node")).join(found, "node", "left").select("dataset", "node_id", F.coalesce("part", "node").alias("part"))
+    first = member.groupBy("dataset", "part").agg(F.min("node_id").alias("component"))
+    return member.join(first, ["dataset", "part"]).select("dataset", "node_id", "component")

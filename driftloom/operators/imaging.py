@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +67,44 @@ def dilate(voxels: DataFrame, rounds: int, shape: tuple[int, int, int]) -> DataF
 
 def training_targets(points: DataFrame, voxels: DataFrame, sigma: tuple[float, float, float], shape: tuple[int, int, int], foreground: float, weight: float, near_eps: float, rounds: int) -> DataFrame:
     """(dataset, t, z, y, x, target, weight) for normalised ``voxels``: near a point the weight is ``weight``,
-    bright voxels away from all points are ignored, all others weigh 1."""
-    heat = gaussian_stamp(points, sigma, shape)
-    near = heat.where(F.col("heat") > near_eps).select(*KEY)
-    wide = dilate(near, rounds, shape)
-    marked = voxels.join(heat, KEY, "left").join(near.withColumn("near", F.lit(True)), KEY, "left").join(wide.withColumn("wide", F.lit(True)), KEY, "left")
-    w = F.when(F.col("near"), weight).when((F.col("value") > foreground) & F.col("wide").isNull(), 0.0).otherwise(1.0)
-    return marked.select(*KEY, F.coalesce("heat", F.lit(0.0)).alias("target"), w.alias("weight"))
+    bright voxels away from all points are ignored, all others weigh 1.
+
+    A task stamps one frame in a dense volume of ``shape``, rather than make a row of each voxel of each bell.
+    """
+    reach = stamp_radius(sigma)
+    none = F.lit(None).cast("double")
+    rows = voxels.select(*KEY, F.col("value").cast("double").alias("value"), F.lit(False).alias("point"))
+    rows = rows.unionByName(points.select(*KEY, none.alias("value"), F.lit(True).alias("point")))
+
+    def run(table: pa.Table) -> pa.Table:
+        point = table.column("point").to_numpy()
+        at = np.stack([table.column(c).to_numpy() for c in "zyx"], axis=1).astype(int)
+        heat = np.zeros(shape)
+        for p in at[point]:
+            low = [max(int(c) - r, 0) for c, r in zip(p, reach, strict=True)]
+            high = [min(int(c) + r, n - 1) + 1 for c, r, n in zip(p, reach, shape, strict=True)]
+            if any(a >= b for a, b in zip(low, high, strict=True)):
+                continue
+            d = [(np.arange(a, b) - c) ** 2 / (2.0 * s * s) for a, b, c, s in zip(low, high, p, sigma, strict=True)]
+            box = heat[tuple(slice(a, b) for a, b in zip(low, high, strict=True))]
+            np.maximum(box, np.exp(-(d[0][:, None, None] + d[1][:, None] + d[2])), out=box)
+        near = heat > near_eps
+        wide = near.copy()
+        for _ in range(rounds):
+            grown = wide.copy()
+            for axis in range(3):
+                ahead, behind = (tuple(s if k == axis else slice(None) for k in range(3)) for s in (slice(1, None), slice(None, -1)))
+                grown[ahead] |= wide[behind]
+                grown[behind] |= wide[ahead]
+            wide = grown
+        own = table.filter(pa.array(~point))
+        z, y, x = at[~point].T
+        value = own.column("value").to_numpy()
+        w = np.where(near[z, y, x], weight, np.where((value > foreground) & ~wide[z, y, x], 0.0, 1.0))
+        return own.select(KEY).append_column("target", pa.array(heat[z, y, x])).append_column("weight", pa.array(w))
+
+    kinds = dict(rows.dtypes)
+    return rows.groupBy("dataset", "t").applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in KEY) + ", target double, weight double")
 
 
 def masked_mse(rows: DataFrame, by: list[str]) -> DataFrame:

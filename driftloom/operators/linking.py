@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from driftloom.config import TrackingConfig
 from driftloom.operators.assign import assign_candidates, assign_frames, assign_sparse
-from driftloom.operators.graph import connected_components
+from driftloom.operators.division import detect_divisions
+from driftloom.operators.graph import components_by_dataset
 from driftloom.operators.spatial import frame_candidates, knn_candidates, prefixed, range_join
 from driftloom.plans.lineage import cut
 
@@ -152,19 +153,13 @@ def close_gaps(nodes: DataFrame, edges: DataFrame, config: TrackingConfig) -> tu
     return nodes, edges
 
 
-def node_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(dataset, node_id, component): the smallest node that a node's edges reach in either direction; ids are unique over movies."""
-    found = connected_components(edges, "source_id", "target_id").withColumnRenamed("node", "node_id")
-    return nodes.select("dataset", "node_id").join(found, "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
-
-
 def filter_short_tracks(nodes: DataFrame, edges: DataFrame, min_nodes: int) -> tuple[DataFrame, DataFrame]:
     """Only tracks, that is components, of at least ``min_nodes`` nodes; all of it where there are no edges or ``min_nodes`` is 1."""
     if min_nodes <= 1 or edges.isEmpty():
         return nodes, edges
-    member = cut(node_components(nodes, edges))
-    long = member.groupBy("component").count().where(F.col("count") >= min_nodes)
-    keep = member.join(long, "component", "left_semi").select("dataset", "node_id")
+    member = cut(components_by_dataset(nodes, edges))
+    long = member.groupBy("dataset", "component").count().where(F.col("count") >= min_nodes)
+    keep = member.join(long, ["dataset", "component"], "left_semi").select("dataset", "node_id")
     ends = edges.join(keep.withColumnRenamed("node_id", "source_id"), ["dataset", "source_id"], "left_semi").join(keep.withColumnRenamed("node_id", "target_id"), ["dataset", "target_id"], "left_semi")
     return nodes.join(keep, ["dataset", "node_id"], "left_semi"), ends
 
@@ -177,13 +172,18 @@ def prune_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(used, ["dataset", "node_id"], "left_semi")
 
 
-def track(detections: DataFrame, config: TrackingConfig) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a whole run: two-pass linking, gap closing, short tracks out."""
+def track(detections: DataFrame, config: TrackingConfig, gaps: bool = True, prune: bool = True, short: bool = True, divisions: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a whole run: two-pass linking, then, each if wanted, gap closing, isolated nodes out, short tracks out, divisions."""
     nodes = cut(detections.select("dataset", F.col("det_id").alias("node_id"), "t", "z", "y", "x"))
     edges = cut(twopass_link(detections, config))
-    nodes, edges = close_gaps(nodes, edges, config)
-    nodes, edges = filter_short_tracks(prune_isolated(nodes, edges), edges, config.min_track_nodes)
-    return cut(nodes), cut(edges)
+    if gaps:
+        nodes, edges = close_gaps(nodes, edges, config)
+    if prune:
+        nodes = prune_isolated(nodes, edges)
+    if short:
+        nodes, edges = filter_short_tracks(nodes, edges, config.min_track_nodes)
+    nodes, edges = cut(nodes), cut(edges)
+    return nodes, cut(detect_divisions(nodes, edges, config)) if divisions else edges
 
 
 def min_cost_flow_link(detections: DataFrame, config: TrackingConfig) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.scalar import clipped_angle, distance, scaled_between
+from driftloom.operators.numbering import row_numbers, running_total
 from driftloom.operators.spatial import prefixed
 
 
@@ -48,13 +49,12 @@ def percentile_normalize(values: DataFrame, by: list[str], column: str, low: flo
 
 def stratified_interleave(items: DataFrame, stratum: Column, order: str) -> DataFrame:
     """``items`` with ``place``: one of each stratum in turn, strata in the order of their first item."""
-    w = Window.partitionBy("stratum").orderBy(order)
-    ranked = items.withColumn("stratum", stratum).withColumns({"round": F.row_number().over(w), "first": F.min(order).over(Window.partitionBy("stratum"))})
-    # the place counts the items of earlier rounds, then the strata before in this round, so no global sort of rows is needed
-    rounds = ranked.groupBy("round").agg(F.count("*").alias("n"))
-    before = rounds.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    ranked = row_numbers(items.withColumn("stratum", stratum), ["stratum"], [order], "round")
+    firsts = ranked.where("round = 1").select("stratum", F.col(order).alias("first"))
+    # the place counts the items of earlier rounds, then the strata before in this round, so no task holds all rows
+    before = running_total(ranked.groupBy("round").agg(F.count("*").alias("n")), "round", "n", "before").drop("n")
     inside = F.row_number().over(Window.partitionBy("round").orderBy("first"))
-    return ranked.join(before, "round").withColumn("place", F.col("before") + inside - 1).drop("before", "first")
+    return ranked.join(firsts, "stratum").join(before, "round").withColumn("place", F.col("before") + inside - 1).drop("before", "first")
 
 
 def tail_split(items: DataFrame, order: str, holdout: int) -> DataFrame:

@@ -7,11 +7,13 @@ on (frame, cell) and adaptive execution can split a dense cell.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.scalar import AXES, distance
-from driftloom.plans.lineage import cut
+
 
 def _cell(prefix: str, voxel: tuple[float, float, float], width: float) -> list[Column]:
     return [F.floor(F.col(prefix + c) * F.lit(s) / F.lit(width)) for c, s in zip(AXES, voxel, strict=True)]
@@ -58,19 +60,22 @@ def nms_pairs(detections: DataFrame, radius: float, voxel: tuple[float, float, f
 
 
 def greedy_nms(detections: DataFrame, radius: float, voxel: tuple[float, float, float]) -> DataFrame:
-    """The detections that greedy suppression keeps: the best first, each kills all others within ``radius``.
+    """The detections that greedy suppression keeps: the best first by score, z, y, x, id, each kills all others within ``radius``.
 
-    Every round keeps those that no undecided better neighbour beats and drops their neighbours, for all frames
-    at once; the number of rounds is the longest chain of ever better neighbours.
+    Suppression doesn't reach over frames, so a task decides one frame.
     """
     if radius <= 0:
         return detections
-    pairs = cut(nms_pairs(detections, radius, voxel).select("winner", "loser"))
-    lost = None
-    while not pairs.isEmpty():
-        safe = pairs.select("winner").distinct().join(pairs.select(F.col("loser").alias("winner")), "winner", "left_anti")
-        dead = cut(pairs.join(safe, "winner", "left_semi").select(F.col("loser").alias("det_id")).distinct())
-        lost = dead if lost is None else lost.unionByName(dead)
-        pairs = pairs.join(dead.withColumnRenamed("det_id", "loser"), "loser", "left_anti").join(dead.withColumnRenamed("det_id", "winner"), "winner", "left_anti")
-        pairs = cut(pairs.join(safe, "winner", "left_anti").select("winner", "loser"))
-    return detections if lost is None else detections.join(lost, "det_id", "left_anti")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("score", "descending"), *((c, "ascending") for c in (*AXES, "det_id"))])
+        z, y, x = (table.column(c).to_numpy().astype(float) * s for c, s in zip(AXES, voxel, strict=True))
+        alive, kept = np.ones(table.num_rows, bool), []
+        for i in range(table.num_rows):
+            if alive[i]:
+                kept.append(i)
+                later = slice(i + 1, None)
+                alive[later] &= np.sqrt((z[later] - z[i]) ** 2 + (y[later] - y[i]) ** 2 + (x[later] - x[i]) ** 2) > radius
+        return table.take(pa.array(kept, pa.int64()))
+
+    return detections.groupBy("dataset", "t").applyInArrow(run, detections.schema)

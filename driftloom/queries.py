@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from driftloom.config import V0, V2
 from driftloom.functions import scalar
-from driftloom.operators import division, imaging, lineage, linking, metrics, profile, spatial
+from driftloom.operators import detect, division, graph, imaging, lineage, linking, metrics, profile, spatial
 from driftloom.plans.lineage import cut, shared_folder
 from driftloom.sources import fixtures, sinks
 from driftloom.sources.fixtures import FIXTURE_SQL
@@ -48,7 +48,7 @@ def _dist(a: str = "a", b: str = "b") -> str:
 
 
 def _gt(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    nodes = fixtures.gt_nodes(spark, sf)
+    nodes = cut(fixtures.gt_nodes(spark, sf))  # read more than once
     return nodes, fixtures.gt_edges(nodes)
 
 
@@ -262,7 +262,7 @@ def close_gaps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("connected_components", f"WITH RECURSIVE {ROOTS_SQL} SELECT dataset, node_id, component FROM walk")
 def connected_components(spark: SparkSession, sf: str) -> DataFrame:
-    return linking.node_components(*_gt(spark, sf)).select("dataset", "node_id", "component")
+    return graph.components_by_dataset(*_gt(spark, sf)).select("dataset", "node_id", "component")
 
 
 @query("filter_short_tracks", f"""WITH RECURSIVE {ROOTS_SQL}
@@ -403,7 +403,18 @@ def match_nodes(spark: SparkSession, sf: str) -> DataFrame:
 @query("tracks")
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Track all movies and score the edges against the ground truth, a row a movie."""
-    nodes, edges = linking.track(fixtures.detections(spark, sf), V2)
+    nodes, edges = linking.track(cut(fixtures.detections(spark, sf)), V2)
+    return _scored(spark, sf, nodes, edges)
+
+
+@query("tracks_with_divisions")
+def tracks_with_divisions(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``tracks``, with second daughters linked at the end, and short tracks kept."""
+    nodes, edges = linking.track(cut(fixtures.detections(spark, sf)), V2, short=False, divisions=True)
+    return _scored(spark, sf, nodes, edges)
+
+
+def _scored(spark: SparkSession, sf: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     gt, gt_edges = _gt(spark, sf)
     whole = nodes.withColumns({c: scalar.half_even(F.col(c)) for c in "zyx"})
     matches = cut(metrics.match_nodes(gt, whole, V2.match_gate, VOXEL))
@@ -427,6 +438,48 @@ def param_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return swept.groupBy("s.thr", "s.gate").agg(F.count("*").alias("links"), F.count_if("hit").alias("tp"))
 
 
+@query("threshold_gate_sweep")
+def threshold_gate_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Edge scores by score threshold and gate: all of a frame is assigned anew for each threshold, then each gate drops links.
+
+    Each threshold is a movie of its own, so that one job links and matches them all.
+    """
+    thresholds = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate((0.18, 0.4, 0.7))]))
+    gates = F.explode(F.array(*[F.lit(g) for g in (6.0, 8.0, 10.0)]))
+    movie = (F.col("dataset") * 3 + F.col("s.i")).alias("dataset")
+    found = cut(fixtures.detections(spark, sf).withColumn("s", thresholds).where("score >= s.v").select(movie, "det_id", "t", "z", "y", "x"))
+    gt, gt_edges = (df.withColumn("s", thresholds).withColumn("dataset", movie).drop("s") for df in _gt(spark, sf))
+    matches = cut(metrics.match_nodes(gt, found.withColumnRenamed("det_id", "node_id"), V0.match_gate, VOXEL))
+    links = cut(linking.nn_link(found, 10.0, VOXEL)).withColumn("gate", gates).where("dist <= gate")
+    by_gate = lambda df: df.withColumn("dataset", F.col("dataset") * 3 + (F.col("gate") / 2 - 3).cast("int")).drop("gate")
+    counts = metrics.edge_counts(by_gate(gt_edges.withColumn("gate", gates)), by_gate(links), by_gate(matches.withColumn("gate", gates)))
+    setting = counts.select(F.element_at(F.array(*map(F.lit, (0.18, 0.4, 0.7))), (F.floor(F.col("dataset") / 3) % 3 + 1).cast("int")).alias("thr"), ((F.col("dataset") % 3 + 3) * 2.0).alias("gate"), "tp", "fp", "fn")
+    pooled = setting.groupBy("thr", "gate").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return pooled.withColumn("jaccard", F.round(scalar.safe_ratio(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn")), 6))
+
+
+@query("linker_ab")
+def linker_ab(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-pass against min-cost links on the same detections, scored alike; a linker without links misses all edges."""
+    found = cut(fixtures.detections(spark, sf))
+    gt, gt_edges = _gt(spark, sf)
+    matches = cut(metrics.match_nodes(gt, found.withColumnRenamed("det_id", "node_id"), V2.match_gate, VOXEL))
+    linkers = {"twopass": linking.twopass_link(found, V2), "min_cost": linking.min_cost_flow_link(found, V2)}
+    scored = [metrics.jaccard(metrics.edge_counts(gt_edges, links.select("dataset", "source_id", "target_id"), matches)).select(F.lit(name).alias("linker"), "tp", "fp", "fn", F.round("jaccard", 6).alias("jaccard")) for name, links in linkers.items()]
+    return scored[0].unionByName(scored[1])
+
+
+@query("detect_classical")
+def detect_classical(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentile normalisation, smoothing and peaks over whole small volumes, zeros too."""
+    v = _voxels(spark, sf)
+    grid = v.select("dataset", "t").distinct()
+    for c, n in zip("zyx", SHAPE, strict=True):
+        grid = grid.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    whole = grid.join(v, imaging.KEY, "left").fillna(0.0, ["value"])
+    return detect.detect_classical(whole, V0, SHAPE, 200).withColumns(rounded("score"))
+
+
 @query("ab_compare", f"""WITH {CANDIDATES_SQL},
 l AS (SELECT 'mutual' AS linker, source_id, target_id FROM mutual UNION ALL SELECT 'nearest', source_id, target_id FROM knn WHERE rank = 1)
 SELECT linker, count(*) AS links, count(*) FILTER (WHERE (source_id, target_id) IN (SELECT (source_id, target_id) FROM fx_gt_edges)) AS tp FROM l GROUP BY linker""")
@@ -579,11 +632,14 @@ def mean_batch_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_link")
 def stream_link(spark: SparkSession, sf: str) -> DataFrame:
-    """Two-pass linking of detections that arrive as files, as far as frames become final."""
+    """Two-pass linking of detections that arrive as files, some frames at a time, with a closing row for each movie."""
     landing = f"{shared_folder(spark)}/landing"
-    points = fixtures.detections(spark, sf).select("dataset", "t", "det_id", "z", "y", "x")
-    points.write.parquet(landing)
-    return stream_link_to_table(spark.readStream.schema(points.schema).parquet(landing), V2)
+    points = cut(fixtures.detections(spark, sf).select("dataset", "t", "det_id", "z", "y", "x"))
+    last = points.groupBy("dataset").agg((F.max("t") + 4).alias("t"))
+    for k in range(4):  # days of a month, eight at a time
+        points.where(F.floor(F.col("t") / 8) == k).coalesce(1).write.mode("append").parquet(landing)
+    last.select("dataset", "t", *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in ("det_id", "z", "y", "x")]).coalesce(1).write.mode("append").parquet(landing)
+    return stream_link_to_table(spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(landing), V2)
 
 
 # --- imaging ----------------------------------------------------------------------------------------------------------
@@ -591,9 +647,8 @@ def stream_link(spark: SparkSession, sf: str) -> DataFrame:
 VOXEL_SQL = """vox AS (SELECT CAST(user_id % 4 AS INTEGER) AS dataset, CAST(day(ts) - 1 AS INTEGER) AS t, CAST(event_id % 8 AS INTEGER) AS z, CAST(event_id * 7 % 32 AS INTEGER) AS y, CAST(event_id * 13 % 32 AS INTEGER) AS x,
   CAST(sum(10 + event_id % 90) AS DOUBLE) AS value FROM events GROUP BY ALL),
 pts AS (SELECT dataset, t, node_id AS det_id, z % 8 AS z, y % 32 AS y, x % 32 AS x FROM fx_gt_nodes),
-stamp AS (SELECT dataset, t, vz AS z, vy AS y, vx AS x, max(exp(-(pow(vz - z, 2) / 2e0 + pow(vy - y, 2) / 18e0 + pow(vx - x, 2) / 18e0))) AS heat
-  FROM pts, range(-3, 4) a(dz), range(-9, 10) b(dy), range(-9, 10) c(dx), LATERAL (SELECT z + dz AS vz, y + dy AS vy, x + dx AS vx)
-  WHERE vz BETWEEN 0 AND 7 AND vy BETWEEN 0 AND 31 AND vx BETWEEN 0 AND 31 GROUP BY ALL)"""
+bells AS (SELECT dataset, t, z + dz AS z, y + dy AS y, x + dx AS x, exp(-(dz * dz / 2e0 + dy * dy / 18e0 + dx * dx / 18e0)) AS h FROM pts, range(-3, 4) a(dz), range(-9, 10) b(dy), range(-9, 10) c(dx)),
+stamp AS MATERIALIZED (SELECT dataset, t, z, y, x, max(h) AS heat FROM bells WHERE z BETWEEN 0 AND 7 AND y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 31 GROUP BY ALL)"""
 
 
 def _voxels(spark: SparkSession, sf: str) -> DataFrame:
@@ -636,9 +691,11 @@ def gaussian_stamp(spark: SparkSession, sf: str) -> DataFrame:
 
 TARGET_SQL = f"""{FIXTURE_SQL}, {VOXEL_SQL},
 q AS (SELECT dataset, t, quantile_cont(value, 0.5) AS lo, quantile_cont(value, 0.998) AS hi FROM vox GROUP BY ALL),
-nv AS (SELECT dataset, t, z, y, x, least(greatest((value - lo) / (hi - lo + 1e-6), 0e0), 1e0) AS value FROM vox JOIN q USING (dataset, t)),
-near AS (SELECT dataset, t, z, y, x FROM stamp WHERE heat > 0.05),
-wide AS (SELECT DISTINCT dataset, t, z + dz AS z, y + dy AS y, x + dx AS x FROM near, range(-2, 3) a(dz), range(-2, 3) b(dy), range(-2, 3) c(dx) WHERE abs(dz) + abs(dy) + abs(dx) <= 2),
+nv AS MATERIALIZED (SELECT dataset, t, z, y, x, least(greatest((value - lo) / (hi - lo + 1e-6), 0e0), 1e0) AS value FROM vox JOIN q USING (dataset, t)),
+near AS MATERIALIZED (SELECT dataset, t, z, y, x FROM stamp WHERE heat > 0.05),
+step AS MATERIALIZED (SELECT dz, dy, dx FROM range(-2, 3) a(dz), range(-2, 3) b(dy), range(-2, 3) c(dx) WHERE abs(dz) + abs(dy) + abs(dx) <= 2),
+beside AS MATERIALIZED (SELECT dataset, t, z, y, x, z + dz AS nz, y + dy AS ny, x + dx AS nx FROM nv, step),
+wide AS MATERIALIZED (SELECT DISTINCT b.dataset, b.t, b.z, b.y, b.x FROM beside b JOIN near n ON n.dataset = b.dataset AND n.t = b.t AND n.z = b.nz AND n.y = b.ny AND n.x = b.nx),
 target AS (SELECT nv.*, coalesce(s.heat, 0) AS target, CASE WHEN n.z IS NOT NULL THEN 10e0 WHEN nv.value > 0.15 AND w.z IS NULL THEN 0e0 ELSE 1e0 END AS weight
   FROM nv LEFT JOIN stamp s USING (dataset, t, z, y, x) LEFT JOIN near n USING (dataset, t, z, y, x) LEFT JOIN wide w USING (dataset, t, z, y, x))"""
 

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.functions.scalar import half_even
 from driftloom.operators.lineage import lineage_tracks
+from driftloom.operators.numbering import row_numbers
 from driftloom.plans.lineage import cut
 
 
 def submission_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Node rows, then edge rows of each dataset under one running id from 0; -1 where a column doesn't apply.
 
-    The id counts the rows of earlier (dataset, kind) blocks and numbers each block by itself, so that only
-    block sizes meet in one task.
+    The id counts the rows of earlier (dataset, kind) blocks and numbers each block by ranges, so that only
+    sizes meet in one task.
     """
     none = lambda c, kind="long": F.lit(-1).cast(kind).alias(c)
     rows = nodes.select(
@@ -23,8 +24,7 @@ def submission_table(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ).unionByName(edges.select("dataset", F.lit(1).alias("k"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), none("node_id"), none("t", "int"), none("z", "int"), none("y", "int"), none("x", "int"), "source_id", "target_id"))
     sizes = rows.groupBy("dataset", "k").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("dataset", "k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy("dataset", "k").orderBy("a", "b"))
-    numbered = rows.withColumn("place", place).join(before, ["dataset", "k"])
+    numbered = row_numbers(rows, ["dataset", "k"], ["a", "b"], "place").join(before, ["dataset", "k"])
     return numbered.select(
         (F.col("before") + F.col("place") - 1).alias("id"), F.col("dataset").cast("string").alias("dataset"), F.when(F.col("k") == 0, "node").otherwise("edge").alias("row_type"), "node_id", "t", "z", "y", "x", "source_id", "target_id"
     )
@@ -48,6 +48,11 @@ def write_split(samples: DataFrame, path: str) -> None:
     samples.groupBy("split").agg(F.sort_array(F.collect_list("dataset")).alias("datasets")).write.mode("overwrite").json(path)
 
 
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """(split, dataset) of what ``write_split`` wrote."""
+    return spark.read.schema("split string, datasets array<string>").json(path).select("split", F.explode("datasets").alias("dataset"))
+
+
 def sample_list(images: DataFrame, graphs: DataFrame, stem: str) -> DataFrame:
     """The stems that have both, with their place ``ord`` in order."""
     both = images.join(graphs, stem, "left_semi").select(stem)
