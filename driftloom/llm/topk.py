@@ -58,8 +58,8 @@ def segment_statistics(v: np.ndarray, segments: int) -> np.ndarray:
 
 
 def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of the rows of ``b`` with ``a``."""
-    return b @ a
+    """Integer inner products of the rows of ``b`` with ``a``, both of integers or of doubles that hold such."""
+    return (b @ a).astype(np.int64)
 
 
 def statistics(v: np.ndarray) -> np.ndarray:
@@ -76,11 +76,20 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, query_stats: np.nda
     coarse = query_stats[:, :first] @ stats[:, :first].T
     # room for the rounding of the bounds themselves
     slack = 1e-9 * (np.abs(query_stats).sum(axis=1) * np.abs(stats).max() + 1)
+    # doubles add up integers exactly as long as no sum reaches 2**53, and much faster
+    q, c = queries.astype(np.float64), candidates.astype(np.float64)
+    if max((x * x).sum(axis=1).max() for x in (q, c)) < 1 << 52:
+        queries, candidates = q, c
     found: tuple[list, list, list] = ([], [], [])
     for i in range(len(queries)):
         bound = coarse[i] + slack[i]
-        order = np.argsort(-bound)
-        order = order[ids[order] != query_ids[i]]
+        left = np.flatnonzero(ids != query_ids[i])
+        if len(left) > 4 * k:  # what lies under the k-th best score of the most promising of as many ids needn't be put in order
+            first = left[np.argpartition(-bound[left], 4 * k - 1)[: 4 * k]]
+            names, best = ids[first], exact_products(queries[i], candidates[first])
+            if len(np.unique(names)) == len(names):
+                left = left[bound[left] >= np.partition(best, len(best) - k)[len(best) - k]]
+        order = left[np.argsort(-bound[left])]
         scores, names = np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, step, least = 0, 4 * k, None
         while at < len(order) and (least is None or bound[order[at]] >= least):
