@@ -28,8 +28,8 @@ from driftloom.plans.lineage import cut
 ORDER = 4
 #: Of so many parts of the decided URLs one is held out.
 FOLDS = 5
-#: Texts for each task that cuts them into windows.
-TEXTS = 20_000
+#: Texts for each task that cuts them into windows; few texts are dealt finer, to ``SPREAD`` tasks.
+TEXTS, SPREAD = 20_000, 64
 _START, _END = "\x02", "\x03"
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -125,7 +125,8 @@ def calibrate(decided: DataFrame) -> tuple[float, dict[str, float]]:
 def scored_texts(ruled: DataFrame) -> DataFrame:
     """(text, label, held, n, score): the distinct host and path texts of ``ruled(host, path, label)`` with their scores."""
     texts = cut(ruled.groupBy(F.concat("host", "path").alias("text")).agg(F.max("label").alias("label"), F.count("*").alias("n")).withColumn("held", held_out(F.col("text"))))
-    spread = texts.repartition(max(1, -(-texts.count() // TEXTS)))
+    count = texts.count()
+    spread = texts.repartition(max(-(-count // TEXTS), min(SPREAD, count // 500), 1))
     label = F.when(~F.col("held"), F.col("label")).alias("label")
     scores = cut(window_scores(spread.select(label, "n", F.explode(_windows(F.col("text"))).alias("window"))))
     total = scores.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
