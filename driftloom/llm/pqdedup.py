@@ -164,9 +164,11 @@ def _links(list_no: int, m: pa.Table, q: pa.Table, model: Model | None, least: f
         # (home of a query, member) where the member probes that home too
         probes = m.column("probes").combine_chunks()
         owner = np.repeat(np.arange(len(ids_m)), pc.list_value_length(probes).to_numpy())
+        numbers = pc.list_flatten(probes).to_numpy()
         both = {}
-        for number, i in zip(pc.list_flatten(probes).to_numpy().tolist(), owner.tolist(), strict=True):
-            both.setdefault(number, []).append(i)
+        for number in np.unique(homes[homes < list_no]).tolist():
+            both[number] = np.zeros(len(ids_m), bool)
+            both[number][owner[numbers == number]] = True
     count_m, count_q = np.zeros(len(ids_m), np.int64), np.zeros(len(ids_q), np.int64)
     up: dict[int, int] = {}
 
@@ -188,8 +190,8 @@ def _links(list_no: int, m: pa.Table, q: pa.Table, model: Model | None, least: f
         # each pair once: within the home list by the order of ids, across lists in the smaller list if both see it
         if homes[i] == list_no:
             near = near[ids_m[near] < ids_q[i]]
-        elif homes[i] < list_no and (seen := both.get(int(homes[i]))):
-            near = near[~np.isin(near, seen)]
+        elif homes[i] < list_no:
+            near = near[~both[int(homes[i])][near]]
         if not len(near):
             continue
         near = near[x_m[near] @ x_q[i] >= least]
