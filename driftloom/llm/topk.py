@@ -85,8 +85,8 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, query_stats: np.nda
         bound = coarse[i] + slack[i]
         left = np.flatnonzero(ids != query_ids[i])
         if len(left) > 4 * k:  # what lies under the k-th best score of the most promising of as many ids needn't be put in order
-            first = left[np.argpartition(-bound[left], 4 * k - 1)[: 4 * k]]
-            names, best = ids[first], exact_products(queries[i], candidates[first])
+            some = left[np.argpartition(-bound[left], 4 * k - 1)[: 4 * k]]
+            names, best = ids[some], exact_products(queries[i], candidates[some])
             if len(np.unique(names)) == len(names):
                 left = left[bound[left] >= np.partition(best, len(best) - k)[len(best) - k]]
         order = left[np.argsort(-bound[left])]
