@@ -82,28 +82,32 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, query_stats: np.nda
         queries, candidates = q, c
     found: tuple[list, list, list] = ([], [], [])
     for i in range(len(queries)):
-        bound = coarse[i] + slack[i]
+        bound, least = coarse[i] + slack[i], None
         left = np.flatnonzero(ids != query_ids[i])
         if len(left) > 4 * k:  # what lies under the k-th best score of the most promising of as many ids needn't be put in order
             some = left[np.argpartition(-bound[left], 4 * k - 1)[: 4 * k]]
             names, best = ids[some], exact_products(queries[i], candidates[some])
             if len(np.unique(names)) == len(names):
-                left = left[bound[left] >= np.partition(best, len(best) - k)[len(best) - k]]
+                least = np.partition(best, len(best) - k)[len(best) - k]
+                left = left[bound[left] >= least]
         order = left[np.argsort(-bound[left])]
         scores, names = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, step, least = 0, 4 * k, None
+        at, step = 0, 16 * k
         while at < len(order) and (least is None or bound[order[at]] >= least):
             part = order[at : at + step]
             at, step = at + step, 4 * step
             if least is not None:
                 part = part[bound[part] >= least]
                 part = part[stats[part, first:] @ query_stats[i, first:] + slack[i] >= least]
-            scores, names = np.concatenate([scores, exact_products(queries[i], candidates[part])]), np.concatenate([names, ids[part]])
+            exact = exact_products(queries[i], candidates[part])
+            if least is not None:
+                part, exact = part[exact >= least], exact[exact >= least]
+            scores, names = np.concatenate([scores, exact]), np.concatenate([names, ids[part]])
             best = np.lexsort((names, -scores))
             _, once = np.unique(names[best], return_index=True)  # the best of each id
             best = best[np.sort(once)][:k]
             scores, names = scores[best], names[best]
-            least = scores[-1] if len(scores) == k else None
+            least = scores[-1] if len(scores) == k else least
         found[0].append(np.full(len(scores), query_ids[i]))
         found[1].append(names)
         found[2].append(scores)
