@@ -73,6 +73,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, query_stats: np.nda
     A candidate with the query's own id doesn't count; of several vectors with one id the best counts.
     """
     first = 2 * min(RESOLUTIONS[0], queries.shape[1])
+    fine = np.ascontiguousarray(stats[:, first:])
     coarse = query_stats[:, :first] @ stats[:, :first].T
     # room for the rounding of the bounds themselves
     slack = 1e-9 * (np.abs(query_stats).sum(axis=1) * np.abs(stats).max() + 1)
@@ -82,7 +83,7 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, query_stats: np.nda
         queries, candidates = q, c
     found: tuple[list, list, list] = ([], [], [])
     for i in range(len(queries)):
-        bound, least = coarse[i] + slack[i], None
+        bound, finer, least = coarse[i] + slack[i], None, None
         left = np.flatnonzero(ids != query_ids[i])
         if len(left) > 4 * k:  # what lies under the k-th best score of the most promising of as many ids needn't be put in order
             some = left[np.argpartition(-bound[left], 4 * k - 1)[: 4 * k]]
@@ -98,7 +99,9 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, query_stats: np.nda
             at, step = at + step, 4 * step
             if least is not None:
                 part = part[bound[part] >= least]
-                part = part[stats[part, first:] @ query_stats[i, first:] + slack[i] >= least]
+                if finer is None:  # where the coarse bound left any
+                    finer = fine @ query_stats[i, first:] + slack[i]
+                part = part[finer[part] >= least]
             exact = exact_products(queries[i], candidates[part])
             if least is not None:
                 part, exact = part[exact >= least], exact[exact >= least]
