@@ -65,6 +65,17 @@ def intensity_jitter(value: Column, gamma: float, contrast: float, brightness: f
     return F.least(F.greatest(F.pow(value, F.lit(gamma)) * contrast + brightness + noise, F.lit(0.0)), F.lit(1.0))
 
 
+def uniform(seed: int, *parts: Column) -> Column:
+    """A number from 0 to below 1 that the seed and the text of ``parts`` fix, so that a task run again draws the same."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+
+
+def normal(seed: int, *parts: Column) -> Column:
+    """A standard normal number that the seed and the text of ``parts`` fix."""
+    return F.sqrt(-2.0 * F.ln(1.0 - uniform(seed, F.lit("r"), *parts))) * F.cos(2.0 * math.pi * uniform(seed, F.lit("a"), *parts))
+
+
 def cosine_rate(epoch: Column, epochs: int, base: float, least: float) -> Column:
     """The learning rate of a cosine schedule."""
     return F.lit(least) + F.lit(0.5 * (base - least)) * (1 + F.cos(F.pi() * epoch / F.lit(float(epochs))))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.functions.scalar import half_even, sigmoid
+from driftloom.functions.scalar import half_even, normal, sigmoid, uniform
 
 KEY = ["dataset", "t", "z", "y", "x"]
 
@@ -156,6 +156,61 @@ def flip_rotate(voxels: DataFrame, shape: tuple[int, int, int], flips: str = "",
     return voxels.withColumns({"z": done["z"], "y": done["x"] if swap else done["y"], "x": done["y"] if swap else done["x"]})
 
 
+def random_flips(voxels: DataFrame, shape: tuple[int, int, int], seed: int) -> DataFrame:
+    """Each frame mirrored along each axis, and its x and y exchanged, with a chance of one half each.
+
+    Frames must be square in y and x, as exchanging the axes keeps the shape.
+    """
+    coin = lambda name: uniform(seed, F.lit(name), F.col("dataset"), F.col("t")) < 0.5
+    done = {c: F.when(coin("flip " + c), F.lit(n - 1) - F.col(c)).otherwise(F.col(c)) for c, n in zip("zyx", shape, strict=True)}
+    swap = coin("swap")
+    return voxels.withColumns({"z": done["z"], "y": F.when(swap, done["x"]).otherwise(done["y"]), "x": F.when(swap, done["y"]).otherwise(done["x"])})
+
+
+def random_intensity(
+    voxels: DataFrame, seed: int, gamma: tuple[float, float] = (0.8, 1.2), contrast: tuple[float, float] = (0.8, 1.2), brightness: float = 0.05, noise: float = 0.02
+) -> DataFrame:
+    """Values from 0 to 1 after a gamma, a contrast with brightness, and noise, each with a chance of one half a frame and clipped to 0..1.
+
+    The seed and the frame fix all draws, those of the noise also the voxel; so no order of rows and no lost task changes them.
+    """
+    frame = [F.col("dataset"), F.col("t")]
+    drawn = lambda name, low, high: low + (high - low) * uniform(seed, F.lit(name), *frame)
+    steps = {
+        "gamma": lambda v: F.pow(v, drawn("gamma", *gamma)),
+        "contrast": lambda v: v * drawn("contrast", *contrast) + drawn("brightness", -brightness, brightness),
+        "noise": lambda v: v + noise * normal(seed, *[F.col(c) for c in KEY]),
+    }
+    value = F.col("value")
+    for name, step in steps.items():
+        value = F.when(uniform(seed, F.lit("use " + name), *frame) < 0.5, F.least(F.greatest(step(value), F.lit(0.0)), F.lit(1.0))).otherwise(value)
+    return voxels.withColumn("value", value)
+
+
+def patch_centres(
+    frames: DataFrame, points: DataFrame, draws: int, size: tuple[int, int, int], shape: tuple[int, int, int], seed: int, positive: float = 0.7, jitter: float = 0.25
+) -> DataFrame:
+    """(dataset, t, draw, cz, cy, cx): centres of ``draws`` patches of each of the distinct ``frames(dataset, t)``.
+
+    With the chance ``positive`` a centre is one of the frame's ``points``, moved by up to ``jitter`` of the size; else, or without
+    points, it is any voxel.  Centres are moved so that patches lie inside the volume.  The seed fixes all draws.
+    """
+    order = Window.partitionBy("dataset", "t").orderBy("z", "y", "x")
+    placed = points.select("dataset", "t", *[F.col(c).cast("int").alias(c) for c in "zyx"]).withColumn("place", F.row_number().over(order) - 1)
+    sizes = placed.groupBy("dataset", "t").agg(F.count("*").alias("n"))
+    drawn = frames.select("dataset", "t").join(sizes, ["dataset", "t"], "left").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    u = lambda name: uniform(seed, F.lit(name), F.col("dataset"), F.col("t"), F.col("draw"))
+    drawn = drawn.withColumn("place", F.when(u("positive") < positive, F.floor(u("point") * F.col("n")).cast("int")))
+    found = drawn.join(placed, ["dataset", "t", "place"], "left")
+    centre = {}
+    for c, s, n in zip("zyx", size, shape, strict=True):
+        moved = F.col(c) + ((2 * u("jitter " + c) - 1) * jitter * s).cast("int")
+        somewhere = F.floor(u("voxel " + c) * n).cast("int")
+        half = s // 2
+        centre["c" + c] = F.least(F.greatest(F.coalesce(moved, somewhere), F.lit(half)), F.lit(max(half, n - (s - half))))
+    return found.withColumns(centre).select("dataset", "t", "draw", *centre)
+
+
 def crop(voxels: DataFrame, centre: DataFrame, size: tuple[int, int, int], shape: tuple[int, int, int]) -> DataFrame:
     """The box of ``size`` around each frame's ``centre(dataset, t, cz, cy, cx)``, moved inside the volume; coordinates from 0."""
     for c, s, n in zip("zyx", size, shape, strict=True):

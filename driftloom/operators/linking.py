@@ -172,6 +172,13 @@ def prune_isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(used, ["dataset", "node_id"], "left_semi")
 
 
+def solver_edges(solution: DataFrame, ids: DataFrame) -> DataFrame:
+    """(dataset, source_id, target_id): a solver's edges (dataset, source, target) under the node ids of
+    ``ids(dataset, solver_id, node_id)``; edges with an end that has no node id go."""
+    end = lambda name, to: ids.select("dataset", F.col("solver_id").alias(name), F.col("node_id").alias(to))
+    return solution.join(end("source", "source_id"), ["dataset", "source"]).join(end("target", "target_id"), ["dataset", "target"]).select("dataset", "source_id", "target_id")
+
+
 def track(detections: DataFrame, config: TrackingConfig, gaps: bool = True, prune: bool = True, short: bool = True, divisions: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a whole run: two-pass linking, then, each if wanted, gap closing, isolated nodes out, short tracks out, divisions."""
     nodes = cut(detections.select("dataset", F.col("det_id").alias("node_id"), "t", "z", "y", "x"))

@@ -23,6 +23,11 @@ def edge_geometry(nodes: DataFrame, edges: DataFrame, voxel: tuple[float, float,
     return edges.join(a, ["dataset", "source_id"]).join(b, ["dataset", "target_id"]).withColumn("dist", distance("a_", "b_", voxel))
 
 
+def head(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows in an order that is stated, for reports on the head of a table."""
+    return df.orderBy(*order).limit(n)
+
+
 def division_geometry(nodes: DataFrame, edges: DataFrame, voxel: tuple[float, float, float]) -> DataFrame:
     """(dataset, mother, n1, n2, inter, angle): the two first daughters of each division, by id; ``angle`` is null for a daughter on the spot."""
     rank = Window.partitionBy("dataset", "source_id").orderBy("target_id")

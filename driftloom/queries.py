@@ -15,7 +15,7 @@ from driftloom.config import V0, V2
 from driftloom.functions import scalar
 from driftloom.operators import detect, division, graph, imaging, lineage, linking, metrics, profile, spatial
 from driftloom.plans.lineage import cut, shared_folder
-from driftloom.sources import fixtures, sinks
+from driftloom.sources import fixtures, frames, sinks
 from driftloom.sources.fixtures import FIXTURE_SQL
 from driftloom.sources.tables import table
 from driftloom.streaming.linker import stream_link_to_table
@@ -135,6 +135,17 @@ def link_displacement_stats(spark: SparkSession, sf: str) -> DataFrame:
     return d.agg(F.count("*").alias("n"), p.alias("p"), F.max("dist").alias("top")).select("n", *[F.round(F.col("p")[i], 6).alias(c) for i, c in enumerate(("p10", "p50", "p90"))], F.round("top", 6).alias("top"))
 
 
+@query("head_displacement", f"""WITH {FIXTURE_SQL}, h AS (SELECT * FROM fx_gt_edges ORDER BY dataset, source_id, target_id LIMIT 2000),
+d AS (SELECT {_dist()} AS v FROM h e JOIN fx_gt_nodes a ON a.node_id = e.source_id JOIN fx_gt_nodes b ON b.node_id = e.target_id)
+SELECT count(*) AS n, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(max(v), 6) AS top FROM d""")
+def head_displacement(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference report over the first 2,000 links; the limit is the feature."""
+    nodes, edges = _gt(spark, sf)
+    d = profile.edge_geometry(nodes, profile.head(edges, ["dataset", "source_id", "target_id"], 2000), VOXEL)
+    p = F.percentile("dist", F.array(F.lit(0.5), F.lit(0.9)))
+    return d.agg(F.count("*").alias("n"), p.alias("p"), F.max("dist").alias("top")).select("n", F.round(F.col("p")[0], 6).alias("p50"), F.round(F.col("p")[1], 6).alias("p90"), F.round("top", 6).alias("top"))
+
+
 @query("division_geometry_stats", f"""WITH {FIXTURE_SQL},
 k AS (SELECT e.*, row_number() OVER (PARTITION BY e.dataset, source_id ORDER BY target_id) AS r FROM fx_gt_edges e),
 g AS (SELECT {_dist("m", "a")} AS n1, {_dist("m", "b")} AS n2, {_dist("a", "b")} AS inter,
@@ -257,6 +268,16 @@ def close_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return linking.close_gaps(nodes, edges, V2)[1]
 
 
+@query("solver_edges", f"WITH {FOUND_SQL} SELECT dataset, source_id, target_id FROM found_edges")
+def solver_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """A solution over all true nodes, under the solver's own ids, back as links between detected nodes."""
+    nodes, _, everything = _found(spark, sf)
+    edges = fixtures.gt_edges(everything)
+    ids = nodes.select("dataset", (F.col("node_id") * 2 + 1).alias("solver_id"), "node_id")
+    solution = edges.select("dataset", (F.col("source_id") * 2 + 1).alias("source"), (F.col("target_id") * 2 + 1).alias("target"))
+    return linking.solver_edges(solution, ids)
+
+
 # --- graphs and lineages ----------------------------------------------------------------------------------------------
 
 
@@ -592,6 +613,12 @@ def first_pattern_hit(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").withColumn("r", F.row_number().over(w)).where("r = 1").select("p_brand", "p_partkey")
 
 
+@query("fullest_folder", "SELECT regexp_replace(url, '/[^/]*$', '') AS folder FROM pages WHERE url IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")
+def fullest_folder(spark: SparkSession, sf: str) -> DataFrame:
+    """No path fits, so the folder with the most files."""
+    return frames.find_folder(table(spark, sf, "pages").select(F.col("url").alias("path")), [r"\.whl$", "weights"])
+
+
 @query("metadata_json", "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY event_type")
 def metadata_json(spark: SparkSession, sf: str) -> DataFrame:
     k = F.from_json("props", "k long").getField("k")
@@ -740,10 +767,10 @@ FROM (SELECT f.dataset, f.t, count(n.node_id) AS n FROM (SELECT DISTINCT CAST(us
   LEFT JOIN (SELECT * FROM fx_gt_nodes WHERE z < 8) n ON n.dataset = f.dataset AND n.t = f.t GROUP BY ALL) GROUP BY dataset""")
 def masks_present(spark: SparkSession, sf: str) -> DataFrame:
     """How many frames have any painted voxel."""
-    frames = table(spark, sf, "events").select((F.col("user_id") % 4).cast("int").alias("dataset"), (F.day("ts") - 1).cast("int").alias("t")).distinct()
+    seen = table(spark, sf, "events").select((F.col("user_id") % 4).cast("int").alias("dataset"), (F.day("ts") - 1).cast("int").alias("t")).distinct()
     nodes = fixtures.gt_nodes(spark, sf).where("z < 8").select("dataset", "t", (F.col("node_id") + 1).alias("label"), "z", (F.col("y") % 32).alias("y"), (F.col("x") % 32).alias("x"), F.col("node_id").alias("ord"))
     top = imaging.paint(nodes, (0, 1, 1), SHAPE).groupBy("dataset", "t").agg(F.max("label").alias("top"))
-    return frames.join(top, ["dataset", "t"], "left").groupBy("dataset").agg(F.count("*").alias("frames"), F.count_if(F.col("top") > 0).alias("present"))
+    return seen.join(top, ["dataset", "t"], "left").groupBy("dataset").agg(F.count("*").alias("frames"), F.count_if(F.col("top") > 0).alias("present"))
 
 
 @query("augment_voxels", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL}
@@ -753,6 +780,49 @@ def augment_voxels(spark: SparkSession, sf: str) -> DataFrame:
     return turned.withColumn("value", F.round(scalar.intensity_jitter(F.col("value") / 1000.0, 0.8, 1.1, -0.02, F.lit(0.0)), 6))
 
 
+def _draw(*parts: str) -> str:
+    """``scalar.uniform`` of seed 7 in SQL."""
+    return f"(CAST('0x' || substr(md5(concat_ws(':', '7', {', '.join(parts)})), 1, 8) AS BIGINT) / 4294967296e0)"
+
+
+_FRAME = ("dataset", "t")
+
+
+@query("random_flips", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL},
+f AS (SELECT dataset, t, {", ".join(f"CASE WHEN {_draw(f"'flip {c}'", *_FRAME)} < 0.5 THEN {n - 1} - {c} ELSE {c} END AS {c}" for c, n in zip("zyx", SHAPE, strict=True))}, {_draw("'swap'", *_FRAME)} < 0.5 AS swap, value FROM vox)
+SELECT dataset, t, z, CASE WHEN swap THEN x ELSE y END AS y, CASE WHEN swap THEN y ELSE x END AS x, value FROM f""")
+def random_flips(spark: SparkSession, sf: str) -> DataFrame:
+    return imaging.random_flips(_voxels(spark, sf), SHAPE, 7)
+
+
+@query("random_intensity", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL},
+v0 AS (SELECT * REPLACE (least(value / 1000e0, 1e0) AS value) FROM vox),
+v1 AS (SELECT * REPLACE (CASE WHEN {_draw("'use gamma'", *_FRAME)} < 0.5 THEN least(greatest(pow(value, 0.8e0 + (1.2e0 - 0.8e0) * {_draw("'gamma'", *_FRAME)}), 0e0), 1e0) ELSE value END AS value) FROM v0),
+v2 AS (SELECT * REPLACE (CASE WHEN {_draw("'use contrast'", *_FRAME)} < 0.5 THEN least(greatest(value * (0.8e0 + (1.2e0 - 0.8e0) * {_draw("'contrast'", *_FRAME)})
+        - 0.05e0 + 0.1e0 * {_draw("'brightness'", *_FRAME)}, 0e0), 1e0) ELSE value END AS value) FROM v1),
+v3 AS (SELECT * REPLACE (CASE WHEN {_draw("'use noise'", *_FRAME)} < 0.5 THEN least(greatest(value
+        + 0.02e0 * sqrt(-2e0 * ln(1e0 - {_draw("'r'", *imaging.KEY)})) * cos(2e0 * pi() * {_draw("'a'", *imaging.KEY)}), 0e0), 1e0) ELSE value END AS value) FROM v2)
+SELECT dataset, t, z, y, x, round(value, 6) AS value FROM v3""")
+def random_intensity(spark: SparkSession, sf: str) -> DataFrame:
+    scaled = _voxels(spark, sf).withColumn("value", F.least(F.col("value") / 1000.0, F.lit(1.0)))
+    return imaging.random_intensity(scaled, 7).withColumns(rounded("value"))
+
+
+_DRAW = ("dataset", "t", "draw")
+
+
+@query("patch_centres", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL},
+p AS (SELECT *, row_number() OVER (PARTITION BY dataset, t ORDER BY z, y, x) - 1 AS place FROM pts),
+n AS (SELECT dataset, t, count(*) AS n FROM pts GROUP BY ALL),
+d AS (SELECT dataset, t, draw, CASE WHEN {_draw("'positive'", *_DRAW)} < 0.7 THEN CAST(floor({_draw("'point'", *_DRAW)} * n) AS INTEGER) END AS place
+      FROM (SELECT DISTINCT dataset, t FROM vox) LEFT JOIN n USING (dataset, t), range(4) r(draw))
+SELECT dataset, t, CAST(draw AS INTEGER) AS draw, {", ".join(f"CAST(least(greatest(coalesce(p.{c} + CAST(trunc((2 * {_draw(f"'jitter {c}'", *_DRAW)} - 1) * 0.25e0 * {s}) AS INTEGER), CAST(floor({_draw(f"'voxel {c}'", *_DRAW)} * {n}) AS INTEGER)), {s // 2}), {n - s + s // 2}) AS INTEGER) AS c{c}" for c, s, n in zip("zyx", (4, 16, 16), SHAPE, strict=True))}
+FROM d LEFT JOIN p USING (dataset, t, place)""")
+def patch_centres(spark: SparkSession, sf: str) -> DataFrame:
+    seen = _voxels(spark, sf).select("dataset", "t").distinct()
+    return imaging.patch_centres(seen, _points(spark, sf), 4, (4, 16, 16), SHAPE, 7)
+
+
 @query("random_crop", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL},
 o AS (SELECT dataset, t, greatest(0, least(t % 8 - 2, 4)) AS oz, greatest(0, least(t - 8, 16)) AS oy, greatest(0, least(31 - t - 8, 16)) AS ox FROM vox GROUP BY ALL)
 SELECT dataset, t, z - oz AS z, y - oy AS y, x - ox AS x, value FROM vox JOIN o USING (dataset, t) WHERE z BETWEEN oz AND oz + 3 AND y BETWEEN oy AND oy + 15 AND x BETWEEN ox AND ox + 15""")

@@ -33,6 +33,41 @@ def read_graph(spark: SparkSession, nodes_path: str, edges_path: str | None) ->
     return nodes, spark.read.parquet(edges_path).select("dataset", F.col("source_id").cast("long").alias("source_id"), F.col("target_id").cast("long").alias("target_id"))
 
 
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder, sorted; none if there is no such folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in store.listStatus(path)) if store.exists(path) else []
+
+
+def read_graph_raw(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """(nodes, edges) of a graph stored as a folder of columns: ``nodes/ids`` (ord, node_id), a property a folder
+    of ``nodes/props``, with its rows (ord, value) in ``values`` or else in the property's folder itself, and ``edges/ids``.
+
+    Which properties there are follows from the folder; nodes without a value have null.  A property that can't be read and edges that aren't
+    there are left out, the edges as None.
+    """
+    nodes = spark.read.parquet(f"{path}/nodes/ids")
+    for name in _names(spark, f"{path}/nodes/props"):
+        own = f"{path}/nodes/props/{name}"
+        inside = _names(spark, own)
+        at = f"{own}/values" if "values" in inside else own
+        if any(x.endswith(".parquet") for x in _names(spark, at)):
+            nodes = nodes.join(spark.read.parquet(at).select("ord", F.col("value").alias(name)), "ord", "left")
+    edges = spark.read.parquet(f"{path}/edges/ids") if _names(spark, f"{path}/edges/ids") else None
+    return nodes.drop("ord"), edges
+
+
+def find_folder(files: DataFrame, patterns: list[str]) -> DataFrame:
+    """(folder): of ``files(path)``, the folder of the smallest path that fits the first of the regular expressions to fit any;
+    if none does, the folder with the most files, the smallest of several.  No row without files."""
+    rank = F.coalesce(*[F.when(F.col("path").rlike(p), i) for i, p in enumerate(patterns)], F.lit(len(patterns)))
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    sums = files.where("path IS NOT NULL").select(rank.alias("rank"), "path", folder.alias("folder")).groupBy("folder").agg(F.min(F.struct("rank", "path")).alias("best"), F.count("*").alias("n"))
+    missed = F.col("best.rank") == len(patterns)
+    return sums.orderBy("best.rank", F.when(missed, -F.col("n")), F.when(missed, F.col("folder")).otherwise(F.col("best.path"))).limit(1).select("folder")
+
+
 def points_by_frame(nodes: DataFrame) -> DataFrame:
     """(dataset, t, points): the integer points of each frame, in order."""
     return nodes.groupBy("dataset", "t").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in "zyx"]))).alias("points"))

@@ -65,3 +65,25 @@ def test_dilate(spark, rounds):
     v = spark.createDataFrame([(0, 0, 0, 2, 2)], "dataset int, t int, z int, y int, x int")
     got = {tuple(x)[2:] for x in imaging.dilate(v, rounds, (3, 5, 5)).collect()}
     assert got == {p for p in np.ndindex(3, 5, 5) if p[0] + abs(p[1] - 2) + abs(p[2] - 2) <= rounds}
+
+
+def test_random_draws_depend_on_the_seed_alone(spark):
+    rows = [(0, t, z, y, x, 0.5) for t in range(40) for z in range(2) for y in range(4) for x in range(4)]
+    v = spark.createDataFrame(rows, "dataset int, t int, z int, y int, x int, value double")
+    run = lambda df, seed: sorted(tuple(r) for r in imaging.random_intensity(imaging.random_flips(df, (2, 4, 4), seed), seed).collect())
+    once = run(v, 1)
+    assert run(v.repartition(7), 1) == once and run(v, 2) != once
+    assert sorted(r[:5] for r in once) == sorted(r[:5] for r in rows)
+    still = sum(all(r[5] == 0.5 for r in once if r[1] == t) for t in range(40))
+    noisy = sum(len({r[5] for r in once if r[1] == t}) > 1 for t in range(40))
+    assert 0 < still < 20 and 8 < noisy < 32
+
+
+def test_patch_centres(spark):
+    seen = spark.createDataFrame([(0, 0), (0, 1)], "dataset int, t int")
+    points = spark.createDataFrame([(0, 0, 5, 20, 20)], "dataset int, t int, z int, y int, x int")
+    rows = imaging.patch_centres(seen, points, 400, (4, 8, 8), (16, 64, 64), 3).collect()
+    assert len(rows) == 800 and all(2 <= r["cz"] <= 14 and 4 <= r["cy"] <= 60 and 4 <= r["cx"] <= 60 for r in rows)
+    near = [abs(r["cz"] - 5) <= 1 and abs(r["cy"] - 20) <= 2 and abs(r["cx"] - 20) <= 2 for r in rows if r["t"] == 0]
+    assert 240 < sum(near) < 330
+    assert len({(r["cz"], r["cy"], r["cx"]) for r in rows if r["t"] == 1}) > 300

@@ -39,3 +39,31 @@ def test_graphs_and_frames(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(t" in one._jdf.queryExecution().toString()
     assert [tuple(r) for r in frames.voxels(one).collect()] == [("a", 2, 0, 0, 0, 2.0)]
     assert frames.listing(spark, str(tmp_path / "n"), "*.parquet").count() >= 1
+
+
+def test_raw_graph_takes_either_path_of_a_property(spark, tmp_path):
+    root = str(tmp_path / "g")
+    spark.createDataFrame([(0, 7), (1, 8)], "ord long, node_id long").write.parquet(f"{root}/nodes/ids")
+    spark.createDataFrame([(0, 1.5), (1, 2.5)], "ord long, value double").write.parquet(f"{root}/nodes/props/z/values")
+    spark.createDataFrame([(1, 4)], "ord long, value int").write.parquet(f"{root}/nodes/props/t")
+    (tmp_path / "g/nodes/props/broken").mkdir()
+    nodes, edges = frames.read_graph_raw(spark, root)
+    assert edges is None and nodes.columns == ["node_id", "t", "z"]
+    assert sorted(tuple(r) for r in nodes.collect()) == [(7, None, 1.5), (8, 4, 2.5)]
+    spark.createDataFrame([(7, 8)], "source_id long, target_id long").write.parquet(f"{root}/edges/ids")
+    assert [tuple(r) for r in frames.read_graph_raw(spark, root)[1].collect()] == [(7, 8)]
+
+
+def test_find_folder(spark):
+    files = spark.createDataFrame([("a/x.bin",), ("b/y.pt",), ("b/z.bin",), ("c/best.pt",), (None,)], "path string")
+    first = lambda patterns, of=files: [r["folder"] for r in frames.find_folder(of, patterns).collect()]
+    assert first([r"best\.pt$", r"\.pt$"]) == ["c"]
+    assert first([r"nothing", r"\.pt$"]) == ["b"]
+    assert first([r"nothing"]) == ["b"]
+    assert first([r"nothing"], files.limit(0)) == []
+
+
+def test_split_is_read_back(spark, tmp_path):
+    rows = [("b", "train"), ("a", "train"), ("c", "val")]
+    sinks.write_split(spark.createDataFrame(rows, "dataset string, split string"), str(tmp_path / "j"))
+    assert sorted((r["dataset"], r["split"]) for r in sinks.read_split(spark, str(tmp_path / "j")).collect()) == sorted(rows)
