@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.llm import textkernel
+from driftloom.llm.skew import join_counted
 from driftloom.operators.graph import connected_components
 from driftloom.plans.lineage import cut
 
@@ -40,8 +41,8 @@ HASHES = 96
 MIN_DEPTH, MAX_DEPTH = 4, 12
 TREES = HASHES // MIN_DEPTH
 REGION = 64
-#: Pairs with one hub that meet in a task, if that hub had all pairs.
-SHARE = 4096
+#: Pairs of one hub that a share holds, more or less.
+SHARE = 256
 #: Buckets of the counts that order shingles from rare to common: what is broadcast, whatever the size of the table.
 BUCKETS = 1 << 18
 
@@ -231,11 +232,13 @@ def _bounded(sets: Iterator[np.ndarray], most: int = 1 << 22) -> Iterator[list[b
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(src, dst): those of the distinct ``pairs`` that link on their full sets.
 
-    The pairs of a hub (``dst``) are dealt to shares.  A share reads the hub's set first and then a member's after the other, so a task
-    holds two sets and not a group.  An id with several texts links if any of them does.
+    The pairs of a hub (``dst``) are dealt to shares, one for every ``SHARE`` of them, so that most hubs travel once.  A share
+    reads the hub's set first and then a member's after the other, so a task holds two sets and not a group.  An id with
+    several texts links if any of them does.
     """
-    shares = max(1, -(-pairs.count() // SHARE))
-    dealt = pairs.select(F.col("dst").alias("hub"), F.pmod(F.xxhash64("src"), F.lit(shares)).alias("share"), F.col("src").alias("rep"))
+    pairs = pairs.select(F.col("dst").alias("hub"), F.col("src").alias("rep"))
+    sized = join_counted(pairs, pairs.groupBy("hub").agg(F.count("*").alias("n")), ["hub"], "n", pairs.count())
+    dealt = cut(sized.select("hub", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / SHARE)).alias("share"), "rep"))
     hubs = dealt.select("hub", "share", F.col("hub").alias("rep")).distinct()
     rows = dealt.unionByName(hubs).join(sets, "rep").select("hub", "share", "rep", "s")
 
