@@ -72,6 +72,31 @@ knn AS (SELECT *, row_number() OVER (PARTITION BY dataset, source_id ORDER BY di
         row_number() OVER (PARTITION BY dataset, target_id ORDER BY dist, source_id) AS back FROM cand),
 mutual AS (SELECT * FROM knn WHERE rank = 1 AND back = 1)"""
 
+
+def matching_sql(pairs: str) -> str:
+    """CTEs that end in ``best(dataset, t, a, b)``, the matching of the largest total gain of ``pairs(dataset, t, a, b, gain)``.
+
+    They go through all matchings of each component, so they are for small ones.
+    """
+    return f"""
+reach AS (
+  SELECT DISTINCT dataset, t, a AS node, a AS root FROM {pairs}
+  UNION SELECT r.dataset, r.t, p2.a, r.root FROM reach r JOIN {pairs} p1 ON p1.dataset = r.dataset AND p1.t = r.t AND p1.a = r.node
+    JOIN {pairs} p2 ON p2.dataset = p1.dataset AND p2.t = p1.t AND p2.b = p1.b),
+part AS (SELECT dataset, t, node AS a, min(root) AS part FROM reach GROUP BY ALL),
+turn AS (SELECT *, row_number() OVER (PARTITION BY dataset, t, part ORDER BY a) AS r FROM part),
+option AS (SELECT n.dataset, n.t, n.part, n.r, p.a, p.b, p.gain FROM turn n JOIN {pairs} p USING (dataset, t, a)
+  UNION ALL SELECT dataset, t, part, r, a, CAST(NULL AS BIGINT), 0e0 FROM turn),
+walk AS (
+  SELECT DISTINCT dataset, t, part, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS givers, 0e0 AS total FROM turn
+  UNION ALL SELECT w.dataset, w.t, w.part, o.r, CASE WHEN o.b IS NULL THEN w.taken ELSE list_append(w.taken, o.b) END,
+      CASE WHEN o.b IS NULL THEN w.givers ELSE list_append(w.givers, o.a) END, w.total + o.gain
+  FROM walk w JOIN option o ON o.dataset = w.dataset AND o.t = w.t AND o.part = w.part AND o.r = w.r + 1 WHERE o.b IS NULL OR NOT list_contains(w.taken, o.b)),
+last AS (SELECT dataset, t, part, max(r) AS r FROM turn GROUP BY ALL),
+won AS (SELECT dataset, t, part, arg_max(struct_pack(taken, givers), total) AS m FROM walk JOIN last USING (dataset, t, part, r) GROUP BY ALL),
+best AS (SELECT dataset, t, unnest(m.givers) AS a, unnest(m.taken) AS b FROM won)"""
+
+
 ROOTS_SQL = f"""{FIXTURE_SQL},
 walk AS (
   SELECT n.dataset, n.node_id, n.node_id AS component FROM fx_gt_nodes n WHERE n.node_id NOT IN (SELECT target_id FROM fx_gt_edges)
@@ -227,7 +252,13 @@ def twopass_link(spark: SparkSession, sf: str) -> DataFrame:
     return linking.twopass_link(fixtures.detections(spark, sf), V2)
 
 
-@query("min_cost_flow_link")
+_SAVED = V2.ilp_appear + V2.ilp_disappear
+
+
+@query("min_cost_flow_link", f"""WITH RECURSIVE {CANDIDATES_SQL},
+useful AS MATERIALIZED (SELECT * FROM (SELECT dataset, t, source_id AS a, target_id AS b, dist - {V2.ilp_bias}e0 AS w, {_SAVED}e0 - (dist - {V2.ilp_bias}e0) AS gain FROM knn WHERE rank <= {V2.ilp_k}) WHERE w < {_SAVED}),
+{matching_sql("useful")}
+SELECT dataset, a AS source_id, b AS target_id, round(w, 6) AS w FROM best JOIN useful USING (dataset, t, a, b)""")
 def min_cost_flow_link(spark: SparkSession, sf: str) -> DataFrame:
     return linking.min_cost_flow_link(fixtures.detections(spark, sf), V2).withColumns(rounded("w"))
 
@@ -262,7 +293,11 @@ def gap_interpolation(spark: SparkSession, sf: str) -> DataFrame:
     return new.select("dataset", "end_id", "start_id", (F.col("t") + F.col("k")).alias("t"), *[F.round(c, 6).alias(c) for c in "zyx"])
 
 
-@query("close_gaps")
+@query("close_gaps", f"""WITH RECURSIVE {GAPS_SQL},
+bridges AS MATERIALIZED (SELECT dataset, t, end_id AS a, start_id AS b, 1e6 - dist AS gain FROM gaps),
+{matching_sql("bridges")},
+added AS (SELECT dataset, a, b, top + row_number() OVER (PARTITION BY dataset ORDER BY t, a) AS id FROM best JOIN (SELECT dataset, max(node_id) AS top FROM found GROUP BY dataset) USING (dataset))
+SELECT dataset, source_id, target_id FROM found_edges UNION ALL SELECT dataset, a, id FROM added UNION ALL SELECT dataset, id, b FROM added""")
 def close_gaps(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges, _ = _found(spark, sf)
     return linking.close_gaps(nodes, edges, V2)[1]
@@ -407,7 +442,12 @@ def division_jaccard_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.division_counts_by_match(fixtures.gt_edges(nodes), pred, same)
 
 
-@query("division_jaccard_events")
+@query("division_jaccard_events", f"""WITH RECURSIVE {CANDIDATES_SQL},
+g AS (SELECT * FROM fx_gt_nodes WHERE node_id IN (SELECT source_id FROM fx_gt_edges GROUP BY source_id HAVING count(*) >= 2)),
+p AS (SELECT * FROM fx_detections WHERE det_id IN (SELECT source_id FROM knn WHERE rank <= 2 GROUP BY source_id HAVING count(*) >= 2)),
+meetings AS MATERIALIZED (SELECT a.dataset, 0 AS t, a.node_id AS a, b.det_id AS b, 1e6 - {_dist()} AS gain FROM g a JOIN p b ON b.dataset = a.dataset AND abs(b.t - a.t) <= {V2.division_dt} AND {_dist()} <= {V2.match_gate}),
+{matching_sql("meetings")}
+SELECT tp, (SELECT count(*) FROM p) - tp AS fp, (SELECT count(*) FROM g) - tp AS fn FROM (SELECT count(*) AS tp FROM best)""")
 def division_jaccard_events(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = _gt(spark, sf)
     seen = fixtures.detections(spark, sf).withColumnRenamed("det_id", "node_id")
