@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, chat, linededup, minhash, packing, pqdedup, tokencount, topk, toxicity, urlfilter
+from driftloom.llm import bpe, chat, linededup, minhash, packing, pqdedup, tokencount, topk, toxicity, urlfilter, wavelet
+from driftloom.plans.lineage import cut, discard, shared_folder
 from driftloom.sources.tables import table
 
 
@@ -96,6 +97,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` written as shards of wavelet matrices and read back; the shards go once they have been read."""
+    folder = shared_folder(spark)
+    wavelet.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    back = cut(wavelet.documents(spark, folder))
+    discard(spark, folder)
+    return back
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -107,6 +117,7 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_count": op10_token_count,
+    "op13_token_output": op13_token_output,
     "pipeline": corpus_pipeline.run,
 }
 
