@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftloom.llm import bpe, chat, linededup, minhash, packing, pqdedup, tokencount, topk, toxicity, urlfilter, wavelet
+from driftloom.llm import bpe, chat, divergence, linededup, minhash, packing, pqdedup, tokencount, topk, toxicity, trie, urlfilter, wavelet
 from driftloom.plans.lineage import cut, discard, shared_folder
 from driftloom.sources.tables import table
 
@@ -97,6 +97,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of ``conversations`` of which each opens with up to 8 turns of the first of its five."""
+    turns = trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    base, taken = F.col("conv_id") - F.col("conv_id") % 5, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return trie.prefix_trie(*trie.with_openings(turns, base, taken, 8))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of ``documents`` against the others of its language and, by terms, against the whole language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` written as shards of wavelet matrices and read back; the shards go once they have been read."""
     folder = shared_folder(spark)
@@ -117,6 +129,8 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_count": op10_token_count,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_source_divergence": op12_source_divergence,
     "op13_token_output": op13_token_output,
     "pipeline": corpus_pipeline.run,
 }
@@ -220,5 +234,50 @@ marked AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op11_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (  -- CRC-32 of the decimal id, bit by bit
+  SELECT c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(s)), lambda i: ord(s[i + 1])::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::BIGINT)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 9 AS h
+  FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM t)),
+r AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text) AS k, strlen(text) AS b FROM (
+    SELECT crc.c, 0 AS own, p, role, text FROM crc JOIN t ON t.c = crc.c - crc.c % 5 AND p <= h
+    UNION ALL SELECT crc.c, 1, p, role, text FROM crc JOIN t ON t.c = crc.c AND p > h)),
+x AS (SELECT c, d, b, md5(string_agg(k, '') OVER (PARTITION BY c ORDER BY d)) AS pre FROM r UNION ALL SELECT c, 0, 0, '' FROM crc),
+n AS (SELECT d, pre, min(c) AS conv, count(*) AS n_convs, any_value(b) AS b FROM x GROUP BY ALL),
+m AS (SELECT x.c, d, n.conv FROM x JOIN n USING (d, pre)),
+parent AS (SELECT n.d, n.conv, m.conv AS parent FROM n JOIN m ON m.c = n.conv AND m.d = n.d - 1),
+kids AS (SELECT d - 1 AS d, parent AS conv, count(*) AS n_children FROM parent GROUP BY ALL),
+sums AS (
+  SELECT up.d, up.conv, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * b) AS saved_tokens
+  FROM n LEFT JOIN kids USING (d, conv) JOIN m AS up ON up.c = n.conv AND up.d <= n.d GROUP BY ALL),
+ends AS (SELECT d, conv, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM m JOIN (SELECT c, max(d) AS d FROM x GROUP BY c) USING (c, d) GROUP BY ALL)
+SELECT n.conv AS conv_id, CAST(n.d AS BIGINT) AS depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN sums USING (d, conv) LEFT JOIN parent USING (d, conv) LEFT JOIN kids USING (d, conv) LEFT JOIN ends USING (d, conv)
+""",
+    "op12_source_divergence": r"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT r, lang, source, unnest(w) AS term FROM t),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM x GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM x JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM t) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (total + v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (lang_n + 1)) // (lang_total + v)::HUGEINT AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums AS s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows) WHERE part = 'pair' OR rank <= 200
 """,
 }
