@@ -222,8 +222,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 1, id_co
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
                 doc_ids.append(some.column(0).cast(pa.int64()))
                 held += [np.frombuffer(ids + end, "<u4") for ids in encoder.encode([t.as_py() or "" for t in some.column(1)])]
                 size = size + sum(map(len, held[-some.num_rows :]))
