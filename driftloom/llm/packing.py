@@ -44,7 +44,7 @@ TRIED, LONGEST = 32, 8
 #: Distinct words remembered in a task; beyond that it starts afresh.
 CACHE_ENTRIES = 1_000_000
 #: Words of at most so many bytes are kept for a worker's later tasks, up to so many.
-SHORT, SHORT_ENTRIES = 8, 300_000
+SHORT, SHORT_ENTRIES = 12, 600_000
 
 Bins = list[tuple[int, list[int]]]
 
