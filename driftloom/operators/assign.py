@@ -2,11 +2,14 @@
 
 Spark finds and deals the candidate pairs; a group (a pair of frames) is solved in its task.
 Gated problems fall apart into the connected components of their gate graph,
-so the dense solver sees a few points at a time.
+so the dense solver sees a few points at a time.  Problems over all pairs of two frames are solved on near pairs
+alone: the prices of that solution prove which far pairs can't matter, and only the others are added.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,6 +94,133 @@ def assign_sparse(src: np.ndarray, dst: np.ndarray, cost: np.ndarray, sentinel:
     return np.sort(np.concatenate(chosen))
 
 
+def cheapest_rows(columns: list[list[int]], costs: list[list[float]], skip: list[float], m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(partner of each row or -1, row prices, column prices) of a cheapest matching of rows with ``m`` columns.
+
+    Row i may take one of ``columns[i]`` at its cost, or none at the price ``skip[i]``.  Shortest augmenting paths over the given
+    pairs only, so memory follows the pairs.  For every pair cost - row price - column price is 0 or more, and 0 where it is chosen; free
+    columns have the price 0 and all others 0 or less.
+    """
+    n = len(columns)
+    owner, partner = [-1] * m, [-1] * n
+    row_price, column_price = [0.0] * n, [0.0] * m
+    for start in range(n):
+        # the price at which the row's cheapest option is free of charge
+        base = skip[start]
+        for c, cost in zip(columns[start], costs[start], strict=True):
+            base = min(base, cost - column_price[c])
+        row_price[start] = base
+        reached: dict[int, float] = {}
+        came: dict[int, int] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        row, through = start, 0.0
+        idle, idler = np.inf, -1  # the cheapest way that ends at a row without a partner
+        while True:
+            price = row_price[row]
+            if through + skip[row] - price < idle:
+                idle, idler = through + skip[row] - price, row
+            for c, cost in zip(columns[row], costs[row], strict=True):
+                d = through + (cost - price - column_price[c])
+                if d < idle and c not in done and d < reached.get(c, np.inf):
+                    reached[c], came[c] = d, row
+                    heapq.heappush(heap, (d, c))
+            while heap and (heap[0][0] > reached[heap[0][1]] or heap[0][1] in done):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= idle:
+                length, column = idle, -1
+                break
+            length, column = heapq.heappop(heap)
+            if owner[column] < 0:
+                break
+            done.add(column)
+            row, through = owner[column], length
+        for c in done:
+            more = length - reached[c]
+            row_price[owner[c]] += more
+            column_price[c] -= more
+        row_price[start] += length
+        # pairs along the way change sides
+        row = idler if column < 0 else came[column]
+        free = partner[row]
+        partner[row] = column
+        if column >= 0:
+            owner[column] = row
+        while row != start:
+            column, row = free, came[free]
+            free = partner[row]
+            partner[row], owner[column] = column, row
+    return np.array(partner, dtype=np.int64), np.array(row_price), np.array(column_price)
+
+
+#: Pairs that a row gets at first, rows of a block of distances, and the part of a price that counts as rounding.
+NEAR, ROWS, SLACK = 8, 64, 1e-9
+
+
+def _cheaper(a: np.ndarray, b: np.ndarray, row_price: np.ndarray, column_price: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each of the points ``a`` the columns, ``most`` at most, whose distance is furthest under both prices together.
+
+    Column prices are 0 or less, so no column beyond the row's own price counts, and a block of rows looks at a strip of columns only.
+    """
+    axis = int(np.argmax(np.ptp(b, axis=0)))
+    order = np.argsort(b[:, axis], kind="stable")
+    at, sorted_b, price = b[order, axis], b[order], column_price[order]
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(a)
+    width = np.frexp(np.maximum(row_price, 1e-300))[1]
+    rows = np.lexsort((a[:, axis], width))
+    for k in range(0, len(a), ROWS):
+        own = rows[k : k + ROWS]
+        reach = row_price[own].max()
+        low, high = np.searchsorted(at, a[own, axis].min() - reach), np.searchsorted(at, a[own, axis].max() + reach, side="right")
+        if low >= high:
+            continue
+        gain = row_price[own][:, None] + price[None, low:high]
+        gain -= np.sqrt(sum((a[own, c, None] - sorted_b[None, low:high, c]) ** 2 for c in range(a.shape[1])))
+        for i, row in enumerate(own):
+            found = np.flatnonzero(gain[i] > SLACK * max(1.0, abs(row_price[row])))
+            if len(found) > most:
+                found = found[np.argpartition(-gain[i][found], most - 1)[:most]]
+            out[row] = order[low + found]
+    return out
+
+
+def solve_points(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a cheapest assignment of min(n, m) points by their distances, without a matrix of all pairs.
+
+    Near pairs are solved first.  A far pair can only help if its distance is under its two prices; such pairs are
+    added and the problem is solved anew, until there are none, which proves the assignment the cheapest over all pairs.
+    """
+    if len(a) > len(b):
+        columns, rows = solve_points(b, a)
+        order = np.argsort(rows)
+        return rows[order], columns[order]
+    n, m = len(a), len(b)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    extent = np.maximum(np.ptp(np.concatenate([a, b]), axis=0), 1e-9)
+    # the radius at which an even spread would give NEAR columns, and a price above all distances
+    row_price, column_price = np.full(n, float(np.prod(extent) * NEAR / m) ** (1 / a.shape[1])), np.zeros(m)
+    far, most = 2 * float(np.sqrt((extent**2).sum())) + 1, NEAR
+    columns: list[list[int]] = [[] for _ in range(n)]
+    costs: list[list[float]] = [[] for _ in range(n)]
+    solved, partner = False, np.full(n, -1)
+    while True:
+        added = 0
+        for i, new in enumerate(_cheaper(a, b, row_price, column_price, most)):
+            known = set(columns[i])
+            new = [c for c in new.tolist() if c not in known]
+            if new:
+                added += len(new)
+                columns[i] += new
+                costs[i] += np.sqrt(((b[new] - a[i]) ** 2).sum(axis=1)).tolist()
+        if solved and not added:
+            if (partner >= 0).all():
+                return np.arange(n), partner
+            far *= 4
+        partner, row_price, column_price = cheapest_rows(columns, costs, [far] * n, m)
+        solved, most = True, 2 * most
+
+
 def assign_candidates(candidates: DataFrame, by: list[str], src: str, dst: str, cost: str, sentinel: float = SENTINEL) -> DataFrame:
     """The rows (by..., src, dst, cost) of ``candidates`` that an optimal assignment within each group picks; at most one row a pair."""
     own = candidates.select(*by, F.col(src).cast("long").alias(src), F.col(dst).cast("long").alias(dst), F.col(cost).cast("double").alias(cost))
@@ -106,8 +236,8 @@ def assign_frames(left: DataFrame, right: DataFrame, by: list[str], voxel: tuple
     """(by..., source_id, target_id, dist): per group a cheapest assignment over *all* pairs, of which those within ``gate`` stay.
 
     ``left`` and ``right`` have (by..., id, z, y, x).  The gate comes after the assignment, so that
-    a far pair may take the place of two near ones, and no pair can be left out beforehand.  A task holds one pair of frames and two
-    matrices of all its pairs: about 1 GB for 8,000 points in each frame, which is the size to plan workers' memory for.
+    a far pair may take the place of two near ones, and no pair can be left out beforehand.  A task holds one pair of frames, their
+    near pairs and the far pairs that prices don't rule out; there is no matrix of all pairs.
     """
     rows = left.select(*by, F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "zyx"], F.lit(True).alias("first"))
     rows = rows.unionByName(right.select(*by, F.col("id").cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "zyx"], F.lit(False).alias("first")))
@@ -121,18 +251,12 @@ def assign_frames(left: DataFrame, right: DataFrame, by: list[str], voxel: tuple
         a, b = points[first], points[~first]
         keys = {c: table.column(c).slice(0, 1).combine_chunks() for c in by}
         if len(a) and len(b):
-            d = np.zeros((len(a), len(b)))
-            for k in range(3):  # an axis at a time, so that two matrices are held at most
-                step = a[:, k, None] - b[None, :, k]
-                step *= step
-                d += step
-            np.sqrt(d, out=d)
-            r, c = solve(d)
-            near = d[r, c] <= gate
-            r, c = r[near], c[near]
+            r, c = solve_points(a, b)
+            d = np.sqrt(((a[r] - b[c]) ** 2).sum(axis=1))
+            r, c, d = (v[d <= gate] for v in (r, c, d))
         else:
-            d, r, c = np.zeros((0, 0)), np.zeros(0, int), np.zeros(0, int)
+            r, c, d = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
         out = [keys[k].take(pa.array(np.zeros(len(r), int))) for k in by]
-        return pa.table([*out, pa.array(ids[first][r]), pa.array(ids[~first][c]), pa.array(d[r, c] if len(r) else np.zeros(0))], names=[*by, "source_id", "target_id", "dist"])
+        return pa.table([*out, pa.array(ids[first][r]), pa.array(ids[~first][c]), pa.array(d)], names=[*by, "source_id", "target_id", "dist"])
 
     return rows.groupBy(*by).applyInArrow(run, schema)

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from driftloom.operators.assign import assign_sparse, solve
+from driftloom.operators.assign import assign_sparse, cheapest_rows, solve, solve_points
 
 
 def cheapest(c):
@@ -45,3 +45,38 @@ def test_gate_before_and_after_differ():
     before = {(i[k], j[k]) for k in assign_sparse(i, j, cost[i, j])}
     assert len(after) == 1 or after != before or len(before) == 2
     assert len(before) == 2
+
+
+@given(st.integers(1, 9), st.integers(1, 9), st.integers(0, 3), st.randoms(use_true_random=False))
+@settings(max_examples=150, deadline=None)
+def test_points_are_assigned_as_from_all_pairs(n, m, kind, r):
+    # spread, far apart, with ties, all in one place
+    place = lambda shift: [[r.uniform(0, 9), r.uniform(0, 9), r.uniform(0, 9) + shift] if kind < 2 else [float(r.randrange(3) if kind == 2 else 1)] * 3 for _ in range(3)][0]
+    a, b = (np.array([place(50 * (kind == 1) * side) for _ in range(k)]) for side, k in ((0, n), (1, m)))
+    rows, columns = solve_points(a, b)
+    cost = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    assert len(rows) == min(n, m) == len(set(rows.tolist())) == len(set(columns.tolist()))
+    assert abs(cost[rows, columns].sum() - cost[solve(cost)].sum()) < 1e-9
+
+
+def test_many_points_need_no_matrix():
+    r = np.random.default_rng(0)
+    a = r.random((6000, 3)) * [60, 600, 600]
+    kept = r.permutation(6000)[:5600]
+    b = np.concatenate([a[kept] + [0.2, 0.1, 0.1], r.random((500, 3)) * [60, 600, 600]])
+    rows, columns = solve_points(a, b)
+    assert len(rows) == 6000 == len(set(columns.tolist()))
+    # prices prove it the cheapest: moving all partners around can't be better
+    small = solve_points(a[:300], b[:320])
+    cost = np.sqrt(((a[:300, None] - b[None, :320]) ** 2).sum(axis=2))
+    assert abs(cost[small].sum() - cost[solve(cost)].sum()) < 1e-9
+
+
+@given(st.lists(st.lists(st.integers(-9, 9), min_size=3, max_size=3), min_size=1, max_size=4), st.lists(st.integers(-3, 6), min_size=4, max_size=4))
+@settings(max_examples=100, deadline=None)
+def test_rows_may_go_without(costs, skip):
+    partner, row_price, column_price = cheapest_rows([[0, 1, 2]] * len(costs), [[float(c) for c in row] for row in costs], [float(s) for s in skip[: len(costs)]], 3)
+    total = sum(costs[i][c] if c >= 0 else skip[i] for i, c in enumerate(partner))
+    best = min(sum(costs[i][c] if c >= 0 else skip[i] for i, c in enumerate(p)) for p in itertools.product(range(-1, 3), repeat=len(costs)) if len(used := [c for c in p if c >= 0]) == len(set(used)))
+    assert total == best
+    assert all(costs[i][c] - row_price[i] - column_price[c] > -1e-9 for i in range(len(costs)) for c in range(3)) and max(column_price) <= 0
