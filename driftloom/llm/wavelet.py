@@ -110,7 +110,7 @@ class Shard:
         for shift in range(max(len(alphabet) - 1, 0).bit_length() - 1, -1, -1):
             bit = (symbols >> symbols.dtype.type(shift)) & symbols.dtype.type(1) == 1
             planes.append(Plane.of(bit))
-            symbols = np.concatenate([symbols[~bit], symbols[bit]])
+            symbols = np.concatenate([symbols.take(np.flatnonzero(~bit)), symbols.take(np.flatnonzero(bit))])
         return cls(doc_ids, starts, alphabet, planes)
 
     @property
@@ -147,8 +147,8 @@ class Shard:
         symbols = np.zeros(self.n, dtype=np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
         for shift, plane in enumerate(reversed(self.planes)):
             bit, above = plane.bits(), np.empty_like(symbols)
-            above[~bit] = symbols[: plane.zeros]
-            above[bit] = symbols[plane.zeros :] | symbols.dtype.type(1 << shift)
+            above[np.flatnonzero(~bit)] = symbols[: plane.zeros]
+            above[np.flatnonzero(bit)] = symbols[plane.zeros :] | symbols.dtype.type(1 << shift)
             symbols = above
         return self.alphabet[symbols] if self.n else np.zeros(0, "<u4")
 
