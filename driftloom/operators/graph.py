@@ -100,13 +100,46 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     return nodes.unionByName(alone).select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _numbered(ends: DataFrame) -> DataFrame:
+    """The distinct rows of ``ends`` with a number each in ``n``, written so that it stays the same."""
+    return cut(ends.distinct().withColumn("n", F.monotonically_increasing_id()))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select("dataset", F.explode(F.array("source_id", "target_id")).alias("node_id"))
+
+
+def _by_number(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """``edges`` with the numbers of their ends in ``a`` and ``b``."""
+    end = lambda name, to: ids.select("dataset", F.col("node_id").alias(name), F.col("n").alias(to))
+    return edges.join(end("source_id", "a"), ["dataset", "source_id"]).join(end("target_id", "b"), ["dataset", "target_id"])
+
+
 def components_by_dataset(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(dataset, node_id, component): the smallest of ``nodes`` that a node's edges reach in either direction.
 
-    Ids needn't be unique over datasets, as each numbers the nodes it adds by itself.
+    Ids needn't be unique over datasets, as each numbers the nodes it adds by itself; so nodes are numbered first, each by
+    a number of its own.
     """
-    key = lambda c: F.xxhash64("dataset", c)
-    found = connected_components(edges.select(key("source_id").alias("a"), key("target_id").alias("b")), "a", "b").withColumnRenamed("component", "part")
-    member = nodes.select("dataset", "node_id", key("node_id").alias("node")).join(found, "node", "left").select("dataset", "node_id", F.coalesce("part", "node").alias("part"))
-    first = member.groupBy("dataset", "part").agg(F.min("node_id").alias("component"))
-    return member.join(first, ["dataset", "part"]).select("dataset", "node_id", "component")
+    own = edges.select("dataset", "source_id", "target_id")
+    ids = _numbered(nodes.select("dataset", "node_id").unionByName(_ends(own)))
+    found = connected_components(_by_number(own, ids), "a", "b").withColumnsRenamed({"node": "n", "component": "part"})
+    member = nodes.select("dataset", "node_id").join(ids, ["dataset", "node_id"]).join(found, "n", "left").select("dataset", "node_id", F.coalesce("part", "n").alias("part"))
+    first = member.groupBy("part").agg(F.min("node_id").alias("component"))
+    return member.join(first, "part").select("dataset", "node_id", "component")
+
+
+def with_components(edges: DataFrame) -> DataFrame:
+    """``edges(dataset, source_id, target_id, ...)`` with ``component``, one number for all that hang together."""
+    numbered = cut(_by_number(edges, _numbered(_ends(edges))))
+    found = connected_components(numbered, "a", "b").withColumnRenamed("node", "a")
+    return numbered.join(found, "a").drop("a", "b")
+
+
+def with_meetings(pairs: DataFrame) -> DataFrame:
+    """As ``with_components``, where a node as a source and the same node as a target are two: pairs hang together by a shared source or a shared target."""
+    source = _numbered(pairs.select("dataset", "source_id")).withColumn("a", 2 * F.col("n")).drop("n")
+    target = _numbered(pairs.select("dataset", "target_id")).withColumn("b", 2 * F.col("n") + 1).drop("n")
+    numbered = cut(pairs.join(source, ["dataset", "source_id"]).join(target, ["dataset", "target_id"]))
+    found = connected_components(numbered, "a", "b").withColumnRenamed("node", "a")
+    return numbered.join(found, "a").drop("a", "b")

@@ -6,18 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.config import TrackingConfig
 from driftloom.operators.assign import assign_candidates, assign_frames, assign_sparse
 from driftloom.operators.division import detect_divisions
-from driftloom.operators.graph import components_by_dataset
-from driftloom.operators.spatial import frame_candidates, knn_candidates, prefixed, range_join
+from driftloom.operators.flow import cheapest_trees
+from driftloom.operators.graph import components_by_dataset, with_components
+from driftloom.operators.numbering import row_numbers
+from driftloom.operators.spatial import frame_pairs, knn_candidates, prefixed, range_join
 from driftloom.plans.lineage import cut
 
-EDGES = "dataset int, source_id long, target_id long"
-
 
 def nn_link(detections: DataFrame, gate: float, voxel: tuple[float, float, float]) -> DataFrame:
     """(dataset, source_id, target_id, dist): assign all of consecutive frames first, then drop what is beyond ``gate``."""
@@ -26,86 +26,90 @@ def nn_link(detections: DataFrame, gate: float, voxel: tuple[float, float, float
     return assign_frames(rows, later, ["dataset", "t"], voxel, gate).drop("t")
 
 
+def two_passes(i: np.ndarray, j: np.ndarray, raw: np.ndarray, cost: np.ndarray, config: TrackingConfig) -> np.ndarray:
+    """Indices of the chosen ones among pairs (i, j): as many as possible within the tight gate at the least cost, then of what is left within the loose gate.
+
+    Both passes gate on the raw distance.
+    """
+    left, chosen = np.ones(len(i), bool), []
+    for gate in (min(config.tight_gate, config.loose_gate), config.loose_gate):
+        open_ = np.flatnonzero((raw <= gate) & left)
+        took = open_[assign_sparse(i[open_], j[open_], cost[open_])]
+        chosen.append(took)
+        left &= ~(np.isin(i, i[took]) | np.isin(j, j[took]))
+    return np.concatenate(chosen)
+
+
 class Linker:
-    """Two-pass linking of one movie, frame by frame.
+    """Two-pass linking, frame by frame, of what may hang together.
 
-    The state is the frame before: ids, positions in micrometres, and velocities, or no velocities where the
-    frame before that one was empty or this one follows an empty frame.
+    The state is the velocity of each node that the frame before was linked to, in micrometres a frame; others have none.
     """
 
     def __init__(self, config: TrackingConfig):
         self.config = config
         self.reset()
 
-    def reset(self, t: int | None = None) -> None:
-        self.t, self.ids, self.points, self.velocity = t, np.zeros(0, np.int64), np.zeros((0, 3)), None
-
-    def step(self, t: int, ids: np.ndarray, points: np.ndarray, pairs: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """Links from the frame before to this one; ``pairs`` are the (source id, target id) within the loose gate, if known."""
-        c = self.config
-        if self.t is None or t != self.t + 1 or not len(self.ids) or not len(ids):
-            self.t, self.ids, self.points, self.velocity = t, ids, points, None
-            return []
-        if pairs is None:
-            i, j = (x.ravel() for x in np.indices((len(self.ids), len(ids))))
-        else:
-            at = {int(x): k for k, x in enumerate(self.ids)}
-            to = {int(x): k for k, x in enumerate(ids)}
-            i, j = (np.array([m[int(x)] for x in pairs[:, k]], dtype=np.int64) for k, m in enumerate((at, to)))
-        raw = np.sqrt(((self.points[i] - points[j]) ** 2).sum(axis=1))
-        ahead = self.points if self.velocity is None else self.points + c.velocity_blend * self.velocity
-        cost = np.sqrt(((ahead[i] - points[j]) ** 2).sum(axis=1))
-        links: list[tuple[int, int]] = []
-        free_i, free_j = np.ones(len(self.ids), bool), np.ones(len(ids), bool)
-        for gate in (min(c.tight_gate, c.loose_gate), c.loose_gate):
-            open_ = np.flatnonzero((raw <= gate) & free_i[i] & free_j[j])
-            took = open_[assign_sparse(i[open_], j[open_], cost[open_])]
-            links += zip(i[took].tolist(), j[took].tolist(), strict=True)
-            free_i[i[took]], free_j[j[took]] = False, False
-        velocity = np.zeros((len(ids), 3))
-        for a, b in links:
-            velocity[b] = points[b] - self.points[a]
-        out = [(int(self.ids[a]), int(ids[b])) for a, b in links]
-        self.t, self.ids, self.points, self.velocity = t, ids, points, velocity
-        return out
+    def reset(self) -> None:
+        self.t, self.velocity = None, {}
+
+    def step(self, t: int, source: np.ndarray, target: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Indices of the links among the pairs from frame ``t`` to the next, whose ends lie at ``a`` and ``b`` in micrometres."""
+        if self.t is None or t != self.t + 1:
+            self.velocity = {}
+        none = np.zeros(3)
+        speed = np.stack([self.velocity.get(s, none) for s in source.tolist()])
+        raw = np.sqrt(((a - b) ** 2).sum(axis=1))
+        cost = np.sqrt(((a + self.config.velocity_blend * speed - b) ** 2).sum(axis=1))
+        took = two_passes(source, target, raw, cost, self.config)
+        self.t, self.velocity = t, {int(target[k]): b[k] - a[k] for k in took}
+        return took
 
 
 def twopass_link(detections: DataFrame, config: TrackingConfig) -> DataFrame:
     """(dataset, source_id, target_id) by two-pass assignment with constant-velocity prediction.
 
-    Both passes gate on the raw distance and minimise the predicted one.  The
-    candidates within the loose gate come from a grid join over all frames at once; only the
-    sequential choice runs along a movie, streaming one frame after the other, so
-    that a task holds two frames and not the movie.
+    Both passes gate on the raw distance and minimise the predicted one.  Velocities follow links and links stay
+    within the loose gate, so what the pairs within that gate don't connect, over all frames, can't
+    influence each other: each such component in space and time is decided by itself, frame after frame.  A task
+    goes through components in turn and holds the pairs of two frames of one; a movie is as many tasks as Spark makes of its components.
     """
-    near = frame_candidates(detections, config.loose_gate, config.voxel).groupBy("dataset", F.col("target_id").alias("det_id")).agg(F.collect_list("source_id").alias("near"))
-    rows = detections.select("dataset", "t", "det_id", *[(F.col(c) * s).alias(c) for c, s in zip("zyx", config.voxel, strict=True)]).join(near, ["dataset", "det_id"], "left")
-    ordered = rows.select("dataset", "t", "det_id", "z", "y", "x", "near").repartition("dataset").sortWithinPartitions("dataset", "t", "det_id")
+    um = [(F.col(f"{p}{c}") * s).alias(f"{p}{c}") for p in ("a_", "b_") for c, s in zip("zyx", config.voxel, strict=True)]
+    near = frame_pairs(detections, config.loose_gate, config.voxel).select("dataset", "t", F.col("source_id").cast("long"), F.col("target_id").cast("long"), *um)
+    rows = with_components(near).select("component", "t", "dataset", "source_id", "target_id", *[p + c for p in ("a_", "b_") for c in "zyx"])
+    ordered = rows.repartition("component").sortWithinPartitions("component", "t", "source_id", "target_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        linker, movie, frame, held = Linker(config), None, None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            ids = np.array([r[0] for r in held], np.int64)
-            pairs = np.array([(s, r[0]) for r in held for s in (r[4] or ())], np.int64).reshape(-1, 2)
-            links = linker.step(frame, ids, np.array([r[1:4] for r in held], float), pairs)
-            held.clear()
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([movie] * len(links), pa.int32()), *(pa.array([e[k] for e in links], pa.int64()) for k in (0, 1))], names=["dataset", "source_id", "target_id"])
+        linker, part, rest = Linker(config), None, None
+
+        def linked(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal part
+            keys = np.stack([table.column(k).to_numpy() for k in (0, 1)])
+            bounds = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]]))
+            source, target = (table.column(k).to_numpy() for k in (3, 4))
+            points = np.stack([table.column(k).to_numpy() for k in range(5, 11)], axis=1)
+            took = []
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                if keys[0, low] != part:
+                    part = keys[0, low]
+                    linker.reset()
+                took.append(low + linker.step(int(keys[1, low]), source[low:high], target[low:high], points[low:high, :3], points[low:high, 3:]))
+            yield from table.select([2, 3, 4]).take(pa.array(np.concatenate(took))).to_batches()
 
         for batch in batches:
-            for dataset, t, *row in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if (dataset, t) != (movie, frame):
-                    yield from flush()
-                    if dataset != movie:
-                        linker.reset()
-                    movie, frame = dataset, t
-                held.append(row)
-        yield from flush()
+            whole = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if not whole.num_rows:
+                continue
+            # the last frame of a batch may go on in the next
+            last = np.stack([whole.column(k).to_numpy() for k in (0, 1)])
+            cut_at = int(np.flatnonzero((last != last[:, -1:]).any(axis=0)).max(initial=-1)) + 1
+            if cut_at:
+                yield from linked(whole.slice(0, cut_at))
+            rest = whole.slice(cut_at)
+        if rest is not None and rest.num_rows:
+            yield from linked(rest)
 
-    return ordered.mapInArrow(run, EDGES)
+    return ordered.mapInArrow(run, f"dataset {dict(near.dtypes)['dataset']}, source_id long, target_id long")
 
 
 def ends_and_starts(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,27 +133,33 @@ def interpolated(links: DataFrame, gap: int) -> DataFrame:
     return links.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(gap)))).withColumns({c: F.col("a_" + c) + (F.col("b_" + c) - F.col("a_" + c)) * part for c in "zyx"})
 
 
+def bridge(nodes: DataFrame, edges: DataFrame, links: DataFrame, gap: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges with each of ``links(dataset, t, end_id, start_id)`` bridged by ``gap`` interpolated nodes; ``t`` is the frame of the end.
+
+    New ids follow the largest id of the movie, by frame and end.
+    """
+    top = nodes.groupBy("dataset").agg(F.max("node_id").alias("top"))
+    a = prefixed(nodes.select("dataset", F.col("node_id").alias("end_id"), "z", "y", "x"), "a_")
+    b = prefixed(nodes.select("dataset", F.col("node_id").alias("start_id"), "z", "y", "x"), "b_")
+    whole = links.select("dataset", "t", "end_id", "start_id").join(a, ["dataset", "end_id"]).join(b, ["dataset", "start_id"]).join(top, "dataset")
+    whole = row_numbers(whole, ["dataset"], ["t", "end_id"], "place").withColumn("first", F.col("top") + 1 + (F.col("place") - 1) * gap)
+    new = interpolated(whole, gap).select("dataset", (F.col("first") + F.col("k") - 1).cast("long").alias("node_id"), (F.col("t") + F.col("k")).cast("int").alias("t"), "z", "y", "x")
+    steps = whole.select("dataset", F.explode(F.array(
+        *[F.struct((F.col("end_id") if k == 0 else F.col("first") + k - 1).cast("long").alias("source_id"), (F.col("start_id") if k == gap else F.col("first") + k).cast("long").alias("target_id")) for k in range(gap + 1)]
+    )).alias("e")).select("dataset", "e.source_id", "e.target_id")
+    return cut(nodes.select("dataset", "node_id", "t", "z", "y", "x").unionByName(new)), cut(edges.select("dataset", "source_id", "target_id").unionByName(steps))
+
+
 def close_gaps(nodes: DataFrame, edges: DataFrame, config: TrackingConfig) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges with the gaps of up to ``max_gap`` frames bridged by interpolated nodes.
+    """Nodes and edges with the gaps of up to ``max_gap`` frames bridged by interpolated nodes, the short ones first.
 
-    Ends and starts are assigned per frame, as many as possible and then the nearest.  New ids follow the
-    largest id of the movie, by frame and end.
+    Ends and starts are assigned per frame, as many as possible and then the nearest.
     """
     for gap in range(1, config.max_gap + 1):
         gate = config.gap_distance * (gap + 1)
         near = gap_candidates(nodes, edges, gap, config)
         links = cut(assign_candidates(near, ["dataset", "t"], "end_id", "start_id", "dist", gate * 1000 + 1))
-        top = nodes.groupBy("dataset").agg(F.max("node_id").alias("top"))
-        a = prefixed(nodes.select("dataset", F.col("node_id").alias("end_id"), "z", "y", "x"), "a_")
-        b = prefixed(nodes.select("dataset", F.col("node_id").alias("start_id"), "z", "y", "x"), "b_")
-        whole = links.join(a, ["dataset", "end_id"]).join(b, ["dataset", "start_id"]).join(top, "dataset")
-        order = Window.partitionBy("dataset").orderBy("t", "end_id")
-        whole = whole.withColumn("first", F.col("top") + 1 + (F.row_number().over(order) - 1) * gap)
-        new = interpolated(whole, gap).select("dataset", (F.col("first") + F.col("k") - 1).cast("long").alias("node_id"), (F.col("t") + F.col("k")).cast("int").alias("t"), "z", "y", "x")
-        steps = whole.select("dataset", F.explode(F.array(
-            *[F.struct((F.col("end_id") if k == 0 else F.col("first") + k - 1).cast("long").alias("source_id"), (F.col("start_id") if k == gap else F.col("first") + k).cast("long").alias("target_id")) for k in range(gap + 1)]
-        )).alias("e")).select("dataset", "e.source_id", "e.target_id")
-        nodes, edges = cut(nodes.select("dataset", "node_id", "t", "z", "y", "x").unionByName(new)), cut(edges.select("dataset", "source_id", "target_id").unionByName(steps))
+        nodes, edges = bridge(nodes, edges, links, gap)
     return nodes, edges
 
 
@@ -193,24 +203,27 @@ def track(detections: DataFrame, config: TrackingConfig, gaps: bool = True, prun
     return nodes, cut(detect_divisions(nodes, edges, config)) if divisions else edges
 
 
-def min_cost_flow_link(detections: DataFrame, config: TrackingConfig) -> DataFrame:
+def min_cost_flow_link(detections: DataFrame, config: TrackingConfig, optional: bool = False) -> DataFrame:
     """(dataset, source_id, target_id, w): links that together cost least, with weights ``dist - bias`` over the k nearest.
 
-    Every track pays for appearing and disappearing.  With the division price out of reach a
-    solution is a set of disjoint paths; a link saves an end and a start, so it is worth
-    having where ``w`` is under both prices together, and links of different frames don't compete.  So the
-    optimum is an optimal partial assignment per frame, solved per component of its candidates.
+    Every track pays for appearing and disappearing, and every node with two children for the division; a node has one
+    parent and two children at most.
+
+    - By default all nodes are part of the solution, linked or not.  Then a link saves an end and a start, links of different frames
+      don't compete, and each pair of frames is decided by itself.  With the division price out of reach a solution is a set of disjoint paths.
+    - With ``optional`` a node may stay out at no cost, and only tracks pay.  Then a track is worth having as a whole or not at
+      all, so a component in space and time is decided at once, in one task.
     """
     saved = config.ilp_appear + config.ilp_disappear
     weighted = knn_candidates(detections, config.ilp_k, config.loose_gate, config.voxel).withColumn("w", F.col("dist") - config.ilp_bias)
     useful = weighted.where(F.col("w") < saved).select("dataset", "t", F.col("source_id").cast("long"), F.col("target_id").cast("long"), "w")
+    prices = config.ilp_appear, config.ilp_disappear, config.ilp_division
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("source_id", "ascending"), ("target_id", "ascending")])
-        src, dst, w = (table.column(c).to_numpy() for c in ("source_id", "target_id", "w"))
-        # not linking costs 0, so each source has a target of its own at that price
-        lone = np.unique(src)
-        picked = assign_sparse(np.concatenate([src, lone]), np.concatenate([dst, -1 - np.arange(len(lone))]), np.concatenate([w - saved, np.zeros(len(lone))]))
-        return table.take(pa.array(picked[picked < len(src)]))
+        return table.take(pa.array(cheapest_trees(*(table.column(c).to_numpy() for c in ("source_id", "target_id", "w")), *prices, optional)))
 
-    return useful.groupBy("dataset", "t").applyInArrow(run, useful.schema).drop("t")
+    if optional:
+        useful = with_components(useful)
+    by = ["component"] if optional else ["dataset", "t"]
+    return useful.groupBy(*by).applyInArrow(run, useful.schema).select("dataset", "source_id", "target_id", "w")

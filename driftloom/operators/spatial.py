@@ -37,11 +37,17 @@ def prefixed(points: DataFrame, prefix: str, *more: str) -> DataFrame:
     return points.withColumnsRenamed({c: prefix + c for c in (*AXES, *more)})
 
 
+def frame_pairs(detections: DataFrame, gate: float, voxel: tuple[float, float, float], lag: int = 1, features: tuple[str, ...] = ()) -> DataFrame:
+    """(dataset, t, source_id, target_id, a_..., b_..., dist): pairs of detections ``lag`` frames apart within ``gate``, with the coordinates and
+    the columns ``features`` of both."""
+    a = prefixed(detections.select("dataset", "t", F.col("det_id").alias("source_id"), *AXES, *features), "a_", *features).withColumn("t1", F.col("t") + lag)
+    b = prefixed(detections.select("dataset", F.col("t").alias("t1"), F.col("det_id").alias("target_id"), *AXES, *features), "b_", *features)
+    return range_join(a, b, ["dataset", "t1"], gate, voxel).drop("t1")
+
+
 def frame_candidates(detections: DataFrame, gate: float, voxel: tuple[float, float, float], lag: int = 1) -> DataFrame:
     """(dataset, t, source_id, target_id, dist): pairs of detections ``lag`` frames apart within ``gate``."""
-    a = prefixed(detections.select("dataset", "t", F.col("det_id").alias("source_id"), *AXES), "a_").withColumn("t1", F.col("t") + lag)
-    b = prefixed(detections.select("dataset", F.col("t").alias("t1"), F.col("det_id").alias("target_id"), *AXES), "b_")
-    return range_join(a, b, ["dataset", "t1"], gate, voxel).select("dataset", "t", "source_id", "target_id", "dist")
+    return frame_pairs(detections, gate, voxel, lag).select("dataset", "t", "source_id", "target_id", "dist")
 
 
 def knn_candidates(detections: DataFrame, k: int, gate: float, voxel: tuple[float, float, float]) -> DataFrame:
@@ -79,3 +85,23 @@ def greedy_nms(detections: DataFrame, radius: float, voxel: tuple[float, float,
         return table.take(pa.array(kept, pa.int64()))
 
     return detections.groupBy("dataset", "t").applyInArrow(run, detections.schema)
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, gate: float, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance) of the points a[i] and b[j] within ``gate``, ordered by i and j; a block of points meets only a strip of the others."""
+    none = np.zeros(0, np.int64)
+    if not len(a) or not len(b):
+        return none, none, np.zeros(0)
+    axis = int(np.argmax(np.ptp(b, axis=0)))
+    order, rows = np.argsort(b[:, axis], kind="stable"), np.argsort(a[:, axis], kind="stable")
+    sorted_b, found = b[order], []
+    for k in range(0, len(a), block):
+        own = rows[k : k + block]
+        low = np.searchsorted(sorted_b[:, axis], a[own, axis].min() - gate)
+        high = np.searchsorted(sorted_b[:, axis], a[own, axis].max() + gate, side="right")
+        d = np.sqrt(((a[own, None] - sorted_b[None, low:high]) ** 2).sum(axis=2))
+        i, j = np.nonzero(d <= gate)
+        found.append((own[i], order[low + j], d[i, j]))
+    i, j, d = (np.concatenate(x) for x in zip(*found, strict=True))
+    by = np.lexsort((j, i))
+    return i[by], j[by], d[by]

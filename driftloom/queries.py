@@ -7,18 +7,20 @@ Floats are rounded to six digits on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.config import V0, V2
 from driftloom.functions import scalar
-from driftloom.operators import detect, division, graph, imaging, lineage, linking, metrics, profile, spatial
+from driftloom.operators import detect, division, graph, imaging, lineage, linking, metrics, profile, scored, spatial
 from driftloom.plans.lineage import cut, shared_folder
 from driftloom.sources import fixtures, frames, sinks
 from driftloom.sources.fixtures import FIXTURE_SQL
 from driftloom.sources.tables import table
-from driftloom.streaming.linker import stream_link_to_table
+from driftloom.streaming.linker import bridged, stream_link, stream_to_table, stream_track
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,28 +75,45 @@ knn AS (SELECT *, row_number() OVER (PARTITION BY dataset, source_id ORDER BY di
 mutual AS (SELECT * FROM knn WHERE rank = 1 AND back = 1)"""
 
 
-def matching_sql(pairs: str) -> str:
+def matching_sql(pairs: str, tag: str = "") -> str:
     """CTEs that end in ``best(dataset, t, a, b)``, the matching of the largest total gain of ``pairs(dataset, t, a, b, gain)``.
 
-    They go through all matchings of each component, so they are for small ones.
+    They go through all matchings of each component, so they are for small ones.  ``tag`` is put after their names.
     """
     return f"""
+reach{tag} AS (
+  SELECT DISTINCT dataset, t, a AS node, a AS root FROM {pairs}
+  UNION SELECT r.dataset, r.t, p2.a, r.root FROM reach{tag} r JOIN {pairs} p1 ON p1.dataset = r.dataset AND p1.t = r.t AND p1.a = r.node
+    JOIN {pairs} p2 ON p2.dataset = p1.dataset AND p2.t = p1.t AND p2.b = p1.b),
+part{tag} AS (SELECT dataset, t, node AS a, min(root) AS part FROM reach{tag} GROUP BY ALL),
+turn{tag} AS (SELECT *, row_number() OVER (PARTITION BY dataset, t, part ORDER BY a) AS r FROM part{tag}),
+option{tag} AS (SELECT n.dataset, n.t, n.part, n.r, p.a, p.b, p.gain FROM turn{tag} n JOIN {pairs} p USING (dataset, t, a)
+  UNION ALL SELECT dataset, t, part, r, a, CAST(NULL AS BIGINT), 0e0 FROM turn{tag}),
+walk{tag} AS (
+  SELECT DISTINCT dataset, t, part, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS givers, 0e0 AS total FROM turn{tag}
+  UNION ALL SELECT w.dataset, w.t, w.part, o.r, CASE WHEN o.b IS NULL THEN w.taken ELSE list_append(w.taken, o.b) END,
+      CASE WHEN o.b IS NULL THEN w.givers ELSE list_append(w.givers, o.a) END, w.total + o.gain
+  FROM walk{tag} w JOIN option{tag} o ON o.dataset = w.dataset AND o.t = w.t AND o.part = w.part AND o.r = w.r + 1 WHERE o.b IS NULL OR NOT list_contains(w.taken, o.b)),
+last{tag} AS (SELECT dataset, t, part, max(r) AS r FROM turn{tag} GROUP BY ALL),
+won{tag} AS (SELECT dataset, t, part, arg_max(struct_pack(taken, givers), total) AS m FROM walk{tag} JOIN last{tag} USING (dataset, t, part, r) GROUP BY ALL),
+best{tag} AS (SELECT dataset, t, unnest(m.givers) AS a, unnest(m.taken) AS b FROM won{tag})"""
+
+
+def greedy_sql(pairs: str, children: int) -> str:
+    """CTEs that end in ``walk(dataset, t, a, b, score, kept)``: the rows of ``pairs(dataset, t, a, b, score)``, those of a component the best first, and which are taken."""
+    return f"""
 reach AS (
   SELECT DISTINCT dataset, t, a AS node, a AS root FROM {pairs}
   UNION SELECT r.dataset, r.t, p2.a, r.root FROM reach r JOIN {pairs} p1 ON p1.dataset = r.dataset AND p1.t = r.t AND p1.a = r.node
     JOIN {pairs} p2 ON p2.dataset = p1.dataset AND p2.t = p1.t AND p2.b = p1.b),
 part AS (SELECT dataset, t, node AS a, min(root) AS part FROM reach GROUP BY ALL),
-turn AS (SELECT *, row_number() OVER (PARTITION BY dataset, t, part ORDER BY a) AS r FROM part),
-option AS (SELECT n.dataset, n.t, n.part, n.r, p.a, p.b, p.gain FROM turn n JOIN {pairs} p USING (dataset, t, a)
-  UNION ALL SELECT dataset, t, part, r, a, CAST(NULL AS BIGINT), 0e0 FROM turn),
+turn AS (SELECT p.dataset, p.t, part, p.a, p.b, p.score, row_number() OVER (PARTITION BY p.dataset, p.t, part ORDER BY p.score DESC, p.a, p.b) AS r FROM {pairs} p JOIN part USING (dataset, t, a)),
 walk AS (
-  SELECT DISTINCT dataset, t, part, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS givers, 0e0 AS total FROM turn
-  UNION ALL SELECT w.dataset, w.t, w.part, o.r, CASE WHEN o.b IS NULL THEN w.taken ELSE list_append(w.taken, o.b) END,
-      CASE WHEN o.b IS NULL THEN w.givers ELSE list_append(w.givers, o.a) END, w.total + o.gain
-  FROM walk w JOIN option o ON o.dataset = w.dataset AND o.t = w.t AND o.part = w.part AND o.r = w.r + 1 WHERE o.b IS NULL OR NOT list_contains(w.taken, o.b)),
-last AS (SELECT dataset, t, part, max(r) AS r FROM turn GROUP BY ALL),
-won AS (SELECT dataset, t, part, arg_max(struct_pack(taken, givers), total) AS m FROM walk JOIN last USING (dataset, t, part, r) GROUP BY ALL),
-best AS (SELECT dataset, t, unnest(m.givers) AS a, unnest(m.taken) AS b FROM won)"""
+  SELECT DISTINCT dataset, t, part, CAST(0 AS BIGINT) AS r, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, CAST(NULL AS DOUBLE) AS score, false AS kept,
+         CAST([] AS BIGINT[]) AS taken, CAST([] AS BIGINT[]) AS givers FROM turn
+  UNION ALL SELECT dataset, t, part, r, a, b, score, free, CASE WHEN free THEN list_append(taken, b) ELSE taken END, CASE WHEN free THEN list_append(givers, a) ELSE givers END
+  FROM (SELECT n.*, w.taken, w.givers, NOT list_contains(w.taken, n.b) AND len(list_filter(w.givers, lambda x: x = n.a)) < {children} AS free
+        FROM walk w JOIN turn n ON n.dataset = w.dataset AND n.t = w.t AND n.part = w.part AND n.r = w.r + 1))"""
 
 
 ROOTS_SQL = f"""{FIXTURE_SQL},
@@ -263,6 +282,54 @@ def min_cost_flow_link(spark: SparkSession, sf: str) -> DataFrame:
     return linking.min_cost_flow_link(fixtures.detections(spark, sf), V2).withColumns(rounded("w"))
 
 
+@query("min_cost_divisions", f"""WITH RECURSIVE {CANDIDATES_SQL},
+weighed AS (SELECT dataset, t, source_id, target_id, dist - {V2.ilp_bias}e0 AS w FROM knn WHERE rank <= {V2.ilp_k}),
+useful AS MATERIALIZED (SELECT dataset, t, 2 * source_id AS a, target_id AS b, {_SAVED}e0 - w AS gain FROM weighed WHERE w < {_SAVED}
+  UNION ALL SELECT dataset, t, 2 * source_id + 1, target_id, {V2.ilp_appear}e0 - 3e0 - w FROM weighed WHERE w < {V2.ilp_appear} - 3),
+{matching_sql("useful")}
+SELECT dataset, source_id, target_id, round(w, 6) AS w FROM best JOIN weighed USING (dataset, t) WHERE source_id = a // 2 AND target_id = b""")
+def min_cost_divisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Min-cost links where a division costs 3, so that a cell may have two daughters; all detections are part of the solution."""
+    return linking.min_cost_flow_link(fixtures.detections(spark, sf), replace(V2, ilp_division=3.0)).withColumns(rounded("w"))
+
+
+@query("min_cost_optional")
+def min_cost_optional(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``min_cost_divisions`` with detections that may stay out, decided by components in space and time."""
+    return linking.min_cost_flow_link(fixtures.detections(spark, sf), replace(V2, ilp_division=3.0), optional=True).withColumns(rounded("w"))
+
+
+def _likely(given: dict) -> np.ndarray:
+    """A scorer without a model: sure detections that lie close."""
+    return (given["source_score"] + given["target_score"]) / 2 - given["dist"] / 8
+
+
+def _scored_sql(children: int) -> str:
+    return f"""WITH RECURSIVE {FIXTURE_SQL},
+near AS (SELECT a.dataset, a.t, a.det_id AS a, b.det_id AS b, {_dist()} AS dist, a.score AS sa, b.score AS sb FROM fx_detections a JOIN fx_detections b ON b.dataset = a.dataset AND b.t = a.t + 1),
+likely AS MATERIALIZED (SELECT * FROM (SELECT dataset, t, a, b, (sa + sb) / 2 - dist / 8 AS score FROM near WHERE dist <= {V2.loose_gate}) WHERE score >= 0),
+{greedy_sql("likely", children)}
+SELECT dataset, a AS source_id, b AS target_id, round(score, 6) AS score FROM walk WHERE kept"""
+
+
+def _greedy(spark: SparkSession, sf: str, children: int) -> DataFrame:
+    pairs = scored.pair_features(fixtures.detections(spark, sf), V2.loose_gate, VOXEL)
+    scores = scored.score_pairs(pairs, _likely, ["dist", "source_score", "target_score"])
+    return scored.greedy_links(scores, children, 0.0).withColumns(rounded("score"))
+
+
+@query("scored_greedy_link", _scored_sql(1))
+def scored_greedy_link(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy linking by a scorer of pairs, without divisions."""
+    return _greedy(spark, sf, 1)
+
+
+@query("scored_greedy_divisions", _scored_sql(2))
+def scored_greedy_divisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy linking by a scorer of pairs, where a source may have two children."""
+    return _greedy(spark, sf, 2)
+
+
 @query("track_ends_starts", f"""WITH {FOUND_SQL}
 SELECT 'end' AS kind, dataset, node_id FROM found WHERE node_id NOT IN (SELECT source_id FROM found_edges)
 UNION ALL SELECT 'start', dataset, node_id FROM found WHERE node_id NOT IN (SELECT target_id FROM found_edges)""")
@@ -303,6 +370,26 @@ def close_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return linking.close_gaps(nodes, edges, V2)[1]
 
 
+@query("close_long_gaps", f"""WITH RECURSIVE {FOUND_SQL},
+open_ends AS (SELECT * FROM found WHERE node_id NOT IN (SELECT source_id FROM found_edges)),
+open_starts AS (SELECT * FROM found WHERE node_id NOT IN (SELECT target_id FROM found_edges)),
+gaps AS (SELECT b.t - a.t - 1 AS gap, a.dataset, a.t, a.node_id AS end_id, b.node_id AS start_id, {_dist()} AS dist FROM open_ends a JOIN open_starts b ON b.dataset = a.dataset AND b.t BETWEEN a.t + 2 AND a.t + 3),
+short AS MATERIALIZED (SELECT dataset, t, end_id AS a, start_id AS b, 1e6 - dist AS gain FROM gaps WHERE gap = 1 AND dist <= 12),
+{matching_sql("short")},
+one AS MATERIALIZED (SELECT dataset, t, a, b FROM best),
+long AS MATERIALIZED (SELECT dataset, t, end_id AS a, start_id AS b, 1e6 - dist AS gain FROM gaps WHERE gap = 2 AND dist <= 18 AND end_id NOT IN (SELECT a FROM one) AND start_id NOT IN (SELECT b FROM one)),
+{matching_sql("long", "_2")},
+top AS (SELECT dataset, max(node_id) AS top FROM found GROUP BY dataset),
+n1 AS (SELECT o.*, top + row_number() OVER (PARTITION BY o.dataset ORDER BY t, a) AS id FROM one o JOIN top USING (dataset)),
+n2 AS (SELECT o.dataset, o.a, o.b, top + (SELECT count(*) FROM one x WHERE x.dataset = o.dataset) + 2 * row_number() OVER (PARTITION BY o.dataset ORDER BY t, a) - 1 AS id FROM best_2 o JOIN top USING (dataset))
+SELECT dataset, source_id, target_id FROM found_edges UNION ALL SELECT dataset, a, id FROM n1 UNION ALL SELECT dataset, id, b FROM n1
+UNION ALL SELECT dataset, a, id FROM n2 UNION ALL SELECT dataset, id, id + 1 FROM n2 UNION ALL SELECT dataset, id + 1, b FROM n2""")
+def close_long_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaps of one frame, then of two, bridged by interpolated nodes."""
+    nodes, edges, _ = _found(spark, sf)
+    return linking.close_gaps(nodes, edges, replace(V2, max_gap=2))[1]
+
+
 @query("solver_edges", f"WITH {FOUND_SQL} SELECT dataset, source_id, target_id FROM found_edges")
 def solver_edges(spark: SparkSession, sf: str) -> DataFrame:
     """A solution over all true nodes, under the solver's own ids, back as links between detected nodes."""
@@ -697,16 +784,29 @@ def mean_batch_loss(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").withColumn("r", r).where("r <= 60").groupBy(F.col("event_type").alias("run")).agg(F.round(F.avg("value"), 6).alias("loss"))
 
 
-@query("stream_link")
-def stream_link(spark: SparkSession, sf: str) -> DataFrame:
-    """Two-pass linking of detections that arrive as files, some frames at a time, with a closing row for each movie."""
+def _arriving(spark: SparkSession, sf: str) -> DataFrame:
+    """Detections that arrive as files, eight frames at a time, with a closing row for each movie."""
     landing = f"{shared_folder(spark)}/landing"
     points = cut(fixtures.detections(spark, sf).select("dataset", "t", "det_id", "z", "y", "x"))
     last = points.groupBy("dataset").agg((F.max("t") + 4).alias("t"))
-    for k in range(4):  # days of a month, eight at a time
+    for k in range(points.agg(F.coalesce(F.max("t"), F.lit(-1))).first()[0] // 8 + 1):
         points.where(F.floor(F.col("t") / 8) == k).coalesce(1).write.mode("append").parquet(landing)
     last.select("dataset", "t", *[F.lit(None).cast(points.schema[c].dataType).alias(c) for c in ("det_id", "z", "y", "x")]).coalesce(1).write.mode("append").parquet(landing)
-    return stream_link_to_table(spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(landing), V2)
+    return spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+
+
+@query("stream_link")
+def stream_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-pass linking of a stream."""
+    return stream_to_table(stream_link(_arriving(spark, sf), V2))
+
+
+@query("stream_track")
+def stream_tracks(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-pass linking and gap closing of a stream, with gaps of up to two frames: all edges, those to interpolated nodes too."""
+    config = replace(V2, max_gap=2)
+    nodes = fixtures.detections(spark, sf).select("dataset", F.col("det_id").alias("node_id"), "t", "z", "y", "x")
+    return bridged(nodes, cut(stream_to_table(stream_track(_arriving(spark, sf), config))), config)[1]
 
 
 # --- imaging ----------------------------------------------------------------------------------------------------------
