@@ -11,10 +11,14 @@ Queries are a stated subset; they meet all candidates in blocks.  Query blocks a
 candidate blocks are dealt by a hash of id and vector, one pair of blocks a task, and each
 pair returns at most k ids a query.  Statistics are computed once a vector and ride along.  Within a block the threshold
 rises as candidates are scored, the most promising first.
+
+Vectors of which two might have a product that doesn't fit 62 bits (``LARGEST``) are dealt to blocks of their own. There the same
+bounds hold for vectors scaled down by a power of two, and scores are exact integers of any size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +29,30 @@ from pyspark.sql import functions as F
 
 from driftloom.plans.lineage import cut
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 8192
-#: Bound on a scaled vector's length, so that inner products stay under 2**62.
+QUERY_BLOCK, CANDIDATE_BLOCK, LONG_BLOCK = 2048, 8192, 1024
+#: Bound on an ordinary scaled vector's length, so that inner products of two stay under 2**62.
 LARGEST = float(1 << 31)
 #: Segments at each resolution, coarse to fine.
 RESOLUTIONS = (4, 16)
 
 
 def integer_vectors(vectors: DataFrame, scale: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, v) with v the components as floor(scale * x).
+    """(vec_id, v, x, scale) with v the components as floor(scale * x), or null where they are so large that x has to stand for them.
 
-    Left out are rows with a null id and vectors that are null, empty, not finite throughout, or so long (``LARGEST`` after scaling)
-    that an inner product of two might not fit in a long.
+    Left out are rows with a null id and vectors that are null or not finite throughout.
     """
     x = F.col(vector_col).cast("array<double>")
-    fine = (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    fine &= F.aggregate(x, F.lit(0.0), lambda total, c: total + c * scale * c * scale) < LARGEST**2
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v")
-    )
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    short = F.aggregate(x, F.lit(0.0), lambda total, c: total + c * scale * c * scale) < LARGEST**2
+    kept = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine)
+    own = F.when(short, F.transform(x, lambda c: F.floor(c * scale)))
+    return kept.select(F.col(id_col).cast("long").alias("vec_id"), own.alias("v"), F.when(~short, x).alias("x"), F.lit(scale).alias("scale"))
+
+
+def whole_numbers(x: list[float], scale: int) -> list[int]:
+    """floor(scale * c) of finite components of any size."""
+    # from 2**53 on a double is an integer itself
+    return [scale * int(c) if abs(c) >= 1 << 53 else math.floor(c * scale) for c in x]
 
 
 def segment_statistics(v: np.ndarray, segments: int) -> np.ndarray:
@@ -117,11 +126,58 @@ def search_block(query_ids: np.ndarray, queries: np.ndarray, query_stats: np.nda
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
 
 
+def _scaled(vectors: list[list[int]]) -> tuple[np.ndarray, int]:
+    """Vectors as doubles of a bounded size, and the power of two that they were divided by."""
+    most = max((abs(c) for v in vectors for c in v), default=0)
+    shift = max(0, most.bit_length() - 400)
+    return np.array([[float(c >> shift) for c in v] for v in vectors], dtype=np.float64).reshape(len(vectors), -1), shift
+
+
+def search_long(query_ids: list[int], queries: list[list[int]], ids: list[int], candidates: list[list[int]], k: int) -> list[tuple[int, int, int]]:
+    """As ``search_block`` for integers of any size: (query_id, vec_id, score)."""
+    a, by_a = _scaled(queries)
+    b, by_b = _scaled(candidates)
+    if a.shape[1]:
+        qs, cs = statistics(a), statistics(b)
+        bound = qs @ cs.T + (1e-9 * (np.abs(qs).sum(axis=1) * np.abs(cs).max() + 1))[:, None] + 4 * a.shape[1] * (np.abs(a).max() + np.abs(b).max() + 1) * bool(by_a or by_b)
+    else:
+        bound = np.zeros((len(queries), len(candidates)))
+    out = []
+    for i, query in enumerate(queries):
+        best: dict[int, int] = {}
+        least = None
+        for c in np.argsort(-bound[i], kind="stable").tolist():
+            if least is not None and bound[i, c] < least:
+                break
+            if ids[c] == query_ids[i]:
+                continue
+            score = sum(p * q for p, q in zip(query, candidates[c], strict=True))
+            if ids[c] not in best or score > best[ids[c]]:
+                best[ids[c]] = score
+                if len(best) >= k:
+                    best = dict(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k])
+                    last = min(best.values())
+                    # bounds count in units of what both sides were divided by
+                    least = float(last >> (by_a + by_b)) if last.bit_length() < 1000 + by_a + by_b else None
+        out += [(query_ids[i], name, score) for name, score in best.items()]
+    return out
+
+
+def _ordered(score: int) -> tuple[int, str]:
+    """The nearest long to a score, and a string that puts scores of one long in order."""
+    near = max(-(1 << 63), min((1 << 63) - 1, score))
+    if near == score:
+        return near, "1"
+    digits = f"{len(str(abs(score))):06d}{abs(score)}"
+    return near, "2" + digits if score > 0 else "0" + digits.translate(str.maketrans("0123456789", "9876543210"))
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``vectors(vec_id, v)`` with the largest inner product for each query.
 
-    ``v`` are integer vectors as ``integer_vectors`` returns them; rows where ``is_query`` holds are the queries.
-    All scores are exact; ties go to the smaller id.  Only vectors of as many components are compared.
+    ``vectors`` are as ``integer_vectors`` returns them; rows where ``is_query`` holds are the queries.
+    All scores are exact and decide the order; ties go to the smaller id.  A score that doesn't fit a long is given as the nearest long.
+    Only vectors of as many components are compared; those without components have the score 0.
 
     - A query's candidates are all rows with another id; with fewer than k of them it gets fewer rows, with none no row.
     - Rows that share an id are one candidate with the best of their scores, and one query likewise.
@@ -136,34 +192,50 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
                 stats = statistics(np.asarray(pc.list_flatten(part.column(1))).reshape(part.num_rows, -1))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([s.tobytes() for s in stats], pa.binary())], names=["vec_id", "v", "dims", "q", "s"])
 
-    plain = vectors.select("vec_id", "v", F.size("v").alias("dims"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = cut(plain.mapInArrow(described, "vec_id long, v array<long>, dims int, q boolean, s binary"))
-    n, n_queries = rows.agg(F.count("*"), F.count_if("q")).first()
-    query_blocks, blocks = max(1, -(-n_queries // QUERY_BLOCK)), max(1, -(-n // CANDIDATE_BLOCK))
-
-    def dealt(i: int, count: int) -> Column:
-        return F.pmod(F.xxhash64("vec_id", "v", F.lit(i)), F.lit(count)).cast("int")
+    size = F.size(F.coalesce("v", "x"))
+    plain = vectors.select("vec_id", "v", size.alias("dims"), F.coalesce(is_query, F.lit(False)).alias("q"), "x", "scale")
+    long = (F.col("dims") == 0) | F.col("v").isNull()
+    usual = plain.where(~long).select("vec_id", "v", "dims", "q").mapInArrow(described, "vec_id long, v array<long>, dims int, q boolean, s binary")
+    rows = cut(usual.unionByName(plain.where(long), allowMissingColumns=True).withColumn("long", F.col("s").isNull()))
+    n, n_queries, n_long, long_queries = rows.agg(F.count_if(~F.col("long")), F.count_if(F.col("q") & ~F.col("long")), F.count_if("long"), F.count_if(F.col("q") & F.col("long"))).first()
+    blocks_of = lambda count, size: -(-count // size)
+    query_blocks, blocks = max(1, blocks_of(n_queries, QUERY_BLOCK)), max(1, blocks_of(n, CANDIDATE_BLOCK))
+    # long vectors have blocks of their own after those of all others
+    more_queries, more = blocks_of(long_queries, LONG_BLOCK), blocks_of(n_long, LONG_BLOCK)
+
+    def dealt(i: int, count: int, after: int) -> Column:
+        name = F.xxhash64("vec_id", "v", "x", F.lit(i))
+        return F.when(F.col("long"), F.lit(count) + F.pmod(name, F.lit(max(1, after)))).otherwise(F.pmod(name, F.lit(count))).cast("int")
 
     def spread(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    asked = rows.where("q").select("dims", "vec_id", "v", "s", F.lit(True).alias("q"), dealt(1, query_blocks).alias("a"), spread(blocks).alias("b"))
-    offered = rows.select("dims", "vec_id", "v", "s", F.lit(False).alias("q"), spread(query_blocks).alias("a"), dealt(2, blocks).alias("b"))
+    own = ["dims", "vec_id", "v", "s", "x", "scale"]
+    asked = rows.where("q").select(*own, F.lit(True).alias("q"), dealt(1, query_blocks, more_queries).alias("a"), spread(blocks + more).alias("b"))
+    offered = rows.select(*own, F.lit(False).alias("q"), spread(query_blocks + more_queries).alias("a"), dealt(2, blocks, more).alias("b"))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         q = table.column("q").to_numpy()
-        ids = table.column("vec_id").to_numpy()
-        v = np.asarray(pc.list_flatten(table.column("v"))).reshape(len(ids), -1)
-        s = np.frombuffer(b"".join(table.column("s").to_pylist())).reshape(len(ids), -1)
-        if not q.any() or q.all():
-            got = [np.zeros(0, np.int64)] * 3
-        else:
-            got = search_block(ids[q], v[q], s[q], ids[~q], v[~q], s[~q], k)
-        return pa.table([pa.array(np.asarray(x, np.int64)) for x in got], names=["query_id", "vec_id", "score"])
-
-    part = asked.unionByName(offered).groupBy("dims", "a", "b").applyInArrow(run, "query_id long, vec_id long, score long")
+        got = [np.zeros(0, np.int64)] * 3
+        keys = None
+        if q.any() and not q.all():
+            ids = table.column("vec_id").to_numpy()
+            if table.column("s").null_count:
+                whole = [v if x is None else whole_numbers(x, scale) for v, x, scale in zip(*(table.column(c).to_pylist() for c in ("v", "x", "scale")), strict=True)]
+                part = [[w for w, own in zip(whole, q, strict=True) if own == side] for side in (True, False)]
+                found = search_long(ids[q].tolist(), part[0], ids[~q].tolist(), part[1], k)
+                scores = [_ordered(score) for _, _, score in found]
+                got, keys = [[f[0] for f in found], [f[1] for f in found], [s[0] for s in scores]], [s[1] for s in scores]
+            else:
+                v = np.asarray(pc.list_flatten(table.column("v"))).reshape(len(ids), -1)
+                s = np.frombuffer(b"".join(table.column("s").to_pylist())).reshape(len(ids), -1)
+                got = search_block(ids[q], v[q], s[q], ids[~q], v[~q], s[~q], k)
+        own = [pa.array(np.asarray(x, np.int64)) for x in got]
+        return pa.table([*own, pa.array(keys or ["1"] * len(own[0]), pa.string())], names=["query_id", "vec_id", "score", "beyond"])
+
+    part = asked.unionByName(offered).groupBy("dims", "a", "b").applyInArrow(run, "query_id long, vec_id long, score long, beyond string")
     # several vectors of one query id
-    once = part.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = part.groupBy("query_id", "vec_id").agg(F.max(F.struct("score", "beyond")).alias("best"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("best"), "vec_id")
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("best.score").alias("score"))

@@ -63,10 +63,26 @@ def test_topk_with_many_rows_of_one_id_and_huge_components(spark):
                     best[b] = max(best.get(b, -(10**9)), int(u @ v))
         want = sorted((-s, b) for b, s in best.items())[:5]
         assert sorted(got[q]) == [(k + 1, b, -s) for k, (s, b) in enumerate(want)]
-    huge = spark.createDataFrame([(1, [1e17, 1.0]), (2, [1.0, 1.0]), (3, [5e6, -3e6])], "vec_id long, embedding array<double>")
-    kept = topk.integer_vectors(huge, 256)
-    assert sorted(x["vec_id"] for x in kept.collect()) == [2, 3]
-    assert [tuple(x) for x in topk.top_k(kept, F.col("vec_id") == 3, 5).collect()] == [(3, 1, 2, 256 * (1_280_000_000 - 768_000_000))]
+
+
+def test_topk_keeps_vectors_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(topk, "LONG_BLOCK", 7)
+    r = random.Random(5)
+    vectors = [(0, [1.0, 0.0]), (1, [1e7, 0.0]), (2, [0.5, 0.0]), (3, [0.25, 1.0]), (4, [1e300, -1e300]), (5, [-1.7e308, 1.7e308]), (6, []), (7, []), (8, [1.0])]
+    vectors += [(i, [r.choice([1, -1]) * 10.0 ** r.uniform(-3, e) for _ in range(2)]) for i, e in zip(range(10, 90), [3, 8, 20, 300] * 20)]
+    df = spark.createDataFrame([(*v, "x") for v in vectors], "vec_id long, embedding array<double>, x string")
+    whole = {i: topk.whole_numbers(v, 256) for i, v in vectors}
+    assert whole[4][0] == 256 * int(1e300) and whole[2] == [128, 0]
+    got = {}
+    for row in topk.top_k(topk.integer_vectors(df, 256), F.lit(True), 5).collect():
+        got.setdefault(row["query_id"], []).append((row["rank"], row["vec_id"], row["score"]))
+    longs = lambda s: max(-(2**63), min(2**63 - 1, s))
+    for q, u in whole.items():
+        best = sorted((-sum(a * b for a, b in zip(u, v)), i) for i, v in whole.items() if i != q and len(v) == len(u))[:5]
+        assert sorted(got.get(q, [])) == [(k + 1, i, longs(-s)) for k, (s, i) in enumerate(best)], q
+    # the case of one long vector among short ones
+    few = topk.top_k(topk.integer_vectors(df.where("vec_id < 4"), 256), F.col("vec_id") == 0, 5)
+    assert sorted(map(tuple, few.collect())) == [(0, 1, 1, 655_360_000_000), (0, 2, 2, 32_768), (0, 3, 3, 16_384)]
 
 
 def test_bounds_are_bounds():
