@@ -14,9 +14,9 @@
    ``REGION`` classes goes deeper, value by value, and has a hub for each part.
 4. Candidates are confirmed on full shingle sets, and the links make components.
 5. The pairs of a region that are neither candidates nor in one component by now are left.  They
-   are decided exactly: classes of such regions meet in the shingles that are
-   rarest among them (prefixes by size and position), but only across components, and what
-   meets is confirmed on full sets too.
+   are decided exactly: the region's members outside its largest component meet all its members of other components, block by
+   block, and a pair goes on to the full sets only if it could link by how many shingles each has in ``SLOTS``
+   buckets: the sum of the smaller counts is never under the overlap.  Only what passes leaves the task and moves a set.
 
 So a pair at similarity J shares no region, and may be missed, with probability
 (1 - J**4)**24: 3 in a million at 0.8, whatever a region's size.  A class is in
@@ -43,8 +43,10 @@ TREES = HASHES // MIN_DEPTH
 REGION = 64
 #: Pairs of one hub that a share holds, more or less.
 SHARE = 256
-#: Buckets of the counts that order shingles from rare to common: what is broadcast, whatever the size of the table.
-BUCKETS = 1 << 18
+#: Buckets of a set's counts, how many of them are added up for a first look, and members of a region that a task has of each side.
+SLOTS, COARSE, BLOCK = 256, 8, 2048
+#: Pairs that are compared at a time.
+PAIRS = 1 << 16
 
 _MULTIPLIERS = textkernel.mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _KEY = 1 + 2 * MAX_DEPTH
@@ -138,8 +140,6 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the outermost members at both ends, whose regions may go on in the partitions beside."""
     names = ["src", "dst", "region", "border"]
     prefix = 1 + 2 * MIN_DEPTH
-    keys, reps = np.zeros((0, _KEY), np.uint8), np.zeros(0, np.int64)
-    first = True
 
     def named(rows: np.ndarray) -> np.ndarray:
         total = np.zeros(len(rows), np.uint64)
@@ -159,25 +159,38 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(inside)
         yield pa.RecordBatch.from_arrays([pa.array(reps[inside]), pa.nulls(n, pa.int64()), pa.array(named(keys[inside])), pa.array(np.zeros(n, bool))], names=names)
 
-    def border(i: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([int(reps[i])]), pa.nulls(1, pa.int64()), pa.array(named(keys[i : i + 1] if i >= 0 else keys[i:])), pa.array([True])], names=names)
+    def border(key: np.ndarray, rep: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([int(rep)]), pa.nulls(1, pa.int64()), pa.array(named(key[None])), pa.array([True])], names=names)
 
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # the region that is still growing, a part a batch
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if held:
+            keys, reps = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            yield from out(keys, reps, np.array([0, len(reps)]))
+
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.concatenate([keys, np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, _KEY)])
-        reps = np.concatenate([reps, batch.column(1).to_numpy()])
-        if first:
-            yield border(0)
-            first = False
+        keys, reps = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, _KEY), batch.column(1).to_numpy()
+        if last is None:
+            yield border(keys[0], reps[0])
+        elif (keys[0, :prefix] != last[0][:prefix]).any():
+            yield from flush()
+        last = keys[-1], reps[-1]
         starts = np.flatnonzero((keys[1:, :prefix] != keys[:-1, :prefix]).any(axis=1)) + 1
         if not len(starts):
+            held.append((keys, reps))
             continue
-        yield from out(keys, reps, np.concatenate([[0], starts]))
-        keys, reps = keys[starts[-1] :], reps[starts[-1] :]
-    if len(reps):
-        yield from out(keys, reps, np.array([0, len(reps)]))
-        yield border(-1)
+        held.append((keys[: starts[0]], reps[: starts[0]]))
+        yield from flush()
+        yield from out(keys, reps, starts)
+        held.append((keys[starts[-1] :], reps[starts[-1] :]))
+    yield from flush()
+    if last is not None:
+        yield border(*last)
 
 
 def forest(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -261,72 +274,114 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return cut(ordered.mapInArrow(run, "src long, dst long"))
 
 
-def _rarity(sets: DataFrame) -> np.ndarray:
-    """How many of the sets' shingles fall in each of ``BUCKETS``."""
+def _counted(sets: DataFrame) -> DataFrame:
+    """(rep, n, c) of ``sets(rep, s)``: the size of a set and how many of its shingles fall in each of ``SLOTS``, in as few bytes as the largest count needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
+            sizes, counts = [], []
             for s in batch.column(1):
-                total += np.bincount((np.frombuffer(s.as_buffer(), np.uint64) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+                s = np.frombuffer(s.as_buffer(), dtype=np.uint64)
+                c = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=SLOTS)
+                sizes.append(len(s))
+                counts.append(c.astype(np.min_scalar_type(int(c.max()))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())], names=["rep", "n", "c"])
 
-    found = sets.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    return out
+    return sets.select("rep", "s").mapInArrow(run, "rep long, n long, c binary")
 
 
-def _prefixes(sets: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """(token, at, size, rep, label, short): the rarest shingles of ``sets(rep, s, label)``, as many as two sets that link must share one of.
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    """Rows of counts from ``_counted``."""
+    width = max(map(len, packed)) // SLOTS
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}
+    if all(len(p) == SLOTS * width for p in packed):
+        return np.frombuffer(b"".join(packed), dtype=kind[width]).reshape(-1, SLOTS)
+    return np.stack([np.frombuffer(p, dtype=kind[len(p) // SLOTS]).astype(kind[width]) for p in packed])
 
-    The larger of two sets that link has it among its first ``size - ceil(0.8 * size) + 1`` shingles, and the smaller
-    among fewer (``short``), as it shares a larger part of its own.
-    """
-    shared = sets.sparkSession.sparkContext.broadcast(rarity)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        for batch in batches:
-            for rep, s, label in zip(*(batch.column(k) for k in range(3)), strict=True):
-                s = np.frombuffer(s.as_buffer(), dtype=np.uint64)
-                n = len(s)
-                long = n + 1 - -(-percent * n // 100)
-                short = n + 1 - -(-2 * percent * n // (100 + percent))
-                token = s[np.lexsort((s, counts[(s % np.uint64(BUCKETS)).astype(np.int64)]))[:long]]
-                k = len(token)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), pa.array(np.arange(k)), *(pa.array(np.full(k, v, np.int64)) for v in (n, rep.as_py(), label.as_py())), pa.array(np.arange(k) < short)],
-                    names=["token", "at", "size", "rep", "label", "short"],
-                )
+def possible(asks: np.ndarray, minor: np.ndarray, reps: np.ndarray, labels: np.ndarray, sizes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rep, rep): pairs of a row that ``asks`` with one that doesn't, of different labels, that may link; no pair that links is missing.
 
-    return sets.select("rep", "s", "label").mapInArrow(run, "token long, at long, size long, rep long, label long, short boolean")
+    A row that asks is ``minor``.  Two minor rows ask each other, of which the one with the larger rep counts.
+    """
+    order = np.argsort(sizes, kind="stable")
+    asks, minor, reps, labels, sizes, counts = (x[order] for x in (asks, minor, reps, labels, sizes, counts))
+    rough = counts.reshape(len(counts), -1, COARSE).sum(axis=2, dtype=np.uint32)
+    own, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+    low = np.searchsorted(sizes[others], -(-percent * sizes[own] // 100))
+    span = np.searchsorted(sizes[others], 100 * sizes[own] // percent, side="right") - low
+    width = np.cumsum(span)
+    found, at = [], 0
+    while at < len(own):
+        end = max(at + 1, int(np.searchsorted(width, (width[at - 1] if at else 0) + PAIRS, side="right")))
+        n = span[at:end]
+        x = np.repeat(own[at:end], n)
+        y = others[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at:end], n)]
+        at = end
+        keep = (labels[x] != labels[y]) & (~minor[y] | (reps[x] > reps[y]))
+        for table in (rough, counts):
+            x, y = x[keep], y[keep]
+            bound = np.minimum(table[x], table[y]).sum(axis=1, dtype=np.int64)
+            keep = (100 + percent) * bound >= percent * (sizes[x] + sizes[y])
+        found.append((reps[x[keep]], reps[y[keep]]))
+    return tuple(np.concatenate(side) for side in zip(*found, strict=True))
 
 
 def left_pairs(members: DataFrame, linked: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(src, dst): pairs of ``members(region, rep)`` that ``linked(node, component)`` doesn't connect and that may link; None if there are none.
 
-    Any two sets of a region that link and aren't connected are among them.
+    Any two sets of a region that link and aren't connected are among them, and all of them share a region.
     """
+    block = BLOCK
     label = F.coalesce("component", "rep").alias("label")
-    labelled = cut(members.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("region", "rep", label))
-    mixed = labelled.groupBy("region").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-    left = labelled.join(mixed, "region", "left_semi").select("rep", "label").distinct()
-    own = cut(sets.join(left, "rep"))
-    if own.isEmpty():
+    labelled = cut(members.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("region", "rep", label).distinct())
+    parts = labelled.groupBy("region", "label").agg(F.count("*").alias("m"))
+    regions = parts.groupBy("region").agg(F.max_by("label", F.struct("m", "label")).alias("largest"), F.sum("m").alias("all"), (F.sum("m") - F.max("m")).alias("few")).where("few > 0")
+    regions = cut(regions)
+    total = regions.agg(F.sum("all")).first()[0]
+    if total is None:
         return None
-    rows = cut(_prefixes(own, _rarity(own), percent))
-    mixed = rows.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
-    rows = cut(rows.join(mixed, "token", "left_semi"))
-    x, y = rows.alias("x"), rows.where("short").alias("y")
-    near = x.join(y, F.col("x.token") == F.col("y.token")).where(
-        (F.col("x.label") != F.col("y.label"))
-        & (F.struct("x.size", "x.rep") > F.struct("y.size", "y.rep"))
-        & (100 * F.col("y.size") >= percent * F.col("x.size"))
-        & ((100 + percent) * F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) >= percent * (F.col("x.size") + F.col("y.size")))
-    )
-    return near.select(F.greatest("x.rep", "y.rep").alias("src"), F.least("x.rep", "y.rep").alias("dst")).distinct()
+    # members of regions of one component alone aren't among them, so the counts of members add up to the total
+    mixed = cut(join_counted(labelled.join(regions.select("region"), "region", "left_semi"), regions, ["region"], "all", total))
+    own = mixed.join(_counted(sets.join(mixed.select("rep").distinct(), "rep", "left_semi")), "rep")
+    # blocks of members outside the largest component, and of all members
+    name, to = F.xxhash64("rep"), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / block) - 1))
+    minor = own.where("label <> largest")
+    asked = minor.select("region", F.pmod(name, F.ceil(F.col("few") / block)).alias("a"), to("all").alias("b"), F.lit(True).alias("asks"), F.lit(True).alias("minor"), "rep", "label", "n", "c")
+    offered = own.select("region", to("few").alias("a"), F.pmod(name, F.ceil(F.col("all") / block)).alias("b"), F.lit(False).alias("asks"), (F.col("label") != F.col("largest")).alias("minor"), "rep", "label", "n", "c")
+    rows = asked.unionByName(offered).repartition("region", "a", "b").sortWithinPartitions("region", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def tiles(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = np.stack([table.column(k).to_numpy() for k in range(3)])
+            bounds = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0), [True]]))
+            asks, minor, reps, labels, sizes = (table.column(k).to_numpy() for k in range(3, 8))
+            packed = table.column(8).to_pylist()
+            pairs = []
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                if asks[low:high].any() and not asks[low:high].all():
+                    pairs.append(possible(*(x[low:high] for x in (asks, minor, reps, labels, sizes)), _unpacked(packed[low:high]), percent))
+            if pairs:
+                x, y = (np.concatenate(side) for side in zip(*pairs, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["src", "dst"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            table = new if rest is None else pa.concat_tables([rest, new])
+            keys = np.stack([table.column(k).to_numpy() for k in range(3)])
+            # the last tile of a batch may go on in the next
+            at = int(np.flatnonzero((keys != keys[:, -1:]).any(axis=0)).max(initial=-1)) + 1
+            if at:
+                yield from tiles(table.slice(0, at))
+            rest = table.slice(at)
+        if rest is not None and rest.num_rows:
+            yield from tiles(rest)
+
+    return rows.mapInArrow(run, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

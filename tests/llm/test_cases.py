@@ -125,7 +125,7 @@ def test_minhash_against_brute_force(spark, monkeypatch):
             words[r.randrange(len(words))] = f"n{r.randrange(9)}"
         docs.append((i, " ".join(words)))
     # small parts and shares, so that regions go deep and hubs are dealt to several shares
-    for name, value in (("REGION", 3), ("SHARE", 16), ("BUCKETS", 64)):
+    for name, value in (("REGION", 3), ("SHARE", 16), ("BLOCK", 5), ("PAIRS", 16)):
         monkeypatch.setattr(minhash, name, value)
     df = spark.createDataFrame([(i, t, "e") for i, t in docs], DOCS)
     got = rows_of(minhash.near_duplicates(df, width=4), "doc_id", "n_shingles", "component_id", "kept")
@@ -168,6 +168,45 @@ def test_what_the_forest_leaves_is_decided_exactly(spark):
     assert links == {(a, b) for a in held for b in held if a < b and minhash.similar(held[a], held[b], 80)} and len(links) > 100
 
 
+def test_shared_paragraphs_leave_few_pairs(spark):
+    """Texts of 8 of 40 paragraphs share regions and shingles but link with nothing, and a few that do."""
+    r = random.Random(1)
+    paragraphs = [" ".join(f"p{p}w{r.randrange(400)}" for _ in range(40)) for p in range(40)]
+    for n in (400, 800):
+        docs = [(i, " ".join(r.sample(paragraphs, 8)), "e") for i in range(n)]
+        docs += [(10_000 + i, docs[i][1] + " and more", "e") for i in range(0, n, 40)]
+        df = spark.createDataFrame(docs, DOCS)
+        classes = minhash.sketch(df, "doc_id", "text", 4).select(F.col("doc_id").alias("rep"), "sig")
+        members = minhash.forest(classes)[1].cache()
+        sets = minhash._sets_of(df, members.select("rep").distinct(), "doc_id", "text", 4).cache()
+        left = minhash.left_pairs(members, spark.createDataFrame([], "node long, component long"), sets, 80)
+        pairs = {(x["dst"], x["src"]) for x in left.collect()}
+        assert {(i, 10_000 + i) for i in range(0, n, 40)} <= pairs and len(pairs) < n // 20
+        held = {x["rep"]: np.frombuffer(x["s"], np.uint64) for x in sets.collect()}
+        region = {}
+        for m in members.collect():
+            region.setdefault(m["region"], []).append(m["rep"])
+        assert all((a, b) in pairs for own in region.values() for a in own for b in own if a < b and minhash.similar(held[a], held[b], 80))
+        got = rows_of(minhash.near_duplicates(df, width=4), "doc_id", "component_id")
+        assert got == sorted([(i, i - 10_000 if i >= 10_000 else i) for i, _, _ in docs], key=str)
+
+
+def test_counts_of_any_size_bound_the_overlap():
+    r = np.random.default_rng(3)
+    pool = np.unique(r.integers(0, 1 << 63, 90_000).astype(np.uint64) * np.uint64(2))
+    sets = [np.sort(r.choice(pool, n, replace=False)) for n in (40, 50, 3000, 3100, 88_000)] + [pool, pool[: 88_000]]
+    packed = []
+    for s in sets:
+        c = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=minhash.SLOTS)
+        packed.append(c.astype(np.min_scalar_type(int(c.max()))).tobytes())
+    n, ids = np.array([len(s) for s in sets]), np.arange(len(sets))
+    asks = np.arange(len(sets)) >= 5
+    x, y = minhash.possible(np.concatenate([asks[asks], np.zeros(len(sets), bool)]), np.concatenate([asks[asks], asks]), np.concatenate([ids[asks], ids]), np.concatenate([ids[asks], ids]), np.concatenate([n[asks], n]), minhash._unpacked([p for p, a in zip(packed, asks) if a] + packed), 80)
+    got = {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
+    want = {(a, b) for a in range(len(sets)) for b in range(a) if (asks[a] or asks[b]) and minhash.similar(sets[a], sets[b], 80)}
+    assert {tuple(sorted(p)) for p in want} <= got
+
+
 def test_minhash_cases(spark, odd):
     got = rows_of(minhash.near_duplicates(odd.withColumns({"sig": F.lit(1), "rep": F.lit(2), "kept": F.lit(3)})), "doc_id", "n_shingles", "component_id", "kept")
     assert got == sorted([(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 29_996, 4, True), (5, 29_996, 4, False), (None, 1, None, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 9, True)], key=str)
