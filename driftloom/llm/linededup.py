@@ -6,7 +6,8 @@ batches.  A batch is reduced to one row per key, dealt and sorted likewise, and
 run in turn.  Keys that no run knows are a new run of level 0; what it adds to known
 keys is kept beside.  ``FANOUT`` runs of a level, and what lies beside, are compacted into one run of the next level, so
 a table of B batches is rewritten about log(B) times and a probe meets few runs.  All runs are bucketed tables of the same buckets,
-so a probe shuffles the batch alone and no run again; a compaction deals its rows once.
+so a probe shuffles the batch alone and no run again; a compaction deals its rows once.  Runs are deleted once they
+are compacted, and all that is stored once the lines to drop are known.
 
 Hot keys cost nothing extra: a key is one row per map task before any shuffle, and the few keys with many lines
 reach these by a broadcast (``skew.join_counted``).  The key is 128 bits of hash (two chained 64-bit
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 from driftloom.llm.names import unused
 from driftloom.llm.skew import join_counted
-from driftloom.plans.lineage import cut, shared_folder
+from driftloom.plans.lineage import cut, discard, shared_folder
 
 FANOUT = 3
-#: Lines of the first batch; each doubling of a table's lines adds a batch, up to ``SLOTS``.
-BATCH_LINES, SLOTS = 16_384, 16
+#: Lines of the first batch; each doubling of a table's lines adds a batch, which no table can do ``SLOTS`` times.
+BATCH_LINES, SLOTS = 16_384, 64
 #: Lines for each bucket of the runs.
 BUCKET_LINES = 250_000
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,9 +64,10 @@ class Run(NamedTuple):
 
     bucketed: DataFrame
     plain: DataFrame
+    folder: str
 
     def where(self, condition: str) -> Run:
-        return Run(*(df.where(condition).drop("seen") for df in self))
+        return Run(*(df.where(condition).drop("seen") for df in (self.bucketed, self.plain)), self.folder)
 
 
 @dataclass
@@ -91,7 +93,7 @@ class LineRuns:
         dealt.write.bucketBy(self.buckets, *_KEYS).sortBy(*_KEYS).option("path", path).saveAsTable(name)
         table = spark.table(name)
         spark.sql(f"DROP TABLE {name}")
-        return Run(table, spark.read.schema(table.schema).parquet(path))
+        return Run(table, spark.read.schema(table.schema).parquet(path), path)
 
     def add(self, batch: DataFrame) -> None:
         """Adds a batch, one row a key: the keys that a merge join finds in no run are a new run, the others lie beside."""
@@ -111,13 +113,27 @@ class LineRuns:
         if len(here) >= FANOUT:
             self.levels[level], beside, self.beside = [], self.beside, []
             self.compactions += 1
-            self._put(level + 1, self._stored(merged(here + beside)))
+            compacted = self._stored(merged(here + beside))
+            _discard(here + beside)
+            self._put(level + 1, compacted)
 
     def common(self, min_docs: int) -> DataFrame:
         """The keys that at least ``min_docs`` documents hold, over all batches so far."""
         return merged(self.runs() + self.beside).where(F.col("n_docs") >= min_docs)
 
 
+    def close(self) -> None:
+        """Deletes all runs."""
+        _discard(self.runs() + self.beside)
+        self.levels, self.beside = {}, []
+
+
+def _discard(runs: list[Run]) -> None:
+    """Deletes the tables of runs that nothing reads any more; two runs may be the halves of one."""
+    for folder in {run.folder for run in runs}:
+        discard(runs[0].plain.sparkSession, folder)
+
+
 def merged(runs: list[Run]) -> DataFrame:
     """Several tables of keys as one: counts of different batches add up, the largest document keeps the line.
 
@@ -192,13 +208,16 @@ def drop_repeated_lines(
     slotted.hint("rebalance", "slot").write.partitionBy("slot").parquet(folder)
     places = spark.read.schema(slotted.schema).parquet(folder)
     total = places.count()
-    common = cut(build_runs(places, total, batches).common(min_docs).select(*_KEYS, "n_lines", "keeper"))
-    gone = (
+    runs = build_runs(places, total, batches)
+    common = cut(runs.common(min_docs).select(*_KEYS, "n_lines", "keeper"))
+    runs.close()
+    gone = cut(
         join_counted(places, common, _KEYS, "n_lines", total)
         .where(F.col("doc") < F.col("keeper"))
         .groupBy(F.col("doc").alias(d), F.col("row").alias(r))
         .agg(F.collect_set("pos").alias(g))
     )
+    discard(spark, folder)
     text = F.coalesce(F.col(text_col), F.lit(""))
     with_gone = docs.join(gone, (docs[id_col] == gone[d]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == gone[r]), "left")
     lines = F.split(text, "\n", -1)

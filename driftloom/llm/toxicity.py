@@ -103,13 +103,12 @@ def _sample(docs: DataFrame, labels: DataFrame, params: Params, id_col: str, tex
     # at most max_rows rows of two numbers, so that it can be broadcast
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_rows)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = cut(texts.join(F.broadcast(own), "doc_id").select(F.xxhash64("doc_id").alias("at"), F.xxhash64("text").alias("of"), "text", "label"))
+    rows = texts.join(F.broadcast(own), "doc_id").select(F.xxhash64("doc_id").alias("at"), F.xxhash64("text").alias("of"), "text", "label")
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     if (count := rows.count()) > params.max_rows:
-        # rows that repeat an id: the bound of the rows, from numbers alone, then what lies under it
-        order = ["at", "of"]
-        last = rows.select(*order).orderBy(*order).limit(params.max_rows).agg(F.max(F.struct(*order))).first()[0]
-        rows = rows.where(F.struct(*order) <= F.struct(*[F.lit(last[c]) for c in order]))
-        rows, count = rows.orderBy(*order).limit(params.max_rows), params.max_rows
+        # rows that repeat an id: which of them, from numbers alone
+        chosen = rows.select("at", "of", "row").orderBy("at", "of", "row").limit(params.max_rows).select("row")
+        rows, count = rows.join(F.broadcast(chosen), "row", "left_semi"), params.max_rows
     return rows.select("at", "text", "label").repartition(max(1, -(-count // SAMPLE_TASK)))
 
 
