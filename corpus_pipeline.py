@@ -33,7 +33,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that at least three of them share, but for the document with the largest id.
 
-    ``n_chars`` follows the text where lines went.  No document goes, even if no line of it stays.
+    ``n_chars`` follows the text where lines went.  No document goes, even if no line of it stays; its text is then empty.
+
+    - Null and empty texts are one empty line, which stays, and become empty texts.  A row with a null id loses no line.
+    - Lines of under 20 code points stay.  Of rows that share an id each is cleaned by itself, and they count as one document.
+    - Very long texts are cleaned whole.  An empty table gives an empty table.
     """
     lines, dropped = unused(docs, "n_lines"), unused(docs, "n_dropped")
     clean = linededup.drop_repeated_lines(docs, lines_col=lines, dropped_col=dropped)
@@ -46,6 +50,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies by shingles of four words, the one with the smallest id.
 
     Rows with a null id stay; of rows with one id and equal texts one stays.
+
+    - Null, empty and blank texts are like nothing else, so all of them stay.
+    - Texts of fewer than four words are compared as a whole.  Very long texts are compared whole.
+    - Of repeated texts under different ids the one with the smallest stays, whatever their number.
+    - An empty table gives an empty table.
     """
     kept = minhash.near_duplicates(docs, width=4, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     some = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
@@ -53,7 +62,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document, with its place in a sequence of at most 4096 tokens."""
+    """A row for each piece of a document, with its place in a sequence of at most 4096 tokens.
+
+    - Null and empty texts are one piece, the end token.  Null ids stay null.
+    - Documents of more than 4096 tokens, however long, are cut into full pieces and a last one; repeated rows are packed each by itself.
+    - Which of equally good packings comes out is open.  An empty table gives an empty table.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
