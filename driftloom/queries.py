@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.config import V0, V2
-from driftloom.functions import scalar
+from driftloom.functions import scalar, tables
 from driftloom.operators import detect, division, graph, imaging, lineage, linking, metrics, profile, scored, spatial
 from driftloom.plans.lineage import cut, shared_folder
-from driftloom.sources import fixtures, frames, sinks
+from driftloom.sources import catalog, fixtures, frames, sinks, state
 from driftloom.sources.fixtures import FIXTURE_SQL
 from driftloom.sources.tables import table
 from driftloom.streaming.linker import bridged, stream_link, stream_to_table, stream_track
@@ -360,6 +360,19 @@ def gap_interpolation(spark: SparkSession, sf: str) -> DataFrame:
     return new.select("dataset", "end_id", "start_id", (F.col("t") + F.col("k")).alias("t"), *[F.round(c, 6).alias(c) for c in "zyx"])
 
 
+@query("gap_interpolation_sql", f"""WITH {GAPS_SQL}
+SELECT dataset, end_id, start_id, t + 1 AS t, round(az + (bz - az) * 0.5e0, 6) AS z, round(ay + (by_ - ay) * 0.5e0, 6) AS y, round(ax + (bx - ax) * 0.5e0, 6) AS x FROM gaps""")
+def gap_interpolation_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """Interpolation in a SQL text, by a table function."""
+    tables.register(spark)
+    nodes, edges, _ = _found(spark, sf)
+    return spark.sql(
+        "SELECT g.dataset, g.end_id, g.start_id, g.t + p.k AS t, round(p.z, 6) AS z, round(p.y, 6) AS y, round(p.x, 6) AS x "
+        "FROM {gaps} AS g, LATERAL interpolate_gap(CAST(g.a_z AS DOUBLE), CAST(g.a_y AS DOUBLE), CAST(g.a_x AS DOUBLE), CAST(g.b_z AS DOUBLE), CAST(g.b_y AS DOUBLE), CAST(g.b_x AS DOUBLE), 1) AS p",
+        gaps=linking.gap_candidates(nodes, edges, 1, V2),
+    )
+
+
 @query("close_gaps", f"""WITH RECURSIVE {GAPS_SQL},
 bridges AS MATERIALIZED (SELECT dataset, t, end_id AS a, start_id AS b, 1e6 - dist AS gain FROM gaps),
 {matching_sql("bridges")},
@@ -677,13 +690,31 @@ def holdout_exclusion(spark: SparkSession, sf: str) -> DataFrame:
 HISTORY_SQL = """h AS (SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS epoch, round(avg(value), 6) AS val, CAST(count(*) AS DOUBLE) AS sec FROM events GROUP BY ALL)"""
 
 
-@query("early_stop_trace", f"""WITH {HISTORY_SQL},
+TRACE_SQL = f"""WITH {HISTORY_SQL},
 b AS (SELECT *, min(val) OVER w AS best, sum(sec) OVER w + avg(sec) OVER w AS ahead FROM h WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT *, epoch - max(CASE WHEN val = best THEN epoch END) OVER (PARTITION BY run ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS since FROM b)
-SELECT run, epoch, val, best, since, since >= 5 AS stop, ahead > 1000 AS over_budget FROM s""")
+SELECT run, epoch, val, best, since, since >= 5 AS stop, ahead > 1000 AS over_budget FROM s"""
+
+
+def _history(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("run"), F.day("ts").alias("epoch")).agg(F.round(F.avg("value"), 6).alias("val"), F.count("*").cast("double").alias("sec"))
+
+
+@query("early_stop_trace", TRACE_SQL)
 def early_stop_trace(spark: SparkSession, sf: str) -> DataFrame:
-    h = table(spark, sf, "events").groupBy(F.col("event_type").alias("run"), F.day("ts").alias("epoch")).agg(F.round(F.avg("value"), 6).alias("val"), F.count("*").cast("double").alias("sec"))
-    return profile.training_trace(h, 5, 1000.0).select("run", "epoch", "val", "best", "since", "stop", "over_budget")
+    return profile.training_trace(_history(spark, sf), 5, 1000.0).select("run", "epoch", "val", "best", "since", "stop", "over_budget")
+
+
+@query("resumed_trace", TRACE_SQL)
+def resumed_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """The same trace by a run that stops twice, saves its state and is resumed from it."""
+    history, store, traces = cut(_history(spark, sf)), f"{shared_folder(spark)}/state", []
+    for k, part in enumerate(("epoch <= 9", "epoch BETWEEN 10 AND 20", "epoch > 20")):
+        trace, after = state.resumed_trace(history.where(part), state.load_state(spark, store), 5, 1000.0)
+        traces.append(cut(trace))
+        state.save_state(after, store, k)
+    whole = traces[0].unionByName(traces[1]).unionByName(traces[2])
+    return whole.select("run", "epoch", "val", "best", F.col("since").cast("int").alias("since"), "stop", "over_budget")
 
 
 @query("cosine_lr", "SELECT DISTINCT CAST(day(ts) AS INTEGER) AS epoch, round(1e-5 + 0.5e0 * (1e-3 - 1e-5) * (1 + cos(pi() * day(ts) / 60e0)), 12) AS lr FROM events")
@@ -760,7 +791,7 @@ def name_parts(spark: SparkSession, sf: str) -> DataFrame:
 @query("state_keys", "SELECT 'w_key' AS name, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events")
 def state_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Keys of a state map renamed by replacements in order."""
-    renamed = F.transform_keys(F.from_json("props", "map<string, long>"), lambda k, _: F.replace(F.replace(k, F.lit("k"), F.lit("key")), F.lit("key"), F.lit("w_key")))
+    renamed = state.renamed_keys(F.from_json("props", "map<string, long>"), [("k", "key"), ("key", "w_key")])
     return table(spark, sf, "events").select(F.explode(renamed).alias("name", "v")).groupBy("name").agg(F.sum("v").alias("total"))
 
 
@@ -769,6 +800,76 @@ def folder_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("folder")).agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("files"))
 
 
+_URL_FILES_SQL = "f AS (SELECT * FROM (SELECT regexp_extract(url, '://([^?#]*)', 1) AS path, coalesce(strlen(html), 0) AS length FROM pages WHERE url IS NOT NULL) WHERE path <> '')"
+
+
+def _url_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as files: the URL without scheme and query is the path."""
+    return table(spark, sf, "pages").select(F.regexp_extract("url", "://([^?#]*)", 1).alias("path"), F.octet_length("html").alias("length")).where("path <> ''")
+
+
+_ROLLUP_SQL = f"""WITH {_URL_FILES_SQL}, s AS (SELECT string_split(path, '/') AS steps, length FROM f)
+SELECT array_to_string(steps[1:k], '/') AS folder, CAST(sum(length) AS BIGINT) AS bytes, count(*) AS files FROM s, range(1, 100) r(k) WHERE k < len(steps) GROUP BY ALL"""
+
+
+@query("folder_rollup", _ROLLUP_SQL)
+def folder_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes of all folders with what lies below them."""
+    return catalog.folder_sizes(_url_files(spark, sf))
+
+
+@query("folder_rollup_sql", _ROLLUP_SQL)
+def folder_rollup_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same in a SQL text, by a table function."""
+    tables.register(spark)
+    return spark.sql("SELECT a.folder, sum(f.length) AS bytes, count(*) AS files FROM {files} AS f, LATERAL ancestors(f.path) AS a GROUP BY a.folder", files=_url_files(spark, sf))
+
+
+@query("folder_tree", f"""WITH RECURSIVE {_URL_FILES_SQL}, s AS (SELECT string_split(path, '/') AS steps, length FROM f),
+own AS (SELECT array_to_string(steps[1:k], '/') AS path, k, len(steps) > k AS inside, length FROM s, range(1, 5) r(k) WHERE k <= len(steps)),
+e AS (SELECT path, CASE WHEN k > 1 THEN regexp_replace(path, '/[^/]*$', '') END AS parent, regexp_extract(path, '[^/]*$') AS name, k - 1 AS depth, max(inside) AS is_folder, CAST(sum(length) AS BIGINT) AS bytes, count(*) AS files FROM own GROUP BY path, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY name) AS place, greatest(count(*) OVER (PARTITION BY parent) - 8, 0) AS more FROM e),
+shown AS (SELECT * FROM r WHERE depth = 0 AND place <= 8
+  UNION ALL SELECT r.* FROM r JOIN shown s ON r.parent = s.path AND r.depth = s.depth + 1 WHERE r.place <= 8 AND s.is_folder AND NOT regexp_matches(s.name, '^d'))
+SELECT path, parent, name, CAST(depth AS INTEGER) AS depth, is_folder, bytes, files, more FROM shown""")
+def folder_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The first entries of each folder down to depth 3, without going into folders named d..."""
+    return catalog.folder_tree(_url_files(spark, sf), depth=3, items=8, stop="^d")
+
+
+#: Metadata files of arrays as they could lie about: a hierarchy for each kind of event, groups by user, arrays by day.
+_ARRAY_FILES_SQL = """ev AS (SELECT event_type AS e, user_id % 6 AS u, day(ts) AS d, count(*) AS n, max(props) AS props FROM events GROUP BY ALL),
+gr AS (SELECT DISTINCT e, u FROM ev), ty AS (SELECT e, sum(n) AS n FROM ev GROUP BY e),
+af AS (
+  SELECT e || '/zarr.json' AS path, '{"zarr_format":3,"node_type":"group","attributes":{"n":' || n || '}}' AS content FROM ty
+  UNION ALL SELECT e || '/u' || u || '/zarr.json', '{"zarr_format":3,"node_type":"group"}' FROM gr WHERE u % 2 = 0
+  UNION ALL SELECT e || '/u' || u || '/.zgroup', '{"zarr_format":2}' FROM gr WHERE u IN (1, 3)
+  UNION ALL SELECT e || '/u' || u || '/.zattrs', '{"pad":"' || repeat('x', CAST(250 * u AS INTEGER)) || '"}' FROM gr WHERE u IN (1, 3)
+  UNION ALL SELECT e || '/u' || u || '/d' || d || '/zarr.json', '{"node_type":"array","shape":[' || n || ',4],"data_type":"uint16","chunk_grid":{"configuration":{"chunk_shape":[1,4]}},"attributes":{}}' FROM ev WHERE d % 2 = 0
+  UNION ALL SELECT e || '/u' || u || '/d' || d || '/.zarray', '{"shape":[' || n || '],"dtype":"<u2","chunks":[2]}' FROM ev
+  UNION ALL SELECT e || '/u' || u || '/d' || d || '/.zattrs', replace(props, ' ', '') FROM ev
+  UNION ALL SELECT e || '/u' || u || '/d' || d || deep || '/zarr.json', '{"zarr_format":3}' FROM ev, (VALUES ('/a'), ('/a/b'), ('/a/b/c'), ('/a/b/c/e')) v(deep) WHERE d = 1)"""
+
+
+@query("metadata_walk", f"""WITH RECURSIVE {_ARRAY_FILES_SQL},
+x AS (SELECT regexp_replace(path, '/[^/]*$', '') AS folder, regexp_extract(path, '[^/]*$') AS file, content FROM af),
+m AS (SELECT folder, max(content) FILTER (WHERE file = 'zarr.json') AS v3, max(content) FILTER (WHERE file = '.zarray') AS arr, max(content) FILTER (WHERE file = '.zgroup') AS grp, max(content) FILTER (WHERE file = '.zattrs') AS att FROM x GROUP BY folder),
+meta AS (SELECT folder, CASE WHEN contains(folder, '/') THEN regexp_replace(folder, '/[^/]*$', '') ELSE '' END AS parent, CASE WHEN v3 IS NOT NULL THEN 3 ELSE 2 END AS version, coalesce(v3, arr, grp) AS j,
+  CASE WHEN v3 IS NOT NULL THEN coalesce(json_extract_string(v3, '$.node_type'), 'group') WHEN arr IS NOT NULL THEN 'array' ELSE 'group' END AS kind,
+  CASE WHEN v3 IS NOT NULL THEN CAST(json_extract(v3, '$.attributes') AS VARCHAR) ELSE CAST(json_extract(att, '$') AS VARCHAR) END AS attributes FROM m WHERE coalesce(v3, arr, grp) IS NOT NULL),
+walk AS (SELECT meta.*, folder AS root, 0 AS depth FROM meta WHERE parent NOT IN (SELECT folder FROM meta)
+  UNION ALL SELECT meta.*, w.root, w.depth + 1 FROM meta JOIN walk w ON meta.parent = w.folder WHERE w.depth < 4)
+SELECT root, folder, regexp_extract(folder, '[^/]*$') AS name, depth, kind, version, CASE WHEN kind = 'array' THEN CAST(json_extract(j, '$.shape') AS VARCHAR) END AS shape,
+  CASE WHEN kind = 'array' THEN coalesce(json_extract_string(j, '$.data_type'), json_extract_string(j, '$.dtype')) END AS dtype,
+  CASE WHEN kind = 'array' THEN CAST(coalesce(json_extract(j, '$.chunk_grid.configuration.chunk_shape'), json_extract(j, '$.chunks')) AS VARCHAR) END AS chunks,
+  CASE WHEN attributes <> '{{}}' THEN CASE WHEN length(attributes) > 600 THEN substr(attributes, 1, 600) || '...' ELSE attributes END END AS attributes FROM walk""")
+def metadata_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """The array hierarchies of all kinds of events, four levels down, the newer format first."""
+    text = _ARRAY_FILES_SQL.replace("{", "{{").replace("}", "}}").replace("FROM events", "FROM {events}")
+    files = spark.sql(f"WITH {text} SELECT path, content FROM af", events=table(spark, sf, "events"))
+    return catalog.walk_metadata(files)
+
+
 @query("label_lookup", f"WITH RECURSIVE {LINEAGE_SQL} SELECT dataset, source_id, target_id FROM kept")
 def label_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Links between equal labels of consecutive frames, back as links between nodes."""

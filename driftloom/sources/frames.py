@@ -33,7 +33,7 @@ def read_graph(spark: SparkSession, nodes_path: str, edges_path: str | None) ->
     return nodes, spark.read.parquet(edges_path).select("dataset", F.col("source_id").cast("long").alias("source_id"), F.col("target_id").cast("long").alias("target_id"))
 
 
-def _names(spark: SparkSession, folder: str) -> list[str]:
+def names_in(spark: SparkSession, folder: str) -> list[str]:
     """The names in a folder, sorted; none if there is no such folder."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -48,13 +48,13 @@ def read_graph_raw(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     there are left out, the edges as None.
     """
     nodes = spark.read.parquet(f"{path}/nodes/ids")
-    for name in _names(spark, f"{path}/nodes/props"):
+    for name in names_in(spark, f"{path}/nodes/props"):
         own = f"{path}/nodes/props/{name}"
-        inside = _names(spark, own)
+        inside = names_in(spark, own)
         at = f"{own}/values" if "values" in inside else own
-        if any(x.endswith(".parquet") for x in _names(spark, at)):
+        if any(x.endswith(".parquet") for x in names_in(spark, at)):
             nodes = nodes.join(spark.read.parquet(at).select("ord", F.col("value").alias(name)), "ord", "left")
-    edges = spark.read.parquet(f"{path}/edges/ids") if _names(spark, f"{path}/edges/ids") else None
+    edges = spark.read.parquet(f"{path}/edges/ids") if names_in(spark, f"{path}/edges/ids") else None
     return nodes.drop("ord"), edges
 
 
