@@ -37,8 +37,8 @@ def heatmaps(frames: DataFrame, infer: Callable[[np.ndarray], np.ndarray], thres
 
 
 def peaks_to_points(peaks: DataFrame) -> DataFrame:
-    """(dataset, t, det_id, z, y, x, score): ids by rank within the frame, unique in a movie."""
-    return peaks.select(*KEY, (F.col("t").cast("long") * 1_000_000 + F.col("rank")).alias("det_id"), *[F.col(c).cast("double").alias(c) for c in "zyx"], F.col("value").alias("score"))
+    """(dataset, t, det_id, z, y, x, score): ids by rank within the frame, unique in a movie for up to 2**32 peaks a frame."""
+    return peaks.select(*KEY, (F.shiftleft(F.col("t").cast("long"), 32) + F.col("rank")).alias("det_id"), *[F.col(c).cast("double").alias(c) for c in "zyx"], F.col("value").alias("score"))
 
 
 def detect(heat: DataFrame, raw: DataFrame, config: TrackingConfig, shape: tuple[int, int, int], most: int, pool: int = 1, refine: bool = True) -> DataFrame:

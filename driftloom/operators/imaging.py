@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +51,47 @@ def stamp_radius(sigma: tuple[float, float, float]) -> tuple[int, int, int]:
     return tuple(max(1, round(3 * s)) for s in sigma)
 
 
+def _by_frame(rows: DataFrame, run: Callable[[pa.Table], list], schema: str) -> DataFrame:
+    """A task a frame: ``run`` gets the rows of one and returns columns for ``schema``, which dataset and t come before."""
+    kinds = dict(rows.dtypes)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def work(table: pa.Table) -> pa.Table:
+        columns = run(table)
+        frame = [table.column(c).slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(columns[0]), np.int64))) for c in ("dataset", "t")]
+        return pa.table([*frame, *columns], names=["dataset", "t", *names])
+
+    return rows.groupBy("dataset", "t").applyInArrow(work, f"dataset {kinds['dataset']}, t {kinds['t']}, {schema}")
+
+
+def _places(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy() for c in "zyx"], axis=1).astype(np.int64)
+
+
+def _stamped(points: np.ndarray, sigma: tuple[float, float, float], shape: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The largest bell at each voxel of a dense volume, and which voxels any bell reaches."""
+    heat, touched, reach = np.zeros(shape), np.zeros(shape, bool), stamp_radius(sigma)
+    for p in points:
+        low = [max(int(c) - r, 0) for c, r in zip(p, reach, strict=True)]
+        high = [min(int(c) + r, n - 1) + 1 for c, r, n in zip(p, reach, shape, strict=True)]
+        if any(a >= b for a, b in zip(low, high, strict=True)):
+            continue
+        d = [(np.arange(a, b) - c) ** 2 / (2.0 * s * s) for a, b, c, s in zip(low, high, p, sigma, strict=True)]
+        box = tuple(slice(a, b) for a, b in zip(low, high, strict=True))
+        np.maximum(heat[box], np.exp(-(d[0][:, None, None] + d[1][:, None] + d[2])), out=heat[box])
+        touched[box] = True
+    return heat, touched
+
+
 def gaussian_stamp(points: DataFrame, sigma: tuple[float, float, float], shape: tuple[int, int, int]) -> DataFrame:
-    """(dataset, t, z, y, x, heat): the largest of the points' Gaussian bells at each voxel."""
-    box = _box(points.select("dataset", "t", "z", "y", "x"), stamp_radius(sigma), shape)
-    d = [(F.col("v" + c) - F.col(c)) * (F.col("v" + c) - F.col(c)) / F.lit(2.0 * s * s) for c, s in zip("zyx", sigma, strict=True)]
-    return box.groupBy("dataset", "t", *[F.col("v" + c).alias(c) for c in "zyx"]).agg(F.max(F.exp(-(d[0] + d[1] + d[2]))).alias("heat"))
+    """(dataset, t, z, y, x, heat): the largest of the points' Gaussian bells at each voxel that one reaches; a task stamps one frame in a dense volume."""
+
+    def run(table: pa.Table) -> list:
+        heat, touched = _stamped(_places(table), sigma, shape)
+        at = np.nonzero(touched)
+        return [*(pa.array(c.astype(np.int32)) for c in at), pa.array(heat[at])]
+
+    return _by_frame(points.select(*KEY), run, "z int, y int, x int, heat double")
 
 
 def dilate(voxels: DataFrame, rounds: int, shape: tuple[int, int, int]) -> DataFrame:
@@ -71,7 +108,6 @@ def training_targets(points: DataFrame, voxels: DataFrame, sigma: tuple[float, f
 
     A task stamps one frame in a dense volume of ``shape``, rather than make a row of each voxel of each bell.
     """
-    reach = stamp_radius(sigma)
     none = F.lit(None).cast("double")
     rows = voxels.select(*KEY, F.col("value").cast("double").alias("value"), F.lit(False).alias("point"))
     rows = rows.unionByName(points.select(*KEY, none.alias("value"), F.lit(True).alias("point")))
@@ -79,15 +115,7 @@ def training_targets(points: DataFrame, voxels: DataFrame, sigma: tuple[float, f
     def run(table: pa.Table) -> pa.Table:
         point = table.column("point").to_numpy()
         at = np.stack([table.column(c).to_numpy() for c in "zyx"], axis=1).astype(int)
-        heat = np.zeros(shape)
-        for p in at[point]:
-            low = [max(int(c) - r, 0) for c, r in zip(p, reach, strict=True)]
-            high = [min(int(c) + r, n - 1) + 1 for c, r, n in zip(p, reach, shape, strict=True)]
-            if any(a >= b for a, b in zip(low, high, strict=True)):
-                continue
-            d = [(np.arange(a, b) - c) ** 2 / (2.0 * s * s) for a, b, c, s in zip(low, high, p, sigma, strict=True)]
-            box = heat[tuple(slice(a, b) for a, b in zip(low, high, strict=True))]
-            np.maximum(box, np.exp(-(d[0][:, None, None] + d[1][:, None] + d[2])), out=box)
+        heat, _ = _stamped(at[point], sigma, shape)
         near = heat > near_eps
         wide = near.copy()
         for _ in range(rounds):
@@ -115,16 +143,37 @@ def masked_mse(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def local_maxima(voxels: DataFrame, threshold: float, distance: int, most: int) -> DataFrame:
     """(dataset, t, z, y, x, value, rank): voxels above ``threshold`` that no voxel within ``distance`` along each
-    axis beats, the ``most`` largest of a frame.  Equal neighbours give way to the first by z, y, x."""
-    bright = voxels.where(F.col("value") > threshold)
-    shift = F.explode(F.sequence(F.lit(-distance), F.lit(distance)))
-    spread = bright.select("dataset", "t", *[F.col(c).alias("o" + c) for c in "zyx"], F.col("value").alias("other"))
-    for c in "zyx":
-        spread = spread.withColumn("d", shift).withColumn(c, F.col("o" + c) + F.col("d")).drop("d")
-    better = (F.col("other") > F.col("value")) | ((F.col("other") == F.col("value")) & (F.struct("oz", "oy", "ox") < F.struct("z", "y", "x")))
-    beaten = bright.join(spread, KEY).where(better).select(*KEY).distinct()
-    rank = F.row_number().over(Window.partitionBy("dataset", "t").orderBy(F.desc("value"), "z", "y", "x"))
-    return bright.join(beaten, KEY, "left_anti").withColumn("rank", rank).where(F.col("rank") <= most)
+    axis beats, the ``most`` largest of a frame.  Equal neighbours give way to the first by z, y, x.
+
+    A task takes one frame and lays out the box that its bright voxels lie in.
+    """
+    bright = voxels.where(F.col("value") > threshold).select(*KEY, F.col("value").cast("double").alias("value"))
+
+    def run(table: pa.Table) -> list:
+        at, value = _places(table), table.column("value").to_numpy()
+        low = at.min(axis=0) - distance
+        volume = np.full(tuple(at.max(axis=0) - low + 1 + distance), -np.inf)
+        np.maximum.at(volume, tuple((at - low).T), value)
+        top = volume.copy()
+        for axis in range(3):
+            before = top.copy()
+            for k in range(1, distance + 1):
+                ahead, behind = (tuple(s if c == axis else slice(None) for c in range(3)) for s in (slice(k, None), slice(None, -k)))
+                np.maximum(top[ahead], before[behind], out=top[ahead])
+                np.maximum(top[behind], before[ahead], out=top[behind])
+        best = np.argwhere((volume == top) & (volume > -np.inf))  # in the order of z, y, x
+        # of equal ones the first: any equal voxel at an earlier offset
+        span = np.arange(-distance, distance + 1)
+        offsets = np.stack(np.meshgrid(span, span, span, indexing="ij"), axis=-1).reshape(-1, 3)[: len(span) ** 3 // 2]
+        own, first = volume[tuple(best.T)], np.ones(len(best), bool)
+        for o in offsets:
+            first &= volume[tuple((best + o).T)] != own
+        best, own = best[first], own[first]
+        order = np.argsort(-own, kind="stable")[:most]
+        found = best[order] + low
+        return [*(pa.array(c.astype(np.int32)) for c in found.T), pa.array(own[order]), pa.array(np.arange(1, len(order) + 1, dtype=np.int32))]
+
+    return _by_frame(bright, run, "z int, y int, x int, value double, rank int")
 
 
 def paint(nodes: DataFrame, radius: tuple[int, int, int], shape: tuple[int, int, int]) -> DataFrame:
@@ -136,18 +185,39 @@ def paint(nodes: DataFrame, radius: tuple[int, int, int], shape: tuple[int, int,
     return first.join(centres, KEY, "left").select(*KEY, F.coalesce("centre", "painted").alias("label"))
 
 
+def _blur_matrix(sigma: float, n: int, truncate: float) -> np.ndarray:
+    """What each voxel along an axis of ``n`` gives to each other: itself and its mirror images at both ends."""
+    reach = int(truncate * sigma + 0.5)
+    taps = np.array([math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)])
+    taps /= taps.sum()
+    out, p = np.zeros((n, n)), np.arange(n)
+    for image in (p, -1 - p, 2 * n - 1 - p):
+        for k, w in zip(range(-reach, reach + 1), taps, strict=True):
+            q = image - k
+            inside = (q >= 0) & (q < n)
+            np.add.at(out, (q[inside], p[inside]), w)
+    return out
+
+
 def gaussian_blur(voxels: DataFrame, sigma: tuple[float, float, float], shape: tuple[int, int, int], truncate: float = 4.0) -> DataFrame:
-    """Separable Gaussian smoothing of non-zero voxels, reflected at the borders (the border voxel repeats)."""
-    for c, s, n in zip("zyx", sigma, shape, strict=True):
-        reach = int(truncate * s + 0.5)
-        taps = [math.exp(-0.5 * (k / s) ** 2) for k in range(-reach, reach + 1)]
-        kernel = F.array(*[F.struct(F.lit(k - reach).alias("k"), F.lit(v / sum(taps)).alias("w")) for k, v in enumerate(taps)])
-        # voxel p gives to q where q + k meets p after reflection: p itself and its mirror images
-        images = F.array(F.col(c), -1 - F.col(c), 2 * n - 1 - F.col(c))
-        spread = voxels.withColumn("i", F.explode(images)).withColumn("tap", F.explode(kernel)).withColumn("q", (F.col("i") - F.col("tap.k")).cast("int"))
-        spread = spread.where(F.col("q").between(0, n - 1)).withColumn(c, F.col("q"))
-        voxels = spread.groupBy(*KEY).agg(F.sum(F.col("value") * F.col("tap.w")).alias("value"))
-    return voxels
+    """Separable Gaussian smoothing of non-zero voxels, reflected at the borders (the border voxel repeats): a row for each voxel that any voxel reaches.
+
+    A task smooths one frame as a dense volume of ``shape``, an axis after the other.
+    """
+
+    def run(table: pa.Table) -> list:
+        volume, reached = np.zeros(shape), np.zeros(shape)
+        at = tuple(_places(table).T)
+        np.add.at(volume, at, table.column("value").to_numpy())
+        reached[at] = 1
+        for axis, (s, n) in enumerate(zip(sigma, shape, strict=True)):
+            taps = _blur_matrix(s, n, truncate)
+            volume = np.moveaxis(np.tensordot(taps, volume, axes=(1, axis)), 0, axis)
+            reached = np.moveaxis(np.tensordot((taps > 0).astype(float), reached, axes=(1, axis)), 0, axis)
+        at = np.nonzero(reached)
+        return [*(pa.array(c.astype(np.int32)) for c in at), pa.array(volume[at])]
+
+    return _by_frame(voxels.select(*KEY, F.col("value").cast("double").alias("value")), run, "z int, y int, x int, value double")
 
 
 def flip_rotate(voxels: DataFrame, shape: tuple[int, int, int], flips: str = "", swap: bool = False) -> DataFrame:
@@ -212,10 +282,14 @@ def patch_centres(
 
 
 def crop(voxels: DataFrame, centre: DataFrame, size: tuple[int, int, int], shape: tuple[int, int, int]) -> DataFrame:
-    """The box of ``size`` around each frame's ``centre(dataset, t, cz, cy, cx)``, moved inside the volume; coordinates from 0."""
+    """The box of ``size`` around each ``centre(dataset, t[, draw], cz, cy, cx)``, moved inside the volume; coordinates from 0.
+
+    A frame may have several centres, each with a ``draw`` of its own, which then tells their boxes apart.
+    """
+    draw = ["draw"] if "draw" in centre.columns else []
     for c, s, n in zip("zyx", size, shape, strict=True):
         centre = centre.withColumn("o" + c, F.greatest(F.lit(0), F.least(F.col("c" + c) - s // 2, F.lit(max(n - s, 0)))))
-    inside = voxels.join(centre.select("dataset", "t", "oz", "oy", "ox"), ["dataset", "t"])
+    inside = voxels.join(centre.select("dataset", "t", *draw, "oz", "oy", "ox"), ["dataset", "t"])
     for c, s in zip("zyx", size, strict=True):
         inside = inside.where(F.col(c).between(F.col("o" + c), F.col("o" + c) + s - 1)).withColumn(c, F.col(c) - F.col("o" + c))
     return inside.drop("oz", "oy", "ox")

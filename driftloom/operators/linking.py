@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from driftloom.config import TrackingConfig
 from driftloom.operators.assign import assign_candidates, assign_frames, assign_sparse
 from driftloom.operators.division import detect_divisions
-from driftloom.operators.flow import cheapest_trees
+from driftloom.operators.flow import cheapest_trees, check_prices
 from driftloom.operators.graph import components_by_dataset, with_components
 from driftloom.operators.numbering import row_numbers
 from driftloom.operators.spatial import frame_pairs, knn_candidates, prefixed, range_join
@@ -214,6 +214,7 @@ def min_cost_flow_link(detections: DataFrame, config: TrackingConfig, optional:
     - With ``optional`` a node may stay out at no cost, and only tracks pay.  Then a track is worth having as a whole or not at
       all, so a component in space and time is decided at once, in one task.
     """
+    check_prices(config.ilp_appear, config.ilp_disappear, config.ilp_division, optional)
     saved = config.ilp_appear + config.ilp_disappear
     weighted = knn_candidates(detections, config.ilp_k, config.loose_gate, config.voxel).withColumn("w", F.col("dist") - config.ilp_bias)
     useful = weighted.where(F.col("w") < saved).select("dataset", "t", F.col("source_id").cast("long"), F.col("target_id").cast("long"), "w")

@@ -76,6 +76,18 @@ def pick(items: DataFrame, order: str, usable: Column, n_train: int, n_val: int)
     return ranked.withColumn("split", F.when(F.col("k") <= n_train, "train").otherwise("val")).drop("k")
 
 
+def pick_with_reasons(items: DataFrame, order: str, size: str, least: int, n_train: int, n_val: int) -> DataFrame:
+    """``items`` up to the last one that is picked, with ``split``: train, val, or why an item was passed over.
+
+    Items are taken in order until both splits are full; one whose ``size`` is null is 'skip: unreadable', one under ``least`` 'skip: n < least'.
+    """
+    kept = pick(items, order, F.coalesce(F.col(size) >= least, F.lit(False)), n_train, n_val).select(order, "split")
+    last = kept.agg(F.when(F.count("*") == n_train + n_val, F.max(order))).scalar()
+    seen = items.join(kept, order, "left").where(F.coalesce(F.col(order) <= last, F.lit(True)))
+    reason = F.when(F.col(size).isNull(), "skip: unreadable").otherwise(F.concat(F.lit("skip: "), F.col(size).cast("string"), F.lit(f" < {least}")))
+    return seen.withColumn("split", F.coalesce("split", reason))
+
+
 def training_trace(history: DataFrame, patience: int, budget: float) -> DataFrame:
     """``history(run, epoch, val, sec)`` with the running best, epochs since it, and whether early stop or the time budget end the run.
 

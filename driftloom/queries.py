@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftloom.config import V0, V2
+from driftloom.config import V0, V2, V2_5
 from driftloom.functions import scalar, tables
 from driftloom.operators import detect, division, graph, imaging, lineage, linking, metrics, profile, scored, spatial
 from driftloom.plans.lineage import cut, shared_folder
@@ -621,24 +621,17 @@ def threshold_gate_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("linker_ab")
 def linker_ab(spark: SparkSession, sf: str) -> DataFrame:
-    """Two-pass against min-cost links on the same detections, scored alike; a linker without links misses all edges."""
+    """Two-pass, min-cost and scored greedy links on the same detections, scored alike; a linker that fails misses all edges."""
     found = cut(fixtures.detections(spark, sf))
     gt, gt_edges = _gt(spark, sf)
     matches = cut(metrics.match_nodes(gt, found.withColumnRenamed("det_id", "node_id"), V2.match_gate, VOXEL))
-    linkers = {"twopass": linking.twopass_link(found, V2), "min_cost": linking.min_cost_flow_link(found, V2)}
-    scored = [metrics.jaccard(metrics.edge_counts(gt_edges, links.select("dataset", "source_id", "target_id"), matches)).select(F.lit(name).alias("linker"), "tp", "fp", "fn", F.round("jaccard", 6).alias("jaccard")) for name, links in linkers.items()]
-    return scored[0].unionByName(scored[1])
-
-
-@query("detect_classical")
-def detect_classical(spark: SparkSession, sf: str) -> DataFrame:
-    """Percentile normalisation, smoothing and peaks over whole small volumes, zeros too."""
-    v = _voxels(spark, sf)
-    grid = v.select("dataset", "t").distinct()
-    for c, n in zip("zyx", SHAPE, strict=True):
-        grid = grid.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    whole = grid.join(v, imaging.KEY, "left").fillna(0.0, ["value"])
-    return detect.detect_classical(whole, V0, SHAPE, 200).withColumns(rounded("score"))
+    linkers = {
+        "twopass": lambda: linking.twopass_link(found, V2),
+        "min_cost": lambda: linking.min_cost_flow_link(found, V2),
+        "greedy": lambda: _greedy(spark, sf, 1),
+        "refused": lambda: linking.min_cost_flow_link(found, replace(V2, ilp_division=-1.0)),
+    }
+    return metrics.compare_linkers(linkers, gt_edges, matches).withColumns(rounded("jaccard"))
 
 
 @query("ab_compare", f"""WITH {CANDIDATES_SQL},
@@ -680,6 +673,16 @@ def pick_n(spark: SparkSession, sf: str) -> DataFrame:
     return profile.pick(table(spark, sf, "customer"), "c_custkey", F.col("c_acctbal") > 0, 60, 20).select("c_custkey", "split")
 
 
+@query("pick_reasons", """WITH n AS (SELECT doc_id, CASE WHEN doc_id % 9 <> 4 THEN n_chars END AS n FROM documents),
+k AS (SELECT *, CASE WHEN n >= 900 THEN row_number() OVER (PARTITION BY n >= 900 ORDER BY doc_id) END AS k FROM n),
+e AS (SELECT max(doc_id) AS last FROM k WHERE k <= 50)
+SELECT doc_id, CASE WHEN k <= 40 THEN 'train' WHEN k <= 50 THEN 'val' WHEN n IS NULL THEN 'skip: unreadable' ELSE 'skip: ' || n || ' < 900' END AS split FROM k, e WHERE doc_id <= last""")
+def pick_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents taken in order as train and val, and why others were passed over."""
+    sized = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 9 != 4, F.col("n_chars")).alias("n"))
+    return profile.pick_with_reasons(sized, "doc_id", "n", 900, 40, 10).select("doc_id", "split")
+
+
 @query("holdout_exclusion", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def holdout_exclusion(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that no label holds out."""
@@ -960,12 +963,13 @@ def gaussian_stamp(spark: SparkSession, sf: str) -> DataFrame:
 TARGET_SQL = f"""{FIXTURE_SQL}, {VOXEL_SQL},
 q AS (SELECT dataset, t, quantile_cont(value, 0.5) AS lo, quantile_cont(value, 0.998) AS hi FROM vox GROUP BY ALL),
 nv AS MATERIALIZED (SELECT dataset, t, z, y, x, least(greatest((value - lo) / (hi - lo + 1e-6), 0e0), 1e0) AS value FROM vox JOIN q USING (dataset, t)),
-near AS MATERIALIZED (SELECT dataset, t, z, y, x FROM stamp WHERE heat > 0.05),
-step AS MATERIALIZED (SELECT dz, dy, dx FROM range(-2, 3) a(dz), range(-2, 3) b(dy), range(-2, 3) c(dx) WHERE abs(dz) + abs(dy) + abs(dx) <= 2),
-beside AS MATERIALIZED (SELECT dataset, t, z, y, x, z + dz AS nz, y + dy AS ny, x + dx AS nx FROM nv, step),
-wide AS MATERIALIZED (SELECT DISTINCT b.dataset, b.t, b.z, b.y, b.x FROM beside b JOIN near n ON n.dataset = b.dataset AND n.t = b.t AND n.z = b.nz AND n.y = b.ny AND n.x = b.nx),
-target AS (SELECT nv.*, coalesce(s.heat, 0) AS target, CASE WHEN n.z IS NOT NULL THEN 10e0 WHEN nv.value > 0.15 AND w.z IS NULL THEN 0e0 ELSE 1e0 END AS weight
-  FROM nv LEFT JOIN stamp s USING (dataset, t, z, y, x) LEFT JOIN near n USING (dataset, t, z, y, x) LEFT JOIN wide w USING (dataset, t, z, y, x))"""
+step AS (SELECT dz, dy, dx FROM range(-2, 3) a(dz), range(-2, 3) b(dy), range(-2, 3) c(dx) WHERE abs(dz) + abs(dy) + abs(dx) <= 2),
+heats AS MATERIALIZED (SELECT v.dataset, v.t, v.z, v.y, v.x, max(exp(-(pow(v.z - p.z, 2) / 2e0 + pow(v.y - p.y, 2) / 18e0 + pow(v.x - p.x, 2) / 18e0))) AS heat
+  FROM nv v JOIN pts p ON p.dataset = v.dataset AND p.t = v.t AND abs(v.z - p.z) <= 3 AND abs(v.y - p.y) <= 9 AND abs(v.x - p.x) <= 9 GROUP BY ALL),
+wide AS MATERIALIZED (SELECT DISTINCT v.dataset, v.t, v.z, v.y, v.x FROM nv v JOIN pts p ON p.dataset = v.dataset AND p.t = v.t AND abs(v.z - p.z) <= 5 AND abs(v.y - p.y) <= 11 AND abs(v.x - p.x) <= 11, step s
+  WHERE v.value > 0.15 AND v.z + s.dz BETWEEN 0 AND 7 AND v.y + s.dy BETWEEN 0 AND 31 AND v.x + s.dx BETWEEN 0 AND 31 AND exp(-(pow(v.z + s.dz - p.z, 2) / 2e0 + pow(v.y + s.dy - p.y, 2) / 18e0 + pow(v.x + s.dx - p.x, 2) / 18e0)) > 0.05),
+target AS (SELECT nv.*, coalesce(heat, 0) AS target, CASE WHEN heat > 0.05 THEN 10e0 WHEN nv.value > 0.15 AND w.z IS NULL THEN 0e0 ELSE 1e0 END AS weight
+  FROM nv LEFT JOIN heats USING (dataset, t, z, y, x) LEFT JOIN wide w USING (dataset, t, z, y, x))"""
 
 
 def _targets(spark: SparkSession, sf: str) -> DataFrame:
@@ -1005,11 +1009,11 @@ def paint_if_empty(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("masks_present", f"""WITH {FIXTURE_SQL} SELECT dataset, count(*) AS frames, count(*) FILTER (WHERE n > 0) AS present
 FROM (SELECT f.dataset, f.t, count(n.node_id) AS n FROM (SELECT DISTINCT CAST(user_id % 4 AS INTEGER) AS dataset, CAST(day(ts) - 1 AS INTEGER) AS t FROM events) f
-  LEFT JOIN (SELECT * FROM fx_gt_nodes WHERE z < 8) n ON n.dataset = f.dataset AND n.t = f.t GROUP BY ALL) GROUP BY dataset""")
+  LEFT JOIN fx_gt_nodes n ON n.dataset = f.dataset AND n.t = f.t GROUP BY ALL) GROUP BY dataset""")
 def masks_present(spark: SparkSession, sf: str) -> DataFrame:
     """How many frames have any painted voxel."""
     seen = table(spark, sf, "events").select((F.col("user_id") % 4).cast("int").alias("dataset"), (F.day("ts") - 1).cast("int").alias("t")).distinct()
-    nodes = fixtures.gt_nodes(spark, sf).where("z < 8").select("dataset", "t", (F.col("node_id") + 1).alias("label"), "z", (F.col("y") % 32).alias("y"), (F.col("x") % 32).alias("x"), F.col("node_id").alias("ord"))
+    nodes = fixtures.gt_nodes(spark, sf).select("dataset", "t", (F.col("node_id") + 1).alias("label"), (F.col("z") % 8).alias("z"), (F.col("y") % 32).alias("y"), (F.col("x") % 32).alias("x"), F.col("node_id").alias("ord"))
     top = imaging.paint(nodes, (0, 1, 1), SHAPE).groupBy("dataset", "t").agg(F.max("label").alias("top"))
     return seen.join(top, ["dataset", "t"], "left").groupBy("dataset").agg(F.count("*").alias("frames"), F.count_if(F.col("top") > 0).alias("present"))
 
@@ -1052,13 +1056,15 @@ def random_intensity(spark: SparkSession, sf: str) -> DataFrame:
 _DRAW = ("dataset", "t", "draw")
 
 
-@query("patch_centres", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL},
-p AS (SELECT *, row_number() OVER (PARTITION BY dataset, t ORDER BY z, y, x) - 1 AS place FROM pts),
+_PATCH_SQL = f"""p AS (SELECT *, row_number() OVER (PARTITION BY dataset, t ORDER BY z, y, x) - 1 AS place FROM pts),
 n AS (SELECT dataset, t, count(*) AS n FROM pts GROUP BY ALL),
 d AS (SELECT dataset, t, draw, CASE WHEN {_draw("'positive'", *_DRAW)} < 0.7 THEN CAST(floor({_draw("'point'", *_DRAW)} * n) AS INTEGER) END AS place
-      FROM (SELECT DISTINCT dataset, t FROM vox) LEFT JOIN n USING (dataset, t), range(4) r(draw))
-SELECT dataset, t, CAST(draw AS INTEGER) AS draw, {", ".join(f"CAST(least(greatest(coalesce(p.{c} + CAST(trunc((2 * {_draw(f"'jitter {c}'", *_DRAW)} - 1) * 0.25e0 * {s}) AS INTEGER), CAST(floor({_draw(f"'voxel {c}'", *_DRAW)} * {n}) AS INTEGER)), {s // 2}), {n - s + s // 2}) AS INTEGER) AS c{c}" for c, s, n in zip("zyx", (4, 16, 16), SHAPE, strict=True))}
-FROM d LEFT JOIN p USING (dataset, t, place)""")
+      FROM (SELECT DISTINCT dataset, t FROM vox) LEFT JOIN n USING (dataset, t), range(4) r(draw)),
+drawn AS (SELECT dataset, t, CAST(draw AS INTEGER) AS draw, {", ".join(f"CAST(least(greatest(coalesce(p.{c} + CAST(trunc((2 * {_draw(f"'jitter {c}'", *_DRAW)} - 1) * 0.25e0 * {s}) AS INTEGER), CAST(floor({_draw(f"'voxel {c}'", *_DRAW)} * {n}) AS INTEGER)), {s // 2}), {n - s + s // 2}) AS INTEGER) AS c{c}" for c, s, n in zip("zyx", (4, 16, 16), SHAPE, strict=True))}
+FROM d LEFT JOIN p USING (dataset, t, place))"""
+
+
+@query("patch_centres", f"WITH {FIXTURE_SQL}, {VOXEL_SQL}, {_PATCH_SQL} SELECT * FROM drawn")
 def patch_centres(spark: SparkSession, sf: str) -> DataFrame:
     seen = _voxels(spark, sf).select("dataset", "t").distinct()
     return imaging.patch_centres(seen, _points(spark, sf), 4, (4, 16, 16), SHAPE, 7)
@@ -1089,3 +1095,62 @@ def _blur_sql(sigma: tuple[float, float, float]) -> str:
 @query("gaussian_blur", f"WITH {FIXTURE_SQL}, {VOXEL_SQL}, {_blur_sql((0.7, 2.0, 2.0))} SELECT dataset, t, z, y, x, round(value, 6) AS value FROM blur_x")
 def gaussian_blur(spark: SparkSession, sf: str) -> DataFrame:
     return imaging.gaussian_blur(_voxels(spark, sf), (0.7, 2.0, 2.0), SHAPE).withColumns(rounded("value"))
+
+
+def _maxima_sql(voxels: str, threshold: float, distance: int, most: int) -> str:
+    """CTEs that end in ``peaks``, as ``local_maxima`` finds them in a table of voxels."""
+    near = " AND ".join(f"abs(o.{c} - b.{c}) <= {distance}" for c in "zyx")
+    return f"""bright AS MATERIALIZED (SELECT * FROM {voxels} WHERE value > {threshold}),
+peaks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset, t ORDER BY value DESC, z, y, x) AS rank FROM bright b
+  WHERE NOT EXISTS (SELECT 1 FROM bright o WHERE o.dataset = b.dataset AND o.t = b.t AND {near} AND (o.value > b.value OR (o.value = b.value AND (o.z, o.y, o.x) < (b.z, b.y, b.x))))) WHERE rank <= {most})"""
+
+
+@query("detect_pooled", f"""WITH RECURSIVE {FIXTURE_SQL}, {VOXEL_SQL},
+pooled AS (SELECT dataset, t, z, CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, max(value) AS value FROM vox GROUP BY ALL),
+{_maxima_sql("pooled", 40, 1, 60)},
+p AS (SELECT dataset, t, t * 4294967296 + rank AS det_id, z, y * 2 AS y, x * 2 AS x, value AS score FROM peaks),
+c AS (SELECT p.dataset, p.t, p.det_id, sum(v.value * v.z) / sum(v.value) AS z, sum(v.value * v.y) / sum(v.value) AS y, sum(v.value * v.x) / sum(v.value) AS x
+  FROM p JOIN vox v ON v.dataset = p.dataset AND v.t = p.t AND abs(v.z - p.z) <= 1 AND abs(v.y - p.y) <= 3 AND abs(v.x - p.x) <= 3 GROUP BY ALL HAVING sum(v.value) > 0),
+m AS MATERIALIZED (SELECT p.dataset, p.t, p.det_id, coalesce(c.z, p.z) AS z, coalesce(c.y, p.y) AS y, coalesce(c.x, p.x) AS x, p.score FROM p LEFT JOIN c USING (dataset, t, det_id)),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY dataset, t ORDER BY -score, z, y, x, det_id) AS r FROM m),
+beaten AS (SELECT a.dataset, a.t, a.r, list(b.r) AS losers FROM ranked a JOIN ranked b ON b.dataset = a.dataset AND b.t = a.t AND a.r < b.r WHERE {_dist()} <= 3 GROUP BY ALL),
+offers AS (SELECT dataset, t, r, coalesce(losers, CAST([] AS BIGINT[])) AS losers FROM ranked LEFT JOIN beaten USING (dataset, t, r)),
+walk AS (
+  SELECT DISTINCT dataset, t, CAST(0 AS BIGINT) AS r, false AS kept, CAST([] AS BIGINT[]) AS dead FROM ranked
+  UNION ALL SELECT w.dataset, w.t, n.r, NOT list_contains(w.dead, n.r), CASE WHEN list_contains(w.dead, n.r) THEN w.dead ELSE list_concat(w.dead, n.losers) END
+  FROM walk w JOIN offers n ON n.dataset = w.dataset AND n.t = w.t AND n.r = w.r + 1)
+SELECT dataset, t, det_id, round(z, 6) AS z, round(y, 6) AS y, round(x, 6) AS x, score FROM walk JOIN ranked USING (dataset, t, r) WHERE kept""")
+def detect_pooled(spark: SparkSession, sf: str) -> DataFrame:
+    """Detection with pooling: peaks of pooled heat, the raw volume in place of a model, back on the full grid, refined on the raw voxels, thinned by distance."""
+    raw = cut(_voxels(spark, sf))
+    config = replace(V2_5, threshold=40.0)
+    return detect.detect(imaging.xy_pool(raw, 2, SHAPE), raw, config, SHAPE, 60, pool=2).withColumns(rounded("z", "y", "x"))
+
+
+@query("detect_classical", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL.replace("vox AS", "raw AS", 1)},
+whole AS MATERIALIZED (SELECT f.dataset, f.t, CAST(z AS INTEGER) AS z, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, coalesce(value, 0e0) AS value
+  FROM (SELECT DISTINCT dataset, t FROM raw) f CROSS JOIN range({SHAPE[0]}) a(z) CROSS JOIN range({SHAPE[1]}) b(y) CROSS JOIN range({SHAPE[2]}) c(x) LEFT JOIN raw r USING (dataset, t, z, y, x)),
+q AS (SELECT dataset, t, quantile_cont(value, 0.5) AS lo, quantile_cont(value, 0.998) AS hi FROM whole GROUP BY ALL),
+vox AS MATERIALIZED (SELECT dataset, t, z, y, x, least(greatest((value - lo) / (hi - lo + 1e-6), 0e0), 1e0) AS value FROM whole JOIN q USING (dataset, t)),
+{_blur_sql((0.7, 2.0, 2.0))},
+{_maxima_sql("blur_x", V0.threshold, V0.min_distance, 200)}
+SELECT dataset, t, t * 4294967296 + rank AS det_id, CAST(z AS DOUBLE) AS z, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x, round(value, 6) AS score FROM peaks""")
+def detect_classical(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentile normalisation, smoothing and peaks over whole small volumes, zeros too."""
+    v = _voxels(spark, sf)
+    grid = v.select("dataset", "t").distinct()
+    for c, n in zip("zyx", SHAPE, strict=True):
+        grid = grid.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    whole = grid.join(v, imaging.KEY, "left").fillna(0.0, ["value"])
+    return detect.detect_classical(whole, V0, SHAPE, 200).withColumns(rounded("score"))
+
+
+@query("drawn_patches", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL},
+{_PATCH_SQL},
+o AS (SELECT dataset, t, draw, {", ".join(f"greatest(0, least(c{c} - {s // 2}, {n - s})) AS o{c}" for c, s, n in zip("zyx", (4, 16, 16), SHAPE, strict=True))} FROM drawn)
+SELECT dataset, t, draw, z - oz AS z, y - oy AS y, x - ox AS x, value FROM vox JOIN o USING (dataset, t) WHERE z BETWEEN oz AND oz + 3 AND y BETWEEN oy AND oy + 15 AND x BETWEEN ox AND ox + 15""")
+def drawn_patches(spark: SparkSession, sf: str) -> DataFrame:
+    """The patches around four drawn centres of each frame."""
+    v = cut(_voxels(spark, sf))
+    centres = imaging.patch_centres(v.select("dataset", "t").distinct(), _points(spark, sf), 4, (4, 16, 16), SHAPE, 7)
+    return imaging.crop(v, centres, (4, 16, 16), SHAPE)

@@ -87,3 +87,12 @@ def test_patch_centres(spark):
     near = [abs(r["cz"] - 5) <= 1 and abs(r["cy"] - 20) <= 2 and abs(r["cx"] - 20) <= 2 for r in rows if r["t"] == 0]
     assert 240 < sum(near) < 330
     assert len({(r["cz"], r["cy"], r["cx"]) for r in rows if r["t"] == 1}) > 300
+
+
+def test_peaks_on_a_plateau_and_at_negative_places(spark):
+    rows = [(0, 0, -2, 5, 5, 9.0), (0, 0, -2, 5, 6, 9.0), (0, 0, -2, 5, 9, 9.0), (0, 0, 3, 40, 1, 8.0), (0, 1, 0, 0, 0, 3.0), (0, 2, 0, 0, 0, 1.0)]
+    voxels = spark.createDataFrame(rows, "dataset int, t int, z int, y int, x int, value double")
+    got = sorted(tuple(r) for r in imaging.local_maxima(voxels, 2.0, 2, 2).collect())
+    # of equal neighbours the second gives way; the third has none within reach; the fourth is one too many
+    assert got == [(0, 0, -2, 5, 5, 9.0, 1), (0, 0, -2, 5, 9, 9.0, 2), (0, 1, 0, 0, 0, 3.0, 1)]
+    assert imaging.local_maxima(voxels, 99.0, 2, 2).count() == 0 == imaging.gaussian_blur(voxels.limit(0), (1.0, 1.0, 1.0), (4, 4, 4)).count()
