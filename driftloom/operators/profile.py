@@ -88,6 +88,13 @@ def pick_with_reasons(items: DataFrame, order: str, size: str, least: int, n_tra
     return seen.withColumn("split", F.coalesce("split", reason))
 
 
+def split_by_any(items: DataFrame, by: str, marked: DataFrame, key: str) -> DataFrame:
+    """(by, split, n): groups with any item whose ``key`` is in ``marked`` are train, all others test; a null group is one of its own."""
+    hit = marked.select(key).distinct().withColumn("hit", F.lit(True))
+    groups = items.join(hit, key, "left").groupBy(by).agg(F.count("*").alias("n"), F.max(F.coalesce("hit", F.lit(False))).alias("any"))
+    return groups.select(by, F.when(F.col("any"), "train").otherwise("test").alias("split"), "n")
+
+
 def training_trace(history: DataFrame, patience: int, budget: float) -> DataFrame:
     """``history(run, epoch, val, sec)`` with the running best, epochs since it, and whether early stop or the time budget end the run.
 

@@ -755,15 +755,13 @@ def stem_lookup(spark: SparkSession, sf: str) -> DataFrame:
 def train_test_class(spark: SparkSession, sf: str) -> DataFrame:
     """A source with any toxic document is train, others are test."""
     docs = table(spark, sf, "documents").select("doc_id", "source")
-    toxic = docs.join(table(spark, sf, "labels").where("toxic = 1"), "doc_id", "left_semi").select("source").distinct()
-    mark = lambda how, split: docs.join(toxic, "source", how).groupBy("source").agg(F.count("*").alias("n")).withColumn("split", F.lit(split))
-    return mark("left_semi", "train").unionByName(mark("left_anti", "test")).select("source", "split", "n")
+    return profile.split_by_any(docs, "source", table(spark, sf, "labels").where("toxic = 1"), "doc_id")
 
 
 @query("largest_array", "SELECT lang, max(n) AS size, arg_max(doc_id, (n, -doc_id)) AS doc_id FROM (SELECT lang, doc_id, length(text) AS n FROM documents) GROUP BY lang")
 def largest_array(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "documents").select("lang", "doc_id", F.char_length("text").cast("long").alias("n"))
-    return n.groupBy("lang").agg(F.max("n").alias("size"), F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("doc_id"))
+    sizes = table(spark, sf, "documents").select("lang", "doc_id", F.char_length("text").cast("long").alias("size"))
+    return catalog.largest(sizes, ["lang"], "size", "doc_id")
 
 
 @query("first_pattern_hit", """SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size > 40 THEN 0 WHEN p_size > 20 THEN 1 ELSE 2 END, p_partkey) AS r FROM part) WHERE r = 1""")
@@ -828,6 +826,14 @@ def folder_rollup_sql(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql("SELECT a.folder, sum(f.length) AS bytes, count(*) AS files FROM {files} AS f, LATERAL ancestors(f.path) AS a GROUP BY a.folder", files=_url_files(spark, sf))
 
 
+@query("find_folders", f"""WITH {_URL_FILES_SQL}, s AS (SELECT string_split(path, '/') AS steps FROM f),
+k AS (SELECT steps, min(k) AS k FROM s, range(1, 100) r(k) WHERE k < len(steps) AND regexp_matches(steps[k], '^(fr|es|en)$') GROUP BY steps)
+SELECT DISTINCT array_to_string(steps[1:k], '/') AS folder FROM k""")
+def find_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """The topmost folders with the name of a language."""
+    return catalog.find_folders(_url_files(spark, sf), "^(fr|es|en)$")
+
+
 @query("folder_tree", f"""WITH RECURSIVE {_URL_FILES_SQL}, s AS (SELECT string_split(path, '/') AS steps, length FROM f),
 own AS (SELECT array_to_string(steps[1:k], '/') AS path, k, len(steps) > k AS inside, length FROM s, range(1, 5) r(k) WHERE k <= len(steps)),
 e AS (SELECT path, CASE WHEN k > 1 THEN regexp_replace(path, '/[^/]*$', '') END AS parent, regexp_extract(path, '[^/]*$') AS name, k - 1 AS depth, max(inside) AS is_folder, CAST(sum(length) AS BIGINT) AS bytes, count(*) AS files FROM own GROUP BY path, k),
@@ -876,9 +882,7 @@ def metadata_walk(spark: SparkSession, sf: str) -> DataFrame:
 @query("label_lookup", f"WITH RECURSIVE {LINEAGE_SQL} SELECT dataset, source_id, target_id FROM kept")
 def label_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Links between equal labels of consecutive frames, back as links between nodes."""
-    labels = lineage.tracklets(*_gt(spark, sf)).select("dataset", "t", "tracklet", "node_id")
-    a = labels.withColumn("t", F.col("t") + 1).withColumnRenamed("node_id", "source_id")
-    return a.join(labels.withColumnRenamed("node_id", "target_id"), ["dataset", "t", "tracklet"]).select("dataset", "source_id", "target_id")
+    return lineage.links_by_label(lineage.tracklets(*_gt(spark, sf)).withColumnRenamed("tracklet", "label"))
 
 
 @query("mean_batch_loss", """SELECT event_type AS run, round(avg(value), 6) AS loss FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 60 GROUP BY event_type""")
@@ -1154,3 +1158,102 @@ def drawn_patches(spark: SparkSession, sf: str) -> DataFrame:
     v = cut(_voxels(spark, sf))
     centres = imaging.patch_centres(v.select("dataset", "t").distinct(), _points(spark, sf), 4, (4, 16, 16), SHAPE, 7)
     return imaging.crop(v, centres, (4, 16, 16), SHAPE)
+
+
+# --- sources and sinks, there and back --------------------------------------------------------------------------------
+
+
+@query("frame_scan", f"WITH {FIXTURE_SQL}, {VOXEL_SQL} SELECT CAST(dataset AS VARCHAR) AS dataset, t, z, y, x, least(value, 65535e0) AS value FROM vox WHERE t BETWEEN 5 AND 9 AND dataset = 1")
+def frame_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames written as dense volumes, and some of them read back; the filter prunes folders."""
+    folder = f"{shared_folder(spark)}/frames"
+    frames.write_frames(frames.to_frames(_voxels(spark, sf), SHAPE), folder)
+    return frames.voxels(frames.read_frames(spark, folder).where("t BETWEEN 5 AND 9 AND dataset = '1'"))
+
+
+@query("detect_model", f"""WITH {FIXTURE_SQL}, {VOXEL_SQL}, heat AS (SELECT dataset, t, z, y, x, least(value, 65535e0) / 64e0 AS value FROM vox), {_maxima_sql("heat", 0.625, 1, 60)}
+SELECT dataset, t, t * 4294967296 + rank AS det_id, CAST(z AS DOUBLE) AS z, CAST(y AS DOUBLE) AS y, CAST(x AS DOUBLE) AS x, value AS score FROM peaks""")
+def detect_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Detection by a model over whole volumes, here one that divides by 64, without refinement."""
+    volumes = frames.to_frames(_voxels(spark, sf), SHAPE)
+    heat = detect.heatmaps(volumes, lambda volume: volume / 64, 0.625)
+    return detect.detect(heat, heat, replace(V2, threshold=0.625, min_distance=1), SHAPE, 60, refine=False)
+
+
+@query("graph_scan", f"WITH {FIXTURE_SQL} SELECT e.dataset, e.source_id, e.target_id, n.t, n.z FROM fx_gt_edges e JOIN fx_gt_nodes n ON n.dataset = e.dataset AND n.node_id = e.source_id")
+def graph_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A ground-truth graph written as two tables and read back."""
+    folder = shared_folder(spark)
+    nodes, edges = _gt(spark, sf)
+    nodes.write.parquet(f"{folder}/nodes")
+    edges.write.parquet(f"{folder}/edges")
+    nodes, edges = frames.read_graph(spark, f"{folder}/nodes", f"{folder}/edges")
+    return edges.join(nodes.select("dataset", F.col("node_id").alias("source_id"), "t", "z"), ["dataset", "source_id"])
+
+
+@query("points_by_frame", f"WITH {FIXTURE_SQL} SELECT dataset, t, string_agg(z || ',' || y || ',' || x, ' ' ORDER BY z, y, x) AS points FROM fx_gt_nodes GROUP BY dataset, t")
+def points_by_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of each frame in order."""
+    listed = frames.points_by_frame(_gt(spark, sf)[0])
+    return listed.select("dataset", "t", F.array_join(F.transform("points", lambda p: F.concat_ws(",", p["z"], p["y"], p["x"])), " ").alias("points"))
+
+
+@query("split_file", """SELECT CASE WHEN row_number() OVER (ORDER BY o_orderkey DESC) <= 20 THEN 'val' ELSE 'train' END AS split, CAST(o_orderkey AS VARCHAR) AS dataset FROM orders""")
+def split_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A split written as JSON and read back."""
+    folder = f"{shared_folder(spark)}/split"
+    sinks.write_split(profile.tail_split(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 20).select("split", F.col("o_orderkey").cast("string").alias("dataset")), folder)
+    return sinks.read_split(spark, folder)
+
+
+@query("track_file", f"""WITH RECURSIVE {LINEAGE_SQL}
+SELECT a.dataset, CAST(a.label AS INTEGER) AS label, a.begin_t, a.end_t, CAST(coalesce(b.label, 0) AS INTEGER) AS parent_label FROM named a LEFT JOIN named b ON b.dataset = a.dataset AND b.tracklet = a.parent""")
+def track_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracks written as text, a folder a movie, and read back."""
+    folder = f"{shared_folder(spark)}/tracks"
+    sinks.write_tracks(*_gt(spark, sf), folder)
+    return spark.read.schema("label int, begin_t int, end_t int, parent_label int, dataset int").csv(folder, sep=" ").select("dataset", "label", "begin_t", "end_t", "parent_label")
+
+
+@query("submission_file", f"""WITH {FOUND_SQL}, r AS (SELECT dataset, 'node' AS row_type, count(*) AS n FROM found GROUP BY dataset UNION ALL SELECT dataset, 'edge', count(*) FROM found_edges GROUP BY dataset)
+SELECT CAST(dataset AS VARCHAR) AS dataset, row_type, n FROM r""")
+def submission_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A submission written as CSV and read back: rows of each kind, which share one running id."""
+    folder = f"{shared_folder(spark)}/submission"
+    nodes, edges, _ = _found(spark, sf)
+    sinks.write_submission(nodes, edges, folder)
+    back = spark.read.option("header", True).schema("id long, dataset string, row_type string, node_id long, t int, z int, y int, x int, source_id long, target_id long").csv(folder)
+    return back.groupBy("dataset", "row_type").agg(F.count_distinct("id").alias("n"))
+
+
+@query("history_file", f"WITH {HISTORY_SQL} SELECT run, epoch, val, sec FROM h")
+def history_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A training history written as CSV and read back."""
+    folder = f"{shared_folder(spark)}/history"
+    sinks.write_history(_history(spark, sf), folder)
+    return spark.read.option("header", True).schema("run string, epoch int, val double, sec double").csv(folder)
+
+
+@query("lagged_candidates", f"""WITH {FIXTURE_SQL} SELECT * FROM (SELECT a.dataset, a.t, a.det_id AS source_id, b.det_id AS target_id, round({_dist()}, 6) AS dist
+  FROM fx_detections a JOIN fx_detections b ON b.dataset = a.dataset AND b.t = a.t + 2 WHERE {_dist()} <= 8)""")
+def lagged_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of detections two frames apart."""
+    return spatial.frame_candidates(fixtures.detections(spark, sf), V2.loose_gate, VOXEL, lag=2).withColumns(rounded("dist"))
+
+
+@query("voxel_places", f"WITH {FIXTURE_SQL} SELECT det_id, CAST(trunc(z - 32) AS INTEGER) AS z, CAST(trunc(y - 128) AS INTEGER) AS y, CAST(trunc(x - 128) AS INTEGER) AS x FROM fx_detections")
+def voxel_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Coordinates from the middle of the volume, cut toward zero."""
+    return fixtures.detections(spark, sf).select("det_id", *[scalar.toward_zero(F.col(c) - n).alias(c) for c, n in zip("zyx", (32, 128, 128), strict=True)])
+
+
+@query("predicted_places", f"""WITH {FIXTURE_SQL}, s AS (SELECT * FROM fx_gt_edges WHERE target_id = source_id + 1)
+SELECT n.dataset, n.node_id, round(n.z * {VOXEL[0]}e0 + 0.5e0 * coalesce((n.z - p.z) * {VOXEL[0]}e0, 0), 6) AS z, round(n.y * {VOXEL[1]}e0 + 0.5e0 * coalesce((n.y - p.y) * {VOXEL[1]}e0, 0), 6) AS y
+FROM fx_gt_nodes n LEFT JOIN s ON s.target_id = n.node_id LEFT JOIN fx_gt_nodes p ON p.node_id = s.source_id""")
+def predicted_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Where each node would be next by the velocity of the link into it, which is the lag of its position along the track."""
+    nodes, edges = _gt(spark, sf)
+    before = nodes.select("dataset", F.col("node_id").alias("source_id"), *[F.col(c).alias("p_" + c) for c in "zy"])
+    into = edges.where("target_id = source_id + 1").join(before, ["dataset", "source_id"]).select("dataset", F.col("target_id").alias("node_id"), "p_z", "p_y")
+    um = lambda c, p="": scalar.micrometres(c, VOXEL, p)
+    return nodes.join(into, ["dataset", "node_id"], "left").select("dataset", "node_id", *[F.round(scalar.predicted(um(c), um(c) - um(c, "p_"), V2.velocity_blend), 6).alias(c) for c in "zy"])

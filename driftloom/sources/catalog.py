@@ -29,6 +29,20 @@ def ancestors(path: Column, most: int | None = None) -> Column:
     return F.when(wanted > 0, F.transform(F.sequence(F.lit(1), wanted), lambda k: F.array_join(F.slice(steps, 1, k), "/"))).otherwise(F.array().cast("array<string>"))
 
 
+def find_folders(paths: DataFrame, pattern: str) -> DataFrame:
+    """(folder): the folders above ``paths(path)`` whose names fit a regular expression, but none inside another such folder."""
+    steps = F.split("path", "/")
+    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda k: (k < F.size(steps)) & F.element_at(steps, k).rlike(pattern))
+    first = paths.where("path IS NOT NULL").select(steps.alias("steps"), F.get(hits, F.lit(0)).alias("k")).where("k IS NOT NULL")
+    return first.select(F.array_join(F.slice("steps", 1, F.col("k")), "/").alias("folder")).distinct()
+
+
+def largest(arrays: DataFrame, by: list[str], size: str, name: str) -> DataFrame:
+    """(by..., size, name): the largest of each group, of equals the one with the smallest name."""
+    best = F.min(F.struct((-F.col(size)).alias("s"), F.col(name).alias("n")))
+    return arrays.where(F.col(size).isNotNull()).groupBy(*by).agg(best.alias("b")).select(*by, (-F.col("b.s")).alias(size), F.col("b.n").alias(name))
+
+
 def folder_sizes(files: DataFrame) -> DataFrame:
     """(folder, bytes, files): everything below each folder, at any depth, of ``files(path, length)``.
 

@@ -95,3 +95,22 @@ def voxels(frames: DataFrame, zeros: bool = False) -> DataFrame:
                 )
 
     return frames.select("dataset", "t", "shape", "data").mapInArrow(run, "dataset string, t int, z int, y int, x int, value double")
+
+
+def to_frames(voxels: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """(dataset, t, shape, data): the sparse voxels of each frame as one dense volume of unsigned 16-bit integers, clipped to their range.
+
+    Voxels outside ``shape`` are left out, of several values of a voxel the largest counts, and fractions are cut.
+    """
+    kinds = dict(voxels.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        at = tuple(table.column(c).to_numpy() for c in "zyx")
+        inside = np.all([(a >= 0) & (a < n) for a, n in zip(at, shape, strict=True)], axis=0)
+        volume = np.zeros(shape, dtype="<u2")
+        np.maximum.at(volume, tuple(a[inside] for a in at), np.clip(table.column("value").to_numpy()[inside], 0, 65_535).astype("<u2"))
+        frame = [table.column(c).slice(0, 1).combine_chunks() for c in ("dataset", "t")]
+        return pa.table([*frame, pa.array([list(shape)], pa.list_(pa.int32())), pa.array([volume.tobytes()], pa.binary())], names=["dataset", "t", "shape", "data"])
+
+    rows = voxels.select("dataset", F.col("t").cast("int").alias("t"), *[F.col(c).cast("int").alias(c) for c in "zyx"], F.col("value").cast("double").alias("value"))
+    return rows.groupBy("dataset", "t").applyInArrow(run, f"dataset {kinds['dataset']}, t int, shape array<int>, data binary")
