@@ -266,7 +266,55 @@ def nn_link(spark: SparkSession, sf: str) -> DataFrame:
     return linking.nn_link(fixtures.detections(spark, sf), V0.loose_gate, VOXEL).withColumns(rounded("dist"))
 
 
-@query("twopass_link")
+_MOVES_SQL = ", ".join(f"b.{c} * {s}e0 - a.{c} * {s}e0 AS d{c}" for c, s in zip("zyx", VOXEL, strict=True))
+_AHEAD_SQL = " + ".join(f"pow({V2.velocity_blend}e0 * coalesce(l.v{c}, 0) - d{c}, 2)" for c in "zyx")
+
+#: CTEs that end in ``linked_edges(dataset, t, source_id, target_id)``: all matchings of each component of a pair of frames, of which a walk over the frames
+#: takes the best, given where the links before make its cells go: as many tight links as possible, then the cheapest, then the same of the others.
+TWOPASS_SQL = f"""{FIXTURE_SQL},
+loose AS MATERIALIZED (SELECT * FROM (SELECT a.dataset, a.t, a.det_id AS a, b.det_id AS b, {_MOVES_SQL}, 0e0 AS gain FROM fx_detections a JOIN fx_detections b ON b.dataset = a.dataset AND b.t = a.t + 1)
+  WHERE sqrt(dz * dz + dy * dy + dx * dx) <= {V2.loose_gate}),
+{matching_sql("loose", "_0")},
+ways AS MATERIALIZED (SELECT dataset, t, part, row_number() OVER () AS way, taken, givers FROM walk_0 JOIN last_0 USING (dataset, t, part, r)),
+used AS MATERIALIZED (
+  SELECT w.dataset, w.t, w.part, w.way, p.a, p.b, dz, dy, dx, sqrt(dz * dz + dy * dy + dx * dx) <= {V2.tight_gate} AS tight
+  FROM (SELECT dataset, t, part, way, unnest(givers) AS a, unnest(taken) AS b FROM ways) w JOIN loose p USING (dataset, t, a, b)),
+linked AS (
+  SELECT DISTINCT dataset, CAST(-1 AS INTEGER) AS t, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, 0e0 AS vz, 0e0 AS vy, 0e0 AS vx FROM fx_detections
+  UNION ALL (
+  WITH now AS (SELECT dataset, max(t) + 1 AS t FROM linked GROUP BY dataset),
+  priced AS (SELECT u.dataset, u.t, u.part, u.way, u.tight, sqrt({_AHEAD_SQL}) AS cost FROM now JOIN used u ON u.dataset = now.dataset AND u.t = now.t LEFT JOIN linked l ON l.dataset = u.dataset AND l.b = u.a),
+  rated AS (SELECT dataset, t, part, way, count(*) FILTER (WHERE tight) AS n1, coalesce(sum(cost) FILTER (WHERE tight), 0) AS c1, count(*) FILTER (WHERE NOT tight) AS n2, coalesce(sum(cost) FILTER (WHERE NOT tight), 0) AS c2 FROM priced GROUP BY ALL),
+  best_way AS (SELECT dataset, t, part, arg_min(way, (-n1, c1, -n2, c2)) AS way FROM rated GROUP BY ALL)
+  SELECT u.dataset, u.t, u.a, u.b, dz, dy, dx FROM best_way JOIN used u USING (dataset, t, part, way)
+  UNION ALL SELECT dataset, t, NULL, NULL, 0, 0, 0 FROM now WHERE t <= (SELECT max(t) FROM fx_detections))),
+linked_edges AS (SELECT dataset, t + 1 AS t, a AS source_id, b AS target_id FROM linked WHERE a IS NOT NULL)"""
+
+#: The same as nodes and edges that gaps can be closed in.
+TRACKED_SQL = f"""{TWOPASS_SQL},
+found AS (SELECT dataset, det_id AS node_id, t, z, y, x FROM fx_detections), found_edges AS (SELECT dataset, source_id, target_id FROM linked_edges)"""
+
+
+def closed_sql(longest: int) -> str:
+    """CTEs that end in ``closed(dataset, source_id, target_id)``: ``found_edges`` with gaps of one frame, and of two if ``longest`` is 2, between nodes of ``found`` bridged."""
+    two = f""",
+wide AS MATERIALIZED (SELECT dataset, t, end_id AS a, start_id AS b, 1e6 - dist AS gain FROM gaps WHERE gap = 2 AND dist <= 18 AND (dataset, end_id) NOT IN (SELECT (dataset, a) FROM one) AND (dataset, start_id) NOT IN (SELECT (dataset, b) FROM one)),
+{matching_sql("wide", "_2")},
+n2 AS (SELECT o.dataset, o.a, o.b, top + (SELECT count(*) FROM one x WHERE x.dataset = o.dataset) + 2 * row_number() OVER (PARTITION BY o.dataset ORDER BY t, a) - 1 AS id FROM best_2 o JOIN top USING (dataset))"""
+    more = " UNION ALL SELECT dataset, a, id FROM n2 UNION ALL SELECT dataset, id, id + 1 FROM n2 UNION ALL SELECT dataset, id + 1, b FROM n2"
+    return f"""
+open_ends AS (SELECT * FROM found WHERE (dataset, node_id) NOT IN (SELECT (dataset, source_id) FROM found_edges)),
+open_starts AS (SELECT * FROM found WHERE (dataset, node_id) NOT IN (SELECT (dataset, target_id) FROM found_edges)),
+gaps AS (SELECT b.t - a.t - 1 AS gap, a.dataset, a.t, a.node_id AS end_id, b.node_id AS start_id, {_dist()} AS dist FROM open_ends a JOIN open_starts b ON b.dataset = a.dataset AND b.t BETWEEN a.t + 2 AND a.t + 3),
+short AS MATERIALIZED (SELECT dataset, t, end_id AS a, start_id AS b, 1e6 - dist AS gain FROM gaps WHERE gap = 1 AND dist <= 12),
+{matching_sql("short", "_1")},
+one AS MATERIALIZED (SELECT dataset, t, a, b FROM best_1),
+top AS (SELECT dataset, max(node_id) AS top FROM found GROUP BY dataset),
+n1 AS (SELECT o.*, top + row_number() OVER (PARTITION BY o.dataset ORDER BY t, a) AS id FROM one o JOIN top USING (dataset)){two if longest == 2 else ""},
+closed AS MATERIALIZED (SELECT dataset, source_id, target_id FROM found_edges UNION ALL SELECT dataset, a, id FROM n1 UNION ALL SELECT dataset, id, b FROM n1{more if longest == 2 else ""})"""
+
+
+@query("twopass_link", f"WITH RECURSIVE {TWOPASS_SQL} SELECT dataset, source_id, target_id FROM linked_edges")
 def twopass_link(spark: SparkSession, sf: str) -> DataFrame:
     return linking.twopass_link(fixtures.detections(spark, sf), V2)
 
@@ -383,20 +431,7 @@ def close_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return linking.close_gaps(nodes, edges, V2)[1]
 
 
-@query("close_long_gaps", f"""WITH RECURSIVE {FOUND_SQL},
-open_ends AS (SELECT * FROM found WHERE node_id NOT IN (SELECT source_id FROM found_edges)),
-open_starts AS (SELECT * FROM found WHERE node_id NOT IN (SELECT target_id FROM found_edges)),
-gaps AS (SELECT b.t - a.t - 1 AS gap, a.dataset, a.t, a.node_id AS end_id, b.node_id AS start_id, {_dist()} AS dist FROM open_ends a JOIN open_starts b ON b.dataset = a.dataset AND b.t BETWEEN a.t + 2 AND a.t + 3),
-short AS MATERIALIZED (SELECT dataset, t, end_id AS a, start_id AS b, 1e6 - dist AS gain FROM gaps WHERE gap = 1 AND dist <= 12),
-{matching_sql("short")},
-one AS MATERIALIZED (SELECT dataset, t, a, b FROM best),
-long AS MATERIALIZED (SELECT dataset, t, end_id AS a, start_id AS b, 1e6 - dist AS gain FROM gaps WHERE gap = 2 AND dist <= 18 AND end_id NOT IN (SELECT a FROM one) AND start_id NOT IN (SELECT b FROM one)),
-{matching_sql("long", "_2")},
-top AS (SELECT dataset, max(node_id) AS top FROM found GROUP BY dataset),
-n1 AS (SELECT o.*, top + row_number() OVER (PARTITION BY o.dataset ORDER BY t, a) AS id FROM one o JOIN top USING (dataset)),
-n2 AS (SELECT o.dataset, o.a, o.b, top + (SELECT count(*) FROM one x WHERE x.dataset = o.dataset) + 2 * row_number() OVER (PARTITION BY o.dataset ORDER BY t, a) - 1 AS id FROM best_2 o JOIN top USING (dataset))
-SELECT dataset, source_id, target_id FROM found_edges UNION ALL SELECT dataset, a, id FROM n1 UNION ALL SELECT dataset, id, b FROM n1
-UNION ALL SELECT dataset, a, id FROM n2 UNION ALL SELECT dataset, id, id + 1 FROM n2 UNION ALL SELECT dataset, id + 1, b FROM n2""")
+@query("close_long_gaps", f"WITH RECURSIVE {FOUND_SQL}, {closed_sql(2)} SELECT * FROM closed")
 def close_long_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """Gaps of one frame, then of two, bridged by interpolated nodes."""
     nodes, edges, _ = _found(spark, sf)
@@ -568,6 +603,16 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf, nodes, edges)
 
 
+@query("track_edges", f"""WITH RECURSIVE {TRACKED_SQL}, {closed_sql(1)},
+up AS (SELECT dataset, source_id AS node_id, source_id AS root FROM closed c WHERE (dataset, source_id) NOT IN (SELECT (dataset, target_id) FROM closed)
+  UNION SELECT c.dataset, c.target_id, u.root FROM up u JOIN closed c ON c.dataset = u.dataset AND c.source_id = u.node_id),
+long_tracks AS (SELECT dataset, root FROM up GROUP BY ALL HAVING count(*) >= {V2.min_track_nodes})
+SELECT c.dataset, c.source_id, c.target_id FROM closed c JOIN up u ON u.dataset = c.dataset AND u.node_id = c.source_id JOIN long_tracks l ON l.dataset = u.dataset AND l.root = u.root""")
+def track_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges of a whole run: two passes, gaps closed, short tracks out."""
+    return linking.track(cut(fixtures.detections(spark, sf)), V2)[1]
+
+
 @query("tracks_with_divisions")
 def tracks_with_divisions(spark: SparkSession, sf: str) -> DataFrame:
     """As ``tracks``, with second daughters linked at the end, and short tracks kept."""
@@ -903,13 +948,13 @@ def _arriving(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(landing)
 
 
-@query("stream_link")
+@query("stream_link", f"WITH RECURSIVE {TWOPASS_SQL} SELECT dataset, t, source_id, target_id FROM linked_edges")
 def stream_links(spark: SparkSession, sf: str) -> DataFrame:
     """Two-pass linking of a stream."""
     return stream_to_table(stream_link(_arriving(spark, sf), V2))
 
 
-@query("stream_track")
+@query("stream_track", f"WITH RECURSIVE {TRACKED_SQL}, {closed_sql(2)} SELECT * FROM closed")
 def stream_tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Two-pass linking and gap closing of a stream, with gaps of up to two frames: all edges, those to interpolated nodes too."""
     config = replace(V2, max_gap=2)
