@@ -3,8 +3,10 @@
 A turn is known by the SHA-256 of its role and text.  At every depth the live conversations, those
 that share their node with others and have a turn left, are grouped by (node, next turn); a group is a
 child node and is named by its smallest conversation.  A conversation that is alone in a node stops being live: what
-follows is a chain of its own, which is read off its turns without any grouping.  So there are as many rounds as the
-deepest shared prefix has turns, and they carry ids and digests but no texts.
+follows is a chain of its own, which is read off its turns without any grouping.  Rounds carry ids and digests but no texts.
+
+Spark runs a round for each level of the large nodes.  As soon as the members of a node have no more than ``SUBTREE`` turns left, all
+that is below it is built in one task, level by level likewise; so the rounds are as many as large nodes are deep.
 
 Then the shared nodes are rolled up from the deepest level to the root: each level joins the sums of the one below.
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 
 from driftloom.plans.lineage import cut
 
+#: Turns below a node that one task builds the subtree of.
+SUBTREE = 10_000
 #: Bits of an id that conversations of one segment may differ in: a segment is hashed as one string.
 SEGMENT = 12
 #: Levels after which the turns of live conversations are written anew, so that later levels read no others.
@@ -106,6 +111,59 @@ def _ends(ended: DataFrame) -> DataFrame:
     return ordered.mapInArrow(_hashed, "depth long, conv_id long, ends_sha256 string")
 
 
+_BELOW = "kind string, conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, longest long"
+
+
+def _subtree(key: tuple, table: pa.Table) -> pa.Table:
+    """All below one node, of rows (node, conv_id, n_turns, at, depth, key, n_bytes), ``at`` the node's depth.
+
+    Rows of kind ``node`` are the nodes that more than one conversation reaches or that one is first alone in; ``end`` is a conversation that
+    ends in company, in the node ``parent_conv_id``; ``alone`` has in ``depth`` from where on a conversation is, and its turns in ``longest``.
+    """
+    top, at = key[0].as_py(), table.column("at")[0].as_py()
+    turns: dict[int, dict[int, tuple[bytes, int]]] = {}
+    last: dict[int, int] = {}
+    for conv, n, depth, digest, size in zip(*(table.column(c).to_pylist() for c in ("conv_id", "n_turns", "depth", "key", "n_bytes")), strict=True):
+        turns.setdefault(conv, {})[depth] = digest, size
+        last[conv] = n
+    levels: list[list[list]] = []
+    rows: list[tuple] = []
+    live, depth = dict.fromkeys(turns, top), at
+    while live:
+        depth += 1
+        groups: dict[tuple[int, bytes], list[int]] = {}
+        for conv, node in live.items():
+            groups.setdefault((node, turns[conv][depth][0]), []).append(conv)
+        live, level = {}, []
+        for (node, _), members in groups.items():
+            child = min(members)
+            # name, parent, members, bytes, longest, children, leaves, saved
+            level.append([child, node, len(members), turns[child][depth][1], max(last[m] for m in members), 0, 0, 0])
+            if len(members) == 1:
+                rows.append(("alone", child, depth, None, None, None, None, None, last[child]))
+                continue
+            for m in members:
+                if last[m] == depth:
+                    rows.append(("end", m, depth, child, None, None, None, None, None))
+                else:
+                    live[m] = child
+        levels.append(level)
+    for k in range(len(levels) - 1, -1, -1):
+        named = {node[0]: node for node in levels[k - 1]} if k else {}
+        for node in levels[k]:
+            child, parent, n, size, longest, children, leaves, saved = node
+            if n == 1:
+                children = int(longest > at + 1 + k)
+            leaves, saved = max(leaves, 1), saved + (n - 1) * size
+            rows.append(("node", child, at + 1 + k, parent, n, children, leaves, saved, longest))
+            if k:
+                above = named[parent]
+                above[5:] = above[5] + 1, above[6] + leaves, above[7] + saved
+    columns = zip(*rows, strict=True)
+    names = [c.split()[0] for c in _BELOW.split(", ")]
+    return pa.table([pa.array(c, pa.string() if name == "kind" else pa.int64()) for c, name in zip(columns, names, strict=True)], names=names)
+
+
 def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256): a row for each node.
 
@@ -118,41 +176,55 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     """
     spark = convs.sparkSession
     every = cut(convs.join(lengths(turns), "conv_id", "left").select("conv_id", F.coalesce("n_turns", F.lit(0)).cast("long").alias("n_turns")))
-    count, root, longest = every.agg(F.count("*"), F.min("conv_id"), F.max("n_turns")).first()
+    count, root, longest, total = every.agg(F.count("*"), F.min("conv_id"), F.max("n_turns"), F.sum("n_turns")).first()
     schema = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
     if not count:
         return spark.createDataFrame([], schema)
     levels = [spark.createDataFrame([(root, None, count, 0, longest)], "conv_id long, parent_conv_id long, n_convs long, n_bytes long, longest long")]
     depth = F.lit(0).cast("long")
-    # (conv_id, node, depth): where a conversation ends in company, and (conv_id, depth): from where on it is alone
-    ended = [every.where("n_turns = 0" if count > 1 else "false").select("conv_id", F.lit(root).alias("node"), depth.alias("depth"))]
+    # (conv_id, node, depth): where a conversation ends in company, and (conv_id, n_turns, from): from where on it is alone
+    shared = every.withColumns({"node": F.lit(root), "rest": F.lit(total).cast("long")})
+    ended = [shared.where("n_turns = 0" if count > 1 else "false").select("conv_id", "node", depth.alias("depth"))]
     alone = [every.where("false" if count > 1 else "true").select("conv_id", "n_turns", depth.alias("from"))]
-    live, left, d = every.where("n_turns > 0" if count > 1 else "false").withColumn("node", F.lit(root)), turns, 0
-    while not live.isEmpty():
+    going = shared.where("n_turns > 0" if count > 1 else "false").select("conv_id", "n_turns", "node", "rest")
+    subtrees: dict[int, DataFrame] = {}  # by the depth of their highest nodes
+    left, d = turns, 0
+    while True:
+        small, live = going.where(F.col("rest") <= SUBTREE).drop("rest"), going.where(F.col("rest") > SUBTREE).drop("rest")
+        if not small.isEmpty():
+            rows = small.withColumn("at", F.lit(d).cast("long")).join(left.where(F.col("depth") > d), "conv_id")
+            below = cut(rows.groupBy("node").applyInArrow(_subtree, _BELOW))
+            subtrees[d + 1] = below.where("kind = 'node'").drop("kind")
+            ended.append(below.where("kind = 'end'").select("conv_id", F.col("parent_conv_id").alias("node"), "depth"))
+            alone.append(below.where("kind = 'alone'").select("conv_id", F.col("longest").alias("n_turns"), F.col("depth").alias("from")))
+        if live.isEmpty():
+            break
         d += 1
         depth = F.lit(d).cast("long")
         step = cut(live.join(left.where(F.col("depth") == d), "conv_id").select("conv_id", "n_turns", "node", "key", "n_bytes"), count)
-        groups = cut(
-            step.groupBy(F.col("node").alias("parent_conv_id"), "key").agg(F.min("conv_id").alias("child"), F.count("*").alias("n_convs"), F.min("n_bytes").alias("n_bytes"), F.max("n_turns").alias("longest")), count
+        groups = step.groupBy(F.col("node").alias("parent_conv_id"), "key").agg(
+            F.min("conv_id").alias("child"), F.count("*").alias("n_convs"), F.min("n_bytes").alias("n_bytes"), F.max("n_turns").alias("longest"), F.sum(F.col("n_turns") - d).alias("rest")
         )
+        groups = cut(groups, count)
         levels.append(groups.select(F.col("child").alias("conv_id"), "parent_conv_id", "n_convs", "n_bytes", "longest"))
-        placed = step.join(groups.select(F.col("parent_conv_id").alias("node"), "key", "child", "n_convs"), ["node", "key"])
-        placed = cut(placed.select("conv_id", "n_turns", F.col("child").alias("node"), "n_convs"), count)
+        placed = step.join(groups.select(F.col("parent_conv_id").alias("node"), "key", "child", "n_convs", "rest"), ["node", "key"])
+        placed = cut(placed.select("conv_id", "n_turns", F.col("child").alias("node"), "n_convs", "rest"), count)
         shared = placed.where("n_convs > 1")
         ended.append(shared.where(F.col("n_turns") == d).select("conv_id", "node", depth.alias("depth")))
         alone.append(placed.where("n_convs = 1").select("conv_id", "n_turns", depth.alias("from")))
-        live = shared.where(F.col("n_turns") > d).select("conv_id", "n_turns", "node")
+        going = shared.where(F.col("n_turns") > d).select("conv_id", "n_turns", "node", "rest")
         if d % SWEEP == 0:
-            left = cut(left.where(F.col("depth") > d).join(live.select("conv_id"), "conv_id", "left_semi"))
+            left = cut(left.where(F.col("depth") > d).join(going.select("conv_id"), "conv_id", "left_semi"))
 
-    # from the deepest level up
-    nodes, below = [], None
+    # from the deepest level up; the nodes below one were built by rounds or in a task
+    nodes, below = list(subtrees.values()), subtrees.get(len(levels))
     for k in range(len(levels) - 1, -1, -1):
         level = levels[k].withColumn("depth", F.lit(k).cast("long"))
         if below is None:
             level = level.withColumns({c: F.lit(None).cast("long") for c in ("children", "leaves", "saved")})
         else:
-            sums = below.groupBy(F.col("parent_conv_id").alias("conv_id")).agg(F.count("*").alias("children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
+            sums = below.where(F.col("depth") == k + 1).groupBy(F.col("parent_conv_id").alias("conv_id"))
+            sums = sums.agg(F.count("*").alias("children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_tokens").alias("saved"))
             level = level.join(sums, "conv_id", "left")
         # a node of one conversation has its chain below it
         chain = F.when((F.col("n_convs") == 1) & (F.col("longest") > k), 1).otherwise(0)
@@ -162,12 +234,11 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
         )
         below = cut(rolled, count)
         nodes.append(below)
+        if k in subtrees:
+            below = below.unionByName(subtrees[k])
 
     def union(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        return reduce(DataFrame.unionByName, parts)
 
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     chains = turns.join(union(alone), "conv_id").where(F.col("depth") > F.col("from")).withColumnRenamed("n_turns", "longest")

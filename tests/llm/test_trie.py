@@ -51,16 +51,18 @@ def conversations():
     for c in [*range(60), 101, 102, 104, 5000, 5001, -7, -5]:
         for turn in range(r.randrange(1, 12)):
             rows.append((c, turn, r.choice(["user", "assistant"]) if turn else "user", r.choice(["hi", "hi", "hé", ""]) if turn < 4 else f"t{r.randrange(3)}"))
-    long = [(t, "user", f"same {t}") for t in range(19)]
+    long = [(t, "user", f"same {t}") for t in range(11)]
     rows += [(c, *x) for c in (200, 205, 210) for x in long] + [(215, *x) for x in long[:-1]]  # deep copies, over several sweeps
     rows += [(300, None, "user", "first"), (300, 2, None, None), (300, 2, None, None), (300, 2, "a", "tie"), (None, 0, "user", "no id"), (301, 0, "user", "x" * 5000)]
     rows += [(c, 0, "user", "alike") for c in range(4000, 4400, 5)]  # a group of copies over several segments
     return rows
 
 
-@pytest.mark.parametrize("segment", [12, 6])
-def test_against_brute_force(spark, monkeypatch, segment):
+@pytest.mark.parametrize(("segment", "subtree"), [(12, 10_000), (6, 30)])
+def test_against_brute_force(spark, monkeypatch, segment, subtree):
     monkeypatch.setattr(trie, "SEGMENT", segment)
+    monkeypatch.setattr(trie, "SUBTREE", subtree)
+    monkeypatch.setattr(trie, "SWEEP", 4)
     rows = conversations()
     assert made(spark.createDataFrame([(*x, "c") for x in rows], SCHEMA)) == brute(rows)
 
@@ -74,3 +76,9 @@ def test_small_tables(spark):
 def test_role_and_text_are_kept_apart(spark):
     rows = [(0, 0, "ab", "c"), (5, 0, "a", "bc"), (10, 0, "", "abc"), (15, 0, "2:", "c")]
     assert made(spark.createDataFrame([(*x, "c") for x in rows], SCHEMA)) == brute(rows)
+
+
+def test_rounds_alone(spark, monkeypatch):
+    monkeypatch.setattr(trie, "SUBTREE", 0)
+    rows = [(c, t, "user", f"t{t}" if c < 20 else "x") for c in (0, 5, 10, 20, 25) for t in range(3 - c // 10)] + [(6, 0, "user", "t0"), (6, 1, "user", "own")]
+    assert made(spark.createDataFrame([(*x, "c") for x in rows], SCHEMA)) == brute(rows)
