@@ -44,7 +44,7 @@ REGION = 64
 #: Pairs of one hub that a share holds, more or less.
 SHARE = 256
 #: Buckets of a set's counts, how many of them are added up for a first look, and members of a region that a task has of each side.
-SLOTS, COARSE, BLOCK = 256, 8, 1024
+SLOTS, COARSE, BLOCK = 256, 8, 512
 #: Pairs that are compared at a time.
 PAIRS = 1 << 16
 
