@@ -5,7 +5,7 @@ that share their node with others and have a turn left, are grouped by (node, ne
 child node and is named by its smallest conversation.  A conversation that is alone in a node stops being live: what
 follows is a chain of its own, which is read off its turns without any grouping.  Rounds carry ids and digests but no texts.
 
-Spark runs a round for each level of the large nodes.  As soon as the members of a node have no more than ``SUBTREE`` turns left, all
+Spark runs a round for each level of the large nodes.  As soon as a node has no more than ``MEMBERS`` members, with no more than ``SUBTREE`` turns left, all
 that is below it is built in one task, level by level likewise; so the rounds are as many as large nodes are deep.
 
 Then the shared nodes are rolled up from the deepest level to the root: each level joins the sums of the one below.
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from driftloom.plans.lineage import cut
 
-#: Turns below a node that one task builds the subtree of.
-SUBTREE = 10_000
+#: Members of a node, and their turns below it, that one task builds the subtree of.
+MEMBERS, SUBTREE = 32, 10_000
 #: Bits of an id that conversations of one segment may differ in: a segment is hashed as one string.
 SEGMENT = 12
 #: Levels after which the turns of live conversations are written anew, so that later levels read no others.
@@ -183,14 +183,15 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
     levels = [spark.createDataFrame([(root, None, count, 0, longest)], "conv_id long, parent_conv_id long, n_convs long, n_bytes long, longest long")]
     depth = F.lit(0).cast("long")
     # (conv_id, node, depth): where a conversation ends in company, and (conv_id, n_turns, from): from where on it is alone
-    shared = every.withColumns({"node": F.lit(root), "rest": F.lit(total).cast("long")})
+    shared = every.withColumns({"node": F.lit(root), "n_convs": F.lit(count), "rest": F.lit(total).cast("long")})
     ended = [shared.where("n_turns = 0" if count > 1 else "false").select("conv_id", "node", depth.alias("depth"))]
     alone = [every.where("false" if count > 1 else "true").select("conv_id", "n_turns", depth.alias("from"))]
-    going = shared.where("n_turns > 0" if count > 1 else "false").select("conv_id", "n_turns", "node", "rest")
+    going = shared.where("n_turns > 0" if count > 1 else "false").select("conv_id", "n_turns", "node", "n_convs", "rest")
     subtrees: dict[int, DataFrame] = {}  # by the depth of their highest nodes
     left, d = turns, 0
     while True:
-        small, live = going.where(F.col("rest") <= SUBTREE).drop("rest"), going.where(F.col("rest") > SUBTREE).drop("rest")
+        few = (F.col("n_convs") <= MEMBERS) & (F.col("rest") <= SUBTREE)
+        small, live = going.where(few).drop("n_convs", "rest"), going.where(~few).drop("n_convs", "rest")
         if not small.isEmpty():
             rows = small.withColumn("at", F.lit(d).cast("long")).join(left.where(F.col("depth") > d), "conv_id")
             below = cut(rows.groupBy("node").applyInArrow(_subtree, _BELOW))
@@ -212,7 +213,7 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
         shared = placed.where("n_convs > 1")
         ended.append(shared.where(F.col("n_turns") == d).select("conv_id", "node", depth.alias("depth")))
         alone.append(placed.where("n_convs = 1").select("conv_id", "n_turns", depth.alias("from")))
-        going = shared.where(F.col("n_turns") > d).select("conv_id", "n_turns", "node", "rest")
+        going = shared.where(F.col("n_turns") > d).select("conv_id", "n_turns", "node", "n_convs", "rest")
         if d % SWEEP == 0:
             left = cut(left.where(F.col("depth") > d).join(going.select("conv_id"), "conv_id", "left_semi"))
 
