@@ -1,6 +1,7 @@
 """Functions for SQL texts: ``register`` makes them known to a session.
 
-Table functions stand in FROM, after LATERAL where they take columns of the tables before them.  They run on Arrow batches.
+Table functions stand in FROM, after LATERAL where they take columns of the tables before them.  They are called a row at a time,
+so a text over many rows takes ``gap_points``, a function in SQL whose list goes through ``inline``.
 """
 
 from __future__ import annotations
@@ -37,12 +38,20 @@ class Ancestors:
             yield k - 1, "/".join(steps[:k])
 
 
+#: gap_points(z0, y0, x0, z1, y1, x1, gap): what interpolate_gap gives, as a list; null where that gives no row.
+GAP_POINTS = """CREATE OR REPLACE TEMPORARY FUNCTION gap_points(z0 DOUBLE, y0 DOUBLE, x0 DOUBLE, z1 DOUBLE, y1 DOUBLE, x1 DOUBLE, gap INT)
+RETURNS ARRAY<STRUCT<k: INT, z: DOUBLE, y: DOUBLE, x: DOUBLE>>
+RETURN transform(CASE WHEN gap >= 1 AND z0 + y0 + x0 + z1 + y1 + x1 IS NOT NULL THEN sequence(1, gap) END,
+  k -> named_struct('k', k, 'z', z0 + (z1 - z0) * (k / (gap + 1)), 'y', y0 + (y1 - y0) * (k / (gap + 1)), 'x', x0 + (x1 - x0) * (k / (gap + 1))))"""
+
+
 def _half_even(values: pa.Array) -> pa.Array:
     return pc.cast(pc.round(values, round_mode="half_to_even"), pa.int64())
 
 
 def register(spark: SparkSession) -> None:
-    """Makes interpolate_gap, ancestors and half_even known to ``spark.sql``."""
+    """Makes interpolate_gap, gap_points, ancestors and half_even known to ``spark.sql``."""
+    spark.sql(GAP_POINTS)
     spark.udtf.register("interpolate_gap", udtf(InterpolateGap, returnType="k int, z double, y double, x double", useArrow=True))
     spark.udtf.register("ancestors", udtf(Ancestors, returnType="depth int, folder string", useArrow=True))
     spark.udf.register("half_even", arrow_udf(_half_even, "long"))

@@ -63,3 +63,12 @@ def test_functions_in_sql(spark):
     rows = spark.sql("SELECT * FROM VALUES ('a/b/c'), ('a'), (NULL), ('') AS f(path), LATERAL ancestors(path)").collect()
     assert sorted((r["depth"], r["folder"]) for r in rows) == [(0, "a"), (1, "a/b")]
     assert [r[0] for r in spark.sql("SELECT half_even(v) FROM VALUES (0.5D), (1.5D), (-0.5D), (2.4D), (NULL) AS t(v)").collect()] == [0, 2, 0, 2, None]
+
+
+def test_gap_points_are_those_of_the_table_function_and_need_no_python(spark):
+    tables.register(spark)
+    gaps = "VALUES (1, 0.0D, 3.0D, 2), (2, NULL, 3.0D, 2), (3, 0.0D, 1.0D, 0), (4, 1.0D, 2.0D, NULL), (5, -1.5D, 0.1D, 1) AS g(i, a, b, gap)"
+    listed = spark.sql(f"SELECT i, p.* FROM (SELECT *, gap_points(a, a, a, b, b, b, gap) AS points FROM {gaps}) LATERAL VIEW inline(points) p AS k, z, y, x")
+    by_row = spark.sql(f"SELECT i, p.* FROM {gaps}, LATERAL interpolate_gap(a, a, a, b, b, b, gap) AS p")
+    assert sorted(map(tuple, listed.collect())) == sorted(map(tuple, by_row.collect())) and listed.count() == 3
+    assert "Python" not in listed._jdf.queryExecution().toString()
