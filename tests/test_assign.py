@@ -4,6 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from driftloom.operators import assign
 from driftloom.operators.assign import assign_sparse, cheapest_rows, solve, solve_points
 
 
@@ -80,3 +81,15 @@ def test_rows_may_go_without(costs, skip):
     best = min(sum(costs[i][c] if c >= 0 else skip[i] for i, c in enumerate(p)) for p in itertools.product(range(-1, 3), repeat=len(costs)) if len(used := [c for c in p if c >= 0]) == len(set(used)))
     assert total == best
     assert all(costs[i][c] - row_price[i] - column_price[c] > -1e-9 for i in range(len(costs)) for c in range(3)) and max(column_price) <= 0
+
+
+def test_large_components_need_no_matrix(monkeypatch):
+    r = np.random.default_rng(1)
+    i, j = np.unique(r.integers(0, 40, (500, 2)), axis=0).T
+    cost = r.random(len(i)) * 8
+    dense = assign_sparse(i, j, cost)
+    monkeypatch.setattr(assign, "DENSE", 1)
+    monkeypatch.setattr(assign, "solve", None)
+    sparse = assign_sparse(i, j, cost)
+    assert dense.tolist() == sparse.tolist()
+    assert sorted(assign_sparse(j, i, cost).tolist()) == dense.tolist()
