@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -93,3 +94,20 @@ def test_large_components_need_no_matrix(monkeypatch):
     sparse = assign_sparse(i, j, cost)
     assert dense.tolist() == sparse.tolist()
     assert sorted(assign_sparse(j, i, cost).tolist()) == dense.tolist()
+
+
+def test_crowds_are_assigned_in_time():
+    # copies of a few places: many pairs cost nearly the same, so near pairs alone and solving anew took minutes
+    r = np.random.default_rng(3)
+    places = r.random((12, 3)) * [100, 100, 100]
+    crowd = lambda n, move: np.concatenate([(places + move)[r.integers(0, 12, n)] + r.integers(-1, 2, (n, 3)) * [0.4, 0.2, 0.2] + r.random((n, 1)) * 1e-3, r.random((n // 2, 3)) * 100])
+    a, b = crowd(2200, 0.0), crowd(2220, 0.4)
+    start = time.process_time()
+    rows, columns = solve_points(a, b)
+    assert time.process_time() - start < 30
+    assert len(rows) == 3300 == len(set(columns.tolist()))
+    # the same as from a matrix, where that is small enough
+    few, others = a[2100:2300], b[2110:2340]
+    cost = np.sqrt(((few[:, None] - others[None]) ** 2).sum(axis=2))
+    assert abs(cost[solve_points(few, others)].sum() - cost[solve(cost)].sum()) < 1e-9
+    assert abs(cost[solve_points(others, few)[::-1]].sum() - cost[solve(cost)].sum()) < 1e-9
