@@ -159,6 +159,27 @@ def test_division_events_are_dealt_by_component(spark, monkeypatch):
     assert sorted(sizes) == [1, 1, 2]
 
 
+@pytest.mark.parametrize("tried", [1, 16])
+def test_crowded_division_events_need_few_candidates(spark, monkeypatch, tried):
+    sizes = []
+
+    def watched(candidates, by, *names):
+        sizes.append(candidates.count())
+        return assign_candidates(candidates, by, *names)
+
+    monkeypatch.setattr(metrics, "assign_candidates", watched)
+    monkeypatch.setattr(metrics, "TRIED", tried)
+    schema = "dataset int, node_id long, t int, z double, y double, x double"
+    gt = spark.createDataFrame([(0, i, 5, 0.0, 0.0, 0.0) for i in range(40)] + [(0, 900 + i, 5, 0.0, 0.0, 90.0) for i in range(3)], schema)
+    pred = spark.createDataFrame([(0, 1000 + i, 5, 0.0, 0.0, i / 1000) for i in range(400)] + [(0, 9, 5, 0.0, 0.0, 90.0), (0, 8, 5, 0.0, 0.0, 92.0)], schema)
+    # three events share two candidates, which a certificate over few candidates can't settle
+    assert tuple(metrics.division_counts_by_event(gt, pred, CONFIG).first()) == (42, 360, 1)
+    assert len(sizes) == 2 and sizes[0] <= 43 * tried and sizes[1] == 40 * 400 + 6
+    sizes.clear()
+    assert tuple(metrics.division_counts_by_event(gt.where("node_id < 900"), pred, CONFIG).first()) == (40, 362, 0)
+    assert len(sizes) == (2 if tried == 1 else 1) and sizes[0] <= 40 * tried
+
+
 def test_edge_counts(spark):
     e = "dataset int, source_id long, target_id long"
     gt = spark.createDataFrame([(0, 1, 2), (0, 2, 3)], e)
