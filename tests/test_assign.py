@@ -1,5 +1,6 @@
 import itertools
 import time
+import tracemalloc
 
 import numpy as np
 from hypothesis import given, settings
@@ -96,6 +97,25 @@ def test_large_components_need_no_matrix(monkeypatch):
     assert sorted(assign_sparse(j, i, cost).tolist()) == dense.tolist()
 
 
+def test_pairs_of_a_crowd_are_held_in_arrays():
+    # six places of 110 x 110 pairs, joined by single ones; lists of objects and wide numbers took 158 bytes a pair
+    r, k = np.random.default_rng(2), 110
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(k), np.arange(k), indexing="ij"))
+    src = np.concatenate([p * k + i for p in range(6)] + [np.arange(6) * k])
+    dst = np.concatenate([p * k + j for p in range(6)] + [(np.arange(6) + 1) % 6 * k])
+    cost = np.concatenate([r.random(6 * k * k) * 3, np.full(6, 7.0)])
+    tracemalloc.start()
+    got = assign_sparse(src, dst, cost)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 110 * len(src)
+    assert len(got) == 6 * k == len(set(src[got])) == len(set(dst[got]))
+    dense = np.full((k, k), 0.0)
+    dense[i, j] = cost[: k * k]
+    own = got[got < k * k]
+    assert len(own) == k and abs(cost[own].sum() - dense[solve(dense)].sum()) < 1e-9
+
+
 def test_crowds_are_assigned_in_time():
     # copies of a few places: many pairs cost nearly the same, so near pairs alone and solving anew took minutes
     r = np.random.default_rng(3)
