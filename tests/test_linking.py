@@ -55,6 +55,15 @@ def test_twopass_is_the_dense_version(spark, movie):
     assert got == dense_twopass(movie[1], CONFIG)
 
 
+def test_frames_rarely_share_a_task(spark):
+    # 60 pairs of frames were dealt to as few tasks as there are shuffle partitions, so one task had many
+    rows = [(d, t, 1000 * t + k, float(k), 0.0, 0.0) for d in range(2) for t in range(31) for k in range(3)]
+    found = spark.createDataFrame(rows, "dataset int, t int, det_id long, z double, y double, x double")
+    links = linking.nn_link(found, 8.0, CONFIG.voxel)
+    per = links.selectExpr("spark_partition_id() AS task", "dataset", "source_id DIV 1000 AS t").distinct().groupBy("task").count().collect()
+    assert sum(r["count"] for r in per) == 60 and max(r["count"] for r in per) <= 4
+
+
 def test_greedy_nms(movie):
     df, rows = movie
     kept = set()
